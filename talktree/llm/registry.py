@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import extract_pages
 from .near_dedup import NearDupParams, near_duplicates
 from .quality import quality_rules, train_quality
 from .substring_dedup import substring_dedup
@@ -29,10 +30,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, params=NearDupParams(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
