@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import extract_pages
 from .near_dedup import NearDupParams, near_duplicates
+from .packing import pack_documents
 from .quality import quality_rules, train_quality
 from .substring_dedup import substring_dedup
 
@@ -25,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return near_duplicates(docs, params=NearDupParams(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -37,6 +42,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
 }
