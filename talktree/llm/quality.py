@@ -99,7 +99,7 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.
         nw, nb = vw - step * (x.T @ d + l2 * vw), vb - step * float(d.sum())
         m = k / (k + 3)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return w * scale, b
+    return w * scale, float(b)
 
 
 def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -185,13 +185,13 @@ def _score(model: QualityModel):
                 w = W.words(block)
                 h = W.span_hashes(block.data, w.start, w.end)
                 base = base_counts(block, w, h, p.repeat_window)
-                logit = np.full(block.n, model.bias)
+                logit = np.full(block.n, model.bias, np.float64)
                 for slot, of in _feature_groups(block, w, h, p):
                     logit += np.bincount(of, weights[slot], minlength=block.n) / np.maximum(np.bincount(of, minlength=block.n), 1)
                 probability = model.probability(logit)
                 failed = (base["n_words"] < p.min_words) | (100 * base["n_repeat_words"] > p.max_repeat_percent * base["n_words"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), *(pa.array(v.astype(np.int64)) for v in base.values()), pa.array(failed), pa.array(~failed & (probability >= p.threshold)), pa.array(probability)],
+                    [batch.column(0).slice(block.first, block.n), *(pa.array(v.astype(np.int64)) for v in base.values()), pa.array(failed), pa.array(~failed & (probability >= p.threshold)), pa.array(probability, pa.float64())],
                     ["id", *base, "base_failed", "kept", "quality_probability"],
                 )
 
