@@ -11,6 +11,7 @@ from .near_dedup import NearDupParams, near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules, train_quality
 from .substring_dedup import substring_dedup
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return near_duplicates(docs, params=NearDupParams(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -43,8 +48,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_warc_archives": op5_warc_archives,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_archives": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM p
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+            list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (((('0x' || substr(hex, (k // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1) FOR k IN range(32)], 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f
+    """,
+}
