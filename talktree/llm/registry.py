@@ -10,6 +10,7 @@ from .html_text import extract_pages
 from .near_dedup import NearDupParams, near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules, train_quality
+from .secrets import secret_counts, train_secrets
 from .substring_dedup import substring_dedup
 from .warc import archive_pages
 
@@ -23,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_counts(docs, train_secrets(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_archives": op5_warc_archives,
