@@ -23,6 +23,9 @@ from .components import components
 from .shared import Scratch
 
 _U = np.uint64
+#: 64-bit words of one-bit coordinates that tell quickly how far two sets differ.
+BIT_WORDS = 4
+_BITS = [f"b{i}" for i in range(BIT_WORDS)]
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -30,13 +33,16 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 class NearDupParams:
     """Two sets are linked if ``100 * |A & B| >= percent * |A | B|``.
 
-    At similarity 0.8 a pair shares no band of 6 rows among 40 with probability 5e-6.
+    At similarity 0.8 a pair shares no band of 8 rows among 64 with probability 8e-6, and differs in
+    more than ``max_bits`` of 256 one-bit coordinates with probability 1e-9; at 0.25 pairs hardly
+    ever share a band, so passages that many texts have in common don't make them candidates.
     """
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 6
+    bands: int = 64
+    rows: int = 8
+    max_bits: int = 56
     lower: bool = True
     seed: int = 1
 
@@ -100,12 +106,14 @@ def _sketches(p: NearDupParams):
                 flat = sketch.reshape(-1)
                 band = W.gram_hashes(flat, np.arange(block.n * p.bands) * p.rows, p.rows) + np.tile(np.arange(p.bands, dtype=np.uint64), block.n)
                 band = W.mix(band).view(np.int64)
+                low = (W.mix(sketch[:, : 64 * BIT_WORDS].copy()) & _U(1)).astype(np.uint8)
+                bits = np.packbits(low, axis=1).view(np.uint64).view(np.int64)
                 has = size > 0
                 kept = np.repeat(has, p.bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * p.bands)]).astype(np.int32)), pa.array(band[kept]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), pa.array(size.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists],
-                    ["id", "n", "f1", "f2", "bands"],
+                    [batch.column(0).slice(block.first, block.n), pa.array(size.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists, *(pa.array(bits[:, i].copy()) for i in range(BIT_WORDS))],
+                    ["id", "n", "f1", "f2", "bands", *_BITS],
                 )
 
     return run
@@ -135,9 +143,16 @@ def _confirm(p: NearDupParams):
     return run
 
 
-def _plausible(na: Column, nb: Column, percent: int) -> Column:
-    """Sets of such sizes can reach the similarity."""
-    return (F.lit(100) * F.least(na, nb)) >= (F.lit(percent) * F.greatest(na, nb))
+def _alike(p: NearDupParams) -> Column:
+    """Whether the sizes and one-bit coordinates of sets x and y allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
+    return (100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n")) & (differ <= p.max_bits)
+
+
+def _near(pairs: DataFrame, sizes: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) that may be similar enough."""
+    pairs = pairs.alias("p").join(sizes.alias("x"), F.col("p.a") == F.col("x.id"))
+    return pairs.join(sizes.alias("y"), (F.col("p.b") == F.col("y.id")) & _alike(p)).select("p.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDupParams | None = None) -> DataFrame:
@@ -156,14 +171,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = scratch.keep(source.mapInArrow(_sketches(p), "id long, n long, f1 long, f2 long, bands array<long>"), "sketches")
-
-    classes = sk.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("k"))
-    heads = rows.groupBy("k").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("hi")).where("h.id < hi").select("k", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
+    schema = "id long, n long, f1 long, f2 long, bands array<long>" + "".join(f", {b} long" for b in _BITS)
+    sk = scratch.keep(source.mapInArrow(_sketches(p), schema), "sketches")
+
+    classes = sk.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(b).alias(b) for b in _BITS))
+    classes = scratch.keep(classes, "classes")
+    sizes = classes.select(F.col("rep").alias("id"), "n", *_BITS)
+    rows = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("k"))
+    heads = rows.groupBy("k").agg(F.min("id").alias("head"), F.max("id").alias("hi")).where("head < hi").select("k", "head")
     buckets = scratch.keep(rows.join(heads, "k"), "buckets")
-    stars = buckets.where((F.col("id") > F.col("head")) & _plausible(F.col("n"), F.col("head_n"), p.percent)).groupBy("id", "head").agg(F.count("*").alias("shared"))
-    stars = scratch.keep(stars.select(F.col("head").alias("a"), F.col("id").alias("b"), "shared"), "stars")
+    stars = buckets.where("id > head").groupBy("id", "head").agg(F.count("*").alias("shared"))
+    stars = scratch.keep(_near(stars.select(F.col("head").alias("a"), F.col("id").alias("b"), "shared"), sizes, p).select("a", "b", "shared"), "stars")
     ids = buckets.select("id").distinct()
     texts = scratch.keep(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
@@ -187,11 +205,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(confirmed(rest, "links"))
     comp = scratch.keep(components(links, scratch), "components")
 
-    named = buckets.join(comp, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = buckets.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("k")
-    named = named.join(mixed, "k", "left_semi")
-    other = named.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    open_ = named.join(other, "k").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & _plausible(F.col("n"), F.col("nb"), p.percent)).select(F.col("id").alias("a"), "b").distinct()
+    named = named.join(mixed, "k", "left_semi").join(sizes, "id")
+    apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+    open_ = named.alias("x").join(named.alias("y"), apart & _alike(p)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = confirmed(open_.join(stars, ["a", "b"], "left_anti"), "links")
     if more.limit(1).count():
         comp = scratch.keep(components(links.union(more), scratch), "components")

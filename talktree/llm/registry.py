@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import extract_pages
+from .language_id import identify_languages, train_profiles
 from .near_dedup import NearDupParams, near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules, train_quality
@@ -41,6 +42,11 @@ def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, train_profiles(docs))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return near_duplicates(docs, params=NearDupParams(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_archives": op5_warc_archives,
+    "op6_language_id": op6_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
 }

@@ -115,8 +115,13 @@ class Words:
         return len(self.start)
 
 
-def words(block: Block) -> Words:
-    inside = ~SEPARATOR[block.data]
+#: The separators and all ASCII punctuation and control characters.
+NOT_PLAIN = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)], bool)
+
+
+def words(block: Block, separator: np.ndarray = SEPARATOR) -> Words:
+    """Runs of bytes that are no separators, inside each text."""
+    inside = ~separator[block.data]
     edge = np.zeros(len(block.data) + 1, bool)
     edge[block.offsets] = True
     start, end = inside.copy(), inside.copy()
