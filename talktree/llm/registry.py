@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .html_text import extract_pages
 from .language_id import identify_languages, train_profiles
 from .near_dedup import NearDupParams, near_duplicates
@@ -47,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train_profiles(docs))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return near_duplicates(docs, params=NearDupParams(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_archives": op5_warc_archives,
     "op6_language_id": op6_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
 }
