@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .html_text import extract_pages
 from .language_id import identify_languages, train_profiles
+from .licenses import scan_licenses
 from .near_dedup import NearDupParams, near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules, train_quality
@@ -48,6 +49,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train_profiles(docs))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_archives": op5_warc_archives,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
