@@ -207,3 +207,17 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), schema).withColumnRenamed("id", id_col)
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns and no shuffle."""
+    score, at = _score(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["id", "text"])
+                kept = pa.Table.from_batches(list(score(iter([part])))).column("kept").combine_chunks()
+                yield batch.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
