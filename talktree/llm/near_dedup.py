@@ -43,6 +43,8 @@ class NearDupParams:
     bands: int = 64
     rows: int = 8
     max_bits: int = 56
+    small_group: int = 64
+    cell: int = 512
     lower: bool = True
     seed: int = 1
 
@@ -119,40 +121,94 @@ def _sketches(p: NearDupParams):
     return run
 
 
+def _alike(p: NearDupParams) -> Column:
+    """Whether the sizes and one-bit coordinates of sets x and y allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
+    return (100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n")) & (differ <= p.max_bits)
+
+
+def _sets(column: pa.Array, p: NearDupParams) -> list[np.ndarray]:
+    out = []
+    for block in W.blocks(column):
+        values, of = distinct_sets(*shingle_hashes(block, p.shingle, p.lower))
+        cut = np.searchsorted(of, np.arange(block.n + 1))
+        out += [values[cut[i] : cut[i + 1]] for i in range(block.n)]
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(p: NearDupParams):
     """Rows (a, b, text_a, text_b) to the linked (a, b)."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for block in W.blocks(column):
-            values, of = distinct_sets(*shingle_hashes(block, p.shingle, p.lower))
-            cut = np.searchsorted(of, np.arange(block.n + 1))
-            out += [values[cut[i] : cut[i + 1]] for i in range(block.n)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3))):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
-                yield part.select([0, 1]).filter(pa.array(keep))
+                keep = [_linked(x, y, p.percent) for x, y in zip(_sets(part.column(2), p), _sets(part.column(3), p))]
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _alike(p: NearDupParams) -> Column:
-    """Whether the sizes and one-bit coordinates of sets x and y allow the similarity."""
-    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    return (100 * F.least("x.n", "y.n") >= p.percent * F.greatest("x.n", "y.n")) & (differ <= p.max_bits)
+class _Cell:
+    """The sets that one cell's outliers are: compared with each member of the group that follows."""
+
+    def __init__(self, p: NearDupParams):
+        self.p, self.ids, self.n, self.bits, self.sets = p, [], [], [], []
+        self.root: dict[int, int] = {}
+        self.fixed = None
+
+    def find(self, c: int) -> int:
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def add(self, id_: int, comp: int, n: int, bits: list[int], text: str) -> None:
+        self.ids.append((id_, comp))
+        self.n.append(n)
+        self.bits.append(bits)
+        self.sets.append(_sets(pa.array([text]), self.p)[0])
+
+    def meet(self, id_: int, comp: int, n: int, bits: list[int], text: str) -> Iterator[tuple[int, int]]:
+        if self.fixed is None:
+            self.fixed = np.array(self.n), np.array(self.bits, np.int64).reshape(-1, BIT_WORDS).view(np.uint64)
+        sizes, words = self.fixed
+        far = np.bitwise_count(words ^ np.array(bits, np.int64).view(np.uint64)).sum(axis=1)
+        near = np.flatnonzero((far <= self.p.max_bits) & (100 * np.minimum(sizes, n) >= self.p.percent * np.maximum(sizes, n)))
+        own = None
+        for i in near.tolist():
+            other, c = self.ids[i]
+            one, two = self.find(comp), self.find(c)
+            if one == two:
+                continue
+            if own is None:
+                own = _sets(pa.array([text]), self.p)[0]
+            if _linked(own, self.sets[i], self.p.percent):
+                self.root[max(one, two)] = min(one, two)
+                yield min(id_, other), max(id_, other)
+
+
+def _meet(p: NearDupParams):
+    """Rows (head, ob, mb, role, id, comp, n, bits.., text), cell by cell with outliers first, to links (a, b)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, None
+        for batch in batches:
+            links = []
+            for head, ob, mb, role, id_, comp, n, *bits, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (head, ob, mb) != key:
+                    key, cell = (head, ob, mb), _Cell(p)
+                if role == 0:
+                    cell.add(id_, comp, n, bits, text)
+                else:
+                    links += cell.meet(id_, comp, n, bits, text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-def _near(pairs: DataFrame, sizes: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs (a, b) that may be similar enough."""
-    pairs = pairs.alias("p").join(sizes.alias("x"), F.col("p.a") == F.col("x.id"))
-    return pairs.join(sizes.alias("y"), (F.col("p.b") == F.col("y.id")) & _alike(p)).select("p.*")
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDupParams | None = None) -> DataFrame:
@@ -163,9 +219,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is null are linked with nothing and kept, with a null component.  Rows that repeat an id
     give a row each.  Other columns are not read, so their names can't clash.
 
-    Candidates: in each band bucket, all rows are paired with the smallest id; what these leave in
-    different components of the same bucket is then paired out, so no pair that shares a bucket is
-    lost, and a large group of copies needs a pair per copy and bucket only.
+    Candidates: each band bucket has a head, the set with the most bucket mates; every set is first
+    held against the head that it meets most often.  What this leaves in different components of a
+    bucket is then compared: in small groups pair by pair, in large ones in cells of ``cell`` sets
+    that are not in the group's main component by as many members, where one-bit coordinates rule
+    most pairs out.  So no pair that shares a bucket is lost, and none is written out for a group
+    of copies that its head holds together.
     """
     p = params or NearDupParams()
     spark = docs.sparkSession
@@ -178,10 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.keep(classes, "classes")
     sizes = classes.select(F.col("rep").alias("id"), "n", *_BITS)
     rows = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("k"))
-    heads = rows.groupBy("k").agg(F.min("id").alias("head"), F.max("id").alias("hi")).where("head < hi").select("k", "head")
-    buckets = scratch.keep(rows.join(heads, "k"), "buckets")
-    stars = buckets.where("id > head").groupBy("id", "head").agg(F.count("*").alias("shared"))
-    stars = scratch.keep(_near(stars.select(F.col("head").alias("a"), F.col("id").alias("b"), "shared"), sizes, p).select("a", "b", "shared"), "stars")
+    pairs = rows.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("k", "size")
+    members = scratch.keep(rows.join(pairs, "k"), "members")
+    mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
+    members = members.select("k", "id").join(mates, "id")
+    heads = members.groupBy("k").agg(F.max(F.struct("mates", (-F.col("id")).alias("x"))).alias("m")).select("k", (-F.col("m.x")).alias("head"))
+    buckets = scratch.keep(members.select("k", "id").join(heads, "k"), "buckets")
+    groups = scratch.keep(buckets.groupBy("head", "id").agg(F.count("*").alias("shared")), "groups")
     ids = buckets.select("id").distinct()
     texts = scratch.keep(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
@@ -191,26 +253,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wide = wide.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return scratch.keep(wide.mapInArrow(_confirm(p), "a long, b long"), name)
 
-    def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        for end in ("a", "b"):
-            c = comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-            pairs = pairs.join(c, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        return pairs.where("ca <> cb")
-
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b")
+    stars = groups.where("id <> head").alias("g").join(sizes.alias("x"), F.col("g.id") == F.col("x.id")).join(sizes.alias("y"), (F.col("g.head") == F.col("y.id")) & _alike(p)).select("g.*")
+    best = stars.groupBy("id").agg(F.max(F.struct("shared", (-F.col("head")).alias("x"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.x")).alias("b"))
     links = confirmed(best, "links")
     comp = scratch.keep(components(links, scratch), "components")
-    rest = across(stars.join(best, ["a", "b"], "left_anti"), comp)
-    links = links.union(confirmed(rest, "links"))
-    comp = scratch.keep(components(links, scratch), "components")
 
-    named = buckets.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("k")
-    named = named.join(mixed, "k", "left_semi").join(sizes, "id")
+    placed = groups.join(comp, "id", "left").select("head", "id", F.coalesce("component", "id").alias("c"))
+    parts = placed.groupBy("head", "c").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("head").agg(F.max(F.struct("m", (-F.col("c")).alias("x"))).alias("big"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = scratch.keep(mixed.select("head", (-F.col("big.x")).alias("big"), "size", (F.col("size") - F.col("big.m")).alias("out")), "mixed")
+
+    named = buckets.join(mixed.where(F.col("size") <= p.small_group).select("head"), "head", "left_semi").join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("c")).join(sizes, "id")
     apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     open_ = named.alias("x").join(named.alias("y"), apart & _alike(p)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = confirmed(open_.join(stars, ["a", "b"], "left_anti"), "links")
+    more = confirmed(open_, "links")
+
+    big = placed.join(mixed.where(F.col("size") > p.small_group), "head")
+    slots = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / p.cell)).cast("long")
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), slots(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), slots(n) - 1))
+    outer = big.where("c <> big").withColumn("ob", deal("out", 1)).withColumn("mb", each("size")).withColumn("role", F.lit(0))
+    inner = big.withColumn("mb", deal("size", 2)).withColumn("ob", each("out")).withColumn("role", F.lit(1))
+    cells = outer.select("head", "ob", "mb", "role", "id", "c").union(inner.select("head", "ob", "mb", "role", "id", "c")).join(sizes, "id").join(texts, "id")
+    cells = cells.select("head", "ob", "mb", "role", "id", "c", "n", *_BITS, "text").repartition("head", "ob", "mb").sortWithinPartitions("head", "ob", "mb", "role", "id")
+    more = more.union(scratch.keep(cells.mapInArrow(_meet(p), "a long, b long"), "links"))
     if more.limit(1).count():
         comp = scratch.keep(components(links.union(more), scratch), "components")
 
