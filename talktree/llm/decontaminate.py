@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .alignment import align
+from .shared import bounded_batches
 
 _U = np.uint64
 _SIEVE_BITS = 20
@@ -174,6 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParam
     on either side give a row each; a null id is carried as null.  Without items the result is empty.
     """
     p = params or DecontaminationParams()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

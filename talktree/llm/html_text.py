@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|/?[A-Za-z][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -225,5 +226,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null and empty pages, and pages without text, give an empty text.  Null and repeated ids give a
     row each.  A page cut off in the middle gives the text up to there; other columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_run, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)

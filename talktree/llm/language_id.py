@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import bounded_batches
 
 _U = np.uint64
 _BITS = 21
@@ -137,6 +138,7 @@ def train_profiles(docs: DataFrame, params: LanguageParams | None = None, id_col
     text or id are left out; no rows give no profiles.
     """
     p = params or LanguageParams()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
     rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % p.folds != 0)
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(p.max_rows).distinct()
@@ -190,6 +192,7 @@ def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], params:
     bears on a prediction; other columns are not read.
     """
     p = params or LanguageParams()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.withColumn("id", F.col("id").cast("long")).mapInArrow(_predict(profiles, p), "id long, lang_pred string, score double")
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % p.folds == 0, F.lit(False))

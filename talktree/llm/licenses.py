@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .alignment import align
+from .shared import bounded_batches
 
 _U = np.uint64
 
@@ -163,6 +164,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, para
     rows of their own.  The templates are a parameter of the scan and travel with its code.
     """
     p = params or LicenseParams()
+    bounded_batches(docs.sparkSession)
     index = index_templates(TEMPLATES if templates is None else templates, p)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan(index, p), "doc_id long, license string, coverage double, n_matches long, start long, end long")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import bounded_batches
 
 _U = np.uint64
 SYMBOLS = np.zeros(256, bool)
@@ -204,6 +205,7 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     A null or blank text has no words, fails the base rules and is not kept.  Null and repeated ids
     give a row each.  Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), schema).withColumnRenamed("id", id_col)
@@ -211,6 +213,7 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns and no shuffle."""
+    bounded_batches(docs.sparkSession)
     score, at = _score(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 """WARC archives: write, read back, and an external index merge into capture histories.
 
-Payloads that occur before are written as revisits.  The archives are plain WARC/1.1 files: each
-file starts with a warcinfo record, and records end with two line ends.  Spark's text writer makes
-them and its binary reader reads them, so they can lie in any store that Spark reaches.
+Payloads that occur before are written as revisits.  The archives are WARC/1.1 files, compressed as a
+whole: each task's first file starts with a warcinfo record, and records end with two line ends.
+Spark's text writer makes them and its binary reader reads them, so they can lie in any store that
+Spark reaches.  A capture's offset and length are places in the uncompressed archive.
 
 Each archive gives a capture run, sorted by URL key and time.  Runs are cut at common key bounds and
 each range is merged from all runs by a loser tree, which gives globally ordered capture histories.
@@ -11,6 +12,7 @@ each range is merged from all runs by a loser tree, which gives globally ordered
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,9 +31,10 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class WarcParams:
-    """``file_bytes``: about how much one archive holds; ``merge_rows``: captures in one merged range."""
+    """``file_bytes``: about how much one archive holds, uncompressed; ``merge_rows``: captures in one merged range."""
 
     file_bytes: int = 16 << 20
+    compression: str = "gzip"
     merge_rows: int = 50_000
     min_revisit_bytes: int = 0
     first_second: int = 1_704_067_200
@@ -129,12 +132,11 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
     and the others refer to it; rows without an id, and repeats of the smallest, are responses.
     """
     p = params or WarcParams()
-    scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = scratch.keep(rows.mapInArrow(_digests, "id long, url string, html string, bytes long, digest string"), "payloads")
+    rows = rows.mapInArrow(_digests, "id long, url string, html string, bytes long, digest string")
     first = rows.where(F.col("bytes") >= p.min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    total = rows.agg(F.sum(F.col("bytes") + 800)).first()[0] or 0
-    files = max(1, -(-int(total) // p.file_bytes))
+    size = pages.agg(F.sum(F.coalesce(F.octet_length(html_col), F.lit(0)) + 800).alias("total"), F.count("*").alias("n")).first()
+    per_file = max(1, int(size.n * p.file_bytes / size.total)) if size.total else 1
     rows = rows.join(first, ["digest", "bytes"], "left")
     revisit = (F.col("id") > F.col("first")) & (F.col("bytes") >= p.min_revisit_bytes)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -159,8 +161,8 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
         F.col("body"),
     )
     out = rows.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("body", body)
-    out = out.select(text.alias("value")).repartition(files)
-    out.mapInArrow(_with_info, "value string").write.option("lineSep", _END).text(folder)
+    out = out.select(text.alias("value")).mapInArrow(_with_info, "value string")
+    out.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", p.compression).text(folder)
 
 
 def parse_archive(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -199,7 +201,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch.column(0), batch.column(1)):
             name, rows = path.as_py().rsplit("/", 1)[-1], []
-            for offset, length, h, block in parse_archive(raw.as_buffer().to_pybytes()):
+            data = raw.as_buffer().to_pybytes()
+            for offset, length, h, block in parse_archive(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 if h["WARC-Type"] not in ("response", "revisit"):
                     continue
                 size, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
