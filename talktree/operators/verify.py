@@ -12,7 +12,7 @@ from talktree.operators.archive import Archive
 from talktree.operators.graph import on_cycles
 from talktree.schema import MAX_ID_CHARS, TABLES
 
-_SAFE_ID = r"^[^\x00-\x1f\x7f-\x9f]*$"
+_SAFE_ID = r"^[^\x00-\x1f\x7f-\x9f]*\z"
 
 
 def stats(archive: Archive) -> DataFrame:
