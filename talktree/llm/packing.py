@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Scratch
+from .shared import Scratch, bounded_batches
 from .token_ids import default_vocabulary, token_table
 
 
@@ -72,6 +72,7 @@ def _pieces(p: PackingParams, path: str):
 def token_pieces(docs: DataFrame, params: PackingParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: every document's ids, the end id after them, cut into pieces."""
     p = params or PackingParams()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pieces(p, p.vocabulary or default_vocabulary()), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -18,6 +18,8 @@ from . import words as W
 _U = np.uint64
 #: White space beyond the ASCII separators, as UTF-8, which a text's units may not be split around.
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[x[0] for x in _WIDE_SPACE]] = True
 _NEWLINE = 198
 _tables: dict[tuple[str, int], "TokenTable"] = {}
 
@@ -32,9 +34,9 @@ def default_vocabulary() -> str:
 class TokenTable:
     """Ids of units seen so far in this process; emptied when ``limit`` units are held."""
 
-    SLOT_BITS = 22
+    SLOT_BITS = 21
 
-    def __init__(self, path: str, end_id: int, limit: int = 2_000_000):
+    def __init__(self, path: str, end_id: int, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -44,7 +46,7 @@ class TokenTable:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot = np.zeros(1 << self.SLOT_BITS, np.int32)
+        self.slots = np.zeros((2, 1 << self.SLOT_BITS), np.int32)
         self.key = np.zeros(1 << 16, np.uint64)
         self.cut = np.zeros((1 << 16) + 1, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -61,11 +63,28 @@ class TokenTable:
         self.key[self.size : self.size + n] = keys
         self.cut[self.size + 1 : self.size + n + 1] = used + np.cumsum(counts)
         self.ids[used : used + len(ids)] = ids
-        self.slot[(keys >> _U(64 - self.SLOT_BITS)).astype(np.int64)] = np.arange(self.size, self.size + n)
+        one, two = self._places(keys)
+        number = np.arange(self.size, self.size + n, dtype=np.int32)
+        free = self.slots[0][one] == 0
+        self.slots[0][one[free]] = number[free]
+        lost = self.slots[0][one] != number
+        self.slots[1][two[lost]] = number[lost]
         self.size += n
 
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two places where a unit may be found."""
+        return (keys >> _U(64 - self.SLOT_BITS)).astype(np.int64), (keys & _U((1 << self.SLOT_BITS) - 1)).astype(np.int64)
+
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each unit, or of some other that stands in its place."""
+        one, two = self._places(keys)
+        at = self.slots[0][one].astype(np.int64)
+        other = np.flatnonzero(self.key[at] != keys)
+        at[other] = self.slots[1][two[other]]
+        return at
+
     def encode_text(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
         """Encodes units that were not held; units of words go to the tokenizer a line each."""
@@ -90,7 +109,7 @@ class TokenTable:
         closing = end == start
         if self.size > self.limit:
             self._reset()
-        at = self.slot[(key >> _U(64 - self.SLOT_BITS)).astype(np.int64)].astype(np.int64)
+        at = self._look_up(key)
         missed = (self.key[at] != key) & ~closing
         if missed.any():
             where = np.flatnonzero(missed)
@@ -118,8 +137,10 @@ class TokenTable:
 
 
 def _with_wide_space(block: W.Block) -> set[int]:
+    found: set[int] = set()
+    if not _WIDE_LEAD[block.data].any():
+        return found
     raw = block.data.tobytes()
-    found = set()
     for mark in _WIDE_SPACE:
         at = raw.find(mark)
         while at >= 0:
