@@ -11,7 +11,9 @@ sorted by anchor.  A new batch makes a sorted run, which is merged with the olde
 * a block whose fingerprint a smaller document has is repeated as a whole;
 * where an anchor has several contexts, the windows of one document for each context are verified
   one by one by a 128-bit digest of their words, against all others of that anchor;
-* the merged runs are compacted into one when ``max_runs`` are reached.
+* when there are ``max_runs`` runs they are first compacted into one, which is then what the batch is
+  joined with: a fingerprint that very many documents share is one row there, and the batch's side
+  of the join can be split.
 
 The work follows the number of blocks and of contested windows, not the number of equal pairs.
 """
@@ -40,7 +42,7 @@ class SubstringParams:
 
     window: int = 50
     gram: int = 8
-    max_runs: int = 4
+    max_runs: int = 2
     first_batch: float = 0.25
 
 
@@ -206,12 +208,14 @@ class FingerprintIndex:
         p, keep = self.params, self.scratch.keep
         prints = keep(batch.where("id is not null").mapInArrow(_fingerprints(p), "anchor long, context long, id long"), "prints")
         new = self._sorted(prints.groupBy("anchor", "context").agg(F.min("id").alias("id")), "run")
-        merged = new
-        for run in self.runs:
+        self.runs.append(new)
+        if len(self.runs) >= p.max_runs:
+            self.compact()
+        merged = self.runs[0]
+        for run in self.runs[1:]:
             merged = merged.union(run)
-        if self.runs:
+        if len(self.runs) > 1:
             merged = merged.groupBy("anchor", "context").agg(F.min("id").alias("id"))
-        self.runs.append(new)
         owners = merged.withColumnRenamed("id", "owner")
         repeated = prints.join(owners, ["anchor", "context"]).where("id > owner").select("id", "context")
         repeated = repeated.groupBy("id").agg(F.collect_set("context").alias("whole"))
@@ -222,8 +226,6 @@ class FingerprintIndex:
         windows = keep(windows, "windows")
         low = windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
         starts = windows.join(low, ["w1", "w2"]).where("id > lo").groupBy("id").agg(F.collect_set("at").alias("starts"))
-        if len(self.runs) >= p.max_runs:
-            self.compact()
 
         found = repeated.join(starts, "id", "full_outer")
         empty = lambda c, t: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{t}>)")).alias(c)
