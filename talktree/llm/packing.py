@@ -28,6 +28,10 @@ from .shared import Scratch, bounded_batches
 from .token_ids import default_vocabulary, token_table
 
 
+#: Most tasks that the islands of one level are dealt to.
+MAX_TASKS = 100_000
+
+
 @dataclass(frozen=True)
 class PackingParams:
     """``full``: a bin with at least this share of its capacity in use is final."""
@@ -35,12 +39,12 @@ class PackingParams:
     capacity: int = 1024
     end_id: int = 2
     vocabulary: str | None = None
-    shard_items: int = 4096
+    shard_items: int = 16_384
     islands: int = 2
-    population: int = 4
+    population: int = 3
     generations: int = 4
     epochs: int = 2
-    full: float = 0.995
+    full: float = 0.9985
     max_levels: int = 4
     seed: int = 7
 
@@ -213,14 +217,16 @@ def _epoch(p: PackingParams, number: int):
     return run
 
 
-def _solve(ranked: DataFrame, p: PackingParams, scratch: Scratch, islands: int, epochs: int) -> DataFrame:
-    """(shard, rank, length) to (shard, rank, bin) by islands with elite migration."""
+def _solve(ranked: DataFrame, p: PackingParams, scratch: Scratch, count: int, islands: int, epochs: int) -> DataFrame:
+    """(shard, rank, length) of ``count`` shards to (shard, rank, bin) by islands with elite migration."""
     schema = "shard long, island int, lengths array<int>, solution array<int>, bins int"
     lists = ranked.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("length").cast("int").alias("length")))).alias("x"))
     shards = lists.select("shard", F.col("x.length").alias("lengths"))
+    tasks = min(count * islands, MAX_TASKS)
     state = shards.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.lit(None).cast("array<array<int>>"))
     for number in range(epochs):
-        state = state.repartition("shard", "island").select("shard", "island", "lengths", "elites")
+        # A number, for the rows are few and small but take long: they are not to be put together.
+        state = state.repartition(tasks, "shard", "island").select("shard", "island", "lengths", "elites")
         done = scratch.keep(state.mapInPandas(_epoch(p, number), schema), "epoch")
         if number + 1 < epochs:
             own = done.select("shard", "island", "lengths", "solution")
@@ -252,7 +258,7 @@ def pack(pieces: DataFrame, params: PackingParams | None = None) -> DataFrame:
         dealt = loose.withColumn("shard", F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(shards)))
         ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("length"), "_key")) - 1)
         ranked = scratch.keep(ranked, "ranked")
-        solved = _solve(ranked, p, scratch, p.islands if level == 0 else 1, p.epochs if level == 0 else 1)
+        solved = _solve(ranked, p, scratch, shards, p.islands if level == 0 else 1, p.epochs if level == 0 else 1)
         inside = Window.partitionBy("shard", "bin")
         got = ranked.join(solved, ["shard", "rank"]).withColumn("fill", F.sum("length").over(inside))
         got = got.withColumn("offset", F.sum("length").over(inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)))

@@ -110,7 +110,10 @@ class TokenTable:
         if self.size > self.limit:
             self._reset()
         at = self._look_up(key)
+        odd = _with_wide_space(block)
         missed = (self.key[at] != key) & ~closing
+        if odd:  # their units may not keep apart; they are replaced below
+            missed &= ~np.isin(np.searchsorted(block.offsets, start, "right") - 1, list(odd))
         if missed.any():
             where = np.flatnonzero(missed)
             new, first, back = np.unique(key[where], return_index=True, return_inverse=True)
@@ -126,7 +129,6 @@ class TokenTable:
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.cut[at] - total[:-1], count) + np.arange(total[-1])]
         bounds = np.concatenate([[0], total[1:][closing]])
-        odd = [i for i in _with_wide_space(block)]
         if odd:
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(block.n)]
             for i in odd:

@@ -1,0 +1,85 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from talktree.llm import secrets as S
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+KEY = "AKIA" + "Z" * 12
+TEXTS = [
+    None, "", "nothing", "token=short", "token = 'abcdefgh' é😀 Password:12345678", "token=token:abcdefghijk", KEY, KEY + "Q9 AKIA1", "é" + "a1" * 16 + " " + "b" * 31,
+    "secret=\"" + "0f" * 20 + "\" and api_key: x.y/z+=-_w", "API-KEY=zzzzzzzzzz apikey=zzzzzzzzzz", "Key tokeN=\t12345678", "passwd==aaaaaaaa", "a" * 40 + "\n" + "b" * 40, "pass😀word token:😀12345678 token:12345678😀",
+]
+
+
+def brute(text):
+    t = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+@pytest.fixture(scope="module")
+def ratio(spark):
+    words = ["getUserName", "configuration", "index_of_element", "thereafter", "CONSTANT_VALUE", "self", "documentElement", "information", "stenverkeiten", "unter", "nationale"]
+    rng = random.Random(1)
+    ordinary = spark.createDataFrame([("".join(rng.choice(words) for _ in range(2)),) for _ in range(4000)], "token string")
+    return S.train_ratio(S.random_strings(spark, 4000), ordinary)
+
+
+def test_base_spans(spark, ratio):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, base string")
+    for r in S.secret_counts(df, ratio).collect():
+        want = brute(TEXTS[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3)), TEXTS[r.doc_id]
+        text = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), TEXTS[r.doc_id]
+        assert set(text.split(",")) <= set(r.spans.split(","))
+
+
+def test_models_tell_random_from_words(spark, ratio):
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(chars) for _ in range(32)) for _ in range(60)]
+    names = ["configurationgetUserName", "documentElementinformation", "stenverkeitenunternationale", "index_of_element_CONSTANT"]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + names)], "doc_id long, text string")
+    got = {r.doc_id: r for r in S.secret_counts(df, ratio).collect()}
+    assert sum(got[i].n_markov for i in range(60)) >= 58
+    assert not any(got[60 + i].n_markov for i in range(len(names)))
+    assert next(got[i].spans for i in range(60) if got[i].n_markov) == "markov:4:36"
+
+
+def test_markov_leaves_base_spans_alone(spark, ratio):
+    t = "token=" + "Zk3Vb9Qw7Lx2Rt8Np4Ms"
+    r = S.secret_counts(spark.createDataFrame([(1, t)], "doc_id long, text string"), ratio).first()
+    assert r.n_assign == 1 and r.n_markov == 0
+
+
+def test_redaction(spark, ratio):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    rows = S.with_secrets(docs, ratio).select("doc_id", "secret_spans", S.redacted(F.col("text"), F.col("secret_spans")).alias("out")).collect()
+    for r in rows:
+        t = TEXTS[r.doc_id]
+        if t is None:
+            assert r.out is None
+            continue
+        cover = [False] * len(t)
+        for s in r.secret_spans:
+            cover[s.start : s.end] = [True] * (s.end - s.start)
+        want = "".join("[SECRET]" if c and (i == 0 or not cover[i - 1]) else "" if c else x for i, (x, c) in enumerate(zip(t, cover)))
+        assert r.out == want, t
+
+
+def test_edges_of_the_input(spark):
+    ratio = S.train_ratio(spark.createDataFrame([], "token string"), spark.createDataFrame([], "token string"))
+    assert set(ratio) == {0.0}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert S.secret_counts(empty, ratio).count() == 0
+    labels = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "some ordinary words"), (2, "other"), (None, None)], "doc_id long, text string")
+    assert len(S.train_secrets(docs, labels, S.SecretParams(random_rows=20))) == S.SIZE**2
+    assert "Python" not in S.secret_counts(docs, ratio)._jdf.queryExecution().toString()
