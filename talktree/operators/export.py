@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,6 +162,37 @@ def write_export(archive: Archive, folder: str, **options) -> DataFrame:
     return rows
 
 
+def write_files(named: DataFrame, folder: str) -> dict[str, int]:
+    """Writes (output_path, content) rows as files of a local folder, those only whose content changed.
+
+    Rows come to the driver one partition at a time.  A file is written beside its place and then
+    moved there, so it is never seen in part.  Returns how many were written and left alone.
+    """
+    os.makedirs(folder, exist_ok=True)
+    counts = {"written": 0, "unchanged": 0}
+    for row in named.select("output_path", "content").toLocalIterator():
+        path, data = os.path.join(folder, os.path.basename(row.output_path)), row.content.encode("utf-8")
+        if os.path.isfile(path) and os.path.getsize(path) == len(data):
+            with open(path, "rb") as f:
+                if f.read() == data:
+                    counts["unchanged"] += 1
+                    continue
+        fd, part = tempfile.mkstemp(dir=folder, prefix=".part-")
+        with os.fdopen(fd, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(part, path)
+        counts["written"] += 1
+    return counts
+
+
+def changed(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Manifest rows whose content is not what was last exported under that name."""
+    last = latest_exports(log).select("conversation_id", "format", "output_path", F.col("output_hash").alias("_last"))
+    return rows.join(last, ["conversation_id", "format", "output_path"], "left").where(~F.col("output_hash").eqNullSafe(F.col("_last"))).drop("_last")
+
+
 def export_log(rows: DataFrame, exported_at: str, options: dict) -> DataFrame:
     """Rows of the ``exports`` table for a manifest."""
     return rows.select("conversation_id", "format", "output_path", "output_hash", F.lit(exported_at).alias("exported_at"), F.lit(json.dumps(options, sort_keys=True)).alias("export_options_json"))

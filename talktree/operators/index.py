@@ -66,8 +66,11 @@ def candidates(postings: DataFrame, q: Query) -> DataFrame | None:
 
 
 def narrowed(archive: Archive, postings: DataFrame, q: Query) -> Archive:
-    """The archive with only candidate messages; paths and titles stay those of the whole."""
-    found = candidates(postings, q)
+    """The archive with only candidate messages; paths and titles stay those of the whole.
+
+    Exclusions look at all messages of a conversation, so with them the archive stays whole.
+    """
+    found = None if q.exclude else candidates(postings, q)
     if found is None:
         return archive
     out = Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talktree.functions.text import clean, message_content
-from talktree.functions.values import canonical_id, canonical_json, id_text, sha256, to_flag, to_time
+from talktree.functions.values import canonical_id, canonical_json, id_text, load_json, sha256, to_flag, to_time
 from talktree.schema import CONVERSATIONS, MAX_ID_CHARS, MAX_NODES, NODES, WARNINGS
 
 #: Fields of a conversation that are kept as metadata.
@@ -153,7 +152,7 @@ def parse_element(text: str, source: str, index: int) -> tuple[dict | None, list
     """One element's conversation row, node rows and warnings; no rows if it can't be imported."""
     notes = Warnings()
     try:
-        value = json.loads(text, parse_constant=lambda _: (_ for _ in ()).throw(ValueError("non-finite number")))
+        value = load_json(text)
     except (ValueError, RecursionError):
         notes.note("invalid_json", None, {"length": len(text)})
         return None, [], notes

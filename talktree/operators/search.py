@@ -26,6 +26,21 @@ def page_info(total: int, count: int, limit: int, offset: int = 0) -> dict:
     return {"total": total, "limit": limit, "offset": offset, "has_more": more, "next_offset": offset + count if more else None}
 
 
+PAGE_BYTES = 2 << 20
+
+
+def bounded_page(items: DataFrame, size: int = PAGE_BYTES) -> DataFrame:
+    """Items of an ordered page as JSON, up to the last that keeps the page within ``size`` bytes.
+
+    The page is small already; its running size is taken over its rows in order.
+    """
+    rows = items.withColumn("_at", F.monotonically_increasing_id())
+    value = F.to_json(F.struct(*items.columns))
+    rows = rows.select("_at", value.alias("item"), F.octet_length(value).alias("_size"))
+    total = F.sum(F.col("_size") + 1).over(Window.partitionBy(F.lit(0)).orderBy("_at"))
+    return rows.withColumn("_total", total).where(F.col("_total") <= size).orderBy("_at").select("item")
+
+
 def conversation_order(sort: str = "relevance") -> list[Column]:
     """Sort columns of conversation searches; they need ``score`` for relevance."""
     recent, first = conversation_time(), F.coalesce("create_time", "update_time", F.lit(0.0))

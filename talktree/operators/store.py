@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talktree.operators import index
 from talktree.operators.archive import Archive
 from talktree.operators.ingest import parse_elements, split_parsed
 from talktree.schema import CONVERSATIONS, FILE_INDEX, IMPORT_RUNS, NODES, SCHEMA_VERSION, SOURCE_FILES, TABLES, WARNINGS
@@ -156,6 +157,39 @@ class Store:
         out = self.import_elements(read_elements(chosen), sources, path)
         return out | {"input_sha256": [r.sha256 for r in fingerprint(self.spark, path).orderBy("path").collect()][:1]}
 
+    def build_index(self, version: int | None = None) -> str:
+        """Writes what searches derive from a snapshot: texts and their normal forms, titles, paths and postings.
+
+        The index is written aside and published by a marker; a snapshot never changes, so its index
+        stays right.
+        """
+        version = version or self.version()
+        folder, archive = f"{self._snapshot(version)}/index", self.archive(version)
+        nodes = archive.texts.repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id")
+        nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+        archive.titled.write.mode("overwrite").parquet(f"{folder}/conversations")
+        archive.paths.write.mode("overwrite").parquet(f"{folder}/paths")
+        stored = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"))
+        index.write(stored, f"{folder}/postings")
+        fs, mark = self._path(f"{folder}/ready")
+        if not fs.exists(mark):
+            fs.create(mark, False).close()
+        return folder
+
+    def has_index(self, version: int | None = None) -> bool:
+        fs, mark = self._path(f"{self._snapshot(version or self.version())}/index/ready")
+        return fs.exists(mark)
+
+    def indexed(self, version: int | None = None) -> tuple[Archive, DataFrame | None]:
+        """The archive with stored derived columns and paths, and its postings; without an index, the plain archive."""
+        version = version or self.version()
+        if not version or not self.has_index(version):
+            return self.archive(version), None
+        folder = f"{self._snapshot(version)}/index"
+        archive = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"))
+        archive.__dict__["paths"] = self.spark.read.parquet(f"{folder}/paths")
+        return archive, self.spark.read.parquet(f"{folder}/postings")
+
     def append(self, name: str, rows: DataFrame) -> int:
         """Publishes a snapshot with rows added to one table, such as the export log."""
         return self.publish({name: self.table(name).unionByName(rows)})

@@ -21,7 +21,8 @@ from talktree.functions.values import file_type
 #: Names of conversation files, whole or in numbered shards.
 WHOLE = "conversations.json"
 SHARD = r"(?i)^(?:.*/)?conversations-(\d+)\.json$"
-MAX_MEMBERS = 200_000
+#: Limits on ZIP files: members, a member's bytes, and how much more it may hold than it takes up.
+MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_RATIO = 200_000, 2_000_000_000, 1_000
 _MAC = re.compile(r"(?:^|/)(?:__MACOSX(?:/|$)|\._|\.DS_Store$)")
 
 ELEMENTS = "source_file string, array_index long, element string"
@@ -32,6 +33,34 @@ def is_metadata_path(path: str) -> bool:
     return bool(_MAC.search(path.replace("\\", "/")))
 
 
+def _checked(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """A ZIP's files, if its directory keeps to the limits."""
+    infos = [i for i in z.infolist() if not i.is_dir()]
+    if len(infos) > MAX_MEMBERS:
+        raise ValueError("zip_member_limit_exceeded")
+    for i in infos:
+        if i.file_size > MAX_MEMBER_BYTES or i.file_size > MAX_RATIO * max(i.compress_size, 1024):
+            raise ValueError("zip_member_too_large")
+        if i.flag_bits & 1:
+            raise ValueError("zip_member_encrypted")
+        name = i.filename.replace("\\", "/")
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError("zip_member_path_unsafe")
+    return infos
+
+
+def find_input(names: list[str]) -> str:
+    """The input among a folder's file names: its only ZIP, else its conversation file."""
+    zips = sorted(n for n in names if n.lower().endswith(".zip"))
+    if len(zips) == 1:
+        return zips[0]
+    if len(zips) > 1:
+        raise ValueError("several_zip_files")
+    if WHOLE in names or any(re.match(SHARD, n) for n in names):
+        return "."
+    raise ValueError("no_input_found")
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files (path, content) to their members; ZIPs are opened, others are members themselves."""
     for batch in batches:
@@ -40,10 +69,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)]), pa.array([content], pa.binary())], ["path", "size", "content"])
                 continue
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                infos = [i for i in z.infolist() if not i.is_dir()]
-                if len(infos) > MAX_MEMBERS:
-                    raise ValueError("zip_member_limit_exceeded")
-                for i in infos:
+                for i in _checked(z):
                     yield pa.RecordBatch.from_arrays([pa.array([i.filename]), pa.array([i.file_size]), pa.array([z.read(i)], pa.binary())], ["path", "size", "content"])
 
 

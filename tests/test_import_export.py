@@ -152,3 +152,69 @@ def test_zip_reader_keeps_bytes(spark, tmp_path):
     row = read_members(spark, zipped(tmp_path / "b.zip", {"p.png": raw})).first()
     assert bytes(row.content) == raw and row.file_type == "image" and row.size == 2
     assert read_members(spark, zipped(tmp_path / "c.zip", {"p.png": raw})).select(F.length("sha256")).first()[0] == 64
+
+
+def test_index_of_a_snapshot_and_files(spark, tmp_path):
+    from talktree.operators import index, search
+    from talktree.plans.query import parse_query
+
+    store = Store(spark, f"file://{tmp_path / 'store'}")
+    store.import_path(zipped(tmp_path / "1.zip", {"conversations.json": [conversation(), conversation("c2", reply="needle in hay")]}))
+    assert store.indexed()[1] is None
+    store.build_index()
+    archive, postings = store.indexed()
+    q = parse_query("needle")
+    hits = search.message_hits(index.narrowed(archive, postings, q), q).select("conversation_id", "node_id").collect()
+    assert hits == search.message_hits(store.archive(), q).select("conversation_id", "node_id").collect() and len(hits) == 1
+    assert "ArrowEvalPython" not in search.message_hits(archive, q)._jdf.queryExecution().executedPlan().toString()
+
+    content = export.rendered(store.archive()).join(export.file_names(store.archive().conversations), ["conversation_id", "format"])
+    folder = str(tmp_path / "files")
+    assert export.write_files(content, folder) == {"written": 4, "unchanged": 0}
+    assert export.write_files(content, folder) == {"written": 0, "unchanged": 4}
+    assert sorted(p.suffix for p in (tmp_path / "files").iterdir()) == [".md", ".md", ".txt", ".txt"]
+    rows = export.manifest(store.archive(), export.rendered(store.archive()))
+    log = export.export_log(rows, "2024-01-01", {})
+    assert export.changed(rows, log).count() == 0 and export.changed(rows, log.limit(0)).count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from talktree.__main__ import main
+
+    place = f"file://{tmp_path / 'store'}"
+    source = zipped(tmp_path / "1.zip", {"conversations.json": [conversation(), conversation("c2", title="Other")]})
+    run = lambda *a: (main([place, *a], spark), [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")])
+    assert run("import", source)[1][0]["outcomes"] == {"inserted": 2}
+    assert run("inspect", source)[1][-1]["elements"] == 2
+    assert run("stats")[1][0]["nodes"] == 10 and run("verify")[0] == 0
+    assert [r["conversation_id"] for r in run("list", "--sort", "title")[1]] == ["c1", "c2"]
+    assert [r["conversation_id"] for r in run("search", "question title:other")[1]] == ["c2"]
+    main([place, "index"], spark)
+    assert {r["node_id"] for r in run("search", "answer", "--messages")[1]} == {"a1"}
+    assert run("search", "role:nobody")[0] == 2
+    assert [r["node_id"] for r in run("show", "c1", "--hide-internal")[1]] == ["u1", "a1", "a2"]
+    assert run("export", str(tmp_path / "out"), "--format", "md")[1] == [{"written": 2, "unchanged": 0}]
+
+
+def test_limits(spark, tmp_path):
+    from talktree.functions.values import load_json
+    from talktree.operators import search
+    from talktree.sources.exports import find_input
+
+    for bad in ("[" * 300 + "]" * 300, "[1e999]", "[NaN]", "[" + "1" * 2000 + "]"):
+        with pytest.raises(ValueError):
+            load_json(bad)
+    assert load_json('{"a": [1, "]", 2.5e3, null]}') == {"a": [1, "]", 2500.0, None]}
+    bomb = zipped(tmp_path / "b.zip", {"conversations.json": "x"})
+    with zipfile.ZipFile(tmp_path / "b.zip", "a", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big", b"0" * 30_000_000)
+    with pytest.raises(Exception, match="zip_member_too_large"):
+        read_members(spark, bomb).count()
+    with pytest.raises(Exception, match="zip_member_path_unsafe"):
+        read_members(spark, zipped(tmp_path / "u.zip", {"../x": "y"})).count()
+    assert find_input(["a.zip", "x"]) == "a.zip" and find_input(["conversations-3.json"]) == "."
+    for names in (["a.zip", "b.zip"], ["x"]):
+        with pytest.raises(ValueError):
+            find_input(names)
+    rows = spark.range(10).selectExpr("id", "repeat('x', 50) as t").coalesce(1)
+    assert search.bounded_page(rows, 200).count() == 3 and search.bounded_page(rows, 197).count() == 2
