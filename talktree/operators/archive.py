@@ -18,6 +18,7 @@ class Archive:
 
     conversations: DataFrame
     nodes: DataFrame
+    stored_paths: DataFrame | None = None
 
     @cached_property
     def titled(self) -> DataFrame:
@@ -35,9 +36,17 @@ class Archive:
             n = n.withColumn("text", display_text(F.col("content_text"), F.col("raw_message_json")))
         return n if "norm" in n.columns else n.withColumn("norm", normalized(F.col("text")))
 
-    @cached_property
+    @property
     def paths(self) -> DataFrame:
-        return effective_paths(self.conversations, self.nodes)
+        """The stored paths, or all of them computed."""
+        return self.stored_paths if self.stored_paths is not None else effective_paths(self.conversations, self.nodes)
+
+    def paths_of(self, ids: DataFrame) -> DataFrame:
+        """The paths of some conversations, given as a ``conversation_id`` column; only their nodes are walked."""
+        if self.stored_paths is not None:
+            return self.stored_paths
+        some = ids.select("conversation_id").distinct()
+        return effective_paths(self.conversations.join(some, "conversation_id", "left_semi"), self.nodes.join(some, "conversation_id", "left_semi"))
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -160,10 +160,12 @@ def foreign_parents(nodes: DataFrame) -> DataFrame:
     return joined.withColumn("foreign", F.coalesce(other, F.lit(False))).drop("_p", "_lo", "_hi")
 
 
-def _prepared(conversations: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+def _prepared(conversations: DataFrame, nodes: DataFrame, how: str, mark_foreign: bool) -> DataFrame:
+    """Slim nodes with their conversation's current node, sorted by conversation; foreign parents only bear on diagnostics."""
     slim = nodes.select("conversation_id", "node_id", "parent_node_id", (F.coalesce("is_on_current_path", F.lit(0)) == 1).alias("flag"), "create_time", "update_time")
     current = conversations.select("conversation_id", "current_node")
-    rows = foreign_parents(slim).join(current, "conversation_id", how).select(_NODE_COLUMNS)
+    slim = foreign_parents(slim) if mark_foreign else slim.withColumn("foreign", F.lit(False))
+    rows = slim.join(current, "conversation_id", how).select(_NODE_COLUMNS)
     return rows.repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id")
 
 
@@ -172,12 +174,12 @@ def effective_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
 
     depth counts up from the leaf, null where all nodes are taken; position counts down from the root.
     """
-    return _prepared(conversations, nodes, "inner").mapInArrow(_grouped(_path_rows, _arrow_schema(PATH_SCHEMA)), PATH_SCHEMA)
+    return _prepared(conversations, nodes, "inner", False).mapInArrow(_grouped(_path_rows, _arrow_schema(PATH_SCHEMA)), PATH_SCHEMA)
 
 
 def path_metadata(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each conversation: counts, where its path comes from, and diagnostics."""
-    return _prepared(conversations, nodes, "right").mapInArrow(_grouped(_meta_rows, _arrow_schema(META_SCHEMA)), META_SCHEMA)
+    return _prepared(conversations, nodes, "right", True).mapInArrow(_grouped(_meta_rows, _arrow_schema(META_SCHEMA)), META_SCHEMA)
 
 
 def on_cycles(nodes: DataFrame) -> DataFrame:

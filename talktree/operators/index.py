@@ -73,8 +73,7 @@ def narrowed(archive: Archive, postings: DataFrame, q: Query) -> Archive:
     found = None if q.exclude else candidates(postings, q)
     if found is None:
         return archive
-    out = Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"))
-    out.__dict__["paths"] = archive.paths
+    out = Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), archive.paths)
     out.__dict__["meta"] = archive.meta
     return out
 

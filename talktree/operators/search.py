@@ -87,7 +87,7 @@ def message_hits(archive: Archive, q: Query, bm25: DataFrame | None = None) -> D
     hits = hits.where(message_filters(q, F.col("role"), F.col("title_norm"), F.col("source_norm"), time))
     hits = hits.join(bm25, _NODE, "left") if bm25 is not None else hits.withColumn("bm25", F.lit(None).cast("double"))
     if q.path == "current":
-        hits = hits.join(archive.paths.select(*_NODE), _NODE, "left_semi")
+        hits = hits.join(archive.paths_of(hits).select(*_NODE), _NODE, "left_semi")
     return hits
 
 
@@ -106,7 +106,7 @@ def search_messages(archive: Archive, q: Query, order: str = "relevance", bm25:
     if q.path == "current":
         current = F.lit(True)
     else:
-        on = archive.paths.select(*_NODE, F.lit(True).alias("_on"))
+        on = archive.paths_of(hits).select(*_NODE, F.lit(True).alias("_on"))
         hits = hits.join(on, _NODE, "left")
         current = F.coalesce("_on", F.lit(False))
     norm = F.col("norm")
@@ -148,7 +148,7 @@ def display_order(hits: DataFrame, archive: Archive, path: str) -> DataFrame:
     """Hits as a reader shows them: chains from their root, then conversations taken whole by time."""
     if path != "current":
         return hits.orderBy(*reading_keys())
-    place = archive.paths.select(*_NODE, F.col("source").alias("_source"), F.col("depth").alias("_depth"))
+    place = archive.paths_of(hits).select(*_NODE, F.col("source").alias("_source"), F.col("depth").alias("_depth"))
     whole = F.col("_source") == "fallback_all"
     keys = [whole, F.when(~whole, F.col("_depth")).desc_nulls_last(), F.when(whole, F.col("create_time").isNull()), F.when(whole, F.coalesce("create_time", "update_time", F.lit(0.0))), F.col("node_id")]
     return hits.join(place, _NODE).orderBy(*keys).drop("_source", "_depth")
@@ -164,7 +164,7 @@ def _without_excluded(found: DataFrame, archive: Archive, q: Query) -> DataFrame
     if q.scope != "title":
         bad = archive.texts.where(excluded(q, F.col("norm")))
         if q.path == "current":
-            bad = bad.join(archive.paths.select(*_NODE), _NODE, "left_semi")
+            bad = bad.join(archive.paths_of(bad).select(*_NODE), _NODE, "left_semi")
         found = found.join(bad.select("conversation_id").distinct(), "conversation_id", "left_anti")
     return found
 
@@ -175,7 +175,7 @@ def filter_conversations(archive: Archive, q: Query) -> DataFrame:
     if q.role:
         said = archive.nodes.where(has_role(q, F.col("role")))
         if q.path == "current":
-            said = said.join(archive.paths.select(*_NODE), _NODE, "left_semi")
+            said = said.join(archive.paths_of(said).select(*_NODE), _NODE, "left_semi")
         found = found.join(said.select("conversation_id").distinct(), "conversation_id", "left_semi")
     found = _without_excluded(found, archive, q)
     why = [("source match", bool(q.source)), ("role filter", bool(q.role)), ("date filter", q.after is not None or q.before is not None), ("exclude filter", bool(q.exclude))]
@@ -223,7 +223,7 @@ def search_conversations(archive: Archive, q: Query, sort: str = "relevance", bm
 def enrich(archive: Archive, q: Query, conversations: DataFrame, bm25: DataFrame | None = None, snippets: int = 3) -> DataFrame:
     """Adds to a page of conversations the first snippets by time and whether hits are internal or off the path."""
     hits = message_hits(archive, q, bm25).join(conversations.select("conversation_id"), "conversation_id", "left_semi")
-    hits = hits.join(archive.paths.select(*_NODE, F.lit(True).alias("_on")), _NODE, "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
+    hits = hits.join(archive.paths_of(hits).select(*_NODE, F.lit(True).alias("_on")), _NODE, "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
     inner = is_internal(F.col("role"), F.col("content_type"), F.col("text"))
     flags = hits.groupBy("conversation_id").agg(F.max(inner).alias("has_internal_hits"), F.max(~F.col("_on")).alias("has_branch_hits"))
     rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy(*reading_keys()))

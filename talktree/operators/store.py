@@ -186,9 +186,8 @@ class Store:
         if not version or not self.has_index(version):
             return self.archive(version), None
         folder = f"{self._snapshot(version)}/index"
-        archive = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"))
-        archive.__dict__["paths"] = self.spark.read.parquet(f"{folder}/paths")
-        return archive, self.spark.read.parquet(f"{folder}/postings")
+        read = lambda name: self.spark.read.parquet(f"{folder}/{name}")
+        return Archive(read("conversations"), read("nodes"), read("paths")), self.spark.read.parquet(f"{folder}/postings")
 
     def append(self, name: str, rows: DataFrame) -> int:
         """Publishes a snapshot with rows added to one table, such as the export log."""
