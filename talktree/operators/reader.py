@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talktree.functions.text import highlight_column, is_empty_node, is_generated_note, is_internal
+from talktree.functions.text import RAW_LIMIT, contains, highlight_column, is_empty_node, is_generated_note, is_internal
+from talktree.functions.values import canonical_json, load_json
 from talktree.operators.archive import Archive
 from talktree.operators.search import MAX_MESSAGES, _without_excluded, reading_keys
 from talktree.plans.predicates import conversation_time, every, excluded, has_role, in_dates, in_source, positive
 from talktree.plans.query import Query
-from talktree.functions.text import contains
 
 _NODE = ["conversation_id", "node_id"]
 PREVIEW = 20_000
@@ -130,11 +132,28 @@ def display_chunk(archive: Archive, conversation_id: str, node_id: str, offset:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _without_metadata(raw: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None or len(text) > RAW_LIMIT:
+            return text
+        try:
+            value = load_json(text)
+        except (ValueError, RecursionError):
+            return text
+        if isinstance(value, dict):
+            value.pop("metadata", None)
+        return canonical_json(value)
+
+    return raw.map(one)
+
+
 def raw_preview(archive: Archive, conversation_id: str, node_id: str, limit: int = PREVIEW) -> DataFrame:
-    """The beginning of a stored raw message, and whether that is all."""
-    raw = F.coalesce("raw_message_json", F.lit(""))
+    """The beginning of a stored raw message without its metadata, and whether that is all."""
     rows = archive.nodes.where((F.col("conversation_id") == conversation_id) & (F.col("node_id") == node_id))
-    return rows.select(*_NODE, F.substring(raw, 1, limit).alias("raw_preview"), (F.length(raw) > limit).alias("raw_preview_truncated"), F.octet_length(raw).alias("raw_bytes"))
+    shown = F.coalesce(_without_metadata(F.col("raw_message_json")), F.lit(""))
+    rows = rows.select(*_NODE, shown.alias("_shown"), F.octet_length(F.coalesce("raw_message_json", F.lit(""))).alias("raw_bytes"))
+    return rows.select(*_NODE, F.substring("_shown", 1, limit).alias("raw_preview"), (F.length("_shown") > limit).alias("raw_preview_truncated"), "raw_bytes")
 
 
 def copy_messages(archive: Archive, conversation_id: str, node_ids: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talktree.functions.text import contains, is_internal, match_column, normalize, snippet_column
+from talktree.functions.text import bounded, contains, is_internal, match_column, normalize, snippet_column
 from talktree.operators.archive import Archive
 from talktree.plans.predicates import conversation_time, every, excluded, has_role, in_dates, in_source, message_filters, message_text, title_text
 from talktree.plans.query import Query
@@ -63,6 +63,27 @@ def list_order(sort: str = "updated") -> list[Column]:
     return [orders.get(sort, recent.desc()), F.col("conversation_id")]
 
 
+#: How much of each scalar a summary shows.
+SUMMARY = {"title": 4_096, "source_file": 4_096, "current_node": 512}
+
+
+def summaries(conversations: DataFrame) -> DataFrame:
+    """Conversations as lists show them: long scalars cut, with ``_truncated`` and ``_length`` beside them."""
+    keep = [c for c in conversations.columns if c not in SUMMARY and not c.endswith("_norm")]
+    cut = [(c, bounded(F.col(c), n)) for c, n in SUMMARY.items() if c in conversations.columns]
+    return conversations.select(*keep, *(x[part].alias(c + end) for c, x in cut for part, end in (("text", ""), ("truncated", "_truncated"), ("length", "_length"))))
+
+
+def with_total(df: DataFrame) -> DataFrame:
+    """A small result with its number of rows beside each row."""
+    return df.join(F.broadcast(df.agg(F.count("*").alias("total_rows"))), F.lit(True))
+
+
+def has_more(df: DataFrame, limit: int, offset: int = 0) -> bool:
+    """Whether a page is followed by another, without counting the whole."""
+    return df.offset(offset).limit(limit + 1).count() > limit
+
+
 def list_conversations(archive: Archive, sort: str = "updated", after: float | None = None, before: float | None = None) -> DataFrame:
     """All conversations in a date range, in order."""
     q = Query(after=after, before=before)

@@ -47,6 +47,11 @@ def orphans(archive: Archive) -> DataFrame:
     return archive.nodes.join(archive.conversations, "conversation_id", "left_anti").select("conversation_id", "node_id")
 
 
+def violation_samples(archive: Archive, limit: int = 20) -> DataFrame:
+    """The first few nodes without a conversation."""
+    return orphans(archive).orderBy("conversation_id", "node_id").limit(limit)
+
+
 def reference_violations(archive: Archive, others: dict[str, tuple[DataFrame, str, DataFrame, str]] | None = None) -> DataFrame:
     """``(table, violations)``: rows that refer to a row that is not there, for nodes and any other (child, column, parent, column)."""
     found = orphans(archive).agg(F.lit("nodes").alias("table"), F.count("*").alias("violations"))

@@ -1,6 +1,7 @@
 """Search semantics on a small corpus, and relations that must hold between searches."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from talktree.operators import index, reader, search
 from talktree.operators.archive import Archive
@@ -146,3 +147,26 @@ def test_pages(archive):
     assert search.page_info(3, 1, 1, 1) == {"total": 3, "limit": 1, "offset": 1, "has_more": True, "next_offset": 2}
     assert [r.conversation_id for r in search.suggest(archive, "TITLE").collect()] == ["w1"]
     assert search.diagnostics(parse_query("-x"))["kind"] == "filter"
+
+
+def test_projections(archive, spark):
+    from talktree.operators import verify
+
+    long = archive.conversations.withColumn("title", F.repeat(F.lit("x"), 5000))
+    row = search.summaries(long).first()
+    assert (len(row.title), row.title_truncated, row.title_length, row.source_file_truncated) == (4096, True, 5000, False)
+    assert {r.total_rows for r in search.with_total(archive.conversations).collect()} == {3}
+    assert search.has_more(archive.conversations, 2) and not search.has_more(archive.conversations, 2, 1)
+    raw = archive.nodes.withColumn("raw_message_json", F.lit('{"id": 1, "metadata": {"secret": 2}, "content": "c"}'))
+    preview = reader.raw_preview(Archive(archive.conversations, raw), "w1", "a").first()
+    assert preview.raw_preview == '{"content":"c","id":1}' and not preview.raw_preview_truncated
+    lost = Archive(archive.conversations.where("conversation_id <> 'w1'"), archive.nodes)
+    assert [r.node_id for r in verify.violation_samples(lost, 2).collect()] == ["a", "b"]
+
+
+def test_sql_functions(spark):
+    from talktree.functions.register import register
+
+    assert "search_norm" in register(spark)
+    row = spark.sql("SELECT search_norm('ＡＢ  c') a, search_match('The cat', 'CAT', 'word') b, search_match('cats', 'cat', 'word') c, display_text('', '{\"content\":{\"content_type\":\"text\",\"parts\":[\"p\"]}}') d, id_is_safe('a\\n') e").first()
+    assert (row.a, row.b, row.c, row.d, row.e) == ("ab c", True, False, "p", False)
