@@ -415,7 +415,36 @@ def _export_sql(head: str, node: str, where: str) -> str:
     SELECT c.conversation_id, sha256(t) AS sha256, length(t) AS chars FROM (SELECT c.conversation_id, regexp_replace({head} || coalesce(body, ''), '\\s+$', '') || chr(10) AS t FROM c LEFT JOIN parts USING (conversation_id)) c"""
 
 
+def _manifest_sql() -> str:
+    on = f"NOT {_INTERNAL} AND {_ON}"
+    body = lambda node: f"(SELECT string_agg({node}, '' ORDER BY n.create_time, n.node_id) FROM n WHERE n.conversation_id = c.conversation_id AND coalesce(n.text, '') <> '' AND {on})"
+    name = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '[\\x00-\\x1F]', '_', 'g'), '[/\\\\:*?\"<>|]+', '_', 'g'), '\\s+', '_', 'g'), '._ ')"
+    day = _TIME.replace("create_time", "c.create_time")
+    parts = [
+        f"""SELECT c.conversation_id, '{fmt}' AS format, substr({day}, 1, 10) || '_' || {name} || '_' || c.conversation_id || '.{fmt}' AS output_path,
+            sha256(regexp_replace({head} || coalesce({body(node)}, ''), '\\s+$', '') || chr(10)) AS output_hash, c.create_time, 'current' AS path, false AS include_internal FROM c"""
+        for fmt, head, node in (("md", _MD, _MD_NODE), ("txt", _TXT, _TXT_NODE))
+    ]
+    return BIND + " UNION ALL ".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "manifest": _manifest_sql(),
+    "json_canonical": "SELECT event_id, replace(replace(props, ': ', ':'), ', ', ',') AS props FROM events",
+    "path_diagnostics": f"""{BIND}{_DAMAGE}, w AS (
+            SELECT d.conversation_id, d.node_id, d.parent_node_id FROM d JOIN c ON d.conversation_id = c.conversation_id AND d.node_id = c.current_node
+            UNION SELECT d.conversation_id, d.node_id, d.parent_node_id FROM w JOIN d ON d.conversation_id = w.conversation_id AND d.node_id = w.parent_node_id
+        ), e AS (
+            SELECT conversation_id, bool_or(parent_node_id IS NOT NULL AND NOT home AND away) AS crossed, bool_or(parent_node_id IS NOT NULL AND NOT home AND NOT away) AS missing,
+                bool_and(home) AS ring
+            FROM (SELECT w.*, EXISTS (SELECT 1 FROM d WHERE d.conversation_id = w.conversation_id AND d.node_id = w.parent_node_id) AS home,
+                EXISTS (SELECT 1 FROM d WHERE d.conversation_id <> w.conversation_id AND d.node_id = w.parent_node_id) AS away FROM w) GROUP BY 1
+        )
+        SELECT count(*) AS selected_current_node, 0::BIGINT AS selected_raw_flags, (SELECT count(*) FROM c) - count(*) AS selected_fallback_all, count(*) AS valid_current_node_zero_flags,
+            0::BIGINT AS multiple_flag_leaves, 0::BIGINT AS invalid_current_node_flags_used, count(*) FILTER (ring) AS cycle_detected, count(*) FILTER (ring) AS selected_chain_cycles, 0::BIGINT AS raw_flag_cycles,
+            count(*) FILTER (missing) AS missing_parent_in_selected_chain, count(*) FILTER (crossed) AS cross_conversation_parent_in_selected_chain, count(*) FILTER (ring OR missing OR crossed) AS partial_selected_chain,
+            0::BIGINT AS missing_parent_in_raw_flag_topology, 0::BIGINT AS cross_conversation_parent_in_raw_flag_topology, 0::BIGINT AS partial_raw_flag_topology, count(*) AS flags_missing_current_chain_nodes
+        FROM e""",
     "search_and": _found_sql(f"{_has('than')} AND {_has('the')}", f"{_has('than', 'title_norm')} AND {_has('the', 'title_norm')}"),
     "search_or": _found_sql(f"{_has('thing')} OR {_has('heit')}", f"{_has('thing', 'title_norm')} OR {_has('heit', 'title_norm')}"),
     "search_phrase": _found_sql(_has("of the"), _has("of the", "title_norm")),
