@@ -31,7 +31,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
-        now = scratch.keep(small.distinct(), "edges")
+        before, now = now, scratch.keep(small.distinct(), "edges")
+        scratch.drop(before)
     else:
         raise RuntimeError("components did not settle")
     heads = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))

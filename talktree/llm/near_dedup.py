@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         comp = scratch.keep(components(links.union(more), scratch), "components")
 
+    scratch.drop(members, buckets, groups, texts, links, mixed)
     found = classes.select("f1", "f2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("hit"))
     out = sk.select("id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))

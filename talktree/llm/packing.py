@@ -266,6 +266,7 @@ def pack(pieces: DataFrame, params: PackingParams | None = None) -> DataFrame:
         got = scratch.keep(got.select("_key", "length", "fill", number, F.coalesce("offset", F.lit(0)).cast("long").alias("offset")), "level")
         stays = F.lit(True) if last else F.col("fill") >= F.lit(int(p.capacity * p.full))
         placed.append(got.where(stays).select("_key", "sequence_id", "offset"))
+        scratch.drop(ranked)
         if last:
             break
         loose = got.where(~stays).select("_key", "length")

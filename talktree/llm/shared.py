@@ -29,6 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, shared_folder(spark), 0
+        self.kept: list[tuple[DataFrame, str]] = []
         bounded_batches(spark)
 
     def path(self, name: str) -> str:
@@ -38,18 +39,21 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.read(path, df.schema)
+        table = self.read(path, df.schema)
+        self.kept.append((table, path))
+        return table
 
     def read(self, path: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, path_or_df: str | DataFrame) -> None:
-        """Deletes a table that is no longer needed."""
-        paths = [path_or_df] if isinstance(path_or_df, str) else sorted({f.rsplit("/", 1)[0] for f in path_or_df.inputFiles()})
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that this kept and that no result still reads."""
         jvm = self.spark.sparkContext._jvm
-        for path in paths:
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where.getFileSystem(conf).delete(where, True)
+        self.kept = [x for x in self.kept if not any(x[0] is t for t in tables)]
 
 
 def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:

@@ -197,8 +197,7 @@ class FingerprintIndex:
             for run in old[1:]:
                 merged = merged.union(run)
             self.runs = [self._sorted(merged.groupBy("anchor", "context").agg(F.min("id").alias("id")), "compacted")]
-            for run in old:
-                self.scratch.drop(run)
+            self.scratch.drop(*old)
 
     def add(self, batch: DataFrame, store: DataFrame, with_text: bool = False) -> DataFrame:
         """Judges the (id, text) rows of ``batch`` against the index and each other, and indexes them.
@@ -231,7 +230,9 @@ class FingerprintIndex:
         empty = lambda c, t: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{t}>)")).alias(c)
         todo = batch.join(found, "id", "left").select("id", "text", empty("whole", "bigint"), empty("starts", "int"))
         out = todo.mapInArrow(_removal(p, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-        return keep(out, "judged")
+        judged = keep(out, "judged")
+        self.scratch.drop(prints, windows)
+        return judged
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SubstringParams | None = None, with_text: bool = False) -> DataFrame:
