@@ -36,10 +36,12 @@ _PARAGRAPH = {"p", "pre", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6",
 _CUT = {"head", "nav", "aside", "footer", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "menu", "dialog", "title"} | {"noembed", "noframes", "fieldset", "audio", "video", "map"}
 #: Never content, by a word of the class or id.
 _CUT_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login comment comments commentlist reply replies respond discussion disqus sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead toolbar "
     "share sharing social related recommended recommendations widget pager pagination skip tags copyright disclaimer".split()
 )
+#: Words beside "header" in the class or id of a whole page's header.
+_SITE_WORDS = {"site", "page", "top", "global", "main", "wrapper", "container", "wrap"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 _GOOD_WORDS = set("article body content entry main page post story text blog".split())
 
@@ -132,7 +134,8 @@ def _kept(page: _Page, soft: bool) -> list[bool]:
     for i in range(1, n):
         up = page.parent[i]
         inside[i] = inside[up] or page.tag[i] in ("article", "main")
-        gone = page.cut[i] or (soft and page.soft[i] and not holds[i]) or (page.tag[i] == "header" and not inside[i] and not holds[i])
+        header = page.tag[i] == "header" or (soft and page.tag[i] != "body" and page.words[i] - _SITE_WORDS == {"header"})
+        gone = page.cut[i] or (soft and page.soft[i] and not holds[i]) or (header and not inside[i] and not holds[i])
         stays[i] = stays[up] and not gone
     return stays
 

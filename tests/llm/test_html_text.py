@@ -18,6 +18,8 @@ NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul>
         (f"<div class='cookie-notice'><p>We use cookies, as everybody does, for a lot of reasons.</p></div><main>{ARTICLE}</main>", TEXT),
         (f"<main>{ARTICLE}<p hidden>secret, long, hidden text that nobody should see here</p><p style='display: none'>also, hidden, text that is long enough</p></main>", TEXT),
         (f"<ARTICLE>{ARTICLE.replace('<p>', '<P><b>').replace('</p>', '<br>')}", TEXT),
+        (f"<div id='page-header'><p>Site name, with a slogan, that is long enough to count</p></div><div class='post'><div class='post-header'><h1>Title &amp; more</h1></div>{ARTICLE[25:]}</div>", TEXT),
+        (f"<main>{ARTICLE}<ins class='adsbygoogle'><p>Buy, buy, and buy again, for it is cheap and good.</p></ins></main>", TEXT),
         ("<article><p>Cut off in the mid", "Cut off in the mid"),
         ("<article><p>Cut off &am", "Cut off &am"),
         ("<article><p>Cut off <b", "Cut off"),
