@@ -94,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(store.build_index())
     elif a.command == "list":
         found = search.list_conversations(store.archive(), a.sort, _day(a.after), _day(a.before, True))
-        _print(search.page(found, a.limit, a.offset))
+        _print(search.summaries(search.page(found, a.limit, a.offset)))
     elif a.command == "show":
         _print(reader.get_messages(store.archive(), a.conversation_id, a.path, a.limit, a.offset, not a.hide_internal, a.around).select("page_index", "node_id", "role", "create_time", "text"))
     elif a.command == "search":
@@ -109,8 +109,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             found = search.search_messages(archive, q).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
             _print(search.page(found, a.limit, a.offset, search.MAX_MESSAGES))
         else:
-            page = search.page(search.search_conversations(archive, q, a.sort), a.limit, a.offset)
-            _print(page)
+            _print(search.summaries(search.page(search.search_conversations(archive, q, a.sort), a.limit, a.offset)))
     elif a.command == "export":
         formats = export.FORMATS if a.format == "both" else (a.format,)
         archive = store.archive()
