@@ -1,7 +1,8 @@
 """Token ids of many texts with a public byte-level BPE vocabulary.
 
 White space, space and 0x09-0x0D, splits a text into units that the vocabulary's pattern never
-crosses: a run of other bytes with the one space before it, and white space between units.  Each
+crosses: a run of other bytes with the one space before it, and white space between units.  A run is
+split further between an ASCII letter and ASCII punctuation other than the apostrophe.  Each
 distinct unit is encoded once by ``tokenizers`` and its ids are then taken from a table of bounded
 size, so ids equal those of encoding the whole text.  Texts with other Unicode white space are
 encoded whole.
@@ -20,6 +21,8 @@ _U = np.uint64
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _WIDE_LEAD = np.zeros(256, bool)
 _WIDE_LEAD[[x[0] for x in _WIDE_SPACE]] = True
+_LETTER = np.array([chr(c).isalpha() and c < 0x80 for c in range(256)], bool)
+_MARK = np.array([0x21 <= c < 0x7F and not chr(c).isalnum() and c != 0x27 for c in range(256)], bool)
 _NEWLINE = 198
 _tables: dict[tuple[str, int], "TokenTable"] = {}
 
@@ -167,8 +170,14 @@ def _units(block: W.Block) -> tuple[np.ndarray, np.ndarray, None]:
     long_ = gap > 1
     last = np.where(w.bounds[1:] > w.bounds[:-1], w.end[np.maximum(w.bounds[1:] - 1, 0)] if len(w) else 0, off[:-1])
     tail = off[1:] > last
-    start = np.concatenate([off[1:], before[long_], w.start[lone] - 1, w.start - spaced, last[tail]])
-    end = np.concatenate([off[1:], w.start[long_] - 1, w.start[lone], w.end, off[1:][tail]])
+    letter, mark = _LETTER[data], _MARK[data]
+    cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    cut = cut[~edge[cut]]
+    ink, ends = np.sort(np.concatenate([w.start - spaced, cut])), np.sort(np.concatenate([w.end, cut]))
+    start = np.concatenate([off[1:], before[long_], w.start[lone] - 1, ink, last[tail]])
+    end = np.concatenate([off[1:], w.start[long_] - 1, w.start[lone], ends, off[1:][tail]])
     order = np.argsort(start, kind="stable")
     return start[order], end[order], None
 

@@ -13,6 +13,7 @@ tokenizers = pytest.importorskip("tokenizers")
 TEXTS = [
     "", " ", "a", "  a  b\n\nc \n d\t\te  ", "x \n\ny b", "it's 'll  's <|endoftext|> ok\n", "ünï\r\n\r\n  cøde 😀 日本語　テスト", " \n", "\n", "a\n", "tab\tsep\x0bv\x0cf", "x y z\x1cq", " lead", "1234 5,6.7!?  --", "don't\nDON'T",
 ]
+PARTS = ["ab", "c", " ", "\n", "  ", "é", "1", ".", "'s", "'", ",", "(", "—", "😀", "'ll", "\u00a0", "\u2028", "$$", "B"]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def plain():
 
 def test_ids_equal_the_tokenizers(plain):
     rng = random.Random(4)
-    texts = TEXTS + ["".join(rng.choice(["ab", "c", " ", "\n", "  ", "é", "1", ".", "'s", " "]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts = TEXTS + ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     table = TokenTable(default_vocabulary(), 2, limit=50)
     got = []
     for block in W.blocks(pa.array(texts), 64):
