@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.  Of every
-``stretch`` consecutive n-grams of a test item the one with the rarest words is a seed; how often the
-items' words occur is counted over all documents.  A seed in a document opens a passage around it;
-each passage is aligned with the item, so edited copies with words changed, added or left out are
-found too.  The items are a stated query set: they are taken in blocks of bounded size, and each
-block is held against all documents in one scan.
+Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.  Seeds are word pairs of
+a test item, found in a document next to each other or with one word between.  A copy that reaches
+the score keeps a known number of the item's pairs: of the full score it may lose a share, a word
+changed or left out costs 3 and breaks two pairs, a word at an end costs 2 and breaks one, and a pair is lost
+to two words put in, which cost 2.  So the commonest pairs of an item can be left out of the look-up
+and several seeds be asked for in one stretch without losing a copy; how often the items' words occur is
+counted over all documents.  Passages with so many seeds are aligned with the item.  The items are a
+stated query set: they are taken in blocks of bounded size, and each block is held against all
+documents in one scan.
 """
 
 from __future__ import annotations
@@ -24,16 +27,19 @@ from .shared import bounded_batches
 
 _U = np.uint64
 _SIEVE_BITS = 20
+_PAIR = _U(0xA24BAED4963EE407)
+#: Seeds of items that are held at once, or those of one text.
+_ENTRIES = 1 << 20
 
 
 @dataclass(frozen=True)
 class DecontaminationParams:
     """A document is contaminated if an item's score, of 1 for a full copy, reaches ``min_score`` with ``min_matches`` words, all if it has fewer.
 
-    Items of fewer than ``min_item`` words are too short to tell and are left out.
+    Items of fewer than ``min_item`` words are too short to tell and are left out.  Of ``stretch``
+    consecutive word pairs one is a seed at least, however common.
     """
 
-    gram: int = 3
     stretch: int = 5
     min_item: int = 5
     min_score: float = 0.5
@@ -80,7 +86,7 @@ def _count_words(vocabulary: np.ndarray):
 
 @dataclass
 class ItemIndex:
-    """A block of items: words of each, and seeds as sorted n-gram fingerprints with item and place."""
+    """A block of items: words of each, and seeds as sorted fingerprints of word pairs with item and place."""
 
     ids: list
     words: list[np.ndarray]
@@ -89,28 +95,40 @@ class ItemIndex:
     place: np.ndarray
 
 
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return W.mix(x + y * _PAIR)
+
+
+def _whole(n: int, p: DecontaminationParams) -> tuple[int, int, int]:
+    """For an item of n words: how many of its pairs may be left out, how many seeds a copy then has, and in how many words."""
+    loss = 2 * n * (1 - p.min_score)
+    stay = n - 1 - int(loss / 1.5 + 1e-9)
+    hits = max(1, (stay + 1) // 2)
+    return max(0, stay - hits), hits, n + int(loss + 1e-9)
+
+
 def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p: DecontaminationParams) -> ItemIndex:
     """Chooses each item's seeds by the rarity of their words."""
     seeds: list[tuple[int, int, int]] = []
     for k, w in enumerate(words):
-        if len(w) < max(p.min_item, p.gram):
+        if len(w) < max(p.min_item, 2):
             continue
         cost = np.log2([1 + frequency.get(int(x), 0) for x in w])
-        n = len(w) - p.gram + 1
-        total = np.array([cost[i : i + p.gram].sum() for i in range(n)])
+        n = len(w) - 1
+        total = cost[:-1] + cost[1:]
         chosen = {i + int(total[i : i + p.stretch].argmin()) for i in range(max(1, n - p.stretch + 1))}
+        chosen |= set(np.argsort(total, kind="stable")[: n - _whole(len(w), p)[0]].tolist())
         at = np.array(sorted(chosen))
-        seeds += [(int(g), k, int(i)) for g, i in zip(W.gram_hashes(w, at, p.gram), at)]
+        seeds += [(int(g), k, int(i)) for g, i in zip(_pairs(w[at], w[at + 1]), at)]
     seeds.sort()
     return ItemIndex(ids, words, np.array([s[0] for s in seeds], np.uint64), np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64))
 
 
-def _passages(place: np.ndarray, at: np.ndarray, size: int, n: int) -> list[tuple[int, int]]:
-    """Word ranges of a text of n words around seed hits, overlapping ones joined."""
-    slack = max(8, size // 4)
+def _passages(first: np.ndarray, last: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
+    """Word ranges of a text of n words that hold the copies with seeds from first to last, overlapping ones joined."""
     out: list[list[int]] = []
-    for lo in np.unique(at - place).tolist():
-        a, b = max(0, lo - slack), min(n, lo + size + slack)
+    for x, y in zip(first.tolist(), last.tolist()):
+        a, b = max(0, y + 2 - reach), min(n, x + reach)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -119,14 +137,18 @@ def _passages(place: np.ndarray, at: np.ndarray, size: int, n: int) -> list[tupl
 
 
 def _search(index: ItemIndex, p: DecontaminationParams):
-    known, first, count = np.unique(index.seed, return_index=True, return_counts=True)
+    once = np.ones(len(index.seed), bool)
+    once[1:] = (index.seed[1:] != index.seed[:-1]) | (index.item[1:] != index.item[:-1])
+    owner = index.item[once]
+    known, first, count = np.unique(index.seed[once], return_index=True, return_counts=True)
     sieve = _sieve(known)
+    rules = np.array([_whole(len(w), p)[1:] for w in index.words], np.int64).reshape(-1, 2)
 
-    def judge(words: np.ndarray, item: int, place: np.ndarray, at: np.ndarray):
+    def judge(words: np.ndarray, item: int, x: np.ndarray, y: np.ndarray):
         """The best alignment of an item with the passages of one text, if good enough."""
         target = index.words[item]
         best = None
-        for a, b in _passages(place, at, len(target), len(words)):
+        for a, b in _passages(x, y, int(rules[item, 1]), len(words)):
             part = words[a:b]
             if np.isin(target, part).sum() < p.min_score * len(target):
                 continue
@@ -137,28 +159,53 @@ def _search(index: ItemIndex, p: DecontaminationParams):
             return None
         return best[0].score / (2 * len(target)), best[0].matches, best[1] + best[0].b_start, best[1] + best[0].b_end
 
+    def seeds(w: W.Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, texts and numbers of the seeds in some texts at a time, so that few are held at once."""
+        found = []
+        for gap in (1, 2):
+            start, of = W.gram_starts(w.bounds, gap + 1)
+            where, seed = _find(_pairs(h[start], h[start + gap]), known, sieve)
+            found.append((start[where], of[where], seed))
+        at, doc, seed = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at, kind="stable")
+        at, doc, seed = at[order], doc[order], seed[order]
+        total = np.concatenate([[0], np.cumsum(count[seed])])
+        lo = 0
+        while lo < len(at):
+            hi = int(np.searchsorted(total, total[lo] + _ENTRIES, "right")) - 1
+            hi = int(np.searchsorted(doc, doc[hi])) if hi < len(at) else len(at)
+            hi = hi if hi > lo else int(np.searchsorted(doc, doc[lo], "right"))
+            yield at[lo:hi], doc[lo:hi], seed[lo:hi]
+            lo = hi
+
+    def crowds(at: np.ndarray, doc: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Text, item, and the first and last seed of each stretch with as many seeds as a copy has."""
+        many = count[seed]
+        rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item = owner[np.repeat(first[seed], many) + rank]
+        at, group = np.repeat(at, many), np.repeat(doc, many) * len(index.words) + item
+        order = np.argsort(group, kind="stable")
+        at, group, item = at[order], group[order], item[order]
+        k = np.arange(len(at))
+        j = k + rules[item, 0] - 1
+        inside = j < len(at)
+        k, j = k[inside], j[inside]
+        near = (group[k] == group[j]) & (at[j] - at[k] < rules[item[k], 1])
+        k, j = k[near], j[near]
+        cut = np.flatnonzero(np.append(True, group[k[1:]] != group[k[:-1]])) if len(k) else []
+        for x, y in zip(cut, np.append(cut[1:], len(k))):
+            yield *divmod(int(group[k[x]]), len(index.words)), at[k[x:y]], at[j[x:y]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for block in W.blocks(batch.column(1)):
                 w, h = _plain(block)
-                start, of = W.gram_starts(w.bounds, p.gram)
-                where, seed = _find(W.gram_hashes(h, start, p.gram), known, sieve)
-                if not len(where):
-                    continue
-                many = count[seed]
-                rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                entry = np.repeat(first[seed], many) + rank
-                at, doc = np.repeat(start[where], many), np.repeat(of[where], many)
-                order = np.lexsort((at, index.item[entry], doc))
-                at, doc, entry = at[order], doc[order], entry[order]
-                item = index.item[entry]
-                cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-                for x, y in zip(cut, np.append(cut[1:], len(doc))):
-                    d, i = int(doc[x]), int(item[x])
-                    lo, hi = w.bounds[d], w.bounds[d + 1]
-                    if (got := judge(h[lo:hi], i, index.place[entry[x:y]], at[x:y] - lo)) is not None:
-                        rows.append((block.first + d, index.ids[i], *got))
+                for some in seeds(w, h):
+                    for d, i, x, y in crowds(*some):
+                        lo, hi = w.bounds[d], w.bounds[d + 1]
+                        if (got := judge(h[lo:hi], i, x - lo, y - lo)) is not None:
+                            rows.append((block.first + d, index.ids[i], *got))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[3:])],

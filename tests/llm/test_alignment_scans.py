@@ -109,3 +109,31 @@ def test_index_of_templates():
     index = L.index_templates({"b": "one two three four five", "a": "one two three"}, L.LicenseParams())
     assert index.names == ["a", "b"] and list(index.print_) == sorted(index.print_)
     assert pa.array(index.template.tolist()).unique().to_pylist()
+
+
+def test_every_copy_that_reaches_the_score_is_found(spark):
+    rng = random.Random(11)
+    items = [words(rng.randint(16, 59), rng, 2000) for _ in range(30)]
+    docs, want = [], set()
+    for i in range(600):
+        k = rng.randrange(30)
+        part = items[k][:]
+        kind = i % 6
+        if kind < 3:  # every third, fourth or fifth word changed
+            part = [f"edit{j}" if j % (3 + kind) == rng.choice((2, 2, 1)) else x for j, x in enumerate(part)]
+        elif kind == 3:
+            part = [x if rng.random() > 0.3 else f"edit{j}" for j, x in enumerate(part)]
+        elif kind == 4:
+            part = [y for j, x in enumerate(part) for y in (x, f"new{j}")][:-1]
+        else:
+            part = part[: len(part) // 2 + 1]
+        text = words(rng.randint(0, 90), rng, 2000) + part + words(rng.randint(0, 90), rng, 2000)
+        docs.append((i, " ".join(text)))
+        code = {x: n for n, x in enumerate(dict.fromkeys(items[k] + text))}
+        x = align(*(np.array([code[y] for y in z]) for z in (items[k], text)))
+        if x.score >= len(items[k]) and x.matches >= 8:
+            want.add((i, k, x.score / (2 * len(items[k]))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in D.contaminated(df, tests).collect()}
+    assert want <= got and len(want) > 300
