@@ -73,3 +73,33 @@ def _matches(a: np.ndarray, b: np.ndarray) -> int:
         now[1:] = np.maximum(before[1:], before[:-1] + (b == x))
         before = np.maximum.accumulate(now)
     return int(before[-1])
+
+
+def holds_run(a: np.ndarray, b: np.ndarray, found: Alignment, length: int, share: float) -> bool:
+    """Whether ``length`` or more positions in a row of an alignment, gaps included, match at ``share`` or more."""
+    x, y = a[found.a_start : found.a_end], b[found.b_start : found.b_end]
+    if max(len(x), len(y)) < length or found.matches < share * length - 1e-9:
+        return False
+    total = np.concatenate([[0.0], np.cumsum(_path(x, y) - share)])
+    if len(total) <= length:
+        return False
+    return bool((total[length:] >= np.minimum.accumulate(total[:-length]) - 1e-9).any())
+
+
+def _path(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> np.ndarray:
+    """Whether each position of the best alignment of all of ``a`` with all of ``b`` is a match."""
+    slope = np.arange(len(b) + 1) * gap
+    before = -slope
+    moves = np.zeros((len(a), len(b)), np.uint8)  # 0 both, 1 a alone, 2 b alone
+    for i in range(len(a)):
+        both = before[:-1] + np.where(b == a[i], match, -mismatch)
+        now = np.concatenate([[before[0] - gap], np.maximum(both, before[1:] - gap)])
+        now = np.maximum.accumulate(now + slope) - slope
+        moves[i] = np.where(now[1:] == both, 0, np.where(now[1:] == before[1:] - gap, 1, 2))
+        before = now
+    i, j, out = len(a), len(b), []
+    while i or j:
+        move = moves[i - 1, j - 1] if i and j else 1 if i else 2
+        out.append(move == 0 and a[i - 1] == b[j - 1])
+        i, j = i - (move != 2), j - (move != 1)
+    return np.array(out[::-1], np.int64)

@@ -6,7 +6,8 @@ the score keeps a known number of the item's pairs: of the full score it may los
 changed or left out costs 3 and breaks two pairs, a word at an end costs 2 and breaks one, and a pair is lost
 to two words put in, which cost 2.  So the commonest pairs of an item can be left out of the look-up
 and several seeds be asked for in one stretch without losing a copy; how often the items' words occur is
-counted over all documents.  Passages with so many seeds are aligned with the item.  The items are a
+counted over all documents.  Passages with so many seeds are aligned with the item.  A long part of an item
+counts by its own length and share of matches, and its pairs are kept and counted in the same way.  The items are a
 stated query set: they are taken in blocks of bounded size, and each block is held against all
 documents in one scan.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .alignment import align
+from .alignment import align, holds_run
 from .shared import bounded_batches
 
 _U = np.uint64
@@ -34,8 +35,9 @@ _ENTRIES = 1 << 20
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """A document is contaminated if an item's score, of 1 for a full copy, reaches ``min_score`` with ``min_matches`` words, all if it has fewer.
+    """A document is contaminated if an item's score, of 1 for a full copy, reaches ``min_score`` with ``min_matches`` words, all but one if it has no more.
 
+    So it is, whatever the score, if ``part`` or more aligned words in a row match at ``part_share`` or more.
     Items of fewer than ``min_item`` words are too short to tell and are left out.  Of ``stretch``
     consecutive word pairs one is a seed at least, however common.
     """
@@ -44,6 +46,8 @@ class DecontaminationParams:
     min_item: int = 5
     min_score: float = 0.5
     min_matches: int = 8
+    part: int = 20
+    part_share: float = 0.8
     block_bytes: int = 8 << 20
 
 
@@ -107,6 +111,13 @@ def _whole(n: int, p: DecontaminationParams) -> tuple[int, int, int]:
     return max(0, stay - hits), hits, n + int(loss + 1e-9)
 
 
+def _partial(p: DecontaminationParams) -> tuple[int, int, int]:
+    """The same for a part that is enough by itself; one of twice the least length holds a shorter one."""
+    stay = min(n - 1 - 2 * int(n * (1 - p.part_share) + 1e-9) for n in range(p.part, 2 * p.part))
+    hits = max(1, (stay + 1) // 2)
+    return max(0, stay - hits), hits, 2 * p.part - 1
+
+
 def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p: DecontaminationParams) -> ItemIndex:
     """Chooses each item's seeds by the rarity of their words."""
     seeds: list[tuple[int, int, int]] = []
@@ -118,6 +129,8 @@ def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p
         total = cost[:-1] + cost[1:]
         chosen = {i + int(total[i : i + p.stretch].argmin()) for i in range(max(1, n - p.stretch + 1))}
         chosen |= set(np.argsort(total, kind="stable")[: n - _whole(len(w), p)[0]].tolist())
+        for i in range(n - p.part + 2):
+            chosen |= set((i + np.argsort(total[i : i + p.part - 1], kind="stable")[: p.part - 1 - _partial(p)[0]]).tolist())
         at = np.array(sorted(chosen))
         seeds += [(int(g), k, int(i)) for g, i in zip(_pairs(w[at], w[at + 1]), at)]
     seeds.sort()
@@ -127,7 +140,7 @@ def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p
 def _passages(first: np.ndarray, last: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     """Word ranges of a text of n words that hold the copies with seeds from first to last, overlapping ones joined."""
     out: list[list[int]] = []
-    for x, y in zip(first.tolist(), last.tolist()):
+    for y, x in sorted(zip(last.tolist(), first.tolist())):
         a, b = max(0, y + 2 - reach), min(n, x + reach)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
@@ -144,20 +157,32 @@ def _search(index: ItemIndex, p: DecontaminationParams):
     sieve = _sieve(known)
     rules = np.array([_whole(len(w), p)[1:] for w in index.words], np.int64).reshape(-1, 2)
 
+    few, span = _partial(p)[1:]
+    parts = np.array([len(w) >= p.part for w in index.words], bool)
+
     def judge(words: np.ndarray, item: int, x: np.ndarray, y: np.ndarray):
         """The best alignment of an item with the passages of one text, if good enough."""
         target = index.words[item]
+        size = len(target)
+        least = min(p.min_matches, size if size > p.min_matches else size - 1)
+        whole = p.min_score * 2 * size
+        part = p.part * (3 * p.part_share - 1) if parts[item] else whole  # a good part's least score
+        share = p.part * p.part_share if parts[item] else p.min_score * size
         best = None
-        for a, b in _passages(x, y, int(rules[item, 1]), len(words)):
-            part = words[a:b]
-            if np.isin(target, part).sum() < p.min_score * len(target):
+        open_ = _passages(x, y, max(int(rules[item, 1]), span), len(words))
+        while open_:
+            a, b = open_.pop()
+            if np.isin(target, words[a:b]).sum() < min(share, p.min_score * size):
                 continue
-            found = align(target, part)
-            if best is None or found.score > best[0].score:
-                best = (found, a)
-        if best is None or best[0].score < p.min_score * 2 * len(target) or best[0].matches < min(p.min_matches, len(target)):
+            found = align(target, words[a:b])
+            if (found.score >= whole and found.matches >= least) or (parts[item] and holds_run(target, words[a:b], found, p.part, p.part_share)):
+                if best is None or (found.score, -a) > (best[0].score, -best[1]):
+                    best = (found, a)
+            if found.score >= min(whole, part) - 1e-9 and (best is None or best[0] is not found):  # it may hide a good one beside it
+                open_ += [(a, a + found.b_start), (a + found.b_end, b)]
+        if best is None:
             return None
-        return best[0].score / (2 * len(target)), best[0].matches, best[1] + best[0].b_start, best[1] + best[0].b_end
+        return best[0].score / (2 * size), best[0].matches, best[1] + best[0].b_start, best[1] + best[0].b_end
 
     def seeds(w: W.Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places, texts and numbers of the seeds in some texts at a time, so that few are held at once."""
@@ -186,12 +211,16 @@ def _search(index: ItemIndex, p: DecontaminationParams):
         at, group = np.repeat(at, many), np.repeat(doc, many) * len(index.words) + item
         order = np.argsort(group, kind="stable")
         at, group, item = at[order], group[order], item[order]
-        k = np.arange(len(at))
-        j = k + rules[item, 0] - 1
-        inside = j < len(at)
-        k, j = k[inside], j[inside]
-        near = (group[k] == group[j]) & (at[j] - at[k] < rules[item[k], 1])
-        k, j = k[near], j[near]
+        near = []
+        for hits, words, which in ((rules[item, 0], rules[item, 1], True), (few, span, parts[item])):
+            k = np.arange(len(at))
+            j = k + hits - 1
+            last = np.minimum(j, len(at) - 1)
+            ok = (j < len(at)) & which & (group == group[last]) & (at[last] - at < words)
+            near.append((k[ok], last[ok]))
+        k, j = (np.concatenate(x) for x in zip(*near))
+        order = np.argsort(k, kind="stable")
+        k, j = k[order], j[order]
         cut = np.flatnonzero(np.append(True, group[k[1:]] != group[k[:-1]])) if len(k) else []
         for x, y in zip(cut, np.append(cut[1:], len(k))):
             yield *divmod(int(group[k[x]]), len(index.words)), at[k[x:y]], at[j[x:y]]

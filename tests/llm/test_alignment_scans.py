@@ -137,3 +137,17 @@ def test_every_copy_that_reaches_the_score_is_found(spark):
     tests = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.score) for r in D.contaminated(df, tests).collect()}
     assert want <= got and len(want) > 300
+
+
+def test_long_parts_and_short_items(spark):
+    rng = random.Random(5)
+    items = [words(59, rng, 5000), words(400, rng, 5000), words(6, rng, 5000), words(5, rng, 5000), words(8, rng, 5000)]
+    around = lambda part: " ".join([*words(60, rng, 5000), *part, *words(60, rng, 5000)])
+    edited = [x if j % 6 != 5 else "edit" for j, x in enumerate(items[1][200:224])]
+    short = [[x if j != 2 else "edit" for j, x in enumerate(items[k])] for k in (2, 3, 4)]
+    parts = [items[0][15:44], items[1][100:290], edited, *short, items[0][20:37], [*items[2][:2], "a", "b", *items[2][4:]], [x if j % 2 else "edit" for j, x in enumerate(items[1][:40])]]
+    df = spark.createDataFrame([(i, around(x)) for i, x in enumerate(parts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.contaminated(df, tests).collect()}
+    assert {i: r.item_id for i, r in got.items()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
+    assert (got[1].start_word, got[1].end_word, got[1].n_matches) == (60, 250, 190)
