@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from talktree.llm.decontaminate import contaminated
 from talktree.llm.near_dedup import NearDupParams, near_duplicates
-from talktree.llm.packing import pack_documents
+from talktree.llm.packing import PackingParams, pack_documents
 from talktree.llm.quality import keep_quality, train_quality
 from talktree.llm.secrets import redacted, train_secrets, with_secrets
 from talktree.llm.shared import Scratch, distinct_name
@@ -56,7 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 1024 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, PackingParams(added_tokens=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,11 +34,15 @@ MAX_TASKS = 100_000
 
 @dataclass(frozen=True)
 class PackingParams:
-    """``full``: a bin with at least this share of its capacity in use is final."""
+    """``full``: a bin with at least this share of its capacity in use is final.
+
+    ``added_tokens``: the content of an added token in a text has the token's id, as in ``tokenizers``.
+    """
 
     capacity: int = 1024
     end_id: int = 2
     vocabulary: str | None = None
+    added_tokens: bool = False
     shard_items: int = 16_384
     islands: int = 2
     population: int = 3
@@ -51,7 +55,7 @@ class PackingParams:
 
 def _pieces(p: PackingParams, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(path, p.end_id)
+        table = token_table(path, p.end_id, p.added_tokens)
         for batch in batches:
             for block in W.blocks(batch.column(1), W.BLOCK_BYTES // 2):
                 ids, bounds = table.encode(block)

@@ -11,7 +11,7 @@ from .html_text import extract_pages
 from .language_id import identify_languages, train_profiles
 from .licenses import scan_licenses
 from .near_dedup import NearDupParams, near_duplicates
-from .packing import pack_documents
+from .packing import PackingParams, pack_documents
 from .quality import quality_rules, train_quality
 from .secrets import secret_counts, train_secrets
 from .substring_dedup import substring_dedup
@@ -37,7 +37,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_table(spark, sf_dir, "documents"), PackingParams(added_tokens=True))
 
 
 def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ White space, space and 0x09-0x0D, splits a text into units that the vocabulary's
 crosses: a run of other bytes with the one space before it, and white space between units.  A run is
 split further between an ASCII letter and ASCII punctuation other than the apostrophe.  Each
 distinct unit is encoded once by ``tokenizers`` and its ids are then taken from a table of bounded
-size, so ids equal those of encoding the whole text.  Texts with other Unicode white space are
-encoded whole.
+size, so ids equal those of encoding the whole text.  Texts with other Unicode white space, or with the
+content of an added token where these have ids of their own, are encoded whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _WIDE_LEAD[[x[0] for x in _WIDE_SPACE]] = True
 _LETTER = np.array([chr(c).isalpha() and c < 0x80 for c in range(256)], bool)
 _MARK = np.array([0x21 <= c < 0x7F and not chr(c).isalnum() and c != 0x27 for c in range(256)], bool)
 _NEWLINE = 198
-_tables: dict[tuple[str, int], "TokenTable"] = {}
+_tables: dict[tuple[str, int, bool], "TokenTable"] = {}
 
 
 def default_vocabulary() -> str:
@@ -35,16 +35,22 @@ def default_vocabulary() -> str:
 
 
 class TokenTable:
-    """Ids of units seen so far in this process; emptied when ``limit`` units are held."""
+    """Ids of units seen so far in this process; emptied when ``limit`` units are held.
+
+    ``added``: the content of an added token, as <|endoftext|>, has the token's id in a text, which is
+    the vocabulary's own rule; else it is read like other text.
+    """
 
     SLOT_BITS = 21
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, limit: int = 1_000_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+        self.apart = [x for x in special if x]
         self.end_id, self.limit = end_id, limit
         self._reset()
 
@@ -113,7 +119,7 @@ class TokenTable:
         if self.size > self.limit:
             self._reset()
         at = self._look_up(key)
-        odd = _with_wide_space(block)
+        odd = _with_wide_space(block) | _with_any(block, self.apart)
         missed = (self.key[at] != key) & ~closing
         if odd:  # their units may not keep apart; they are replaced below
             missed &= ~np.isin(np.searchsorted(block.offsets, start, "right") - 1, list(odd))
@@ -142,11 +148,14 @@ class TokenTable:
 
 
 def _with_wide_space(block: W.Block) -> set[int]:
+    return _with_any(block, _WIDE_SPACE) if _WIDE_LEAD[block.data].any() else set()
+
+
+def _with_any(block: W.Block, marks: list[bytes]) -> set[int]:
+    """Texts that hold one of the marks."""
     found: set[int] = set()
-    if not _WIDE_LEAD[block.data].any():
-        return found
-    raw = block.data.tobytes()
-    for mark in _WIDE_SPACE:
+    raw = block.data.tobytes() if marks else b""
+    for mark in marks:
         at = raw.find(mark)
         while at >= 0:
             i = int(np.searchsorted(block.offsets, at, "right")) - 1
@@ -182,9 +191,9 @@ def _units(block: W.Block) -> tuple[np.ndarray, np.ndarray, None]:
     return start[order], end[order], None
 
 
-def token_table(path: str, end_id: int) -> TokenTable:
+def token_table(path: str, end_id: int, added: bool = False) -> TokenTable:
     """The table of this process for a vocabulary file."""
-    have = _tables.get((path, end_id))
+    have = _tables.get((path, end_id, added))
     if have is None:
-        have = _tables[path, end_id] = TokenTable(path, end_id)
+        have = _tables[path, end_id, added] = TokenTable(path, end_id, added=added)
     return have

@@ -102,3 +102,20 @@ def test_edges_of_the_input(spark):
     same = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, None)], "doc_id long, text string")
     rows = P.pack_documents(same).collect()
     assert len(rows) == 4 and check(rows, 1024) == 1
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    own = tokenizers.Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(6)
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "none here", *("".join(rng.choice([*PARTS, "<|endoftext|>", "<|"]) for _ in range(rng.randint(0, 30))) for _ in range(500))]
+    table = TokenTable(default_vocabulary(), 2, limit=50, added=True)
+    got = []
+    for block in W.blocks(pa.array(texts), 64):
+        ids, bounds = table.encode(block)
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts] and got[0] == [437, 220, 50256, 923, 2]
+    from talktree.llm.registry import QUERIES
+
+    spark.createDataFrame([(1, texts[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).first()
+    assert row.length == 5 and row.ids_crc32 == zlib.crc32(np.array(got[0], "<u4").tobytes())
