@@ -2,7 +2,7 @@
 
 Three patterns give the base spans.  Longer runs of key-like characters are then judged by two
 first-order Markov models over characters, one of random strings and one of ordinary identifiers:
-a run is a secret if its mean log-likelihood ratio per step reaches a threshold.  Both models are
+a run, or a part of it, is a secret if its mean log-likelihood ratio per step reaches a threshold.  Both models are
 trained from labelled samples; steps are counted with add-one smoothing.  The result of training is
 one table of at most ``SIZE * SIZE`` numbers, which is a constant of the scan.
 """
@@ -26,6 +26,8 @@ _FOUND = {"assign": PATTERNS["assign"], "access": r"AKIA[A-Z0-9]{12,}", "hex": r
 KINDS = [*PATTERNS, "markov"]
 #: Characters of a candidate run, by their code.
 _RUN = "[A-Za-z0-9+/_=-]"
+#: A part of a run between separators.
+_PART = "[A-Za-z0-9+]+"
 _FIRST, SIZE = 43, 80
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -132,14 +134,53 @@ def log_ratio(token: Column, ratio: list[float]) -> Column:
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
+def _rests(run: Column, base: Column) -> Column:
+    """What base spans leave of a run, as structs (start, end, part)."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    hits = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    piece = lambda a, z: F.array(F.struct(a.alias("start"), z.alias("end")))
+    first = F.struct(run["start"].alias("at"), none.alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+    ranges = F.aggregate(hits, first, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
+    return F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.substring(run["part"], r["start"] - run["start"] + 1, F.greatest(r["end"] - r["start"], F.lit(0))).alias("part")))
+
+
+def _joins(rest: Column, ratio: list[float], params: SecretParams) -> Column:
+    """Joined neighbouring parts between separators, of min_run or more characters, that reach the threshold, as structs (start, end).
+
+    Parts are joined as long as the sum of what each step has over the threshold stays above zero.
+    """
+    over = lambda t: (log_ratio(t, ratio) - params.threshold) * F.greatest(F.length(t) - 1, F.lit(0))
+    parts = F.transform(matches(rest["part"], _PART), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), over(m["part"]).alias("own")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(-1.0).cast("double").alias("sum"), F.lit(-1).alias("good"), none.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["good"] >= 0, F.concat(acc["out"], F.array(F.struct((rest["start"] + acc["start"]).alias("start"), (rest["start"] + acc["good"]).alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["sum"] < 0
+        start = F.when(fresh, x["start"]).otherwise(acc["start"])
+        total = F.when(fresh, x["own"]).otherwise(acc["sum"] + over(F.substring(rest["part"], acc["end"], x["end"] - acc["end"] + 1)))
+        state = F.struct(start.alias("start"), x["end"].alias("end"), total.alias("sum"), F.when(fresh, F.lit(-1)).otherwise(acc["good"]).alias("good"), F.when(fresh, closed(acc)).otherwise(acc["out"]).alias("out"))
+        return F.element_at(F.transform(F.array(state), lambda s: s.withField("good", F.when((s["sum"] >= 0) & (s["end"] - s["start"] >= params.min_run), s["end"]).otherwise(s["good"]))), 1)
+
+    return F.aggregate(parts, first, step, closed)
+
+
 def markov_spans(text: Column, base: Column, ratio: list[float], params: SecretParams) -> Column:
-    """Spans of key-like runs that the models take for random and that no base span touches."""
+    """Spans of key-like runs that the models take for random, outside base spans.
+
+    What base spans leave of a run is judged as a whole, and if that is no secret by its parts, so that
+    words before or after a secret don't hide it.
+    """
     none = F.expr(f"cast(array() as {_SPANS})")
     run = f"{_RUN}{{{params.min_run},}}"
     number = KINDS.index("markov")
-    runs = F.filter(matches(text, run), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    secret = F.filter(runs, lambda m: log_ratio(m["part"], ratio) >= params.threshold)
-    spans = F.transform(secret, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
+    rests = F.filter(F.flatten(F.transform(matches(text, run), lambda m: _rests(m, base))), lambda r: r["end"] - r["start"] >= params.min_run)
+    whole = lambda r: F.array(F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    found = F.flatten(F.transform(rests, lambda r: F.when(log_ratio(r["part"], ratio) >= params.threshold, whole(r)).otherwise(_joins(r, ratio, params))))
+    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
     return F.when(text.rlike(f"{_RUN}{{{params.min_run}}}"), spans).otherwise(none)
 
 
