@@ -4,7 +4,9 @@ A tolerant scanner builds a flat tree: elements in page order with their parents
 Menus, headers, footers, side bars, notices, adverts, forms, comments and what a page does not show
 are cut off.  Each paragraph then passes points for its length and commas to its parent and, halved,
 to its grandparent; a container's points are discounted by the share of its text that is in links.
-The container with most points and those of its siblings that look like content are kept.
+The container with most points and those of its siblings that look like content are kept.  What
+holds most of a page's text is not cut for being a form or for a word in a compound class as has-sidebar, and such
+words count for nothing where little text would be left.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ _CUT_WORDS = set(
 #: Words beside "header" in the class or id of a whole page's header.
 _SITE_WORDS = {"site", "page", "top", "global", "main", "wrapper", "container", "wrap"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+#: Cut unless they hold most of the page's text.
+_FORMS = {"form", "fieldset"}
 _GOOD_WORDS = set("article body content entry main page post story text blog".split())
 
 
@@ -50,17 +54,18 @@ class _Page:
     """Elements in page order: tag, parent, whether cut; and texts as (element, text)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.words, self.cut, self.soft = ["#root"], [-1], [frozenset()], [False], [False]
+        self.tag, self.parent, self.words, self.cut, self.soft, self.plain, self.hidden = ["#root"], [-1], [frozenset()], [False], [False], [False], [False]
         self.texts: list[tuple[int, str]] = []
         self.breaks: set[int] = set()
         self._read(source)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         words, hidden = frozenset(), False
-        role = ""
+        role, whole = "", False
         if attributes.strip(" /\t\r\n"):
             given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             words = frozenset(x.lower() for x in _WORD.findall(given.get("class", "") + " " + given.get("id", "")))
+            whole = any(x.lower() in _CUT_WORDS for x in (given.get("class", "") + " " + given.get("id", "")).split())
             role = given.get("role", "").strip().lower()
             style = given.get("style", "").replace(" ", "").lower()
             hidden = "hidden" in given or "display:none" in style or "visibility:hidden" in style
@@ -68,7 +73,9 @@ class _Page:
         self.parent.append(parent)
         self.words.append(words)
         self.cut.append(tag in _CUT or hidden)
+        self.hidden.append(hidden)
         self.soft.append(tag not in ("html", "body", "article", "main") and (bool(words & _CUT_WORDS) or role in _CUT_ROLES))
+        self.plain.append(self.soft[-1] and (role in _CUT_ROLES or (whole and not words & _GOOD_WORDS)))
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
@@ -124,9 +131,26 @@ class _Page:
                 return
 
 
-def _kept(page: _Page, soft: bool) -> list[bool]:
-    """Whether each element stays when the cut ones and what is in them go."""
+def _dominant(page: _Page) -> list[bool]:
+    """Whether each element holds most of the text that is not cut for what it is, links left out."""
     n = len(page.tag)
+    gone, linked, size = [False] * n, [False] * n, [0] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        gone[i] = gone[up] or (page.cut[i] and page.tag[i] not in _FORMS) or page.hidden[i]
+        linked[i] = linked[up] or page.tag[i] == "a"
+    for i, t in page.texts:
+        if not gone[i] and not linked[i]:
+            size[i] += len(" ".join(t.split()))
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    return [2 * x > size[0] for x in size]
+
+
+def _kept(page: _Page, soft: list[bool] | None) -> list[bool]:
+    """Whether each element stays when the cut ones and what is in them go, and so the ``soft`` ones that hold no article."""
+    n = len(page.tag)
+    most = _dominant(page)
     holds = [t in ("article", "main") for t in page.tag]
     for i in range(n - 1, 0, -1):
         holds[page.parent[i]] |= holds[i]
@@ -134,9 +158,10 @@ def _kept(page: _Page, soft: bool) -> list[bool]:
     for i in range(1, n):
         up = page.parent[i]
         inside[i] = inside[up] or page.tag[i] in ("article", "main")
-        header = page.tag[i] == "header" or (soft and page.tag[i] != "body" and page.words[i] - _SITE_WORDS == {"header"})
-        gone = page.cut[i] or (soft and page.soft[i] and not holds[i]) or (header and not inside[i] and not holds[i])
-        stays[i] = stays[up] and not gone
+        header = page.tag[i] == "header" or (soft is not None and page.tag[i] != "body" and page.words[i] - _SITE_WORDS == {"header"})
+        cut = page.cut[i] and not (page.tag[i] in _FORMS and not page.hidden[i] and (most[i] or holds[i]))
+        named = soft is not None and soft[i] and not holds[i] and (page.plain[i] or not most[i])
+        stays[i] = stays[up] and not (cut or named or (header and not inside[i] and not holds[i]))
     return stays
 
 
@@ -145,11 +170,11 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    for soft in (True, False):
-        text = _extract(page, _kept(page, soft))
-        if text:
-            return text
-    return ""
+    text = _extract(page, _kept(page, page.soft))
+    if page.soft != page.plain:
+        more = _extract(page, _kept(page, page.plain))
+        text = more if len(text) < 0.2 * len(more) else text
+    return text or _extract(page, _kept(page, None))
 
 
 def _extract(page: _Page, stays: list[bool]) -> str:
@@ -200,7 +225,7 @@ def _extract(page: _Page, stays: list[bool]) -> str:
                 if tag[i] in _PARAGRAPH:
                     keep[i] = density < 0.25 and (whole[i] > 80 or (density == 0 and tag[i] in ("h1", "h2"))) and tag[chosen] not in ("article", "main")
                 else:
-                    keep[i] = points[i] >= max(10, 0.2 * best) and density < 0.5
+                    keep[i] = points[i] > 0 and points[i] >= 0.2 * best and density < 0.5
     for i in range(chosen + 1 if not chosen else 1, n):
         keep[i] = keep[i] or keep[parent[i]]
     out, at, parts = [], -1, []

@@ -52,3 +52,22 @@ def test_table(spark):
     rows = extract_pages(df).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 0), (1, 0), (1, len(TEXT))] and rows[0].url == "u"
     assert extract_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{NAV}<div class='content has-sidebar'>{ARTICLE}</div></body>",
+        f"<body>{NAV}<h2>Stray</h2><div class='post share-enabled'>{ARTICLE}</div></body>",
+        f"<body><form id='aspnetForm'>{NAV}<div><div>{ARTICLE}</div></div><fieldset><p>Search, for something, in all of this site</p></fieldset></form></body>",
+        f"<body><form>{NAV}<article>{ARTICLE}</article><div class='comments'><p>{'A reader says something long, with commas. ' * 20}</p></div></form></body>",
+        f"<body><div class='content no-comments'>{ARTICLE}</div><div class='comments'><p>A reader says something, with commas.</p></div></body>",
+    ],
+)
+def test_main_text_is_not_cut_with_its_container(page):
+    assert main_text(page).removeprefix("Stray\n") == TEXT
+
+
+def test_smaller_siblings_stay():
+    part = "<p>" + "Long sentence, with commas, that goes on and on. " * 3 + "</p>"
+    assert main_text(f"<body>{NAV}<div>{part * 2}</div><div>{part}</div></body>").count("\n") == 2
