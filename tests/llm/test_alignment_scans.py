@@ -151,3 +151,11 @@ def test_long_parts_and_short_items(spark):
     got = {r.doc_id: r for r in D.contaminated(df, tests).collect()}
     assert {i: r.item_id for i, r in got.items()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
     assert (got[1].start_word, got[1].end_word, got[1].n_matches) == (60, 250, 190)
+
+
+def test_edited_headers_and_whole_notices(spark):
+    header = L.TEMPLATES["Apache-2.0-header"]
+    texts = [header.replace("express or implied", "expressed or implied"), header.replace("obtain a copy", "get a copy"), L._BSD_TERMS + L._BSD_WARRANTY, L.TEMPLATES["BSD-3-Clause-text"], L.TEMPLATES["MIT-full-text"], L.TEMPLATES["BSD-3-Clause"]]
+    df = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in L.scan_licenses(df).collect())
+    assert got == list(enumerate(["Apache-2.0-header", "Apache-2.0-header", "BSD-2-Clause-text", "BSD-3-Clause-text", "MIT-full-text", "BSD-3-Clause"]))
