@@ -157,10 +157,18 @@ def _scan(index: TemplateIndex, p: LicenseParams):
                     lo, hi = int(w.bounds[d]), int(w.bounds[d + 1])
                     band = max(p.min_band, int(p.band_share * len(target)))
                     for low, high in _diagonals(np.array(diagonals), band):
-                        a = max(0, low)
-                        part = h[lo + a : min(hi, lo + high + len(target))]
-                        got = align(target, part, low - a, high - a)
-                        if got.matches >= p.min_coverage * len(target):
+                        open_ = [(max(0, low), min(hi - lo, high + len(target)))]
+                        while open_:  # several copies may lie in one band
+                            a, b = open_.pop()
+                            part = h[lo + a : lo + b]
+                            if np.isin(target, part).sum() < p.min_coverage * len(target):
+                                continue
+                            got = align(target, part, low - a, high - a)
+                            if not got.score:
+                                continue
+                            open_ += [(a, a + got.b_start), (a + got.b_end, b)]
+                            if got.matches < p.min_coverage * len(target):
+                                continue
                             x, y = w.start[lo + a + got.b_start], w.end[lo + a + got.b_end - 1]
                             at = points[block.offsets[d]]
                             found.setdefault(d, []).append((got.matches / len(target), got.matches, index.names[t], int(points[x] - at), int(points[y] - at)))

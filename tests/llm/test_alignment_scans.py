@@ -159,3 +159,11 @@ def test_edited_headers_and_whole_notices(spark):
     df = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
     got = sorted((r.doc_id, r.license) for r in L.scan_licenses(df).collect())
     assert got == list(enumerate(["Apache-2.0-header", "Apache-2.0-header", "BSD-2-Clause-text", "BSD-3-Clause-text", "MIT-full-text", "BSD-3-Clause"]))
+
+
+def test_copies_close_together(spark):
+    line = "Released under the MIT License."
+    texts = ["\n".join([line] * n) for n in (1, 2, 7)] + [f"{line} x {line} y z {line}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(r.doc_id, r.start) for r in L.scan_licenses(df).collect()]
+    assert sorted(rows) == [(i, k) for i, t in enumerate(texts) for k in range(len(t)) if t.startswith(line, k)]
