@@ -95,8 +95,9 @@ class TokenTable:
     def encode_text(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
-        """Encodes units that were not held; units of words go to the tokenizer a line each."""
+    def _learn(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes units that were not held, and returns the number of each; units of words go to the tokenizer a line each."""
+        number, base = np.empty(len(keys), np.int64), self.size
         units = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
         blank = np.array([u.isspace() for u in units], bool)
         inked = np.flatnonzero(~blank)
@@ -107,9 +108,12 @@ class TokenTable:
             if len(stop) != len(inked):
                 raise RuntimeError("the vocabulary does not keep lines apart")
             self._add(keys[inked], ids[ids != _NEWLINE], counts)
+            number[inked] = base + np.arange(len(inked))
         for i in np.flatnonzero(blank):
             ids = self.encode_text(units[i].decode())
+            number[i] = self.size
             self._add(keys[i : i + 1], ids, np.array([len(ids)]))
+        return number
 
     def encode(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's texts, each with the end id after it, and the bounds of each text."""
@@ -126,13 +130,7 @@ class TokenTable:
         if missed.any():
             where = np.flatnonzero(missed)
             new, first, back = np.unique(key[where], return_index=True, return_inverse=True)
-            base = self.size
-            blank_last = block.data[end[where[first]] - 1] <= 0x20
-            order = np.argsort(blank_last, kind="stable")  # as _learn adds them: words, then white space
-            self._learn(new[order], block.data.tobytes(), start[where[first]][order], end[where[first]][order])
-            place = np.empty(len(new), np.int64)
-            place[order] = base + np.arange(len(new))
-            at[where] = place[back]
+            at[where] = self._learn(new, block.data.tobytes(), start[where[first]], end[where[first]])[back]
         at[closing] = 0
         count = self.cut[at + 1] - self.cut[at]
         total = np.concatenate([[0], np.cumsum(count)])

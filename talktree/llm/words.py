@@ -5,12 +5,15 @@ cutting the UTF-8 bytes gives the same words as cutting code points.  Every func
 *block*: whole texts of some rows, laid end to end.  Blocks hold about ``BLOCK_BYTES`` bytes, or a
 single longer text, so memory follows the longest text and not the Arrow batch.
 
-Fingerprints are 64-bit polynomial hashes over a random byte table, with wrapped arithmetic and a
-final mix.  They are the same on every machine and in every run.
+Fingerprints are 64-bit.  A word's bytes are taken eight at a time, each step multiplied and then
+scrambled by a bijection; longer ranges go to BLAKE2.  Sequences are hashed as trees of pairs, scrambled
+at each node, so no two sequences collide by their form.  There are two independent families; they are the
+same on every machine and in every run.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,20 +23,19 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
-_MASK = (1 << 64) - 1
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-#: Two independent byte tables and odd bases; the second pair serves verification.
-_TABLES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
-_CHAIN = (0xD6E8FEB86659FD95, 0xA0761D6478BD6435)
+#: Odd multipliers and seeds of the two families of fingerprints.
+_STEP = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_SEED = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
+_PAIR = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+#: Ranges of more bytes are hashed by BLAKE2.
+_LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
@@ -45,26 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _powers[base] = (both[0], both[1])
-    return have
-
-
-def _prefix(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(base, len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
 @dataclass
 class Block:
     """Rows ``first`` to ``first + n`` of a batch: ``data`` bytes cut at ``offsets`` (n + 1 of them)."""
@@ -135,19 +117,45 @@ def words(block: Block, separator: np.ndarray = SEPARATOR) -> Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit fingerprint of each byte range."""
-    base = _BASES[which]
-    p = _prefix(_TABLES[which][data], base)
-    back = _power(base, len(data) + 1)[1]
-    return mix((p[end] - p[start]) * back[start] + (end - start).astype(np.uint64) * _U(_CHAIN[which]))
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) * _STEP[which] + _SEED[which])
+    long_ = size > _LONG
+    rest = np.flatnonzero((size > 0) & ~long_)
+    at = 0
+    while len(rest):
+        part = eight[start[rest] + at] & _LOW_BYTES[np.minimum(size[rest] - at, 8)]
+        out[rest] = mix((out[rest] ^ part) * _STEP[which] + _SEED[which])
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(long_).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
 
 
 def gram_hashes(values: np.ndarray, at: np.ndarray, size: np.ndarray | int, which: int = 0) -> np.ndarray:
-    """A fingerprint of values[at : at + size] for each at."""
-    base = _CHAIN[which]
-    p = _prefix(values, base)
-    back = _power(base, len(values) + 1)[1]
-    at = np.asarray(at)
-    return mix((p[at + size] - p[at]) * back[at] + np.asarray(size).astype(np.uint64) * _U(_BASES[which]))
+    """A fingerprint of values[at : at + size] for each at.
+
+    A range is cut into parts of 1, 2, 4... values by the bits of its size; a part is a tree of pairs.
+    """
+    at = np.array(at, np.int64)
+    size = np.asarray(size, np.int64)
+    most = int(size.max()) if size.size else 0
+    out = mix(np.zeros(len(at), np.uint64) + size.astype(np.uint64) * _STEP[which] + _SEED[which])
+    part, width = values, 1
+    while width <= most and len(at):
+        if size.ndim:
+            some = np.flatnonzero(size & width)
+            out[some] = mix((out[some] ^ part[at[some]]) * _STEP[which] + _SEED[which])
+            at[some] += width
+        elif size & width:
+            out = mix((out ^ part[at]) * _STEP[which] + _SEED[which])
+            at += width
+        if width * 2 <= most:
+            part = mix(part[:-width] * _PAIR[which] ^ mix(part[width:] + _SEED[which]))
+        width *= 2
+    return out
 
 
 def gram_starts(bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

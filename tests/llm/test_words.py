@@ -50,3 +50,27 @@ def test_slices_and_large_arrays():
 def test_cover_and_sums():
     assert W.cover(np.array([1, 2]), np.array([3, 3]), 5).tolist() == [False, True, True, False, False]
     assert W.sums(np.array([1, 2, 3]), np.array([0, 0, 2, 3])).tolist() == [0, 3, 3]
+
+
+def test_doubled_words_and_sequences_differ():
+    a, b = "ab", "ba"
+    for _ in range(9):
+        a, b = a + b, b + a
+    block = next(W.blocks(pa.array([f"{a} {b}"])))
+    w = W.words(block)
+    for which in (0, 1):
+        h = W.span_hashes(block.data, w.start, w.end, which)
+        assert h[0] != h[1]
+        x, y = h[:1], h[1:]
+        for _ in range(9):
+            x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        assert W.gram_hashes(x, np.array([0]), len(x), which) != W.gram_hashes(y, np.array([0]), len(y), which)
+
+
+def test_gram_sizes_agree():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 300, dtype=np.uint64)
+    at = np.arange(200)
+    for n in (1, 2, 5, 50, 100):
+        assert (W.gram_hashes(h, at, n) == W.gram_hashes(h, at, np.full(200, n))).all()
+    both = W.gram_hashes(np.concatenate([h, h]), np.array([3, 303]), np.array([77, 77]))
+    assert both[0] == both[1]
