@@ -4,7 +4,7 @@ Documents are cut into pieces of at most ``capacity`` tokens.  Pieces that fill
 one; the others are dealt to shards of about ``shard_items``.  Each shard is worked on by a few
 islands, populations of groupings of its pieces into bins.  A child takes one parent's bins, gets
 well-filled bins of the other injected whole, loses its own bins that hold a piece twice, and has
-the displaced pieces put back by best fit.  After an epoch each island's elite migrates to the next
+the displaced pieces put back, in place of shorter ones where that fills a bin better and else by best fit.  After an epoch each island's elite migrates to the next
 island of the shard.  Full bins of the best grouping are final; pieces of the rest are dealt anew to
 fewer shards, level by level, until one shard is left or it no longer pays.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Scratch, bounded_batches
+from .shared import Scratch, bounded_batches, distinct_name
 from .token_ids import default_vocabulary, token_table
 
 
@@ -119,6 +120,30 @@ class Grouping:
             by_free[room].append(b)
             mask |= 1 << room
 
+    def exchange(self, loose: list[int]) -> list[int]:
+        """Puts loose items in place of shorter ones, or of two, where that leaves a bin fuller; returns what is loose then."""
+        lengths = self.lengths
+        rest = sorted((lengths[i], i) for i in loose)
+        for b, items in enumerate(self.bins):
+            while self.free[b] and rest:
+                best = (0, 0, 0, -1)
+                for x in range(len(items)):
+                    for y in range(x, len(items)):
+                        out = lengths[items[x]] + (lengths[items[y]] if y > x else 0)
+                        k = bisect_left(rest, (out + self.free[b] + 1, -1)) - 1
+                        if k >= 0 and rest[k][0] - out > best[0]:
+                            best = (rest[k][0] - out, x, y, k)
+                gain, x, y, k = best
+                if not gain:
+                    break
+                given = rest.pop(k)[1]
+                for i in {items[x], items[y]}:
+                    insort(rest, (lengths[i], i))
+                    items.remove(i)
+                items.append(given)
+                self.free[b] -= gain
+        return [i for _, i in rest]
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones."""
         c = self.capacity
@@ -163,7 +188,7 @@ def cross(one: Grouping, two: Grouping, rng: random.Random) -> Grouping:
     for b in given:
         child.bins.append(two.bins[b][:])
         child.free.append(two.free[b])
-    loose = [i for i in loose if i not in taken]
+    loose = child.exchange([i for i in loose if i not in taken])
     loose.sort(key=lambda i: -one.lengths[i])
     child.place(loose)
     return child
@@ -175,6 +200,7 @@ def mutate(g: Grouping, rng: random.Random) -> Grouping:
     few = max(1, len(order) // 50)
     gone = set(order[: 2 * few]) | set(rng.sample(order, min(few, len(order))))
     child, loose = g._without(gone)
+    loose = child.exchange(loose)
     loose.sort(key=lambda i: -g.lengths[i] * rng.uniform(0.8, 1.2))
     child.place(loose)
     return child
@@ -243,16 +269,19 @@ def _solve(ranked: DataFrame, p: PackingParams, scratch: Scratch, count: int, is
 def pack(pieces: DataFrame, params: PackingParams | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``, which has a ``length`` of 1 to the capacity.
 
-    Every row is an item of its own, equal rows too; other columns are carried along.  No pieces
-    give no rows.  Sequence numbers are any distinct numbers; offsets are gapless from 0.
+    Every row is an item of its own, equal rows too; other columns are carried along, except that
+    columns of the two new names are replaced.  No pieces give no rows.  Sequence numbers are any
+    distinct numbers; offsets are gapless from 0.
     """
     p = params or PackingParams()
     scratch = Scratch(pieces.sparkSession)
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset")))
     columns = pieces.columns
-    key = F.monotonically_increasing_id()
-    pieces = scratch.keep(pieces.withColumn("_key", key), "pieces")
-    alone = pieces.where(F.col("length") >= p.capacity).select("_key", (-1 - F.col("_key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    loose = pieces.where(F.col("length") < p.capacity).select("_key", "length")
+    name = distinct_name(columns, "_key")
+    pieces = scratch.keep(pieces.withColumn(name, F.monotonically_increasing_id()), "pieces")
+    key = F.col(name).alias("_key")
+    alone = pieces.where(F.col("length") >= p.capacity).select(key, (-1 - F.col(name)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose = pieces.where(F.col("length") < p.capacity).select(key, "length")
     placed, count = [alone], loose.count()
     for level in range(p.max_levels):
         if not count:
@@ -262,7 +291,7 @@ def pack(pieces: DataFrame, params: PackingParams | None = None) -> DataFrame:
         dealt = loose.withColumn("shard", F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(shards)))
         ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("length"), "_key")) - 1)
         ranked = scratch.keep(ranked, "ranked")
-        solved = _solve(ranked, p, scratch, shards, p.islands if level == 0 else 1, p.epochs if level == 0 else 1)
+        solved = _solve(ranked, p, scratch, shards, p.islands, p.epochs)
         inside = Window.partitionBy("shard", "bin")
         got = ranked.join(solved, ["shard", "rank"]).withColumn("fill", F.sum("length").over(inside))
         got = got.withColumn("offset", F.sum("length").over(inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)))
@@ -278,7 +307,7 @@ def pack(pieces: DataFrame, params: PackingParams | None = None) -> DataFrame:
     where = placed[0]
     for more in placed[1:]:
         where = where.union(more)
-    return pieces.join(where, "_key").select(*columns, "sequence_id", "offset")
+    return pieces.join(where.withColumnRenamed("_key", name), name).select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, params: PackingParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

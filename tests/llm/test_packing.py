@@ -119,3 +119,41 @@ def test_added_tokens_have_their_ids(spark, tmp_path):
     spark.createDataFrame([(1, texts[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).first()
     assert row.length == 5 and row.ids_crc32 == zlib.crc32(np.array(got[0], "<u4").tobytes())
+
+
+def test_ids_beside_control_characters():
+    rng = random.Random(11)
+    t = tokenizers.Tokenizer.from_file(default_vocabulary())
+    a, b = "ab", "ba"
+    for _ in range(9):
+        a, b = a + b, b + a
+    parts = [*map(chr, range(33)), "\x7f", "\x85", "\xa0", "  ", "a", "B", "1", "'s", ".", "é", "<|endoftext|>", "a\x00  b\x01   c...", a, b]
+    table = TokenTable(default_vocabulary(), 2, added=True)
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(8)]
+        for block in W.blocks(pa.array(texts)):
+            ids, cut = table.encode(block)
+            for i in range(block.n):
+                assert ids[cut[i] : cut[i + 1]].tolist() == [*t.encode(texts[block.first + i], add_special_tokens=False).ids, 2]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(7, 3, "a", -1, 1), (7, 3, "b", -2, 2), (9, 5, None, None, 3)]
+    df = spark.createDataFrame(rows, "_key long, length long, Offset string, sequence_id long, piece int")
+    got = P.pack(df, P.PackingParams(capacity=8)).collect()
+    assert sorted((r["_key"], r["length"], r["piece"]) for r in got) == [(7, 3, 1), (7, 3, 2), (9, 5, 3)]
+    assert len({r.sequence_id for r in got}) == 2 and all(isinstance(r.offset, int) for r in got)
+
+
+@pytest.mark.parametrize("seed", [0, 2, 4, 7])
+def test_groupings_evolve(seed):
+    """Best fit in falling order needs a bin more than the bound here; crossing whole bins finds the bound."""
+    rng = random.Random(seed)
+    n = rng.choice([20, 40])
+    lengths = sorted((rng.randint(6, 34) for _ in range(n * 3)), reverse=True)
+    first = P.Grouping(lengths, 60)
+    first.place(list(range(len(lengths))))
+    best = P.evolve(lengths, 60, P.PackingParams(capacity=60, generations=40, population=6), 1, [])
+    assert max(best) + 1 == -(-sum(lengths) // 60) == len(first.bins) - 1
+    for b in range(max(best) + 1):
+        assert sum(x for x, k in zip(lengths, best) if k == b) <= 60
