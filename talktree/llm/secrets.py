@@ -30,7 +30,9 @@ _RUN = "[A-Za-z0-9+/_=-]"
 _PART = "[A-Za-z0-9+]+"
 _FIRST, SIZE = 43, 80
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_SPANS = "array<struct<start:int,kind:int,end:int,from:int,to:int>>"
+#: Doublings; a text has room for fewer matches than two to this power.
+_LEVELS = 28
 
 
 @dataclass(frozen=True)
@@ -44,34 +46,53 @@ class SecretParams:
     smoothing: float = 1.0
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join) -> Column:
+    """Each value joined with all before it, by doubling: an array is copied once a level, not once a value."""
+
+    def level(x: Column, step: Column) -> Column:
+        far = F.zip_with(F.slice(x, 1, F.size(x) - step), F.slice(x, step + 1, F.size(x)), join)
+        return F.when(F.size(x) > step, F.concat(F.slice(x, F.lit(1), step), far)).otherwise(x)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(_LEVELS))), values, level)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as structs (start, end, part), in code points.
+    """Leftmost non-overlapping matches as structs (start, end, from, to, part): code points, bytes, the group's text.
 
-    What lies between matches and the matches themselves have the same order, so starts are running
+    What lies between matches and the matches themselves have the same order, so ends are running
     sums of their lengths.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), part.alias("part"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,part:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"), x["part"].alias("part")))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda x: F.struct((F.length(x["gap"]) + F.length(x["hit"])).alias("p"), (F.octet_length(x["gap"]) + F.octet_length(x["hit"])).alias("b")))
+        ends = running(sizes, lambda x, y: F.struct((x["p"] + y["p"]).alias("p"), (x["b"] + y["b"]).alias("b")))
+        return F.zip_with(
+            pairs,
+            ends,
+            lambda x, e: F.struct((e["p"] - F.length(x["hit"])).alias("start"), e["p"].alias("end"), (e["b"] - F.octet_length(x["hit"])).alias("from"), e["b"].alias("to"), x["part"].alias("part")),
+        )
+
+    return _bind(pairs, placed)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+def _span(m: Column, kind: int) -> Column:
+    return F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["from"].alias("from"), m["to"].alias("to"))
 
 
 def _spans_of(text: Column, kind: str) -> Column:
-    number = KINDS.index(kind)
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     found = matches(text, _FOUND[kind], 2 if kind == "assign" else 0)
     if kind == "assign":
         found = F.filter(found, lambda m: F.length(m["part"]) >= 8)
-    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
-    return F.when(text.rlike(_LIKELY[kind]), spans).otherwise(none)
+    spans = F.transform(found, lambda m: _span(m, KINDS.index(kind)))
+    return F.when(text.rlike(_LIKELY[kind]), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def base_spans(text: Column) -> Column:
@@ -79,6 +100,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_spans_of(text, k) for k in PATTERNS)))
 
 
+def _around(spans: Column, size: Column) -> Column:
+    """Byte ranges (from, to, next) before each sorted span and after the last, ``next`` where the following one starts; a span that touches those before has none of its own."""
+
+    def ranges(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: x["to"]), lambda x, y: F.greatest(x, y))
+        starts = F.concat(F.transform(spans, lambda x: x["from"]), F.array(size))
+        return _bind(ends, lambda e: F.zip_with(F.arrays_zip(F.concat(F.array(F.lit(0)), e).alias("a"), starts.alias("b")), F.concat(e, F.array(size)), lambda x, y: F.struct(x["a"].alias("from"), x["b"].alias("to"), y.alias("next"))))
+
+    return _bind(spans, ranges)
+
+
+def _piece(raw: Column, r: Column) -> Column:
+    """The text of a byte range, empty if it ends before it starts."""
+    return F.substring(raw, r["from"] + 1, F.greatest(r["to"] - r["from"], F.lit(0))).cast("string")
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in the place of sorted spans, which are ASCII."""
+    whole = lambda raw: F.array_join(F.transform(_around(spans, F.octet_length(raw)), lambda r: F.concat(_piece(raw, r), F.repeat(F.lit(" "), r["next"] - F.greatest(r["from"], r["to"])))), "")
+    return F.when(F.size(spans) > 0, _bind(text.cast("binary"), whole)).otherwise(text)
+
+
 def named(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -98,19 +141,34 @@ def random_strings(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(rows).select(F.explode(forms).alias("token")).where("length(token) > 1")
 
 
-def identifiers(docs: DataFrame, labels: DataFrame, params: SecretParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Labelled samples of ordinary identifiers: key-like runs of texts labelled good, outside base spans."""
+def _good_texts(docs: DataFrame, labels: DataFrame, params: SecretParams, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """Texts of at most ``sample_rows`` documents whose label is 1."""
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     good = good.orderBy(F.xxhash64("id"), "id").limit(params.sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(good), "id")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(good), "id")
+
+
+def identifiers(docs: DataFrame, labels: DataFrame, params: SecretParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Samples of ordinary identifiers: key-like runs, outside base spans, of texts labelled good.
+
+    The label tells prose from junk and not secrets, so what the fixed patterns find is taken out first.
+    """
     text = F.col("text")
     for pattern in PATTERNS.values():
         if pattern != PATTERNS["hex"]:
             text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(text, "[0-9a-f]{32,}", " ")
+    rows = _good_texts(docs, labels, params, id_col, text_col, label_col)
     return rows.select(F.explode(F.regexp_extract_all(text, F.lit(f"{_RUN}{{2,}}"), F.lit(0))).alias("token")).where("token rlike '[A-Za-z]'")
 
 
+def labelled_secrets(docs: DataFrame, labels: DataFrame, params: SecretParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Samples of secrets, which the fixed patterns label: values of 16 or more characters with a digit."""
+    values = (F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(2 if k == "assign" else 0)) for k in PATTERNS)
+    rows = _good_texts(docs, labels, params, id_col, text_col, label_col)
+    return rows.select(F.explode(F.concat(*values)).alias("token")).where("length(token) >= 16 and token rlike '[0-9]' and token rlike '[A-Za-z]'")
+
+
 def train_ratio(random: DataFrame, ordinary: DataFrame, smoothing: float = 1.0) -> list[float]:
     """log P(y | x, random) - log P(y | x, ordinary) for codes x and y, row by row; both samples may be empty."""
     import math
@@ -125,47 +183,53 @@ def train_ratio(random: DataFrame, ordinary: DataFrame, smoothing: float = 1.0)
     return [round(tables[0][x][y] - tables[1][x][y], 4) for x in range(SIZE) for y in range(SIZE)]
 
 
-def log_ratio(token: Column, ratio: list[float]) -> Column:
-    """Mean log-likelihood ratio of a run's steps."""
-    table = F.split(F.lit(" ".join(map(str, ratio))), " ").cast("array<double>")
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1))) - _FIRST
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, code(i) * SIZE + code(i + 1) + 1))
-    return total / F.greatest(F.length(token) - 1, F.lit(1))
+def _table(ratio: list[float]) -> Column:
+    return F.split(F.lit(" ".join(map(str, ratio))), " ").cast("array<double>")
 
 
-def _rests(run: Column, base: Column) -> Column:
-    """What base spans leave of a run, as structs (start, end, part)."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    hits = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    piece = lambda a, z: F.array(F.struct(a.alias("start"), z.alias("end")))
-    first = F.struct(run["start"].alias("at"), none.alias("out"))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
-    ranges = F.aggregate(hits, first, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
-    return F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.substring(run["part"], r["start"] - run["start"] + 1, F.greatest(r["end"] - r["start"], F.lit(0))).alias("part")))
+def _steps_sum(raw: Column, first: Column, last: Column, ratio: list[float]) -> Column:
+    """Sum of the ratios of the steps to the characters first + 1 to last, counted from 1, of ASCII bytes."""
+    code = lambda i: F.ascii(F.substring(raw, i, F.lit(1)).cast("string")) - _FIRST
+    total = F.aggregate(F.sequence(first, last - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(_table(ratio), code(i) * SIZE + code(i + 1) + 1))
+    return F.when(last > first, total).otherwise(F.lit(0.0))
+
+
+def log_ratio(token: Column, ratio: list[float]) -> Column:
+    """Mean log-likelihood ratio of a run's steps."""
+    return _bind(token.cast("binary"), lambda raw: _steps_sum(raw, F.lit(1), F.octet_length(raw), ratio) / F.greatest(F.octet_length(raw) - 1, F.lit(1)))
 
 
 def _joins(rest: Column, ratio: list[float], params: SecretParams) -> Column:
-    """Joined neighbouring parts between separators, of min_run or more characters, that reach the threshold, as structs (start, end).
+    """Joined neighbouring parts between separators, of min_run or more characters, that reach the threshold, as structs (start, end, from, to).
 
-    Parts are joined as long as the sum of what each step has over the threshold stays above zero.
+    Over all parts the sum of what each step has over the threshold is kept; a part is joined with the
+    ones from the lowest place of this sum on, and of those with the same first part the longest counts.
     """
-    over = lambda t: (log_ratio(t, ratio) - params.threshold) * F.greatest(F.length(t) - 1, F.lit(0))
-    parts = F.transform(matches(rest["part"], _PART), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), over(m["part"]).alias("own")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(-1.0).cast("double").alias("sum"), F.lit(-1).alias("good"), none.alias("out"))
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["good"] >= 0, F.concat(acc["out"], F.array(F.struct((rest["start"] + acc["start"]).alias("start"), (rest["start"] + acc["good"]).alias("end"))))).otherwise(acc["out"])
+    def scored(raw: Column, parts: Column) -> Column:
+        over = lambda a, z: _steps_sum(raw, a, z, ratio) - params.threshold * F.greatest(z - a, F.lit(0))
+
+        def own(x: Column, i: Column) -> Column:
+            link = F.when(i > 0, over(F.get(parts, i - 1)["end"], x["start"] + 1)).otherwise(F.lit(0.0))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), over(x["start"] + 1, x["end"]).alias("own"), link.alias("link"))
+
+        return F.transform(parts, own)
+
+    def joined(parts: Column) -> Column:
+        def placed(total: Column) -> Column:
+            lows = running(F.zip_with(F.transform(parts, lambda x, i: F.struct(x["own"].alias("own"), i.alias("i"))), total, lambda x, t: F.struct((t - x["own"]).alias("low"), x["i"].alias("i"))), lambda x, y: F.least(x, y))
+            pick = lambda x, y: F.struct(y["i"].alias("first"), F.get(parts, y["i"])["start"].alias("start"), x["end"].alias("end"), (x["t"] - y["low"]).alias("value"))
+            return F.zip_with(F.zip_with(parts, total, lambda x, t: F.struct(x["end"].alias("end"), t.alias("t"))), lows, pick)
+
+        return _bind(running(F.transform(parts, lambda x: x["link"] + x["own"]), lambda x, y: x + y), placed)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["sum"] < 0
-        start = F.when(fresh, x["start"]).otherwise(acc["start"])
-        total = F.when(fresh, x["own"]).otherwise(acc["sum"] + over(F.substring(rest["part"], acc["end"], x["end"] - acc["end"] + 1)))
-        state = F.struct(start.alias("start"), x["end"].alias("end"), total.alias("sum"), F.when(fresh, F.lit(-1)).otherwise(acc["good"]).alias("good"), F.when(fresh, closed(acc)).otherwise(acc["out"]).alias("out"))
-        return F.element_at(F.transform(F.array(state), lambda s: s.withField("good", F.when((s["sum"] >= 0) & (s["end"] - s["start"] >= params.min_run), s["end"]).otherwise(s["good"]))), 1)
+    def last(good: Column) -> Column:
+        return F.filter(good, lambda x, i: F.coalesce(F.get(good, i + 1)["first"] != x["first"], F.lit(True)))
 
-    return F.aggregate(parts, first, step, closed)
+    parts = _bind(matches(rest["part"], _PART), lambda q: _bind(rest["part"].cast("binary"), lambda raw: scored(raw, q)))
+    good = F.filter(_bind(parts, joined), lambda x: (x["value"] >= 0) & (x["end"] - x["start"] >= params.min_run))
+    move = lambda x: F.struct((rest["start"] + x["start"]).alias("start"), (rest["start"] + x["end"]).alias("end"), (rest["from"] + x["start"]).alias("from"), (rest["from"] + x["end"]).alias("to"))
+    return F.transform(_bind(good, last), move)
 
 
 def markov_spans(text: Column, base: Column, ratio: list[float], params: SecretParams) -> Column:
@@ -174,20 +238,17 @@ def markov_spans(text: Column, base: Column, ratio: list[float], params: SecretP
     What base spans leave of a run is judged as a whole, and if that is no secret by its parts, so that
     words before or after a secret don't hide it.
     """
-    none = F.expr(f"cast(array() as {_SPANS})")
-    run = f"{_RUN}{{{params.min_run},}}"
-    number = KINDS.index("markov")
-    rests = F.filter(F.flatten(F.transform(matches(text, run), lambda m: _rests(m, base))), lambda r: r["end"] - r["start"] >= params.min_run)
-    whole = lambda r: F.array(F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    rests = matches(_blanked(text, base), f"{_RUN}{{{params.min_run},}}")
+    whole = lambda r: F.array(F.struct(*(r[x].alias(x) for x in ("start", "end", "from", "to"))))
     found = F.flatten(F.transform(rests, lambda r: F.when(log_ratio(r["part"], ratio) >= params.threshold, whole(r)).otherwise(_joins(r, ratio, params))))
-    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
-    return F.when(text.rlike(f"{_RUN}{{{params.min_run}}}"), spans).otherwise(none)
+    spans = F.transform(found, lambda m: _span(m, KINDS.index("markov")))
+    return F.when(text.rlike(f"{_RUN}{{{params.min_run}}}"), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def with_secrets(docs: DataFrame, ratio: list[float], params: SecretParams | None = None, text_col: str = "text", out: tuple[str, str] = ("base_spans", "secret_spans")) -> DataFrame:
-    """Adds two columns to ``docs``: the base spans and all spans, as structs (start, kind, end).
+    """Adds two columns to ``docs``: the base spans and all spans, as structs (start, kind, end, from, to).
 
-    Kinds are numbers into :data:`KINDS`; positions are code points, ends exclusive.  A null text
+    Kinds are numbers into :data:`KINDS`; start and end are code points, from and to bytes, ends exclusive.  A null text
     counts as empty.  Rows are judged one by one, so ties and repeats need no rule; ``out`` names
     the columns, which replace any of those names.
     """
@@ -206,18 +267,19 @@ def secret_counts(docs: DataFrame, ratio: list[float], params: SecretParams | No
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of touching or overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch of touching or overlapping spans replaced by ``mark``; null for a null text."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) & ((acc["at"] == 0) | (s["start"] > acc["at"])), fresh).when((s["start"] == 0) & (acc["at"] == 0), fresh).otherwise(acc["out"]).alias("out"))
+    def pieces(raw: Column, around: Column) -> Column:
+        marked = lambda r, i: (i < F.size(around) - 1) & ((i == 0) | (r["to"] > r["from"]))
+        return F.array_join(F.transform(around, lambda r, i: F.concat(_piece(raw, r), F.when(marked(r, i), F.lit(mark)).otherwise(F.lit("")))), "")
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = _bind(text.cast("binary"), lambda raw: _bind(_around(F.array_sort(spans), F.octet_length(raw)), lambda around: pieces(raw, around)))
+    return F.when(text.isNotNull(), out)
 
 
 def train_secrets(docs: DataFrame, labels: DataFrame, params: SecretParams | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[float]:
-    """The models' log-ratio table from random strings and from identifiers of labelled texts."""
+    """The models' log-ratio table: random strings and the secrets of labelled texts against the identifiers of labelled texts."""
     p = params or SecretParams()
     ordinary = identifiers(docs, labels, p, id_col, text_col, label_col)
-    return train_ratio(random_strings(docs.sparkSession, p.random_rows), ordinary, p.smoothing)
+    random = random_strings(docs.sparkSession, p.random_rows).union(labelled_secrets(docs, labels, p, id_col, text_col, label_col))
+    return train_ratio(random, ordinary, p.smoothing)

@@ -104,3 +104,13 @@ def test_secrets_beside_base_spans_and_words(spark, ratio):
         missed += not any(s.start <= lo and hi <= s.end for s in found)
         assert all(s.end <= b.start or b.end <= s.start for s in found for b in r.base_spans)
     assert missed <= 3
+
+
+def test_long_text_of_many_matches(spark, ratio):
+    line = "é " + hashlib.sha256(b"x").hexdigest() + "\n"
+    texts = [line * 16_000, line.upper() * 4_000, "QmFzZTY0Zk3V" * 40_000, "unter-information-configuration-" * 8_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    got = {r.doc_id: r for r in S.with_secrets(df, ratio).select("doc_id", "secret_spans", S.redacted(F.col("text"), F.col("secret_spans")).alias("out")).collect()}
+    assert [len(got[i].secret_spans) for i in range(4)] == [16_000, 4_000, 1, 0]
+    assert got[0].out == "é [SECRET]\n" * 16_000 and got[1].out == "É [SECRET]\n" * 4_000
+    assert got[2].out == "[SECRET]" and got[3].out == texts[3]
