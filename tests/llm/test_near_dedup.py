@@ -99,3 +99,51 @@ def test_components(spark):
     got = {r.id: r.component for r in components(df, Scratch(spark)).collect()}
     assert got == {v: find(v) for v in root if any(v in e and e[0] != e[1] for e in edges)}
     assert components(df.where("a < 0"), Scratch(spark)).count() == 0
+
+
+def test_repeated_ids_keep_their_own_links(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " other"), (4, "x")]
+    got = sorted((r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_doubled_words_are_not_linked(spark):
+    x, y = "ab", "ba"
+    for _ in range(9):
+        x, y = x + y, y + x
+    rows = [(1, f"{x} q w e r"), (2, f"{y} q w e r"), (3, f"{x}  q w e r")]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_text(spark):
+    long_ = " ".join(f"w{i * i % 9973}" for i in range(400_000))
+    rows = [(5, long_), (6, long_ + " end"), (7, long_[: len(long_) // 2])]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[6] == 5 and got[5] == 5
+
+
+def test_family_of_a_template_stays_linear(spark):
+    """1,200 texts alike at about 0.7, which bands do catch: no pair is linked, and few are compared."""
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(1200):
+        words = template + [f"u{k}x{i}" for i in range(60)]
+        rows.append((k, " ".join(words)))
+    rows += [(1200 + k, rows[k][1] + " z") for k in range(0, 1200, 100)]
+    seen = []
+    confirm = N._Linker.confirm
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        confirm(self, pairs)
+
+    N._Linker.confirm = counted
+    try:
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    finally:
+        N._Linker.confirm = confirm
+    assert got == {i: (i - 1200 if i >= 1200 else i) for i, _ in rows}
+    assert sum(seen) < 6 * len(rows), seen
