@@ -4,9 +4,10 @@ A tolerant scanner builds a flat tree: elements in page order with their parents
 Menus, headers, footers, side bars, notices, adverts, forms, comments and what a page does not show
 are cut off.  Each paragraph then passes points for its length and commas to its parent and, halved,
 to its grandparent; a container's points are discounted by the share of its text that is in links.
-The container with most points and those of its siblings that look like content are kept.  What
-holds most of a page's text is not cut for being a form or for a word in a compound class as has-sidebar, and such
-words count for nothing where little text would be left.
+The container with most points is raised to its ancestors as long as what they add is no links, and
+those of its siblings that look like content are kept.  What holds most of a page's text is not cut for being a
+form or for a word in a compound class as has-sidebar, prose not for a mild word in one as related-work, and such words
+count for nothing where little text would be left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
+
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|/?[A-Za-z][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -42,11 +44,15 @@ _CUT_WORDS = set(
     "subscription signup login comment comments commentlist reply replies respond discussion disqus sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead toolbar "
     "share sharing social related recommended recommendations widget pager pagination skip tags copyright disclaimer".split()
 )
+#: Those of them that prose may have in a compound class.
+_MILD_WORDS = set("alert banner copyright disclaimer discussion foot menu modal notice notices overlay promotion recommended recommendations related replies reply respond share sharing skip social tags toolbar widget".split())
 #: Words beside "header" in the class or id of a whole page's header.
 _SITE_WORDS = {"site", "page", "top", "global", "main", "wrapper", "container", "wrap"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 #: Cut unless they hold most of the page's text.
 _FORMS = {"form", "fieldset"}
+#: Characters outside links from which an element's text may be prose.
+_PROSE = 120
 _GOOD_WORDS = set("article body content entry main page post story text blog".split())
 
 
@@ -131,26 +137,27 @@ class _Page:
                 return
 
 
-def _dominant(page: _Page) -> list[bool]:
-    """Whether each element holds most of the text that is not cut for what it is, links left out."""
+def _weighed(page: _Page) -> tuple[list[bool], list[bool]]:
+    """Whether each element holds most of the text that is not cut for what it is, links left out, and whether its text is prose."""
     n = len(page.tag)
-    gone, linked, size = [False] * n, [False] * n, [0] * n
+    gone, linked, size, links = [False] * n, [False] * n, [0] * n, [0] * n
     for i in range(1, n):
         up = page.parent[i]
         gone[i] = gone[up] or (page.cut[i] and page.tag[i] not in _FORMS) or page.hidden[i]
         linked[i] = linked[up] or page.tag[i] == "a"
     for i, t in page.texts:
-        if not gone[i] and not linked[i]:
-            size[i] += len(" ".join(t.split()))
+        if not gone[i]:
+            (links if linked[i] else size)[i] += len(" ".join(t.split()))
     for i in range(n - 1, 0, -1):
         size[page.parent[i]] += size[i]
-    return [2 * x > size[0] for x in size]
+        links[page.parent[i]] += links[i]
+    return [2 * x > size[0] for x in size], [x >= _PROSE and 4 * y <= x for x, y in zip(size, links)]
 
 
 def _kept(page: _Page, soft: list[bool] | None) -> list[bool]:
     """Whether each element stays when the cut ones and what is in them go, and so the ``soft`` ones that hold no article."""
     n = len(page.tag)
-    most = _dominant(page)
+    most, prose = _weighed(page)
     holds = [t in ("article", "main") for t in page.tag]
     for i in range(n - 1, 0, -1):
         holds[page.parent[i]] |= holds[i]
@@ -160,7 +167,8 @@ def _kept(page: _Page, soft: list[bool] | None) -> list[bool]:
         inside[i] = inside[up] or page.tag[i] in ("article", "main")
         header = page.tag[i] == "header" or (soft is not None and page.tag[i] != "body" and page.words[i] - _SITE_WORDS == {"header"})
         cut = page.cut[i] and not (page.tag[i] in _FORMS and not page.hidden[i] and (most[i] or holds[i]))
-        named = soft is not None and soft[i] and not holds[i] and (page.plain[i] or not most[i])
+        mild = prose[i] and not page.plain[i] and page.words[i] & _CUT_WORDS <= _MILD_WORDS
+        named = soft is not None and soft[i] and not holds[i] and not mild and (page.plain[i] or not most[i])
         stays[i] = stays[up] and not (cut or named or (header and not inside[i] and not holds[i]))
     return stays
 
@@ -216,21 +224,34 @@ def _extract(page: _Page, stays: list[bool]) -> str:
         points[i] = (points[i] + bonus) * (1 - whole_links[i] / whole[i]) if points[i] or bonus else 0.0
         if points[i] > best:
             best, chosen = points[i], i
+    top = ("body", "html", "#root")
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        if stays[i] and whole[i]:
+            kids[parent[i]].append(i)
+    while tag[chosen] not in (*top, "article", "main") and tag[up := parent[chosen]] not in top:
+        if any(i != chosen and 5 * whole_links[i] > whole[i] for i in kids[up]) or 5 * links[up] > length[up] > 0:
+            break
+        chosen = up
     keep = [False] * n
     keep[chosen] = True
+    inside = bool(chosen) and tag[parent[chosen]] not in top and tag[chosen] not in ("article", "main")
     if chosen:
-        for i in range(n):
-            if i != chosen and parent[i] == parent[chosen] and stays[i] and whole[i]:
+        for i in kids[parent[chosen]]:
+            if i != chosen:
                 density = whole_links[i] / whole[i]
+                alike = inside or (tag[i] == tag[chosen] and page.words[i] == page.words[chosen])
                 if tag[i] in _PARAGRAPH:
-                    keep[i] = density < 0.25 and (whole[i] > 80 or (density == 0 and tag[i] in ("h1", "h2"))) and tag[chosen] not in ("article", "main")
+                    keep[i] = density < 0.25 and (alike or whole[i] > 80 or (density == 0 and tag[i] in ("h1", "h2", "p"))) and tag[chosen] not in ("article", "main")
+                elif tag[chosen] not in ("article", "main"):
+                    keep[i] = density < 0.5 and (alike or points[i] >= 0.1 * best) and (points[i] > 0 or density < 0.2)
                 else:
                     keep[i] = points[i] > 0 and points[i] >= 0.2 * best and density < 0.5
     for i in range(chosen + 1 if not chosen else 1, n):
         keep[i] = keep[i] or keep[parent[i]]
     out, at, parts = [], -1, []
     for i, t in texts:
-        if not keep[i]:
+        if not (keep[i] or (inside and i == parent[chosen])):  # text between siblings stays too
             continue
         if block[i] != at:
             out.append(parts)

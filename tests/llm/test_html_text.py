@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from talktree.llm.html_text import extract_pages, main_text
@@ -71,3 +73,36 @@ def test_main_text_is_not_cut_with_its_container(page):
 def test_smaller_siblings_stay():
     part = "<p>" + "Long sentence, with commas, that goes on and on. " * 3 + "</p>"
     assert main_text(f"<body>{NAV}<div>{part * 2}</div><div>{part}</div></body>").count("\n") == 2
+
+
+P = "Long sentence, with commas, that goes on and on. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, lines",
+    [
+        (f"<body>{NAV}<div><p>Short intro.</p><div class='x'><p>{P}</p><p>{P}</p></div><p>The end.</p></div></body>", ["Short intro.", P, P, "The end."]),
+        (f"<body>{NAV}<div id=wrap><div><p>First part.</p></div><div><p>{P}</p><p>{P}</p></div><div><p>Last part.</p></div></div></body>", ["First part.", P, P, "Last part."]),
+        (f"<body><form>{NAV}<div><h1>T</h1><p>{P}</p></div></form></body>", ["T", P]),
+        (f"<body><div class='post'><h1>T</h1><div class='related-work'><p>{P}</p></div><div class='tags-explained'><p>{P}</p></div><div class='related'><p>Other, more, stories, and so on, and on</p></div></div></body>", ["T", P, P]),
+        (f"<body><article><h1>T</h1><section class='share-prices'><p>{P}</p></section><p>ok</p><div class='user-comments'><p>{P}</p></div></article></body>", ["T", P, "ok"]),
+        (f"<body><div><p>Intro</p>loose text<div><p>{P}</p></div></div><div class='sidebar'><p>{P}</p></div></body>", ["Intro", "loose text", P]),
+    ],
+)
+def test_whole_article_stays(page, lines):
+    assert main_text(page) == "\n".join(x.strip() for x in lines)
+
+
+def test_generated_articles_come_back_whole():
+    """Against the text that a page was made from: blocks of any length, in nested wrappers, with things beside them."""
+    rng = random.Random(6)
+    junk = [NAV, "<div class='ad'>Buy, now, cheap, things, that nobody needs at all</div>", "<div class='comments'><p>A reader says, at length, something about it all.</p></div>", "<footer>&copy; x</footer>", "<div class='newsletter-signup'><p>Sign up, for mail, every day, of the week.</p></div>"]
+    for _ in range(300):
+        blocks = [" ".join(rng.choice(["some", "words,", "go", "on.", "é"]) + str(k) for k in range(rng.choice([1, 3, 20, 60]))) for _ in range(rng.randint(2, 9))]
+        blocks.append(" ".join(f"long{k}," for k in range(60)))
+        tags = [rng.choice(["p", "p", "div", "li", "blockquote", "h2", "pre"]) for _ in blocks]
+        inner = "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks))
+        for wrap in rng.choice([["article"], ["main", "div"], ["div class='post'"], ["article", "section"], ["div class='entry-content'", "div"]]):
+            inner = f"<{wrap}>{inner}</{wrap.split()[0]}>"
+        page = f"<html><body>{''.join(rng.sample(junk, 2))}{inner}{''.join(rng.sample(junk, 2))}</body></html>"
+        assert main_text(page) == "\n".join(blocks), page
