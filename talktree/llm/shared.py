@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,15 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    A cluster names that directory.  Where it is unset, as in tests on one machine, a temporary
-    folder is taken and set in the session.
+    A cluster names that directory.  Where it is unset on a local master, as in tests, a temporary
+    folder is taken and set in the session; elsewhere executors would not see each other's files, so
+    that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='talktree-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/talktree-{uuid.uuid4().hex}"

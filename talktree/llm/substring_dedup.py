@@ -189,37 +189,37 @@ class FingerprintIndex:
     def _sorted(self, run: DataFrame, name: str) -> DataFrame:
         return self.scratch.keep(run.sortWithinPartitions("anchor", "context"), name)
 
-    def compact(self) -> None:
-        """Merges all runs into one with the smallest document of each fingerprint."""
-        if len(self.runs) > 1:
-            old = self.runs
-            merged = old[0]
-            for run in old[1:]:
-                merged = merged.union(run)
-            self.runs = [self._sorted(merged.groupBy("anchor", "context").agg(F.min("id").alias("id")), "compacted")]
-            self.scratch.drop(*old)
+    def _merged(self) -> DataFrame:
+        """All runs as one, with the smallest document of each fingerprint; written, as the compacted run, once there are ``max_runs``."""
+        *old, new = self.runs
+        if not old:
+            return new
+        both = new.select("anchor", "context", "id", "fresh")
+        for run in old:
+            both = both.union(run.select("anchor", "context", "id", F.lit(False)))
+        both = both.groupBy("anchor", "context").agg(F.min("id").alias("id"), F.max("fresh").alias("fresh"))
+        if len(self.runs) < self.params.max_runs:
+            return both
+        self.runs = [self._sorted(both, "compacted")]
+        self.scratch.drop(*old, new)
+        return self.runs[0]
 
     def add(self, batch: DataFrame, store: DataFrame, with_text: bool = False) -> DataFrame:
         """Judges the (id, text) rows of ``batch`` against the index and each other, and indexes them.
 
-        ``store`` has the text of every document that is indexed, the batch's included.
+        ``store`` has the text of every document that is indexed, the batch's included.  Batches come
+        by ascending id: a later one with smaller ids would not change what was said of earlier ones.
+        Only windows at anchors that the batch has are verified, so history is not gone through again.
         """
         p, keep = self.params, self.scratch.keep
         prints = keep(batch.where("id is not null").mapInArrow(_fingerprints(p), "anchor long, context long, id long"), "prints")
-        new = self._sorted(prints.groupBy("anchor", "context").agg(F.min("id").alias("id")), "run")
-        self.runs.append(new)
-        if len(self.runs) >= p.max_runs:
-            self.compact()
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.union(run)
-        if len(self.runs) > 1:
-            merged = merged.groupBy("anchor", "context").agg(F.min("id").alias("id"))
-        owners = merged.withColumnRenamed("id", "owner")
+        self.runs.append(self._sorted(prints.groupBy("anchor", "context").agg(F.min("id").alias("id")).withColumn("fresh", F.lit(True)), "run"))
+        merged = self._merged()
+        owners = merged.select("anchor", "context", F.col("id").alias("owner"))
         repeated = prints.join(owners, ["anchor", "context"]).where("id > owner").select("id", "context")
         repeated = repeated.groupBy("id").agg(F.collect_set("context").alias("whole"))
 
-        several = merged.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
+        several = merged.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("fresh").alias("fresh")).where("n > 1 and lo < hi and fresh").select("anchor")
         contested = merged.join(several, "anchor").groupBy("id").agg(F.collect_set("context").alias("contested"))
         windows = store.join(contested, "id").select("id", "text", "contested").mapInArrow(_windows(p), "w1 long, w2 long, id long, at int")
         windows = keep(windows, "windows")
