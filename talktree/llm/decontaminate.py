@@ -5,7 +5,7 @@ a test item, found in a document next to each other or with one word between.  A
 the score keeps a known number of the item's pairs: of the full score it may lose a share, a word
 changed or left out costs 3 and breaks two pairs, a word at an end costs 2 and breaks one, and a pair is lost
 to two words put in, which cost 2.  So the commonest pairs of an item can be left out of the look-up
-and several seeds be asked for in one stretch without losing a copy; how often the items' words occur is
+and several seeds be asked for in one stretch without losing a copy; how often the items' pairs occur is
 counted over all documents.  Passages with so many seeds are aligned with the item.  A long part of an item
 counts by its own length and share of matches, and its pairs are kept and counted in the same way.  The items are a
 stated query set: they are taken in blocks of bounded size, and each block is held against all
@@ -73,17 +73,19 @@ def _find(values: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.
     return at[hit], to[hit]
 
 
-def _count_words(vocabulary: np.ndarray):
+def _count_pairs(vocabulary: np.ndarray):
     sieve = _sieve(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for block in W.blocks(batch.column(0)):
-                _, to = _find(_plain(block)[1], vocabulary, sieve)
+                w, h = _plain(block)
+                start, _ = W.gram_starts(w.bounds, 2)
+                _, to = _find(_pairs(h[start], h[start + 1]), vocabulary, sieve)
                 total += np.bincount(to, minlength=len(vocabulary))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
     return run
 
@@ -119,14 +121,13 @@ def _partial(p: DecontaminationParams) -> tuple[int, int, int]:
 
 
 def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p: DecontaminationParams) -> ItemIndex:
-    """Chooses each item's seeds by the rarity of their words."""
+    """Chooses each item's seeds by the rarity of the word pairs."""
     seeds: list[tuple[int, int, int]] = []
     for k, w in enumerate(words):
         if len(w) < max(p.min_item, 2):
             continue
-        cost = np.log2([1 + frequency.get(int(x), 0) for x in w])
         n = len(w) - 1
-        total = cost[:-1] + cost[1:]
+        total = np.array([frequency.get(int(x), 0) for x in _pairs(w[:-1], w[1:])])
         chosen = {i + int(total[i : i + p.stretch].argmin()) for i in range(max(1, n - p.stretch + 1))}
         chosen |= set(np.argsort(total, kind="stable")[: n - _whole(len(w), p)[0]].tolist())
         for i in range(n - p.part + 2):
@@ -264,11 +265,11 @@ def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParam
         for chunk in W.blocks(got["text"].combine_chunks()):
             w, h = _plain(chunk)
             words += [h[w.bounds[i] : w.bounds[i + 1]] for i in range(chunk.n)]
-        vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        vocabulary = np.unique(np.concatenate([_pairs(x[:-1], x[1:]) for x in words])) if words else np.zeros(0, np.uint64)
         if not len(vocabulary):
             continue
-        counts = rows.select("text").mapInArrow(_count_words(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        frequency = {int(vocabulary[r.word]): r.n for r in counts.collect()}  # a row for each word of the item block at most
+        counts = rows.select("text").mapInArrow(_count_pairs(vocabulary), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        frequency = {int(vocabulary[r.pair]): r.n for r in counts.collect()}  # a row for each word pair of the item block at most
         found = rows.mapInArrow(_search(build_index(ids, words, frequency, p), p), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out

@@ -8,6 +8,7 @@ import pytest
 
 from talktree.llm import decontaminate as D
 from talktree.llm import licenses as L
+from talktree.llm import words as W
 from talktree.llm.alignment import align
 
 
@@ -167,3 +168,41 @@ def test_copies_close_together(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = [(r.doc_id, r.start) for r in L.scan_licenses(df).collect()]
     assert sorted(rows) == [(i, k) for i, t in enumerate(texts) for k in range(len(t)) if t.startswith(line, k)]
+
+
+def test_licenses_against_all_pairs(spark):
+    """Every template aligned with every whole text, without fingerprints or bands."""
+    rng = random.Random(3)
+    p, names, texts = L.LicenseParams(), sorted(L.TEMPLATES), []
+    for i in range(120):
+        w = L.TEMPLATES[rng.choice(names)].split()
+        for _ in range(int(len(w) * rng.choice([0, 0.05, 0.1, 0.25]))):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 99)}"
+        texts.append(" ".join(words(rng.randint(0, 30), rng) + (w if i % 6 else []) + words(rng.randint(0, 30), rng)))
+    texts += [L._gnu("Lesser General Public License", "2.1", "library"), L.TEMPLATES["BSD-2-Clause-text"]]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (None, texts[1])], "doc_id long, text string")
+    got = {}
+    for r in L.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len({(r.license, r.start) for r in got[None]}) * 2 == len(got.get(None, []))
+    index, close = L.index_templates(L.TEMPLATES, p), []
+    for d, text in enumerate(texts):
+        block = next(W.blocks(pa.array([text])))
+        h = L._plain(block)[1]
+        for t, target in enumerate(index.words):
+            if len(target) < p.gram:
+                continue
+            x = align(target, h)
+            if x.matches >= p.min_coverage * len(target):
+                a, b = (int(v) for v in (L._plain(block)[0].start[x.b_start], L._plain(block)[0].end[x.b_end - 1]))
+                close.append((d, index.names[t], any(r.start < b and a < r.end and r.n_matches >= x.matches for r in got.get(d, []))))
+    assert len(close) > 100 and sum(ok for _, _, ok in close) >= 0.98 * len(close), [c for c in close if not c[2]]
+    assert [r.license for r in got[120]] == ["LGPL-2.1-header"] and [r.license for r in got[121]] == ["BSD-2-Clause-text"]
+
+
+def test_contamination_of_repeated_rows_and_null_ids(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, "w " * 200_000 + item)], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.score) for r in D.contaminated(df, tests).collect())
+    assert got == [(i, 7, 1.0) for i in (0, 0, 1, 1, 1, 1, 2, 2)]
