@@ -8,10 +8,8 @@ import json
 import os
 import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talktree.functions.text import is_internal
 from talktree.functions.values import export_name, finite, name_key, time_text
@@ -99,37 +97,37 @@ def copy_stream(archive: Archive, path: str = "current", include_internal: bool
     return parts.select("conversation_id", _joined(F.col("_parts"), "\n\n").alias("content"))
 
 
-@F.pandas_udf(T.StringType())
-def _name_udf(title: pd.Series, cid: pd.Series, created: pd.Series, updated: pd.Series, fmt: pd.Series, number: pd.Series) -> pd.Series:
-    none = lambda x: None if pd.isna(x) else float(x)
-    return pd.Series([export_name(t, c, none(a), none(b), f, "" if n < 0 else f"_{n:03d}") for t, c, a, b, f, n in zip(title, cid, created, updated, fmt, number)])
-
-
-@F.pandas_udf(T.StringType())
-def _key_udf(name: pd.Series) -> pd.Series:
-    return name.map(name_key)
+def _name(number: Column | None = None) -> Column:
+    return export_name(F.col("title"), F.col("conversation_id"), F.coalesce("create_time", "update_time"), F.col("format"), number)
 
 
 def file_names(conversations: DataFrame, formats: tuple[str, ...] = FORMATS) -> DataFrame:
     """``(conversation_id, format, output_path)``: file names, no two equal on any system.
 
-    A name that is one of a kind stays.  Equal ones are numbered by format and id, past numbers whose
-    name is another's natural name; a name that still meets an earlier one is given a longer number.
+    A name that is one of a kind stays.  Equal ones are numbered by format and id with the next numbers
+    whose names are nobody's natural name, and are not given to an earlier group of equal names.
     """
-    args = lambda n: [F.col(c) for c in ("title", "conversation_id", "create_time", "update_time", "format")] + [n]
-    rows = conversations.withColumn("format", F.explode(F.array(*map(F.lit, formats))))
-    rows = rows.withColumn("_natural", _name_udf(*args(F.lit(-1)))).withColumn("_key", _key_udf("_natural"))
+    rows = conversations.select("conversation_id", "title", "create_time", "update_time", F.explode(F.array(*map(F.lit, formats))).alias("format"))
+    rows = rows.withColumn("_natural", _name()).withColumn("_key", name_key(F.col("_natural")))
     same = Window.partitionBy("_key")
-    rows = rows.withColumn("_same", F.count("*").over(same))
-    rows = rows.withColumn("_number", F.when(F.col("_same") > 1, F.row_number().over(same.orderBy("format", "conversation_id"))).otherwise(-1))
-    rows = rows.withColumn("_name", _name_udf(*args(F.col("_number")))).withColumn("_name_key", _key_udf("_name"))
-    taken = rows.select(F.col("_key").alias("_name_key")).distinct().withColumn("_taken", F.lit(True))
-    rows = rows.join(taken, "_name_key", "left")
-    clash = F.row_number().over(Window.partitionBy("_name_key").orderBy(F.col("_number") > 0, "format", "conversation_id"))
-    again = (F.col("_number") > 0) & (F.coalesce("_taken", F.lit(False)) | (clash > 1))
-    rows = rows.withColumn("_again", again)
-    longer = F.when(F.col("_again"), F.abs(F.xxhash64("conversation_id", "format")) % 1_000_000_000 + 1_000_000).otherwise(F.col("_number"))
-    return rows.withColumn("output_path", _name_udf(*args(longer))).select("conversation_id", "format", "output_path")
+    rows = rows.withColumns({"_same": F.count("*").over(same), "_rank": F.row_number().over(same.orderBy("format", "conversation_id"))})
+    single = rows.where("_same = 1").select("conversation_id", "format", F.col("_natural").alias("output_path"))
+    twice = rows.where("_same > 1")
+    if not twice.limit(1).count():
+        return single
+    spare = 8
+    while True:
+        numbers = twice.where("_rank = 1").withColumn("_number", F.explode(F.sequence(F.lit(1), (F.col("_same") + spare).cast("int"))))
+        tried = numbers.withColumn("_name", _name(F.col("_number"))).select("_key", "_number", name_key(F.col("_name")).alias("_tried"))
+        free = tried.join(rows.select(F.col("_key").alias("_tried")).distinct(), "_tried", "left_anti")
+        first = F.row_number().over(Window.partitionBy("_tried").orderBy("_key", "_number"))
+        free = free.withColumn("_first", first).where("_first = 1")
+        free = free.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("_number"))).select("_key", "_rank", "_number")
+        given = twice.join(free, ["_key", "_rank"], "left")
+        if not given.where("_number is null").limit(1).count():
+            break
+        spare *= 16  # so many numbers are taken by other names
+    return single.union(given.select("conversation_id", "format", _name(F.col("_number")).alias("output_path")))
 
 
 def manifest(archive: Archive, content: DataFrame, path: str = "current", include_internal: bool = False) -> DataFrame:

@@ -105,9 +105,25 @@ def test_values(spark):
     assert V.canonical_id(" a ", True) == "a" and V.canonical_id(3) == "3" and V.canonical_id(True) is None and V.canonical_id("a\n") is None
     assert V.to_time("1.5") == (1.5, None) and V.to_time("x")[1] == "invalid_timestamp" and V.to_time("1e999")[1] == "non_finite_timestamp"
     assert [V.to_flag(x) for x in (True, "Yes", "off", "?", None, 2)] == [1, 1, 0, None, None, 1]
-    assert V.safe_name('a/b:c*"d') == "a_b_c_d" and V.safe_name("con") == "_con" and V.safe_name(" .. ") == "untitled"
-    name = V.export_name("t" * 500, "i" * 300, 0.0, None, "md")
-    assert len(name.encode()) <= 240 and name.startswith("1970-01-01_t") and name.endswith(".md")
     df = spark.createDataFrame([(0.0,), (1.9,), (-0.5,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(V.time_text(F.col("x"))).collect()] == ["1970-01-01 00:00:00", "1970-01-01 00:00:01", "1969-12-31 23:59:59", "", ""]
-    assert V.name_key("É") == V.name_key(unicodedata.normalize("NFD", "é"))
+
+
+def test_file_names(spark):
+    rows = [(0, 'a/b:c*"d', "i" * 300), (1, "con", "c"), (2, " .. ", "LPT¹.x"), (3, "t" * 500, "id"), (4, "é" * 300, "ü" * 120), (5, "日本 \t語\x85", "n"), (6, None, "x. "), (7, "E\u0301", "e"), (8, "É", "e"), (9, "a\x00b\x1f", "z")]
+    df = spark.createDataFrame(rows, "i int, t string, c string")
+    name = V.export_name(F.col("t"), F.col("c"), F.lit(0.0), F.lit("md"))
+    got = {r.i: r for r in df.select("i", V.safe_name(F.col("t")).alias("s"), name.alias("n")).withColumn("k", V.name_key(F.col("n"))).collect()}
+    assert [got[i].s for i in (0, 1, 2, 5, 6, 9)] == ["a_b_c_d", "_con", "untitled", "日本__語", "untitled", "a\ufffdb"]
+    assert all(len(r.n.encode()) <= 240 and r.n.startswith("1970-01-01_") and r.n.endswith(".md") for r in got.values())
+    assert got[3].n == "1970-01-01_" + "t" * 80 + "_id.md" or len(got[3].n) <= 240
+    assert got[2].n == "1970-01-01_untitled__LPT¹.x.md" and got[6].n == "1970-01-01_untitled_x.md"
+    assert got[7].k == got[8].k and got[7].s == got[8].s == "É"
+    cuts = spark.createDataFrame([("aé😀b",)], "t string").select(*(V.cut_utf8(F.col("t"), n).alias(f"c{n}") for n in range(10))).first()
+    assert list(cuts) == ["aé😀b".encode()[:n].decode("utf-8", "ignore") for n in range(10)]
+
+
+def test_highlights_of_decomposed_text():
+    syllables = unicodedata.normalize("NFD", "한국어 é")
+    assert X.highlights(f"x {syllables} y", ["한국어"]) == [(2, 2 + len(unicodedata.normalize("NFD", "한국어")))]
+    assert X.normalized_map(syllables)[0] == X.normalize(syllables)
