@@ -9,9 +9,9 @@ Bands of coordinates make candidate pairs, and links are confirmed on the full s
 
 Equal sets, by 128 bits of two independent fingerprints, are one class with a number of its own, so
 rows that repeat an id don't stand in for each other.  A bucket is held together by its head; what that
-leaves in different components is compared pair by pair in small groups.  Members of large groups are
-bucketed anew by their rarest shingles: two linked sets share one of the smaller set's n - 2sn/(1+s)
-rarest and the larger one's n - sn rarest, which texts with only a template in common don't.
+leaves in different components is compared.  In large groups only classes are that share a rare shingle
+with one of another component: two linked sets share one of the smaller set's n - 2sn/(1+s) rarest and the
+larger one's n - sn rarest, which texts with only a template in common don't.
 """
 
 from __future__ import annotations
@@ -246,24 +246,22 @@ class _Linker:
         self.comp: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds those of the pairs (a, b) that are linked, and settles the components."""
+        """Adds those of the pairs (a, b) that are linked."""
         text = lambda x: self.texts.select(F.col("uid").alias(x), F.col("text").alias(f"t{x}"))
         wide = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
         self.add(wide.mapInArrow(_confirm(self.p), "a long, b long"))
 
     def add(self, links: DataFrame) -> None:
         new = self.scratch.keep(links, "links")
-        if self.comp is not None and not new.limit(1).count():
-            return
         self.links = new if self.links is None else self.links.union(new)
+
+    def settle(self) -> None:
+        """Brings the components up to the links."""
         self.comp = self.scratch.keep(components(self.links, self.scratch).select(F.col("id").alias("uid"), F.col("component").alias("c")), "components")
 
-    def placed(self, rows: DataFrame, key: str = "uid", name: str = "c") -> DataFrame:
-        """Adds the component of the class in ``key``, itself if it is alone."""
-        if self.comp is None:
-            return rows.withColumn(name, F.col(key))
-        comp = self.comp.select(F.col("uid").alias(key), F.col("c").alias("_c"))
-        return rows.join(comp, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Adds ``c``, the class's component, itself if it is alone."""
+        return rows.join(self.comp, "uid", "left").withColumn("c", F.coalesce("c", "uid"))
 
     def star(self, members: DataFrame) -> DataFrame:
         """Holds every class of the buckets (k, uid, size) against the head that it meets most often; gives (k, uid, head)."""
@@ -272,7 +270,6 @@ class _Linker:
         heads = ranked.groupBy("k").agg(F.max(F.struct("mates", (-F.col("uid")).alias("x"))).alias("m")).select("k", (-F.col("m.x")).alias("head"))
         buckets = self.scratch.keep(members.select("k", "uid").join(heads, "k"), "buckets")
         pairs = buckets.where("uid <> head").groupBy("head", "uid").agg(F.count("*").alias("shared"))
-        pairs = self.placed(self.placed(pairs), "head", "hc").where("c <> hc").select("uid", "head", "shared")
         pairs = pairs.alias("g").join(self.sizes.alias("x"), F.col("g.uid") == F.col("x.uid")).join(self.sizes.alias("y"), (F.col("g.head") == F.col("y.uid")) & _alike(self.p)).select("g.*")
         self.confirm(pairs.groupBy("uid").agg(F.max(F.struct("shared", (-F.col("head")).alias("x"))).alias("m")).select(F.col("uid").alias("a"), (-F.col("m.x")).alias("b")))
         return buckets
@@ -283,16 +280,16 @@ class _Linker:
         both = parts.groupBy(key).agg(F.max(F.struct("m", (-F.col("c")).alias("x"))).alias("big"), F.sum("m").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
         return self.scratch.keep(both.select(key, (-F.col("big.x")).alias("big"), "size", (F.col("size") - F.col("big.m")).alias("out")), "mixed")
 
-    def pairs(self, rows: DataFrame, extra: Column | None = None) -> None:
-        """Compares the members (k, uid, ..) of small buckets that lie in different components."""
+    def pairs(self, rows: DataFrame) -> None:
+        """Compares the members (k, uid) of small buckets that lie in different components."""
         named = self.placed(rows).join(self.sizes, "uid")
-        apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.uid") < F.col("y.uid") if extra is None else extra)
-        ends = F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")
-        self.confirm(named.alias("x").join(named.alias("y"), apart & _alike(self.p)).select(*ends).distinct())
+        apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.c") != F.col("y.c"))
+        self.confirm(named.alias("x").join(named.alias("y"), apart & _alike(self.p)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
 
     def cells(self, rows: DataFrame, mixed: DataFrame) -> None:
         """Compares classes outside a large bucket's main component with all its members, in cells of bounded size."""
         p = self.p
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, for cells are small but take long
         big = self.placed(rows.select("k", "uid")).join(mixed, "k")
         slots = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / p.cell)).cast("long")
         deal = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), slots(n))
@@ -301,7 +298,7 @@ class _Linker:
         inner = big.withColumn("mb", deal("size", 2)).withColumn("ob", each("out")).withColumn("role", F.lit(1))
         some = ["k", "ob", "mb", "role", "uid", "c"]
         both = outer.select(*some).union(inner.select(*some)).join(self.sizes, "uid").join(self.texts, "uid")
-        both = both.select(*some, "n", *_BITS, "text").repartition("k", "ob", "mb").sortWithinPartitions("k", "ob", "mb", "role", "uid")
+        both = both.select(*some, "n", *_BITS, "text").repartition(tasks, "k", "ob", "mb").sortWithinPartitions("k", "ob", "mb", "role", "uid")
         self.add(both.mapInArrow(_meet(p), "a long, b long"))
 
     def rare(self, uids: DataFrame) -> DataFrame:
@@ -330,8 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates: each band bucket has a head, the class with the most bucket mates; every class is first
     held against the head that it meets most often.  What this leaves in different components of a
-    bucket is then compared, pair by pair in small groups and over its rarest shingles in large ones.
-    So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
+    bucket is then compared: in small groups pair by pair, in large ones in cells of ``cell`` sets
+    outside the main component by as many members, if their rare shingles allow a link.  So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
     holds together.
     """
     p = params or NearDupParams()
@@ -350,20 +347,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     link = _Linker(p, scratch, classes.select("uid", "n", *_BITS), texts)
     buckets = link.star(members)
+    link.settle()
     groups = scratch.keep(buckets.select("head", "uid").distinct(), "groups")
     mixed = link.mixed(groups, "head")
     small = buckets.join(mixed.where(F.col("size") <= p.small_group).select("head"), "head", "left_semi")
     link.pairs(small.select("k", "uid"))
     large = mixed.where(F.col("size") > p.small_group).select("head")
     if large.limit(1).count():
-        rare = link.rare(groups.join(large, "head", "left_semi").select("uid").distinct())
-        link.star(rare.select("k", "uid", "size"))
-        mixed = link.mixed(rare.select("k", "uid"), "k")
-        few = rare.join(mixed.where(F.col("size") <= p.small_group).select("k"), "k", "left_semi").select("k", "uid", "first")
-        link.pairs(few, F.col("x.first") & (F.col("x.n") <= F.col("y.n")))
-        many = mixed.where(F.col("size") > p.small_group)
-        if many.limit(1).count():
-            link.cells(rare, many)
+        wide = groups.join(large, "head", "left_semi")
+        rare = link.rare(wide.select("uid").distinct())
+        open_ = rare.join(link.mixed(rare, "k").select("k"), "k", "left_semi").select("uid").distinct()
+        wide = scratch.keep(wide.join(open_, "uid", "left_semi").select(F.col("head").alias("k"), "uid"), "open")
+        link.cells(wide, link.mixed(wide, "k"))
+    link.settle()
 
     found = link.placed(classes.select("f1", "f2", "uid", F.col("rep.id").alias("rep")))
     least = found.groupBy("c").agg(F.min("rep").alias("component"), F.count("*").alias("m")).where("m > 1").select("c", "component")
