@@ -7,6 +7,9 @@ that every operator has something to do.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,14 @@ DAY = 86_400.0
 TITLE_CHARS = 60
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for a query's own archive, below the shared folder that the session names."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='talktree-')).rstrip('/')}/archive-{uuid.uuid4().hex}"
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 

@@ -5,7 +5,11 @@ import os
 import duckdb
 import pytest
 
-from talktree.queries import ORACLE_SQL, QUERIES
+from talktree.queries import ORACLE_SQL as OLD_SQL
+from talktree.queries import QUERIES as OLD
+from talktree.queries_more import MORE, MORE_SQL
+
+QUERIES, ORACLE_SQL = OLD | MORE, OLD_SQL | MORE_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
