@@ -126,20 +126,20 @@ class Grouping:
         rest = sorted((lengths[i], i) for i in loose)
         for b, items in enumerate(self.bins):
             while self.free[b] and rest:
-                best = (0, 0, 0, -1)
-                for x in range(len(items)):
-                    for y in range(x, len(items)):
-                        out = lengths[items[x]] + (lengths[items[y]] if y > x else 0)
-                        k = bisect_left(rest, (out + self.free[b] + 1, -1)) - 1
-                        if k >= 0 and rest[k][0] - out > best[0]:
-                            best = (rest[k][0] - out, x, y, k)
-                gain, x, y, k = best
+                sizes = {lengths[i]: i for i in items}  # one of each length will do
+                some, best = sorted(sizes), (0, [], -1)
+                for n, x in enumerate(some):
+                    for out in ([x], *([x, y] for y in some[n + 1 :])):
+                        k = bisect_left(rest, (sum(out) + self.free[b] + 1, -1)) - 1
+                        if k >= 0 and rest[k][0] - sum(out) > best[0]:
+                            best = (rest[k][0] - sum(out), out, k)
+                gain, out, k = best
                 if not gain:
                     break
                 given = rest.pop(k)[1]
-                for i in {items[x], items[y]}:
-                    insort(rest, (lengths[i], i))
-                    items.remove(i)
+                for x in out:
+                    insort(rest, (x, sizes[x]))
+                    items.remove(sizes[x])
                 items.append(given)
                 self.free[b] -= gain
         return [i for _, i in rest]
