@@ -19,10 +19,14 @@ def stream_elements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def import_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Imports each micro-batch as a run of its own; the latest occurrence of a conversation wins."""
+    """Imports each micro-batch as a run of its own; the latest occurrence of a conversation wins.
 
-    def run(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            store.import_elements(batch, input_path=folder)
+    A run is stored with its batch's number, so a batch that is given again after a failure is passed over.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        mark = f"{folder}#{checkpoint}#{number}"
+        if batch.limit(1).count() and not store.table("import_runs").where(F.col("input_path") == mark).limit(1).count():
+            store.import_elements(batch, input_path=mark)
 
     return stream_elements(spark, folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
