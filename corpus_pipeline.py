@@ -29,22 +29,25 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the quality rules."""
+    """Keeps documents that pass the quality rules; null, blank and very short texts go, rows are judged one by one."""
     return keep_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, on five-word shingles at similarity 0.8."""
+    """Keeps the document with the smallest id of each group, on five-word shingles at similarity 0.8.
+
+    Documents with an empty or null text, or a null id, stay; of rows that repeat an id all stay or go.
+    """
     return _without(docs, near_duplicates(docs, params=NearDupParams(shingle=5, percent=80)).where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; those with a null id stay, as nothing names them."""
     return _without(docs, contaminated(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret in the texts by a mark; n_chars follows."""
+    """Replaces each secret in the texts by a mark; n_chars follows.  Null texts stay null, no row goes."""
     ratio = train_secrets(docs, _table(spark, sf_dir, "labels"))
     base, spans = (distinct_name(docs.columns, x) for x in ("base_spans", "secret_spans"))
     found = with_secrets(docs, ratio, out=(base, spans))
@@ -55,7 +58,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 1024 tokens."""
+    """Packs the documents into sequences of at most 1024 tokens; every row is packed, repeats and empty texts too."""
     return pack_documents(docs, PackingParams(added_tokens=True))
 
 
