@@ -103,13 +103,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("; ".join(q.errors), file=sys.stderr)
             return 2
         archive, postings = store.indexed()
+        scores = None
         if postings is not None and q.has_body:
+            scores = index.bm25(archive, q, postings)
             archive = index.narrowed(archive, postings, q)
         if a.messages:
-            found = search.search_messages(archive, q).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
+            found = search.search_messages(archive, q, bm25=scores).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
             _print(search.page(found, a.limit, a.offset, search.MAX_MESSAGES))
         else:
-            _print(search.summaries(search.page(search.search_conversations(archive, q, a.sort), a.limit, a.offset)))
+            _print(search.summaries(search.page(search.search_conversations(archive, q, a.sort, scores), a.limit, a.offset)))
     elif a.command == "export":
         formats = export.FORMATS if a.format == "both" else (a.format,)
         archive = store.archive()
@@ -117,6 +119,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         content = export.rendered(archive, formats, **options, date_from=_day(a.date_from), date_to=_day(a.date_to, True))
         names = export.file_names(archive.conversations, formats)
         print(json.dumps(export.write_files(content.join(names, ["conversation_id", "format"]), a.folder)))
+        export.write_manifests(export.manifest(archive, content, **options), a.folder)
     return 0
 
 

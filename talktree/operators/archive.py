@@ -14,11 +14,15 @@ from talktree.operators.graph import effective_paths, path_metadata
 
 @dataclass
 class Archive:
-    """``conversations`` and ``nodes``; derived columns are stored ones where the tables have them."""
+    """``conversations`` and ``nodes``; derived columns are stored ones where the tables have them.
+
+    Where ``nodes`` are only some of an archive's, ``whole`` is the archive that paths are taken from.
+    """
 
     conversations: DataFrame
     nodes: DataFrame
     stored_paths: DataFrame | None = None
+    whole: Archive | None = None
 
     @cached_property
     def titled(self) -> DataFrame:
@@ -39,10 +43,14 @@ class Archive:
     @property
     def paths(self) -> DataFrame:
         """The stored paths, or all of them computed."""
+        if self.whole is not None:
+            return self.whole.paths
         return self.stored_paths if self.stored_paths is not None else effective_paths(self.conversations, self.nodes)
 
     def paths_of(self, ids: DataFrame) -> DataFrame:
         """The paths of some conversations, given as a ``conversation_id`` column; only their nodes are walked."""
+        if self.whole is not None:
+            return self.whole.paths_of(ids)
         if self.stored_paths is not None:
             return self.stored_paths
         some = ids.select("conversation_id").distinct()
@@ -50,4 +58,4 @@ class Archive:
 
     @cached_property
     def meta(self) -> DataFrame:
-        return path_metadata(self.conversations, self.nodes)
+        return self.whole.meta if self.whole is not None else path_metadata(self.conversations, self.nodes)

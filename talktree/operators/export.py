@@ -185,6 +185,37 @@ def write_files(named: DataFrame, folder: str) -> dict[str, int]:
     return counts
 
 
+def write_manifests(rows: DataFrame, folder: str) -> None:
+    """Writes sorted manifest rows as ``manifest.jsonl`` and ``manifest.csv`` of a local folder, both or neither.
+
+    Rows come to the driver one partition at a time.  If either file can't be moved to its place, the
+    former pair is put back.
+    """
+    os.makedirs(folder, exist_ok=True)
+    place = {n: os.path.join(folder, n) for n in ("manifest.jsonl", "manifest.csv")}
+    part, former = ({n: os.path.join(folder, f".{kind}-{n}") for n in place} for kind in ("part", "former"))
+    with open(part["manifest.jsonl"], "w", encoding="utf-8") as lines, open(part["manifest.csv"], "w", encoding="utf-8", newline="") as table:
+        table.write(csv_line(dict(zip(MANIFEST, MANIFEST))))
+        for row in rows.toLocalIterator():
+            lines.write(json.dumps(row.asDict(), ensure_ascii=False, sort_keys=True) + "\n")
+            table.write(csv_line(row.asDict()))
+    kept = [n for n in place if os.path.isfile(place[n])]
+    try:
+        for n in kept:
+            os.replace(place[n], former[n])
+        for n in place:
+            os.replace(part[n], place[n])
+    except OSError:
+        for n in place:
+            if n in kept and os.path.isfile(former[n]):
+                os.replace(former[n], place[n])
+            elif n not in kept and os.path.isfile(place[n]):
+                os.remove(place[n])
+        raise
+    for n in kept:
+        os.remove(former[n])
+
+
 def changed(rows: DataFrame, log: DataFrame) -> DataFrame:
     """Manifest rows whose content is not what was last exported under that name."""
     last = latest_exports(log).select("conversation_id", "format", "output_path", F.col("output_hash").alias("_last"))

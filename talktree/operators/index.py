@@ -58,8 +58,11 @@ def plan(q: Query) -> list[list[str]] | None:
 def candidates(postings: DataFrame, q: Query) -> DataFrame | None:
     """``(conversation_id, node_id)`` that can be hits; None for all."""
     groups = plan(q)
-    if groups is None:
-        return None
+    return None if groups is None else _with_any(postings, groups)
+
+
+def _with_any(postings: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """Messages with every trigram of all stretches of some group."""
     out = None
     for parts in groups:
         grams = sorted({p[i : i + 3] for p in parts for i in range(len(p) - 2)})
@@ -76,16 +79,15 @@ def narrowed(archive: Archive, postings: DataFrame, q: Query) -> Archive:
     found = None if q.exclude else candidates(postings, q)
     if found is None:
         return archive
-    out = Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), archive.paths)
-    out.__dict__["meta"] = archive.meta
-    return out
+    return Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), whole=archive)
 
 
-def bm25(archive: Archive, q: Query) -> DataFrame:
+def bm25(archive: Archive, q: Query, postings: DataFrame | None = None) -> DataFrame:
     """``(conversation_id, node_id, bm25)`` of messages with any of the query's stretches; more negative is better.
 
     A stretch's frequency is how often it occurs, overlaps included; a message's length is its
-    number of trigrams.
+    number of trigrams.  With ``postings`` stretches are looked for only in messages that have all
+    their trigrams; of the others only the length is read.
     """
     parts = list(dict.fromkeys(p for f in (*q.phrases, *q.terms, *q.required_phrases) for p in _parts(f)))
     rows = archive.texts.where(F.col("text") != "")
@@ -93,8 +95,16 @@ def bm25(archive: Archive, q: Query) -> DataFrame:
     if not parts:
         return rows.where(F.lit(False)).select(*_NODE, F.lit(None).cast("double").alias("bm25"))
     count = lambda p: F.regexp_count(F.col("norm"), F.lit("(?=" + re.sub(r"([^a-z0-9])", lambda m: "\\x{%x}" % ord(m[1]), p) + ")"))
+    overall = [F.count("*").alias("_n"), F.avg("_size").alias("_avg")]
+    having = [F.coalesce(F.sum(F.when(F.col(f"_f{i}") > 0, 1).otherwise(0)), F.lit(0)).alias(f"_d{i}") for i in range(len(parts))]
+    every_row = rows
+    if postings is not None:
+        rows = rows.join(_with_any(postings, [[p] for p in parts]), _NODE, "left_semi")
     rows = rows.select(*_NODE, size.alias("_size"), *(F.when(F.contains("norm", F.lit(p)), count(p)).otherwise(0).alias(f"_f{i}") for i, p in enumerate(parts)))
-    totals = rows.agg(F.count("*").alias("_n"), F.avg("_size").alias("_avg"), *(F.sum(F.when(F.col(f"_f{i}") > 0, 1).otherwise(0)).alias(f"_d{i}") for i in range(len(parts))))
+    if postings is None:
+        totals = rows.agg(*overall, *having)
+    else:  # one row beside one row
+        totals = every_row.select(size.alias("_size")).agg(*overall).join(F.broadcast(rows.agg(*having)), F.lit(True))
     score = F.lit(0.0)
     for i in range(len(parts)):
         idf = F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))

@@ -268,6 +268,11 @@ def after_key(found: DataFrame, conversation_id: str, node_id: str) -> DataFrame
     return found.where(behind).orderBy(*_NODE)
 
 
+def last_key(found: DataFrame) -> DataFrame:
+    """The greatest (conversation, node) key of some hits, as one row: where a long scan goes on with ``after_key``."""
+    return found.agg(F.max(F.struct(*_NODE)).alias("_key")).select(*(F.col(f"_key.{n}").alias(n) for n in _NODE))
+
+
 def suggest(archive: Archive, text: str, limit: int = 10) -> DataFrame:
     """The latest conversations whose title holds the text."""
     needle = normalize(text)

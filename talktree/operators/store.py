@@ -73,6 +73,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known: set[int] = set()  # snapshots whose layout has been looked at
 
     def _path(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,10 +90,14 @@ class Store:
         return f"{self.folder}/snapshot-{version:06d}"
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        """A table of a snapshot; empty in an empty store."""
+        """A table of a snapshot; empty in an empty store.  A snapshot of another layout is an error."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], TABLES[name])
+        if version not in self._known:
+            if self.layout(version) != SCHEMA_VERSION:
+                raise ValueError("unsupported_schema_version")
+            self._known.add(version)
         return self.spark.read.schema(TABLES[name]).parquet(f"{self._snapshot(version)}/{name}")
 
     def archive(self, version: int | None = None) -> Archive:
@@ -155,7 +160,7 @@ class Store:
         is_json = F.lower("path").rlike(r"conversations(-[0-9]+)?\.json$")
         sources = rows.select(F.col("path").alias("source_path"), "file_type", F.col("size"), "sha256", is_json.alias("is_conversation_json"), F.col("_picked").isNotNull().alias("is_selected_conversation_source"))
         out = self.import_elements(read_elements(chosen), sources, path)
-        return out | {"input_sha256": [r.sha256 for r in fingerprint(self.spark, path).orderBy("path").collect()][:1]}
+        return out | {"input_sha256": input_sha256(fingerprint(self.spark, path))}
 
     def build_index(self, version: int | None = None) -> str:
         """Writes what searches derive from a snapshot: texts and their normal forms, titles, paths and postings.
@@ -194,6 +199,17 @@ class Store:
         return self.publish({name: self.table(name).unionByName(rows)})
 
 
+def input_sha256(files: DataFrame) -> str | None:
+    """One hash for an input of (path, sha256, size) files: that of its only file, else of all contents.
+
+    Names don't count.  Hashes are hashed by their first three digits and then once more, so no list holds them all.
+    """
+    whole = lambda hashes: F.sha2(F.array_join(F.sort_array(F.collect_list(hashes)), "\n"), 256)
+    groups = files.groupBy(F.substring("sha256", 1, 3)).agg(F.count("*").alias("n"), F.min("sha256").alias("one"), whole(F.col("sha256")).alias("many"))
+    row = groups.agg(F.sum("n").alias("n"), F.min("one").alias("one"), whole(F.col("many")).alias("many")).first()
+    return row.many if (row.n or 0) > 1 else row.one
+
+
 def _file_rows(sources: DataFrame, run: int) -> DataFrame:
     path = F.col("source_path")
     return sources.select(

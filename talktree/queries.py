@@ -270,6 +270,15 @@ def keyset_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.after_key(hits, "000000000010", "000001").select(*_NODE)
 
 
+def last_confirmed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.last_key(search.message_hits(bound(spark, sf_dir), parse_query("the", path="all")))
+
+
+def bm25_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = bound(spark, sf_dir)
+    return index.bm25(archive, parse_query("thing"), index.build(archive)).select(*_NODE, F.round("bm25", 6).alias("bm25"))
+
+
 def selected_in_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.is_selected(search.search_conversations(bound(spark, sf_dir), parse_query("the", path="all")), "000000000002")
 
@@ -382,10 +391,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_page": list_page,
     "search_page": search_page,
     "keyset_resume": keyset_resume,
+    "last_confirmed_key": last_confirmed_key,
     "selected_in_results": selected_in_results,
     "trigram_candidates": trigram_candidates,
     "trigram_search": trigram_search,
     "bm25_scores": bm25_scores,
+    "bm25_from_postings": bm25_from_postings,
     "normalized_documents": normalized_documents,
     "documents_by_term": documents_by_term,
     "roles": roles,
@@ -504,6 +515,7 @@ ORACLE_SQL: dict[str, str] = {
     "list_page": f"{BIND} SELECT conversation_id, title FROM c ORDER BY lower(coalesce(title, '')), conversation_id LIMIT 10 OFFSET 10",
     "search_page": f"SELECT conversation_id, score FROM ({_found_sql(_has('the'), _has('the', 'title_norm'), path=True)}) ORDER BY score DESC, conversation_id DESC LIMIT 20",
     "keyset_resume": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('the')} AND (conversation_id, node_id) > ('000000000010', '000001')",
+    "last_confirmed_key": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('the')} ORDER BY conversation_id DESC, node_id DESC LIMIT 1",
     "selected_in_results": f"{BIND} SELECT count(*) > 0 AS selected_in_results FROM c WHERE conv_id = 2 AND ({_has('the', 'title_norm')} OR EXISTS (SELECT 1 FROM n WHERE n.conversation_id = c.conversation_id AND {_has('the')}))",
     "trigram_candidates": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {' AND '.join(_has(g) for g in ('thi', 'hin', 'ing', 'nde', 'der'))}",
     "trigram_search": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('thing')} AND {_has('nder')}",
@@ -520,3 +532,5 @@ ORACLE_SQL: dict[str, str] = {
     "scope_difference": f"{BIND} SELECT conversation_id FROM c EXCEPT SELECT conversation_id FROM n WHERE {_has('thing')}",
     "scope_totals": "SELECT count(DISTINCT conv_id) AS conversations, count(*) AS nodes, sum(octet_length(encode(text)))::BIGINT AS text_bytes FROM conversations",
 }
+
+ORACLE_SQL["bm25_from_postings"] = ORACLE_SQL["bm25_scores"]  # postings change the plan only

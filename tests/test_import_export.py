@@ -1,7 +1,9 @@
 """Imports, snapshots, exports and the stream."""
 
+import hashlib
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -196,6 +198,47 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("export", str(tmp_path / "out"), "--format", "md")[1] == [{"written": 2, "unchanged": 0}]
 
 
+def test_layout_and_input_hash(spark, tmp_path):
+    from talktree.operators.store import input_sha256
+
+    store = Store(spark, f"file://{tmp_path / 'store'}")
+    source = zipped(tmp_path / "1.zip", {"conversations.json": [conversation()]})
+    out = store.import_path(source)
+    assert out["input_sha256"] == hashlib.sha256((tmp_path / "1.zip").read_bytes()).hexdigest()
+    rows = [("b", "00ff"), ("a", "00ff"), ("c", "1234")]
+    hashes = {input_sha256(spark.createDataFrame(r, "path string, sha256 string")) for r in (rows, rows[::-1])}
+    assert len(hashes) == 1 and hashes != {input_sha256(spark.createDataFrame(rows[1:], "path string, sha256 string"))}
+    assert input_sha256(spark.createDataFrame([], "path string, sha256 string")) is None
+    spark.createDataFrame([('{"schema_version": 99}',)], "value string").coalesce(1).write.mode("overwrite").text(f"{store.folder}/snapshot-000001/layout")
+    with pytest.raises(ValueError, match="unsupported_schema_version"):
+        Store(spark, store.folder).archive()
+
+
+def test_manifest_pair(spark, tmp_path, monkeypatch):
+    row = dict.fromkeys(export.MANIFEST, "x") | {"include_internal": True, "create_time": None}
+    kinds = ", ".join(f"{n} {'boolean' if n == 'include_internal' else 'string'}" for n in export.MANIFEST)
+    rows = spark.createDataFrame([tuple(row[n] for n in export.MANIFEST)], kinds)
+    folder = tmp_path / "out"
+    export.write_manifests(rows.limit(0), str(folder))
+    before = {p.name: p.read_text() for p in folder.iterdir()}
+    assert before == {"manifest.jsonl": "", "manifest.csv": ",".join(export.MANIFEST) + "\n"}
+    replace = os.replace
+
+    def failing(old, new):
+        if old.endswith(".part-manifest.csv"):
+            raise OSError("no space")
+        replace(old, new)
+
+    monkeypatch.setattr(export.os, "replace", failing)
+    with pytest.raises(OSError):
+        export.write_manifests(rows, str(folder))
+    assert {n: (folder / n).read_text() for n in before} == before
+    monkeypatch.undo()
+    export.write_manifests(rows, str(folder))
+    assert json.loads((folder / "manifest.jsonl").read_text()) == row and len((folder / "manifest.csv").read_text().splitlines()) == 2
+    assert sorted(p.name for p in folder.iterdir()) == ["manifest.csv", "manifest.jsonl"]
+
+
 def test_limits(spark, tmp_path):
     from talktree.functions.values import load_json
     from talktree.operators import search

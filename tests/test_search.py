@@ -120,6 +120,21 @@ def test_bm25(archive):
     assert [r.bm25 for r in scored] == sorted(r.bm25 for r in scored)
 
 
+@pytest.mark.parametrize("text", ["hello", "hello rules", '"hello rules" plain', "zzz", "ab"])
+def test_bm25_from_postings(archive, text):
+    q = parse_query(text)
+    plain, by_index = (sorted((r.conversation_id, r.node_id, round(r.bm25, 9)) for r in index.bm25(archive, q, p).collect()) for p in (None, index.build(archive)))
+    assert plain == by_index
+
+
+def test_scan_in_stretches(archive):
+    found = search.message_hits(archive, parse_query("hello", path="all"))
+    last = search.last_key(found).first()
+    assert (last.conversation_id, last.node_id) == max((r.conversation_id, r.node_id) for r in found.collect())
+    assert not search.after_key(found, *last).count()
+    assert tuple(search.last_key(found.limit(0)).first()) == (None, None)
+
+
 def test_enrichment(archive):
     q = parse_query("hello", path="all")
     rows = {r.conversation_id: r for r in search.enrich(archive, q, search.search_conversations(archive, q).select("conversation_id")).collect()}
