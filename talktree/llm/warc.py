@@ -1,12 +1,13 @@
 """WARC archives: write, read back, and an external index merge into capture histories.
 
-Payloads that occur before are written as revisits.  The archives are WARC/1.1 files, compressed as a
-whole: each task's first file starts with a warcinfo record, and records end with two line ends.
-Spark's text writer makes them and its binary reader reads them, so they can lie in any store that
-Spark reaches.  A capture's offset and length are places in the uncompressed archive.
+Payloads that occur before are written as revisits.  The archives are WARC/1.1 files, each record a
+gzip member of its own, so a capture's offset and length are where to seek in the file.  Each task's
+first file starts with a warcinfo record.  Spark's text writer makes the files and its binary reader
+reads them, so they can lie in any store that Spark reaches.
 
 Each archive gives a capture run, sorted by URL key and time.  Runs are cut at common key bounds and
-each range is merged from all runs by a loser tree, which gives globally ordered capture histories.
+dealt by range unsorted; each range's pieces of runs are merged by a loser tree, which gives globally
+ordered capture histories.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -26,6 +28,8 @@ from .shared import Scratch
 
 #: Of a WARC file.
 _END = "\r\n\r\n"
+#: What a gzip member holds at most here, so that its last byte, the high one of its size, is zero.
+_MEMBER = (1 << 24) - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -130,8 +134,11 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
 
     Of rows with equal payloads of at least ``min_revisit_bytes``, the smallest id is the response
     and the others refer to it; rows without an id, and repeats of the smallest, are responses.
+    Compressed files hold a gzip member for each record, though Spark's writer names them ``.txt``.
     """
     p = params or WarcParams()
+    if p.compression not in ("gzip", "none"):
+        raise ValueError(f"compression is gzip or none, not {p.compression}")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.mapInArrow(_digests, "id long, url string, html string, bytes long, digest string")
     first = rows.where(F.col("bytes") >= p.min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
@@ -161,19 +168,77 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
         F.col("body"),
     )
     out = rows.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("body", body)
-    out = out.select(text.alias("value")).mapInArrow(_with_info, "value string")
-    out.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", p.compression).text(folder)
+    out = out.select(text.alias("value"))
+    if p.compression == "none":
+        out, end = out.mapInArrow(_with_info, "value string"), _END
+    else:
+        out = out.mapInArrow(lambda batches: _members(_with_info(batches)), "value binary")
+        out, end = out.select(F.col("value").cast("string")), "\0"
+    out.write.option("lineSep", end).option("maxRecordsPerFile", per_file).option("compression", "none").text(folder)
+
+
+def gzip_record(record: bytes, limit: int = _MEMBER) -> bytes:
+    """A record as a gzip member of its own; one above ``limit`` bytes as several members in a row."""
+    return b"".join(gzip.compress(record[i : i + limit], mtime=0) for i in range(0, len(record), limit))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records to gzip members without their last byte, a zero that the writer puts back as its line end."""
+    for batch in batches:
+        packed = [gzip_record(x.as_buffer().to_pybytes() + _END.encode())[:-1] for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
+
+
+def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member that starts at ``at``, and where it ends."""
+    inflate, out, step = zlib.decompressobj(31), [], 1 << 13
+    while not inflate.eof:
+        chunk = data[at : at + step]
+        if not len(chunk):
+            raise ValueError("the last gzip member has no end")
+        out.append(inflate.decompress(chunk))
+        at, step = at + len(chunk), step * 2
+    return b"".join(out), at - len(inflate.unused_data)
+
+
+def _headers(raw: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """A record's headers and where its block starts; None if the headers have no end."""
+    head = raw.find(b"\r\n\r\n", at)
+    if not raw.startswith(b"WARC/", at):
+        raise ValueError(f"no WARC record at byte {at}")
+    if head < 0:
+        return None
+    return dict(line.split(": ", 1) for line in raw[at:head].decode("utf-8").split("\r\n")[1:]), head + 4
+
+
+def _whole(record: bytearray) -> bool:
+    found = _headers(record)
+    return found is not None and len(record) >= found[1] + int(found[0]["Content-Length"]) + len(_END)
+
+
+def read_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """As :func:`parse_archive`, of a plain or a record-wise compressed file; places are those in the file."""
+    if data[:2] != b"\x1f\x8b":
+        yield from parse_archive(data)
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        begin, record = at, bytearray()
+        while not record or not _whole(record):
+            part, at = _member(view, at)
+            record += part
+        for _, _, headers, block in parse_archive(bytes(record)):
+            yield begin, at - begin, headers, block
 
 
 def parse_archive(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of a WARC file's bytes."""
+    """(offset, length, headers, block) of each record of an uncompressed WARC file's bytes."""
     at = 0
     while at < len(raw):
-        head = raw.find(b"\r\n\r\n", at)
-        if not raw.startswith(b"WARC/", at) or head < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in raw[at:head].decode("utf-8").split("\r\n")[1:])
-        start = head + 4
+        found = _headers(raw, at)
+        if found is None:
+            raise ValueError(f"the headers at byte {at} have no end")
+        headers, start = found
         end = start + int(headers["Content-Length"])
         if raw[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has no end")
@@ -202,7 +267,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, raw in zip(batch.column(0), batch.column(1)):
             name, rows = path.as_py().rsplit("/", 1)[-1], []
             data = raw.as_buffer().to_pybytes()
-            for offset, length, h, block in parse_archive(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for offset, length, h, block in read_archive(data):
                 if h["WARC-Type"] not in ("response", "revisit"):
                     continue
                 size, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -219,14 +284,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range of all runs, run after run in order, to the merged captures."""
-    runs: dict[str, list[tuple]] = {}
+    """The pieces of all runs in one key range to the merged captures.
+
+    A shuffle hands pieces over one after another, mostly in their order; where a row is smaller than
+    the one before it of its run, a further sorted piece begins, so any order of arrival is merged right.
+    """
+    pieces: list[list[tuple]] = []
+    last: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[3], []).append(row)
+            item, piece = (_order(row), row), last.get(row[3])
+            if piece is None or item[0] < piece[-1][0]:
+                piece = last[row[3]] = []
+                pieces.append(piece)
+            piece.append(item)
     out: list[tuple] = []
-    for item in LoserTree([((_order(r), r) for r in rows) for _, rows in sorted(runs.items())]):
-        out.append(item[1])
+    for item in LoserTree([((k, n, r) for n, (k, r) in enumerate(piece)) for piece in pieces]):
+        out.append(item[2])
         if len(out) >= 4096:
             yield _batch(out)
             out = []
@@ -241,8 +315,7 @@ def read_captures(spark, folder: str, params: WarcParams | None = None) -> DataF
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
     runs = scratch.keep(files.mapInArrow(_runs, _CAPTURE_SQL), "runs")
     ranges = max(1, -(-runs.count() // p.merge_rows))
-    parts = runs.repartitionByRange(ranges, "url_key", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "url_key", "ts", "page_id", "offset")
-    return parts.mapInArrow(_merge, _CAPTURE_SQL)
+    return runs.repartitionByRange(ranges, "url_key", "ts", "page_id", "run", "offset").mapInArrow(_merge, _CAPTURE_SQL)
 
 
 def archive_pages(pages: DataFrame, params: WarcParams | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -48,6 +49,44 @@ def test_archives_are_warc(spark, tmp_path):
     assert A.read_captures(spark, folder).count() == len(PAGES)
 
 
+def test_offsets_seek_in_compressed_archives(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(2)
+    A.write_archives(df, f"file://{tmp_path}/w", A.WarcParams(file_bytes=4000))
+    rows = A.read_captures(spark, f"file://{tmp_path}/w").collect()
+    assert len(rows) == len(PAGES)
+    for r in rows:
+        raw = (tmp_path / "w" / r.run).read_bytes()
+        ((_, _, headers, block),) = A.parse_archive(gzip.decompress(raw[r.offset : r.offset + r.length]))
+        assert headers["X-Page-Id"] == ("" if r.page_id is None else str(r.page_id)) and headers["WARC-Type"] == r.record_type
+        if r.record_type == "response":
+            payload = block.split(b"\r\n\r\n", 1)[1]
+            assert len(payload) == r.payload_bytes and digest(payload.decode()) == r.payload_digest
+    for f in (tmp_path / "w").glob("part-*"):
+        assert gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\nWARC-Type: ") >= 1
+
+
+def test_long_records_take_several_members():
+    record = lambda n: f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n".encode() + bytes(range(256)) * (n // 256) + b"\r\n\r\n"
+    sizes = [256, 25600, 0, 256000, 512]
+    for limit in (7, 1000, 100_000, 1 << 20):
+        data = b"".join(A.gzip_record(record(n), limit) for n in sizes)
+        found = list(A.read_archive(data))
+        assert [len(block) for *_, block in found] == sizes
+        assert [at for at, *_ in found] == [sum(x[1] for x in found[:i]) for i in range(len(found))]
+        assert gzip.decompress(data[found[3][0] :][: found[3][1]]) == record(256000)
+    big = A.gzip_record(record(17 << 20))
+    assert big[-1] == 0 and len(list(A.read_archive(big))) == 1
+
+
+def test_merge_of_pieces_in_any_order():
+    rng = random.Random(7)
+    rows = [(f"k{rng.randint(0, 9)}", f"t{rng.randint(0, 3)}", rng.choice([None, i]), f"run{i % 5}", i, 1, None, 0, "", "response", None) for i in range(600)]
+    for order in (sorted(rows, key=lambda r: (r[3], A._order(r))), rng.sample(rows, len(rows))):
+        out = [r for b in A._merge(iter([A._batch(order[:100]), A._batch(order[100:])])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert out == sorted(rows, key=A._order)
+    assert list(A._merge(iter([]))) == []
+
+
 def test_global_order(spark):
     rng = random.Random(1)
     pages = [(i, f"http://h{rng.randint(0, 3)}.example.com/{rng.randint(0, 9)}", "x" * rng.randint(0, 50)) for i in range(400)]
