@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .html_text import extract_pages
+from .importance import importance_sample
 from .language_id import identify_languages, train_profiles
 from .licenses import scan_licenses
 from .near_dedup import NearDupParams, near_duplicates
@@ -66,6 +67,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +131,45 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM f
     """,
+    "op12_importance_resampling": """
+        WITH RECURSIVE step AS (
+            SELECT i, 0 AS k, i::UINTEGER AS c FROM range(256) t(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::UINTEGER, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8
+        ), crc AS MATERIALIZED (
+            SELECT list(c::BIGINT ORDER BY i) AS tab FROM step WHERE k = 8
+        ), d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+        ), b AS (
+            SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
+        ), df AS MATERIALIZED (
+            SELECT doc_id, array_to_string(ws[i:i + n - 1], ' ') AS f, count(*) AS c
+            FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, range(1, 4) t(n)) GROUP BY ALL
+        ), bf AS MATERIALIZED (
+            SELECT array_to_string(ws[i:i + n - 1], ' ') AS f, count(*) AS c FROM (SELECT ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM b, range(1, 4) t(n)) GROUP BY ALL
+        ), hx AS (
+            SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)
+        ), feature AS MATERIALIZED (
+            SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || substr(h, k::INT * 2 + 1, 2))::BIGINT FOR k IN range(len(h) // 2)]),
+                lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1]))) % 10000 AS bucket
+            FROM hx, crc
+        ), s AS (
+            SELECT bucket, sum(c) AS s FROM df JOIN feature USING (f) GROUP BY bucket
+        ), t AS (
+            SELECT bucket, sum(c) AS t FROM bf JOIN feature USING (f) GROUP BY bucket
+        ), total AS (
+            SELECT (SELECT coalesce(sum(c), 0) FROM df) AS all_s, (SELECT coalesce(sum(c), 0) FROM bf) AS all_t
+        ), gain AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS g
+            FROM s LEFT JOIN t USING (bucket), total
+        ), w AS (
+            SELECT doc_id, sum(c) AS n, sum(c * g) AS w FROM df JOIN feature USING (f) JOIN gain USING (bucket) GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight, len(ws) >= 20 AS able,
+                coalesce(w, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+            FROM d LEFT JOIN w USING (doc_id)
+        ), placed AS (
+            SELECT *, CASE WHEN able THEN row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) END AS place FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM scored WHERE able) THEN place END AS rank FROM placed
+    """,
 }
