@@ -15,6 +15,7 @@ from .near_dedup import NearDupParams, near_duplicates
 from .packing import PackingParams, pack_documents
 from .quality import quality_rules, train_quality
 from .secrets import secret_counts, train_secrets
+from .sentence_pieces import piece_digests
 from .substring_dedup import substring_dedup
 from .warc import archive_pages
 
@@ -71,6 +72,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
