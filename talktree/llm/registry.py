@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives
 from .html_text import extract_pages
 from .importance import importance_sample
 from .language_id import identify_languages, train_profiles
@@ -68,6 +70,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
@@ -178,4 +187,18 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM scored WHERE able) THEN place END AS rank FROM placed
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), pair AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), pos AS (
+            SELECT a, b, score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+        )
+        SELECT a AS anchor_id, pos.b AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.b AS negative_id, pos.score AS positive_score, n.score AS negative_score
+        FROM pos JOIN pair n USING (a) WHERE NOT n.same AND 50 * pos.score <= 100 * n.score AND 100 * n.score <= 95 * pos.score
+        WINDOW w AS (PARTITION BY a, pos.b ORDER BY n.score DESC, n.b) QUALIFY rank <= 3
+    """,
 }

@@ -69,7 +69,7 @@ def test_odd_documents_pass_through(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -79,7 +79,7 @@ def test_against_sql(spark, name):
 
 
 def test_registered_queries(spark):
-    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
     for name in ("op1_quality_rules", "op2_secret_scan", "op6_language_id"):
         out = registry.QUERIES[name](spark, DATA)
         assert out.count() == read(spark, "documents").count() == out.select(F.countDistinct("doc_id")).first()[0]
