@@ -187,8 +187,8 @@ def parse_element(text: str, source: str, index: int) -> tuple[dict | None, list
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for source, index, text in zip(*(c.to_pylist() for c in batch.columns)):
-            conversation, nodes, notes = parse_element(text, source, index)
+        for source, index, text, problem in zip(*(c.to_pylist() for c in batch.columns)):
+            conversation, nodes, notes = parse_element(text, source, index) if problem is None else (None, [], Warnings([(problem, None, None)]))
             rows = [("warning", canonical_json({"source_file": source, "array_index": index, "warning_type": k, "keys_json": a, "raw_json": b})) for k, a, b in notes]
             cid = None
             if conversation is not None:
@@ -201,8 +201,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_elements(elements: DataFrame) -> DataFrame:
-    """Tagged rows of all elements: warnings, conversations and nodes as JSON, to be kept once and split."""
-    return elements.select("source_file", "array_index", "element").mapInArrow(_parse, PARSED)
+    """Tagged rows of all elements: warnings, conversations and nodes as JSON, to be kept once and split.
+
+    A source may say in a column ``problem`` why it has no element at a place; that becomes a warning.
+    """
+    problem = F.col("problem") if "problem" in elements.columns else F.lit(None).cast("string").alias("problem")
+    return elements.select("source_file", "array_index", "element", problem).mapInArrow(_parse, PARSED)
 
 
 def _typed(parsed: DataFrame, kind: str, schema) -> DataFrame:

@@ -1,23 +1,34 @@
 """Snapshots of an archive, and imports into them.
 
-A snapshot is a folder of Parquet tables; a pointer names the current one.  An import compares the
-incoming conversations with the stored ones, writes the next snapshot beside the current one and
-then moves the pointer, so readers see either of them whole.
+A snapshot is a list of parts.  An import compares the incoming conversations with the stored ones and
+writes one part, with whole rows of those that are new or changed; readers take each conversation from
+the last part that has it.  Parts are Parquet folders that never change and belong to one attempt; the
+list becomes the next snapshot by a rename that fails if another writer was first, so readers see either
+snapshot whole and a loser harms nothing.  Small parts are merged from time to time, by tiers.
+
+What searches derive is stored beside each part, so only new parts are ever indexed.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from talktree.operators import index
 from talktree.operators.archive import Archive
 from talktree.operators.ingest import parse_elements, split_parsed
 from talktree.schema import CONVERSATIONS, FILE_INDEX, IMPORT_RUNS, NODES, SCHEMA_VERSION, SOURCE_FILES, TABLES, WARNINGS
-from talktree.sources.exports import fingerprint, read_elements, read_members, selected_sources
+from talktree.sources import files, members
+from talktree.sources.exports import fingerprint, read_elements, read_members, resolve_input, selected_sources
 
 _OWN = ("last_import_run_id", "display_revision")
 #: Which stored fields belong to which domain of change.
@@ -68,108 +79,317 @@ def merged(stored: DataFrame, incoming: DataFrame, outcomes: DataFrame, run: int
     return stored.join(changed, "conversation_id", "left_anti").unionByName(new.select(*stored.columns))
 
 
+#: Tables whose rows belong to a conversation and are replaced with it; the others only grow.
+KEYED = ("conversations", "nodes")
+#: Keyed rows are dealt into folders by id, so that a few conversations are found in a few folders.
+BUCKETS = 8
+#: So many parts of like size are merged into one.
+FANOUT = 4
+_INDEX = ("nodes", "conversations", "paths", "postings")
+
+
+class SnapshotConflict(RuntimeError):
+    """Another writer has published the snapshot first."""
+
+
+def _stored(name: str) -> StructType:
+    """A table's columns as a part has them."""
+    return StructType([*TABLES[name].fields, StructField("bucket", IntegerType())]) if name in KEYED else TABLES[name]
+
+
+def bucket_of(conversation_id: str = "conversation_id") -> Column:
+    return F.pmod(F.xxhash64(conversation_id), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
-    """An archive's snapshots in a folder of any store that Spark writes to."""
+    """An archive's snapshots in a folder of any store that Spark writes to and that renames without overwriting."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._known: set[int] = set()  # snapshots whose layout has been looked at
+        self._lists: dict[int, dict] = {}  # lists of parts, which never change
 
     def _path(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
+    def _delete(self, path: str) -> None:
+        fs, where = self._path(path)
+        fs.delete(where, True)
+
     def version(self) -> int:
         """Number of the current snapshot, 0 if there is none."""
-        fs, folder = self._path(f"{self.folder}/current")
-        if not fs.exists(folder):
-            return 0
-        return max([int(s.getPath().getName().removeprefix("v")) for s in fs.listStatus(folder)], default=0)
+        return max(self.versions(), default=0)
+
+    def versions(self) -> list[int]:
+        fs, folder = self._path(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-"))
 
     def _snapshot(self, version: int) -> str:
         return f"{self.folder}/snapshot-{version:06d}"
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        """A table of a snapshot; empty in an empty store.  A snapshot of another layout is an error."""
-        version = self.version() if version is None else version
+    def _list(self, version: int) -> dict:
+        """A snapshot's list of parts.  A snapshot of another layout is an error."""
         if not version:
-            return self.spark.createDataFrame([], TABLES[name])
-        if version not in self._known:
-            if self.layout(version) != SCHEMA_VERSION:
+            return {"parts": {}, "generations": {}}
+        if version not in self._lists:
+            fs, folder = self._path(f"{self._snapshot(version)}/layout")
+            text = ""
+            for s in fs.listStatus(folder):
+                if s.getPath().getName()[0] not in "_.":
+                    stream = fs.open(s.getPath())
+                    text += self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                    stream.close()
+            found = json.loads(text)
+            if found.get("schema_version") != SCHEMA_VERSION or "parts" not in found:
                 raise ValueError("unsupported_schema_version")
-            self._known.add(version)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self._snapshot(version)}/{name}")
+            self._lists[version] = found
+        return self._lists[version]
+
+    def layout(self, version: int | None = None) -> int:
+        """The layout number that a snapshot was written with."""
+        return self._list(version or self.version())["schema_version"]
+
+    def generations(self, version: int | None = None) -> dict[str, int]:
+        """The snapshot at which each domain last changed; what depends on a domain holds while its number stays."""
+        return dict(self._list(self.version() if version is None else version)["generations"])
+
+    def _read(self, part: dict, name: str, schema=None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.folder}/data/{part['id']}/{name}")
+
+    def _latest(self, parts: list[dict], name: str, schema=None) -> DataFrame:
+        """Rows of the last part that has their conversation; only the ids of later parts are joined."""
+        tagged = [self._read(p, name, schema).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+        rows = reduce(DataFrame.unionByName, tagged)
+        if len(parts) == 1:
+            return rows.drop("_part")
+        ids = [self._read(p, "conversations", CONVERSATIONS).select("conversation_id", F.lit(i).alias("_last")) for i, p in enumerate(parts) if i]
+        last = reduce(DataFrame.union, ids).groupBy("conversation_id").agg(F.max("_last").alias("_last"))
+        return rows.join(last, "conversation_id", "left").where(F.col("_part") == F.coalesce("_last", F.lit(0))).drop("_part", "_last")
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table of a snapshot; empty in an empty store."""
+        return self._table(name, version).select(*TABLES[name].names)
+
+    def _table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table with its bucket column, if it has one."""
+        parts = self._list(self.version() if version is None else version)["parts"].get(name, [])
+        schema = _stored(name)
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if name in KEYED:
+            return self._latest(parts, name, schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{p['id']}/{name}" for p in parts))
 
     def archive(self, version: int | None = None) -> Archive:
+        version = self.version() if version is None else version
         return Archive(self.table("conversations", version), self.table("nodes", version))
 
-    def layout(self, version: int | None = None) -> int:
-        """The layout number that a snapshot was written with."""
-        row = self.spark.read.text(f"{self._snapshot(version or self.version())}/layout").first()
-        return int(json.loads(row.value)["schema_version"])
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Writes the next snapshot and then moves the pointer to it."""
-        version = self.version() + 1
-        base = self._snapshot(version)
-        for name in TABLES:
-            tables.get(name, self.table(name)).write.mode("overwrite").parquet(f"{base}/{name}")
-        self.spark.createDataFrame([(json.dumps({"schema_version": SCHEMA_VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/layout")
-        fs, mark = self._path(f"{self.folder}/current/v{version}")
-        if fs.exists(mark):
-            raise RuntimeError("snapshot_already_published")
-        fs.create(mark, False).close()
+    def _write_part(self, tables: dict[str, DataFrame]) -> dict:
+        """Writes the tables of one part to a folder of its own."""
+        part = uuid.uuid4().hex
+        for name, rows in tables.items():
+            rows = rows.select(*TABLES[name].names)
+            where = f"{self.folder}/data/{part}/{name}"
+            if name in KEYED:
+                rows = rows.withColumn("bucket", bucket_of()).repartition("bucket", "conversation_id").sortWithinPartitions("bucket", "conversation_id")
+                rows.write.partitionBy("bucket").parquet(where)
+            else:
+                rows.coalesce(1).write.parquet(where)  # notes of one run
+        rows = self._read({"id": part}, "conversations", CONVERSATIONS).count() if "conversations" in tables else 0
+        return {"id": part, "rows": rows, "tables": sorted(tables)}
+
+    def _commit(self, base: int, parts: dict[str, list[dict]], domains: list[str]) -> int:
+        """Publishes the list of parts as the snapshot after ``base``, or raises SnapshotConflict."""
+        version = base + 1
+        generations = self._list(base)["generations"] | {d: version for d in domains}
+        found = {"schema_version": SCHEMA_VERSION, "version": version, "parts": parts, "generations": generations}
+        attempt = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        fs, where = self._path(f"{attempt}/layout/list.json")
+        out = fs.create(where, False)
+        out.write(json.dumps(found).encode())
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        source, goal = self._path(attempt)[1], self._path(self._snapshot(version))[1]
+        try:
+            if fs.exists(goal):
+                raise SnapshotConflict("snapshot_already_published")
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(goal).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(source, goal, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if not fs.exists(goal):
+                raise
+            raise SnapshotConflict("snapshot_already_published") from e
+        finally:
+            self._delete(attempt)
         return version
 
-    def import_elements(self, elements: DataFrame, sources: DataFrame | None = None, input_path: str = "") -> dict:
-        """Imports (source_file, array_index, element) rows; returns counts by outcome and the domains that changed."""
-        run = self.version() + 1
+    @contextmanager
+    def _kept_if_published(self, part: dict) -> Iterator[None]:
+        """Deletes a part's folder if what follows fails."""
+        try:
+            yield
+        except BaseException:
+            self._delete(f"{self.folder}/data/{part['id']}")
+            raise
+
+    def publish(self, tables: dict[str, DataFrame], base: int | None = None, domains: tuple[str, ...] = ()) -> int:
+        """Writes a part with rows of some tables and publishes it after snapshot ``base``.
+
+        Keyed tables take whole conversations, rows and nodes, which replace those of the same ids.
+        """
+        base = self.version() if base is None else base
+        if any(n in tables for n in KEYED) and not all(n in tables for n in KEYED):
+            raise ValueError("conversations_need_their_nodes")
+        part = self._write_part(tables)
+        with self._kept_if_published(part):
+            parts = {n: list(p) for n, p in self._list(base)["parts"].items()}
+            for name in part["tables"]:
+                if name not in KEYED or part["rows"]:
+                    parts.setdefault(name, []).append({"id": part["id"], "rows": part["rows"]})
+            return self._commit(base, parts, list(domains))
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Publishes a snapshot with rows added to one table, such as the export log; what others publish meanwhile stays."""
+        if name in KEYED:
+            raise ValueError("conversations_are_imported")
+        part = self._write_part({name: rows})
+        with self._kept_if_published(part):
+            while True:
+                base = self.version()
+                parts = {n: list(p) for n, p in self._list(base)["parts"].items()}
+                parts.setdefault(name, []).append({"id": part["id"], "rows": 0})
+                try:
+                    return self._commit(base, parts, [])
+                except SnapshotConflict:
+                    continue
+
+    def compact(self) -> int:
+        """Merges the newest parts while they are together large beside the one before; returns the current version.
+
+        A row is rewritten about once each time the archive grows ``FANOUT``-fold.  Tables read the same before and after.
+        """
+        base = self.version()
+        parts = {n: list(p) for n, p in self._list(base)["parts"].items()}
+        keyed = parts.get("conversations", [])
+        take = mergeable([p["rows"] for p in keyed])
+        long = [n for n, p in parts.items() if n not in KEYED and len(p) >= FANOUT * FANOUT]
+        if not take and not long:
+            return base
+        tables = {n: self._latest(keyed[len(keyed) - take :], n, _stored(n)) for n in KEYED} if take else {}
+        tables |= {n: self._table(n, base) for n in long}
+        part = self._write_part(tables)
+        with self._kept_if_published(part):
+            for n in KEYED if take else ():
+                parts[n] = [*parts[n][: len(keyed) - take], {"id": part["id"], "rows": part["rows"]}]
+            for n in long:
+                parts[n] = [{"id": part["id"], "rows": 0}]
+            return self._commit(base, parts, [])
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Deletes snapshots but the last ``keep``, and parts that none of these lists; returns how many parts went.
+
+        A writer at work has parts that nothing lists yet, so this needs a time without one.
+        """
+        versions = self.versions()
+        used = {p["id"] for v in versions[-keep:] for ps in self._list(v)["parts"].values() for p in ps}
+        fs, folder = self._path(f"{self.folder}/data")
+        unused = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName() not in used] if fs.exists(folder) else []
+        for v in versions[:-keep]:
+            self._delete(self._snapshot(v))
+        for part in unused:
+            self._delete(f"{self.folder}/data/{part}")
+        return len(unused)
+
+    def import_elements(self, elements: DataFrame, sources: DataFrame | None = None, input_path: str = "", input_sha: str | None = None, attempts: int = 3) -> dict:
+        """Imports (source_file, array_index, element) rows; returns counts by outcome and the domains that changed.
+
+        Elements are parsed once.  If another writer publishes meanwhile, they are compared anew with what it left,
+        ``attempts`` times in all, and then SnapshotConflict is raised.
+        """
+        staged = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        try:
+            parse_elements(elements).write.parquet(staged)
+            for left in reversed(range(attempts)):
+                try:
+                    out = self._import_parsed(self.spark.read.parquet(staged), sources, input_path, input_sha)
+                    break
+                except SnapshotConflict:
+                    if not left:
+                        raise
+        finally:
+            self._delete(staged)
+        self.compact()
+        return out
+
+    def _import_parsed(self, parsed: DataFrame, sources: DataFrame | None, input_path: str, input_sha: str | None) -> dict:
+        base = self.version()
+        run = base + 1
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        staged = f"{self.folder}/staging-{run:06d}"
-        parse_elements(elements).write.mode("overwrite").parquet(staged)
-        got = split_parsed(self.spark.read.parquet(staged))
-        stored = {n: self.table(n) for n in TABLES}
+        got = split_parsed(parsed)
+        stored = {n: self._table(n, base) for n in KEYED}
         outcomes = conversation_outcomes(stored["conversations"], got["conversations"])
-        changes = node_changes(stored["nodes"], got["nodes"])
+        # the few buckets that come in are found when the query runs, and the others are not read
+        near = got["conversations"].select(bucket_of().alias("bucket")).distinct()
+        changes = node_changes(stored["nodes"].join(F.broadcast(near), "bucket", "left_semi").drop("bucket"), got["nodes"])
         moved = changes.where("action <> 'same'").select("conversation_id").distinct().withColumn("_moved", F.lit(True))
         fixed = F.when((F.col("outcome") == "unchanged") & F.coalesce("_moved", F.lit(False)), "updated").otherwise(F.col("outcome"))
         outcomes = outcomes.join(moved, "conversation_id", "left").select("conversation_id", fixed.alias("outcome"), "domains")
         notes = got["import_warnings"].select(F.lit(run).cast("long").alias("import_run_id"), "source_file", "array_index", "warning_type", "keys_json", "raw_json", F.lit(now).alias("created_at"))
         summary = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
         domains = sorted({d for r in outcomes.select(F.explode("domains").alias("d")).union(changes.where("action <> 'same'").select(F.explode("domains"))).distinct().collect() for d in r})
-        tables = {
-            "conversations": merged(stored["conversations"], got["conversations"], outcomes, run),
-            "nodes": merged(stored["nodes"], got["nodes"], outcomes, run),
-            "import_warnings": stored["import_warnings"].unionByName(notes.select(*WARNINGS.names)),
-            "import_runs": stored["import_runs"].union(self.spark.createDataFrame([(run, input_path, "elements", None, None, now, now, "ok", json.dumps(summary, sort_keys=True))], IMPORT_RUNS)),
-        }
+        new = outcomes.where(F.col("outcome").isin("inserted", "updated")).select("conversation_id")
+        tables = {n: got[n].join(new, "conversation_id", "left_semi").withColumn("last_import_run_id", F.lit(run).cast("long")) for n in KEYED} if {"inserted", "updated"} & set(summary) else {}
+        tables["import_warnings"] = notes.select(*WARNINGS.names)
+        tables["import_runs"] = self.spark.createDataFrame([(run, input_path, "elements", input_sha, None, now, now, "ok", json.dumps(summary, sort_keys=True))], IMPORT_RUNS)
         if sources is not None:
-            tables["source_files"] = stored["source_files"].unionByName(sources.select(F.lit(run).cast("long").alias("import_run_id"), *SOURCE_FILES.names[1:]))
-            tables["file_index"] = stored["file_index"].unionByName(_file_rows(sources, run))
-        self.publish(tables)
-        fs, stage = self._path(staged)
-        fs.delete(stage, True)
+            tables["source_files"] = sources.select(F.lit(run).cast("long").alias("import_run_id"), *SOURCE_FILES.names[1:])
+            tables["file_index"] = _file_rows(sources, run)
+        self.publish(tables, base, tuple(domains))
         return {"run": run, "outcomes": summary, "dirty_domains": domains}
 
     def import_path(self, path: str) -> dict:
-        """Imports a ZIP, a JSON file or a folder."""
-        members = read_members(self.spark, path)
-        chosen = selected_sources(members)
-        picked = chosen.select(F.col("path").alias("_picked"))
-        rows = members.join(picked, F.col("path") == F.col("_picked"), "left")
-        is_json = F.lower("path").rlike(r"conversations(-[0-9]+)?\.json$")
-        sources = rows.select(F.col("path").alias("source_path"), "file_type", F.col("size"), "sha256", is_json.alias("is_conversation_json"), F.col("_picked").isNotNull().alias("is_selected_conversation_source"))
-        out = self.import_elements(read_elements(chosen), sources, path)
-        return out | {"input_sha256": input_sha256(fingerprint(self.spark, path))}
+        """Imports a ZIP, a JSON file or a folder.
+
+        Members are read side by side by executors, in chunks.  An input in a store that only Spark's own
+        readers reach is opened whole by one task for each file.
+        """
+        where = resolve_input(path)
+        streamed = files.reachable(where)
+        staged = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        try:
+            found = members.members(self.spark, where) if streamed else read_members(self.spark, where).select(F.lit(None).cast("string").alias("archive"), "path", "size", "sha256", "file_type")
+            found.write.parquet(staged)
+            found = self.spark.read.parquet(staged)
+            chosen = [r.path for r in selected_sources(found.select("path")).collect()]  # a name for each conversation file
+            is_json = F.lower("path").rlike(r"conversations(-[0-9]+)?\.json$")
+            sources = found.select(F.col("path").alias("source_path"), "file_type", "size", "sha256", is_json.alias("is_conversation_json"), F.col("path").isin(chosen).alias("is_selected_conversation_source"))
+            if streamed:
+                elements = members.elements(self.spark, where, chosen)
+                whole = members.input_files(self.spark, where) if found.where("archive is not null").limit(1).count() else found.select("path", "sha256", "size")
+            else:
+                elements, whole = read_elements(selected_sources(read_members(self.spark, where))), fingerprint(self.spark, where)
+            sha = input_sha256(whole)
+            return self.import_elements(elements, sources, path, sha) | {"input_sha256": sha}
+        finally:
+            self._delete(staged)
 
     def build_index(self, version: int | None = None) -> str:
         """Writes what searches derive from a snapshot: texts and their normal forms, titles, paths and postings.
 
-        The index is written aside and published by a marker; a snapshot never changes, so its index
-        stays right.
+        Each part has an index of its own, published by a marker; parts that have one are left alone, so after
+        an import only what it brought is indexed.
         """
-        version = version or self.version()
-        folder, archive = f"{self._snapshot(version)}/index", self.archive(version)
+        version = self.version() if version is None else version
+        for part in self._list(version)["parts"].get("conversations", []):
+            if not self._has_index(part):
+                self._index_part(part)
+        return f"{self.folder}/data"
+
+    def _index_part(self, part: dict) -> None:
+        folder = f"{self.folder}/data/{part['id']}/index"
+        archive = Archive(self._read(part, "conversations", CONVERSATIONS), self._read(part, "nodes", NODES))
         nodes = archive.texts.repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id")
         nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
         archive.titled.write.mode("overwrite").parquet(f"{folder}/conversations")
@@ -179,24 +399,37 @@ class Store:
         fs, mark = self._path(f"{folder}/ready")
         if not fs.exists(mark):
             fs.create(mark, False).close()
-        return folder
 
-    def has_index(self, version: int | None = None) -> bool:
-        fs, mark = self._path(f"{self._snapshot(version or self.version())}/index/ready")
+    def _has_index(self, part: dict) -> bool:
+        fs, mark = self._path(f"{self.folder}/data/{part['id']}/index/ready")
         return fs.exists(mark)
 
+    def has_index(self, version: int | None = None) -> bool:
+        """Whether every part of the snapshot has its index."""
+        parts = self._list(self.version() if version is None else version)["parts"].get("conversations", [])
+        return bool(parts) and all(self._has_index(p) for p in parts)
+
     def indexed(self, version: int | None = None) -> tuple[Archive, DataFrame | None]:
         """The archive with stored derived columns and paths, and its postings; without an index, the plain archive."""
-        version = version or self.version()
+        version = self.version() if version is None else version
         if not version or not self.has_index(version):
             return self.archive(version), None
-        folder = f"{self._snapshot(version)}/index"
-        read = lambda name: self.spark.read.parquet(f"{folder}/{name}")
-        return Archive(read("conversations"), read("nodes"), read("paths")), self.spark.read.parquet(f"{folder}/postings")
+        parts = self._list(version)["parts"]["conversations"]
+        nodes, conversations, paths, postings = (self._latest(parts, f"index/{name}") for name in _INDEX)
+        return Archive(conversations, nodes, paths), postings
 
-    def append(self, name: str, rows: DataFrame) -> int:
-        """Publishes a snapshot with rows added to one table, such as the export log."""
-        return self.publish({name: self.table(name).unionByName(rows)})
+
+def mergeable(rows: list[int]) -> int:
+    """How many of the newest parts to merge, given each part's rows from the oldest; 0 for none.
+
+    From the newest back, parts are taken while they hold no more than ``FANOUT`` times what is taken already.
+    """
+    take, held = 0, 0
+    for n in reversed(rows):
+        if take and n > FANOUT * max(held, 1):
+            break
+        take, held = take + 1, held + n
+    return take if take >= FANOUT else 0
 
 
 def input_sha256(files: DataFrame) -> str | None:

@@ -1,13 +1,12 @@
-"""Export inputs: a ZIP, a JSON file or a folder, and the conversations in them.
+"""Export inputs by way of Spark's own reader of files, and which of their members hold conversations.
 
-Paths may lie in any store that Spark reads.  A file's text is taken whole and its top-level array is
-split into elements, so one bad element does not spoil the others and each keeps its index.
+Paths may lie in any store that Spark reads, but a file is opened whole by one task; where Python can
+reach the store, :mod:`talktree.sources.members` reads by chunks instead.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talktree.functions.values import file_type
+from talktree.sources import files
+from talktree.sources.framing import frame
+from talktree.sources.members import element_batches
 
 #: Names of conversation files, whole or in numbered shards.
 WHOLE = "conversations.json"
@@ -25,7 +27,7 @@ SHARD = r"(?i)^(?:.*/)?conversations-(\d+)\.json$"
 MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_RATIO = 200_000, 2_000_000_000, 1_000
 _MAC = re.compile(r"(?:^|/)(?:__MACOSX(?:/|$)|\._|\.DS_Store$)")
 
-ELEMENTS = "source_file string, array_index long, element string"
+ELEMENTS = "source_file string, array_index long, element string, problem string"
 
 
 def is_metadata_path(path: str) -> bool:
@@ -61,6 +63,15 @@ def find_input(names: list[str]) -> str:
     raise ValueError("no_input_found")
 
 
+def resolve_input(path: str) -> str:
+    """The input that a path means: in a folder, what ``find_input`` picks; any other path itself."""
+    if not files.reachable(path) or (names := [n for n, *_ in files.listed(path)]) == [path.rstrip("/").rsplit("/", 1)[-1]]:
+        return path
+    top = [n for n in names if "/" not in n]
+    found = find_input(top if any(n.lower().endswith(".zip") for n in top) else [n.rsplit("/", 1)[-1] for n in names])
+    return path if found == "." else f"{path.rstrip('/')}/{found}"
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files (path, content) to their members; ZIPs are opened, others are members themselves."""
     for batch in batches:
@@ -102,73 +113,21 @@ def selected_sources(members: DataFrame) -> DataFrame:
 
 
 def _split_array(text: str) -> Iterator[str]:
-    """Elements of a top-level JSON array, as text; a bad element ends at the next comma that can follow it."""
-    decoder = json.JSONDecoder(parse_constant=_reject)
-    at = _skip(text, 0)
-    if text[at : at + 1] != "[":
-        raise ValueError("top_level_not_array")
-    at = _skip(text, at + 1)
-    while at < len(text) and text[at] != "]":
-        try:
-            _, end = decoder.raw_decode(text, at)
-        except ValueError:
-            end = _bad_end(text, at)
-        yield text[at:end].strip()
-        at = _skip(text, end)
-        if text[at : at + 1] == ",":
-            at = _skip(text, at + 1)
-        elif text[at : at + 1] != "]":
-            raise ValueError("array_not_closed")
-
-
-def _reject(name: str) -> None:
-    raise ValueError(f"non-finite number {name}")
-
-
-_BLANK = re.compile(r"[ \t\r\n]*")
-_MARK = re.compile(r'"(?:\\.|[^"\\])*"|[\[\]{},]', re.S)
-
-
-def _skip(text: str, at: int) -> int:
-    return _BLANK.match(text, at).end()
-
-
-def _bad_end(text: str, at: int) -> int:
-    """End of an element that can't be decoded, by its brackets."""
-    depth = 0
-    for m in _MARK.finditer(text, at):
-        if m[0] in "[{":
-            depth += 1
-        elif m[0] in "]}":
-            if not depth:
-                return m.start()
-            depth -= 1
-        elif m[0] == "," and not depth:
-            return m.start()
-    return len(text)
+    """Elements of a top-level JSON array, as text; raises for anything else."""
+    for _, element, problem in frame([text.encode()]):
+        if problem:
+            raise ValueError(problem)
+        yield element
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = content.decode("utf-8-sig")
-            part: list[str] = []
-            first = 0
-            for i, element in enumerate(_split_array(text)):
-                part.append(element)
-                if len(part) >= 256:
-                    yield _element_batch(path, first, part)
-                    first, part = i + 1, []
-            if part:
-                yield _element_batch(path, first, part)
-
-
-def _element_batch(path: str, first: int, part: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(first, first + len(part)), pa.int64()), pa.array(part)], ["source_file", "array_index", "element"])
+            yield from element_batches(path, frame([content]))
 
 
 def read_elements(sources: DataFrame) -> DataFrame:
-    """``(source_file, array_index, element)``: the JSON text of each conversation in the selected members."""
+    """``(source_file, array_index, element, problem)``: the JSON text of each conversation in the selected members, or what is wrong with it."""
     return sources.select("path", "content").mapInArrow(_elements, ELEMENTS)
 
 
