@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ from talktree.functions.values import parse_day
 from talktree.operators import export, index, reader, search, verify
 from talktree.operators.store import Store
 from talktree.plans.query import DAY, MODES, PATHS, SCOPES, SORTS, parse_query
-from talktree.sources.exports import inspect, read_elements, read_members, selected_sources
+from talktree.sources.exports import inspect_input
 
 
 def parser() -> argparse.ArgumentParser:
@@ -80,8 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "import":
         print(json.dumps(store.import_path(a.input)))
     elif a.command == "inspect":
-        members = read_members(spark, a.input)
-        for name, rows in inspect(members, read_elements(selected_sources(members))).items():
+        for name, rows in inspect_input(spark, a.input).items():
             print(name)
             _print(rows)
     elif a.command == "stats":
@@ -105,7 +105,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         archive, postings = store.indexed()
         scores = None
         if postings is not None and q.has_body:
-            scores = index.bm25(archive, q, postings)
+            scores = index.bm25_postings(archive, postings, q, store.lengths())
             archive = index.narrowed(archive, postings, q)
         if a.messages:
             found = search.search_messages(archive, q, bm25=scores).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
@@ -119,7 +119,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         content = export.rendered(archive, formats, **options, date_from=_day(a.date_from), date_to=_day(a.date_to, True))
         names = export.file_names(archive.conversations, formats)
         print(json.dumps(export.write_files(content.join(names, ["conversation_id", "format"]), a.folder)))
-        export.write_manifests(export.manifest(archive, content, **options), a.folder)
+        rows = export.manifest(archive, content, **options)
+        export.write_manifests(rows, a.folder)
+        store.append("exports", export.export_log(rows, datetime.now(timezone.utc).isoformat(timespec="seconds"), options))
     return 0
 
 

@@ -6,7 +6,6 @@ import csv
 import io
 import json
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from talktree.operators.archive import Archive
 from talktree.operators.search import reading_keys
 from talktree.plans.predicates import conversation_time, in_dates
 from talktree.plans.query import Query
+from talktree.sources.sink import write_rows
 
 FORMATS = ("md", "txt")
 #: Columns of a manifest, in order.
@@ -148,41 +148,25 @@ def write_export(archive: Archive, folder: str, **options) -> DataFrame:
     """Writes content and manifests below ``folder`` and returns the manifest.
 
     Content goes to ``files`` with a partition for each format and a row for each file; manifests to
-    ``manifest_jsonl`` and ``manifest_csv``, both sorted.
+    ``manifest_jsonl`` and ``manifest_csv``, whose parts are sorted ranges of names.
     """
     content = rendered(archive, **options)
     kept = {k: v for k, v in options.items() if k in ("path", "include_internal")}
     rows = manifest(archive, content, **kept)
     named = content.join(file_names(archive.conversations), ["conversation_id", "format"])
     named.write.mode("overwrite").partitionBy("format").parquet(f"{folder}/files")
-    manifest_jsonl(rows).coalesce(1).write.mode("overwrite").text(f"{folder}/manifest_jsonl")
-    rows.coalesce(1).write.mode("overwrite").option("header", "true").option("nullValue", "").csv(f"{folder}/manifest_csv")
+    manifest_jsonl(rows).write.mode("overwrite").text(f"{folder}/manifest_jsonl")
+    rows.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(f"{folder}/manifest_csv")
     return rows
 
 
 def write_files(named: DataFrame, folder: str) -> dict[str, int]:
-    """Writes (output_path, content) rows as files of a local folder, those only whose content changed.
+    """Writes (output_path, content) rows as files of a folder, those only whose content changed.
 
-    Rows come to the driver one partition at a time.  A file is written beside its place and then
-    moved there, so it is never seen in part.  Returns how many were written and left alone.
+    Executors write them; a file is written aside and then moved to its place, so it is never seen in
+    part.  Returns how many were written and left alone.
     """
-    os.makedirs(folder, exist_ok=True)
-    counts = {"written": 0, "unchanged": 0}
-    for row in named.select("output_path", "content").toLocalIterator():
-        path, data = os.path.join(folder, os.path.basename(row.output_path)), row.content.encode("utf-8")
-        if os.path.isfile(path) and os.path.getsize(path) == len(data):
-            with open(path, "rb") as f:
-                if f.read() == data:
-                    counts["unchanged"] += 1
-                    continue
-        fd, part = tempfile.mkstemp(dir=folder, prefix=".part-")
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, path)
-        counts["written"] += 1
-    return counts
+    return write_rows(named.select(F.element_at(F.split("output_path", r"[/\\\\]"), -1).alias("path"), "content"), folder)
 
 
 def write_manifests(rows: DataFrame, folder: str) -> None:

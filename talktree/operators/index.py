@@ -1,13 +1,19 @@
 """Trigram postings over normalised texts: candidates for searches, and their BM25 scores.
 
-The index never decides what is a hit; it narrows down what the exact predicate is run on.
+The index never decides what is a hit; it narrows down what the exact predicate is run on.  A posting
+has the places of its trigram in the message and the message's length, so how often a longer stretch
+occurs follows from places that fit together, and scores need no text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talktree.functions.text import normalize
@@ -17,16 +23,55 @@ from talktree.plans.query import Query
 #: Constants of BM25 and of its smallest inverse document frequency.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 _NODE = ["conversation_id", "node_id"]
-#: Three characters at each place, in one pass over the text.  Places inside a character beyond the BMP give a
-#: stretch that is not there, which can only add candidates.
-_EACH_THREE = "(?s)(?=(.{3}))"
+POSTINGS = "trigram string, conversation_id string, node_id string, positions array<int>, size int"
+_BLOCK = 1 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, held, texts = 0, 0, batch.column("norm").to_pylist()
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= _BLOCK or i == len(texts) - 1:
+                yield _block_postings(batch.slice(at, i + 1 - at), texts[at : i + 1])
+                at, held = i + 1, 0
+
+
+def _block_postings(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    """Postings of some messages, each of three characters or more: places grouped by message and trigram."""
+    size = np.array([len(t) - 2 for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    at = place + np.repeat(np.cumsum(size + 2) - size - 2, size)
+    key = chars[at] << 42 | chars[at + 1] << 21 | chars[at + 2]
+    order = np.lexsort((place, key, of))
+    of, key, place = of[order], key[order], place[order]
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))) if len(of) else np.zeros(0, np.int64)
+    grams, which = np.unique(key[first], return_inverse=True)
+    names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams.tolist()]
+    rows = pa.array(of[first])
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    columns = [pa.array(names, pa.string()).take(pa.array(which)), batch.column("conversation_id").take(rows), batch.column("node_id").take(rows), positions, pa.array(size[of[first]].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["trigram", *_NODE, "positions", "size"])
 
 
 def build(archive: Archive) -> DataFrame:
-    """``(trigram, conversation_id, node_id)``: each distinct three-character stretch of each message."""
-    rows = archive.texts.where(F.length("norm") >= 3)
-    grams = F.array_distinct(F.regexp_extract_all("norm", F.lit(_EACH_THREE), F.lit(1)))
-    return rows.select(F.explode(grams).alias("trigram"), *_NODE)
+    """``(trigram, conversation_id, node_id, positions, size)``: each distinct three-character stretch of each message.
+
+    ``positions`` are where it begins, in characters from 0; ``size`` is how many stretches the message has.
+    """
+    return archive.texts.where(F.length("norm") >= 3).select(*_NODE, "norm").mapInArrow(_postings, POSTINGS)
+
+
+def lengths(archive: Archive) -> DataFrame:
+    """``(conversation_id, messages, size)``: how many messages have a text, and their stretches together."""
+    rows = archive.texts.where(F.col("text") != "")
+    return rows.groupBy("conversation_id").agg(F.count("*").alias("messages"), F.sum(_size()).alias("size"))
+
+
+def _size() -> Column:
+    return F.greatest(F.length("norm") - 2, F.lit(0)).cast("long")
 
 
 def write(archive: Archive, folder: str) -> None:
@@ -82,6 +127,54 @@ def narrowed(archive: Archive, postings: DataFrame, q: Query) -> Archive:
     return Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), whole=archive)
 
 
+def _stretches(q: Query) -> list[str]:
+    return list(dict.fromkeys(p for f in (*q.phrases, *q.terms, *q.required_phrases) for p in _parts(f)))
+
+
+def _bm25(frequencies: list[Column], frequency_of: list[Column]) -> Column:
+    """The score of a row with ``_n``, ``_avg`` and ``_size``, given each stretch's frequency and number of messages."""
+    score = F.lit(0.0)
+    for f, d in zip(frequencies, frequency_of):
+        idf = F.log((F.col("_n") - d + 0.5) / (d + 0.5))
+        score = score - F.greatest(idf, F.lit(MIN_IDF)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_size") / F.greatest(F.col("_avg"), F.lit(1e-9))))
+    return score
+
+
+def _grams(part: str) -> dict[int, str]:
+    """Trigrams of a stretch by offset, as few as cover it."""
+    return {i: part[i : i + 3] for i in (*range(0, len(part) - 3, 3), len(part) - 3)}
+
+
+def bm25_postings(archive: Archive, postings: DataFrame, q: Query, sizes: DataFrame | None = None) -> DataFrame:
+    """``bm25`` from postings: no text is read, and of the postings only those of the query's trigrams.
+
+    A stretch occurs where all its trigrams do at their offsets.  ``sizes`` is a stored ``lengths`` table;
+    without one it is made from the archive's texts.
+    """
+    parts = _stretches(q)
+    grams = sorted({g for p in parts for g in _grams(p).values()})
+    lists = [F.max(F.when(F.col("trigram") == g, F.col("positions"))).alias(f"_p{k}") for k, g in enumerate(grams)]
+    rows = postings.where(F.col("trigram").isin(grams)).groupBy(*_NODE).agg(F.max("size").cast("double").alias("_size"), *lists)
+
+    def begins(gram: str, offset: int) -> Column:
+        return F.transform(F.col(f"_p{grams.index(gram)}"), lambda x: x - offset)
+
+    def found(part: str) -> Column:
+        at = [begins(g, i) for i, g in _grams(part).items()]
+        return F.coalesce(F.size(reduce(F.array_intersect, at)), F.lit(0))
+
+    # size() of null is -1 where the session says so
+    rows = rows.select(*_NODE, "_size", *(F.greatest(found(p), F.lit(0)).alias(f"_f{i}") for i, p in enumerate(parts)))
+    hit = reduce(lambda a, b: a | b, (F.col(f"_f{i}") > 0 for i in range(len(parts))), F.lit(False))
+    rows = rows.where(hit)
+    known = sizes if sizes is not None else lengths(archive)
+    overall = known.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("_n"), (F.sum("size") / F.sum("messages")).alias("_avg"))
+    having = rows.agg(*(F.coalesce(F.sum((F.col(f"_f{i}") > 0).cast("long")), F.lit(0)).alias(f"_d{i}") for i in range(len(parts))), F.lit(1).alias("_one"))
+    totals = overall.join(F.broadcast(having), F.lit(True))  # one row beside one row
+    score = _bm25([F.col(f"_f{i}") for i in range(len(parts))], [F.col(f"_d{i}") for i in range(len(parts))])
+    return rows.join(F.broadcast(totals), F.lit(True)).select(*_NODE, score.alias("bm25"))
+
+
 def bm25(archive: Archive, q: Query, postings: DataFrame | None = None) -> DataFrame:
     """``(conversation_id, node_id, bm25)`` of messages with any of the query's stretches; more negative is better.
 
@@ -89,7 +182,7 @@ def bm25(archive: Archive, q: Query, postings: DataFrame | None = None) -> DataF
     number of trigrams.  With ``postings`` stretches are looked for only in messages that have all
     their trigrams; of the others only the length is read.
     """
-    parts = list(dict.fromkeys(p for f in (*q.phrases, *q.terms, *q.required_phrases) for p in _parts(f)))
+    parts = _stretches(q)
     rows = archive.texts.where(F.col("text") != "")
     size = F.greatest(F.length("norm") - 2, F.lit(0)).cast("double")
     if not parts:
@@ -105,11 +198,7 @@ def bm25(archive: Archive, q: Query, postings: DataFrame | None = None) -> DataF
         totals = rows.agg(*overall, *having)
     else:  # one row beside one row
         totals = every_row.select(size.alias("_size")).agg(*overall).join(F.broadcast(rows.agg(*having)), F.lit(True))
-    score = F.lit(0.0)
-    for i in range(len(parts)):
-        idf = F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
-        f = F.col(f"_f{i}")
-        score = score - F.greatest(idf, F.lit(MIN_IDF)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_size") / F.greatest(F.col("_avg"), F.lit(1e-9))))
+    score = _bm25([F.col(f"_f{i}") for i in range(len(parts))], [F.col(f"_d{i}") for i in range(len(parts))])
     hit = F.lit(False)
     for i in range(len(parts)):
         hit = hit | (F.col(f"_f{i}") > 0)

@@ -168,10 +168,10 @@ def reading_keys() -> list[Column]:
 def display_order(hits: DataFrame, archive: Archive, path: str) -> DataFrame:
     """Hits as a reader shows them: chains from their root, then conversations taken whole by time."""
     if path != "current":
-        return hits.orderBy(*reading_keys())
+        return hits.orderBy(*reading_keys(), "conversation_id")
     place = archive.paths_of(hits).select(*_NODE, F.col("source").alias("_source"), F.col("depth").alias("_depth"))
     whole = F.col("_source") == "fallback_all"
-    keys = [whole, F.when(~whole, F.col("_depth")).desc_nulls_last(), F.when(whole, F.col("create_time").isNull()), F.when(whole, F.coalesce("create_time", "update_time", F.lit(0.0))), F.col("node_id")]
+    keys = [whole, F.when(~whole, F.col("_depth")).desc_nulls_last(), F.when(whole, F.col("create_time").isNull()), F.when(whole, F.coalesce("create_time", "update_time", F.lit(0.0))), F.col("node_id"), F.col("conversation_id")]
     return hits.join(place, _NODE).orderBy(*keys).drop("_source", "_depth")
 
 

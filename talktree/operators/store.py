@@ -112,18 +112,16 @@ class Store:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _delete(self, path: str) -> None:
+    def _delete(self, path: str) -> bool:
         fs, where = self._path(path)
-        fs.delete(where, True)
+        return fs.delete(where, True)
 
     def version(self) -> int:
         """Number of the current snapshot, 0 if there is none."""
         return max(self.versions(), default=0)
 
     def versions(self) -> list[int]:
-        fs, folder = self._path(self.folder)
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-"))
+        return sorted(int(n.removeprefix("snapshot-")) for n in self._names(self.folder) if n.startswith("snapshot-"))
 
     def _snapshot(self, version: int) -> str:
         return f"{self.folder}/snapshot-{version:06d}"
@@ -288,19 +286,20 @@ class Store:
             return self._commit(base, parts, [])
 
     def vacuum(self, keep: int = 10) -> int:
-        """Deletes snapshots but the last ``keep``, and parts that none of these lists; returns how many parts went.
+        """Deletes snapshots but the last ``keep``, and tables of parts that none of these lists; returns how many tables went.
 
         A writer at work has parts that nothing lists yet, so this needs a time without one.
         """
         versions = self.versions()
-        used = {p["id"] for v in versions[-keep:] for ps in self._list(v)["parts"].values() for p in ps}
-        fs, folder = self._path(f"{self.folder}/data")
-        unused = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName() not in used] if fs.exists(folder) else []
+        used = {(p["id"], n) for v in versions[-keep:] for n, ps in self._list(v)["parts"].items() for p in ps}
+        used |= {(part, "index") for part, n in used if n == "nodes"}
         for v in versions[:-keep]:
             self._delete(self._snapshot(v))
-        for part in unused:
-            self._delete(f"{self.folder}/data/{part}")
-        return len(unused)
+        return sum(self._delete(f"{self.folder}/data/{part}/{n}") for part in self._names(f"{self.folder}/data") for n in self._names(f"{self.folder}/data/{part}") if (part, n) not in used)
+
+    def _names(self, path: str) -> list[str]:
+        fs, folder = self._path(path)
+        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
     def import_elements(self, elements: DataFrame, sources: DataFrame | None = None, input_path: str = "", input_sha: str | None = None, attempts: int = 3) -> dict:
         """Imports (source_file, array_index, element) rows; returns counts by outcome and the domains that changed.
@@ -396,6 +395,7 @@ class Store:
         archive.paths.write.mode("overwrite").parquet(f"{folder}/paths")
         stored = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"))
         index.write(stored, f"{folder}/postings")
+        index.lengths(stored).write.mode("overwrite").parquet(f"{folder}/lengths")
         fs, mark = self._path(f"{folder}/ready")
         if not fs.exists(mark):
             fs.create(mark, False).close()
@@ -418,6 +418,10 @@ class Store:
         nodes, conversations, paths, postings = (self._latest(parts, f"index/{name}") for name in _INDEX)
         return Archive(conversations, nodes, paths), postings
 
+    def lengths(self, version: int | None = None) -> DataFrame:
+        """How many messages and stretches each conversation of an indexed snapshot has, for scores from postings."""
+        return self._latest(self._list(self.version() if version is None else version)["parts"]["conversations"], "index/lengths")
+
 
 def mergeable(rows: list[int]) -> int:
     """How many of the newest parts to merge, given each part's rows from the oldest; 0 for none.

@@ -249,19 +249,12 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.message_hits(index.narrowed(archive, postings, q), q).select(*_NODE)
 
 
-def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the search language makes of odd queries; the rows are the queries."""
-    asked = [('role:nobody -title:x a', {}), ("path:all role:user", {"role": "tool", "path": "current"}), ("before:soon", {"after": "1970-01-02"}), ("x", {"exclude": r'a "b \" c" "open', "limits": True, "scope": "side"})]
-    rows = [(raw, q.role, q.path, q.after, "|".join(q.terms), "|".join(q.exclude), "|".join(q.errors)) for raw, given in asked for q in [parse_query(raw, **given)]]
-    return spark.createDataFrame(rows, "raw string, role string, path string, after double, terms string, exclude string, errors string")
-
-
 MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         display_texts, flagged_paths, flagged_metadata, raw_flag_topology, flagged_search, folded_search, hidden_nodes, highlight_eligible, highlight_counts, first_matches, raw_preview, copy_visible, display_chunk,
         one_conversation, list_sorts, search_sorts, message_orders, export_order, page_with_total, long_summaries, bounded_page, name_clashes, utf8_beginnings, sql_functions, unsafe_ids, non_finite_times,
-        violation_samples, foreign_parents, latest_warnings, merged_import, changed_exports, stored_search, query_errors,
+        violation_samples, foreign_parents, latest_warnings, merged_import, changed_exports, stored_search,
     )
 }
 
@@ -321,7 +314,5 @@ MORE_SQL: dict[str, str] = {
     "merged_import": f"{BIND} SELECT conversation_id, title, CASE WHEN conv_id % 11 = 0 OR (conv_id % 4 = 0 AND title <> 'old') THEN 9 ELSE 0 END::BIGINT AS run FROM c",
     "changed_exports": f"{BIND} SELECT conversation_id FROM c WHERE conv_id % 3 IN (0, 1)",
     "stored_search": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('thing')} AND {_has('nder')}",
-    "query_errors": r"""SELECT * FROM (VALUES ('role:nobody -title:x a', NULL, 'current', NULL, 'a', '', 'invalid_role:nobody|negated_modifier_not_supported:title'), ('path:all role:user', 'user', 'all', NULL, '', '', ''),
-        ('before:soon', NULL, 'current', 86400.0::DOUBLE, '', '', 'invalid_before'), ('x', NULL, 'current', NULL, 'x', 'a|b " c|"open', 'invalid_scope:side')) t(raw, role, path, "after", terms, exclude, errors)""",
 }
 

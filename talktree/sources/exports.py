@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talktree.functions.values import file_type
-from talktree.sources import files
+from talktree.sources import files, members
 from talktree.sources.framing import frame
 from talktree.sources.members import element_batches
 
@@ -69,7 +69,7 @@ def resolve_input(path: str) -> str:
         return path
     top = [n for n in names if "/" not in n]
     found = find_input(top if any(n.lower().endswith(".zip") for n in top) else [n.rsplit("/", 1)[-1] for n in names])
-    return path if found == "." else f"{path.rstrip('/')}/{found}"
+    return path if found == "." else files.below(path, found)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +131,61 @@ def read_elements(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content").mapInArrow(_elements, ELEMENTS)
 
 
-def inspect(members: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
-    """What an input holds: files by type, and how many elements and repeated ids there are."""
+#: So many elements that can't be imported are shown.
+MAX_SHOWN = 50
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Why each element can't be imported, or null, and the first invalid ones of each task."""
+    from talktree.functions.values import load_json
+    from talktree.operators.ingest import problem
+
+    def judge(text: str | None, told: str | None) -> str | None:
+        if told:
+            return told
+        try:
+            found = problem(load_json(text))
+        except (ValueError, RecursionError):
+            return "invalid_json"
+        return found[0] if found else None
+
+    for batch in batches:
+        source, index, text, told = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(index, pa.int64()), pa.array([judge(*x) for x in zip(text, told)], pa.string())], ["source_file", "array_index", "warning_type"])
+
+
+def invalid_elements(elements: DataFrame) -> DataFrame:
+    """``(source_file, array_index, warning_type)`` of elements that can't be imported; none of what they hold."""
+    judged = elements.select("source_file", "array_index", "element", "problem").mapInArrow(_judged, "source_file string, array_index long, warning_type string")
+    return judged.where("warning_type is not null")
+
+
+def invalid_sample(elements: DataFrame, n: int = MAX_SHOWN) -> DataFrame:
+    """The first ``n`` invalid elements by file and place, the same however the input is partitioned; each task hands on n at most."""
+    return invalid_elements(elements).orderBy("source_file", "array_index", "warning_type").limit(n)
+
+
+def duplicate_ids(elements: DataFrame) -> DataFrame:
+    """``elements``, how many have an id, and how many of these repeat one."""
     ids = elements.select(F.coalesce(F.get_json_object("element", "$.id"), F.get_json_object("element", "$.conversation_id")).alias("id"))
+    return ids.agg(F.count("*").alias("elements"), F.count("id").alias("with_id"), (F.count("id") - F.countDistinct("id")).alias("duplicate_ids"))
+
+
+def inspect(listed: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
+    """What an input holds: files by type, the first invalid elements, and how many elements and repeated ids there are."""
     return {
-        "files": members.groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")),
-        "elements": ids.agg(F.count("*").alias("elements"), F.count("id").alias("with_id"), (F.count("id") - F.countDistinct("id")).alias("duplicate_ids")),
+        "files": listed.groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")),
+        "invalid": invalid_sample(elements),
+        "elements": duplicate_ids(elements),
     }
+
+
+def inspect_input(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``inspect`` of a ZIP, a JSON file or a folder, read by chunks where Python reaches it."""
+    where = resolve_input(path)
+    if not files.reachable(where):
+        found = read_members(spark, where)
+        return inspect(found, read_elements(selected_sources(found)))
+    found = members.members(spark, where)
+    chosen = [r.path for r in selected_sources(found.select("path")).collect()]  # a name for each conversation file
+    return inspect(found, members.elements(spark, where, chosen))

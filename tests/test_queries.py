@@ -8,8 +8,9 @@ import pytest
 from talktree.queries import ORACLE_SQL as OLD_SQL
 from talktree.queries import QUERIES as OLD
 from talktree.queries_more import MORE, MORE_SQL
+from talktree.queries_stored import STORED, STORED_SQL
 
-QUERIES, ORACLE_SQL = OLD | MORE, OLD_SQL | MORE_SQL
+QUERIES, ORACLE_SQL = OLD | MORE | STORED, OLD_SQL | MORE_SQL | STORED_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
