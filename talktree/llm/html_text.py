@@ -5,9 +5,10 @@ Menus, headers, footers, side bars, notices, adverts, forms, comments and what a
 are cut off.  Each paragraph then passes points for its length and commas to its parent and, halved,
 to its grandparent; a container's points are discounted by the share of its text that is in links.
 The container with most points is raised to its ancestors as long as what they add is no links, and
-those of its siblings that look like content are kept.  What holds most of a page's text is not cut for being a
-form or for a word in a compound class as has-sidebar, prose not for a mild word in one as related-work, and such words
-count for nothing where little text would be left.
+those of its siblings that look like content are kept, and headings right before it.  What holds most of a page's text
+is not cut for being a form or for a word in a compound class as has-sidebar, and such words count for nothing where
+little text would be left.  A mild word in a compound class as related-work cuts only what has many links or is named
+as a widget, of any length.  Reader comments are also known by their shape: an author or a time and a link to reply.
 """
 
 from __future__ import annotations
@@ -46,13 +47,17 @@ _CUT_WORDS = set(
 )
 #: Those of them that prose may have in a compound class.
 _MILD_WORDS = set("alert banner copyright disclaimer discussion foot menu modal notice notices overlay promotion recommended recommendations related replies reply respond share sharing skip social tags toolbar widget".split())
+#: Words that make a mild word the name of a widget, as in share-buttons.
+_WIDGET_WORDS = set("bar block box button buttons cloud count counter form icon icons item items label line link links list panel posts stories widget".split())
+#: Class words, and the texts of links, that a reader's comment has.
+_AUTHOR_WORDS = {"author", "avatar", "byline", "commenter", "user", "username", "date", "time", "timestamp", "meta"}
+_REPLY = {"reply", "reply to this", "reply to comment", "antworten", "répondre", "responder"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words beside "header" in the class or id of a whole page's header.
 _SITE_WORDS = {"site", "page", "top", "global", "main", "wrapper", "container", "wrap"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 #: Cut unless they hold most of the page's text.
 _FORMS = {"form", "fieldset"}
-#: Characters outside links from which an element's text may be prose.
-_PROSE = 120
 _GOOD_WORDS = set("article body content entry main page post story text blog".split())
 
 
@@ -62,8 +67,8 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.words, self.cut, self.soft, self.plain, self.hidden = ["#root"], [-1], [frozenset()], [False], [False], [False], [False]
         self.texts: list[tuple[int, str]] = []
-        self.breaks: set[int] = set()
         self._read(source)
+        self.comment = _comments(self)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         words, hidden = frozenset(), False
@@ -86,6 +91,7 @@ class _Page:
 
     def _read(self, source: str) -> None:
         at, stack, size = 0, [0], len(source)
+        self.open = _Open()
         while at < size:
             here = source.find("<", at)
             if here < 0:
@@ -124,21 +130,88 @@ class _Page:
                 continue
             if (m[3] or "").endswith("/") and tag not in _BLOCK:
                 continue
+            self.open.add(tag, len(stack))
             stack.append(i)
 
     def _close(self, stack: list[int], tag: str, fenced: bool = False) -> None:
         """Closes the innermost open ``tag``, if it may be closed from here."""
-        for k in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[k]]
-            if name == tag:
-                del stack[k:]
-                return
-            if (fenced and name in _FENCE) or (tag not in _BLOCK and name in _BLOCK):
-                return
+        k = self.open.innermost(tag, fenced)
+        if k:
+            for i in reversed(range(k, len(stack))):
+                self.open.drop(self.tag[stack[i]])
+            del stack[k:]
+
+
+class _Open:
+    """Where on the stack each tag is open, and which of them a close can't pass; each step is as long for any depth."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+        self.blocks: list[int] = []
+
+    def add(self, tag: str, place: int) -> None:
+        self.at.setdefault(tag, []).append(place)
+        if tag in _FENCE:
+            self.fences.append(place)
+        if tag in _BLOCK:
+            self.blocks.append(place)
+
+    def drop(self, tag: str) -> None:
+        self.at[tag].pop()
+        if tag in _FENCE:
+            self.fences.pop()
+        if tag in _BLOCK:
+            self.blocks.pop()
+
+    def innermost(self, tag: str, fenced: bool) -> int:
+        """The place of the innermost open ``tag``, 0 if there is none or something stands before it."""
+        places = self.at.get(tag)
+        if not places:
+            return 0
+        k = places[-1]
+        shut = (fenced and self.fences and self.fences[-1] > k) or (tag not in _BLOCK and self.blocks and self.blocks[-1] > k)
+        return 0 if shut else k
+
+
+def _comments(page: _Page) -> list[bool]:
+    """Whether each element is a reader's comment: the smallest with a link to reply that also names an author or a time, and what holds nothing but such."""
+    n = len(page.tag)
+    own: dict[int, list[str]] = {}
+    for i, t in page.texts:
+        if t.strip():
+            own.setdefault(i, []).append(t)
+    found = [False] * n
+    shown = lambda i: " ".join(html.unescape("".join(own.get(i, ()))).split())
+    replies = [i for i in own if page.tag[i] in ("a", "button") and shown(i).lower() in _REPLY]
+    replies = [i for i in replies if page.tag[page.parent[i]] not in _PARAGRAPH - {"li"} or len(shown(page.parent[i])) < 4]  # not a word in a sentence
+    if not replies:
+        return found
+    signed, large = [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        signed[i] |= page.tag[i] == "time" or bool(page.words[i] & _AUTHOR_WORDS)
+        large[i] |= page.tag[i] in ("h1", "main", "body", "html", "article")
+        signed[page.parent[i]] |= signed[i]
+        large[page.parent[i]] |= large[i]
+    for i in replies:
+        up = page.parent[i]
+        while up > 0 and not signed[up] and not large[up]:
+            up = page.parent[up]
+        if up > 0 and not large[up]:
+            found[up] = True
+    # an element of comments, and headings if any, is one itself; text of its own or other parts keep it
+    other, some = [False] * n, found[:]
+    for i in range(n - 1, 0, -1):
+        if not found[i] and some[i] and not other[i] and page.tag[i] not in ("article", "main", "body", "html"):
+            found[i] = True
+        if not found[i] and (other[i] or (i in own and page.tag[i] not in _HEADINGS)):
+            other[page.parent[i]] = True
+        some[page.parent[i]] |= some[i]
+    return found
 
 
 def _weighed(page: _Page) -> tuple[list[bool], list[bool]]:
-    """Whether each element holds most of the text that is not cut for what it is, links left out, and whether its text is prose."""
+    """Whether each element holds most of the text that is not cut for what it is, links left out, and whether few of its words are links."""
     n = len(page.tag)
     gone, linked, size, links = [False] * n, [False] * n, [0] * n, [0] * n
     for i in range(1, n):
@@ -151,7 +224,7 @@ def _weighed(page: _Page) -> tuple[list[bool], list[bool]]:
     for i in range(n - 1, 0, -1):
         size[page.parent[i]] += size[i]
         links[page.parent[i]] += links[i]
-    return [2 * x > size[0] for x in size], [x >= _PROSE and 4 * y <= x for x, y in zip(size, links)]
+    return [2 * x > size[0] for x in size], [x and 4 * y <= x for x, y in zip(size, links)]
 
 
 def _kept(page: _Page, soft: list[bool] | None) -> list[bool]:
@@ -167,9 +240,9 @@ def _kept(page: _Page, soft: list[bool] | None) -> list[bool]:
         inside[i] = inside[up] or page.tag[i] in ("article", "main")
         header = page.tag[i] == "header" or (soft is not None and page.tag[i] != "body" and page.words[i] - _SITE_WORDS == {"header"})
         cut = page.cut[i] and not (page.tag[i] in _FORMS and not page.hidden[i] and (most[i] or holds[i]))
-        mild = prose[i] and not page.plain[i] and page.words[i] & _CUT_WORDS <= _MILD_WORDS
+        mild = prose[i] and not page.plain[i] and page.words[i] & _CUT_WORDS <= _MILD_WORDS and not page.words[i] & _WIDGET_WORDS - _MILD_WORDS
         named = soft is not None and soft[i] and not holds[i] and not mild and (page.plain[i] or not most[i])
-        stays[i] = stays[up] and not (cut or named or (header and not inside[i] and not holds[i]))
+        stays[i] = stays[up] and not (cut or named or page.comment[i] or (header and not inside[i] and not holds[i]))
     return stays
 
 
@@ -235,10 +308,15 @@ def _extract(page: _Page, stays: list[bool]) -> str:
         chosen = up
     keep = [False] * n
     keep[chosen] = True
+    if chosen:  # headings right before the container
+        for i in reversed([i for i in kids[parent[chosen]] if i < chosen]):
+            if tag[i] not in _HEADINGS or whole_links[i]:
+                break
+            keep[i] = True
     inside = bool(chosen) and tag[parent[chosen]] not in top and tag[chosen] not in ("article", "main")
     if chosen:
         for i in kids[parent[chosen]]:
-            if i != chosen:
+            if i != chosen and not keep[i]:
                 density = whole_links[i] / whole[i]
                 alike = inside or (tag[i] == tag[chosen] and page.words[i] == page.words[chosen])
                 if tag[i] in _PARAGRAPH:

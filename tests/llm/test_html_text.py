@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -106,3 +107,37 @@ def test_generated_articles_come_back_whole():
             inner = f"<{wrap}>{inner}</{wrap.split()[0]}>"
         page = f"<html><body>{''.join(rng.sample(junk, 2))}{inner}{''.join(rng.sample(junk, 2))}</body></html>"
         assert main_text(page) == "\n".join(blocks), page
+
+
+@pytest.mark.parametrize("name", ["tags-explained", "copyright-history", "social-history", "notice-period", "menu-planning"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("length", [1, 20])
+def test_short_sections_with_mild_words_stay(name, tag, length):
+    part = "A short one. " * length
+    page = f"<body>{NAV}<article><h1>T</h1><p>{P}</p><{tag} class='{name}'><p>{part}</p></{tag}><{tag} class='{name.split('-')[0]}-links'><a href=x>one</a> two</{tag}></article></body>"
+    assert main_text(page) == "\n".join(["T", P.strip(), part.strip()])
+
+
+@pytest.mark.parametrize("box", ["article", "main", "div", "div class='post'"])
+def test_headings_right_before_the_container_stay(box):
+    page = f"<body>{NAV}<h1>The title</h1><h2>What it says</h2><{box}><p>{P}</p><p>{P}</p></{box.split()[0]}><footer>x</footer></body>"
+    assert main_text(page) == "\n".join(["The title", "What it says", P.strip(), P.strip()])
+    page = f"<body><h1><a href='/'>Site</a></h1>{NAV}<{box}><p>{P}</p><p>{P}</p></{box.split()[0]}></body>"
+    assert "Site" not in main_text(page) or box.startswith("div")
+
+
+def test_comments_are_known_by_their_shape():
+    one = "<div class='x'><span class='author'>Ann</span> <time>May 5</time><p>I think so too, and more than that, for it is true and long enough to count.</p><a href='#r'>Reply</a></div>"
+    old = "<li><div class='meta'>Bo, 3 May</div><p>No, not at all, I say, and I say it at some length so that it may count.</p><p><a href='#'>Antworten</a></p></li>"
+    for block in (f"<section class='reader-feedback'><h3>What readers say</h3>{one * 3}</section>", f"<div class='voices'>{one}</div>", f"<ol class='thread'>{old * 5}</ol>"):
+        for page in (f"<body><article><h1>T</h1><p>{P}</p></article>{block}</body>", f"<body><div class='post'><h1>T</h1><p>{P}</p></div>{block}</body>", f"<body><article><h1>T</h1><p>{P}</p>{block}</article></body>"):
+            assert main_text(page) == f"T\n{P.strip()}"
+    by = f"<body><article><div class='byline'>By Ann</div><p>{P} She gave no <a href=x>reply</a> to it.</p><p>{P}</p></article></body>"
+    assert main_text(by).count("\n") == 2
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ("<b>" * 100_000 + "</i>" * 100_000 + "text", "<div>" * 50_000 + "<b>" * 50_000 + "</i>" * 100_000 + "text", "<p><b>" * 60_000 + "text", "<table><tr><td>" * 30_000 + "</b></p>" * 30_000 + "text"):
+        began = time.process_time()
+        assert main_text(page) == "text"
+        assert time.process_time() - began < 5
