@@ -5,10 +5,15 @@ n-gram hashes the smallest is kept, so a document that shares ``window + gram -
 with a template shares a fingerprint.  An inverted index from fingerprint to template and place
 gives candidates with a diagonal; each is aligned with the document in a band around it, and
 reported with the share of the template's words that match and the span in code points.
+
+Words that tell a license from its siblings, as versions, "Lesser" or "ShareAlike", must be the same in
+the place as in the template, so that no license is reported under the name of another.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .alignment import align
+from .alignment import Alignment, align
 from .shared import bounded_batches
 
 _U = np.uint64
@@ -28,6 +33,7 @@ _BSD_TERMS = (
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_WARRANTY = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
@@ -45,19 +51,46 @@ def _gnu(kind: str, versions: str, of: str = "program") -> str:
     )
 
 
-#: Public license notices, by short name; BSD-3-Clause and MIT-text are openings, which stand alone in some texts.
+def _line(name: str, version: str) -> str:
+    return f"This work is licensed under the GNU {name}, version {version}."
+
+
+def _commons(name: str, version: str, kind: str = "International") -> str:
+    return f"This work is licensed under a Creative Commons {name} {version} {kind} License."
+
+
+#: Public license notices, by short name; BSD and MIT-text are openings, which stand alone in some texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
     "See the License for the specific language governing permissions and limitations under the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause-conditions": _BSD_TERMS,
+    "BSD-3-Clause-conditions": f"{_BSD_TERMS} {_BSD_THIRD}",
     "BSD-2-Clause-text": f"{_BSD_TERMS} {_BSD_WARRANTY}",
-    "BSD-3-Clause-text": f"{_BSD_TERMS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_WARRANTY}",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-3-Clause-text": f"{_BSD_TERMS} {_BSD_THIRD} {_BSD_WARRANTY}",
+    "CC-BY-4.0": _commons("Attribution", "4.0"),
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-line": _commons("Attribution-NonCommercial", "4.0"),
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0-line": _commons("Attribution-NonCommercial-NoDerivatives", "4.0"),
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0-line": _commons("Attribution-NonCommercial-ShareAlike", "4.0"),
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0-line": _commons("Attribution-NoDerivatives", "4.0"),
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-SA-4.0-line": _commons("Attribution-ShareAlike", "4.0"),
+    "CC-BY-3.0": _commons("Attribution", "3.0", "Unported"),
+    "CC-BY-SA-3.0": _commons("Attribution-ShareAlike", "3.0", "Unported"),
+    "GPL-3.0": _line("General Public License", "3"),
+    "GPL-2.0": _line("General Public License", "2"),
+    "LGPL-3.0": _line("Lesser General Public License", "3"),
+    "LGPL-2.1": _line("Lesser General Public License", "2.1"),
+    "AGPL-3.0": _line("Affero General Public License", "3"),
+    "MPL-1.1-header": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ "
+    "Software distributed under the License is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License.",
     "AGPL-3.0-header": _gnu("Affero General Public License", "3"),
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
@@ -85,6 +118,22 @@ TEMPLATES = {
 }
 
 
+#: Words that tell a license from its siblings, and words before a number that make it a version.
+TELLING = {"lesser", "affero", "sharealike", "sa", "noncommercial", "nc", "noderivatives", "noderivs", "nd"}
+VERSIONED = TELLING | {"version", "versions", "v", "license", "licence", "attribution", "by", "gpl", "lgpl", "agpl", "mpl", "epl"}
+
+
+def telling(words: list[str]) -> list[str]:
+    """The telling words and versions of a text in lower case, in order; a zero after a number says nothing, as in 2.0."""
+    out, version = [], False
+    for before, word in zip(["", *words], words):
+        number = word.isdigit()
+        version = number and (before in VERSIONED or version)
+        if word in TELLING or (word == "library" and before == "gnu") or (version and not (word == "0" and before.isdigit())):
+            out.append(word)
+    return out
+
+
 @dataclass(frozen=True)
 class LicenseParams:
     """``min_coverage``: least share of a template's words that match, in order, within the band."""
@@ -100,6 +149,7 @@ class LicenseParams:
 class TemplateIndex:
     names: list[str]
     words: list[np.ndarray]
+    telling: list[list[str]]
     print_: np.ndarray
     template: np.ndarray
     place: np.ndarray
@@ -110,6 +160,11 @@ def _plain(block: W.Block) -> tuple[W.Words, np.ndarray]:
     return w, W.span_hashes(W.LOWER[block.data], w.start, w.end)
 
 
+def _texts(text: str) -> list[str]:
+    """The words of a short text, as ``_plain`` cuts them."""
+    return [x.lower() for x in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text) if x]
+
+
 def winnow(values: np.ndarray, window: int) -> np.ndarray:
     """Places of the rightmost smallest of every ``window`` consecutive values; of all if there are fewer."""
     if not len(values):
@@ -121,37 +176,74 @@ def winnow(values: np.ndarray, window: int) -> np.ndarray:
 
 def index_templates(templates: dict[str, str], p: LicenseParams) -> TemplateIndex:
     """The inverted index; templates of fewer words than an n-gram are left out."""
-    names, words, entries = sorted(templates), [], []
+    names, words, told, entries = sorted(templates), [], [], []
     for k, name in enumerate(names):
         w = np.zeros(0, np.uint64)
         for block in W.blocks(pa.array([templates[name]])):
             w = _plain(block)[1]
         words.append(w)
+        told.append(telling(_texts(templates[name])))
         if len(w) >= p.gram:
             grams = W.gram_hashes(w, np.arange(len(w) - p.gram + 1), p.gram)
             entries += [(int(grams[i]), k, int(i)) for i in winnow(grams, p.window)]
     entries.sort()
     columns = list(zip(*entries)) if entries else [(), (), ()]
-    return TemplateIndex(names, words, np.array(columns[0], np.uint64), np.array(columns[1], np.int64), np.array(columns[2], np.int64))
-
-
-def _diagonals(d: np.ndarray, band: int) -> list[tuple[int, int]]:
-    """Bands of diagonals around the seen ones; bands that overlap are joined."""
-    out: list[list[int]] = []
-    for x in np.unique(d).tolist():
-        if out and x - band <= out[-1][1]:
-            out[-1][1] = x + band
-        else:
-            out.append([x - band, x + band])
-    return [(a, b) for a, b in out]
+    return TemplateIndex(names, words, told, np.array(columns[0], np.uint64), np.array(columns[1], np.int64), np.array(columns[2], np.int64))
+
+
+def _bands(d: np.ndarray, band: int) -> list[tuple[int, int]]:
+    """Bands of diagonals around the seen ones, none wider than one copy may shift either way."""
+    out, at = [], 0
+    while at < len(d):
+        end = int(np.searchsorted(d, d[at] + 2 * band, "right"))
+        out.append((int(d[at]) - band, int(d[end - 1]) + band))
+        at = end
+    return out
+
+
+def _exact(text: np.ndarray, target: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Where among the diagonals whole copies begin, those that overlap an earlier one left out."""
+    d = d[(d >= 0) & (d + len(target) <= len(text))]
+    for k in range(len(target)):
+        if not len(d):
+            break
+        d = d[text[d + k] == target[k]]
+    out: list[int] = []
+    for x in d.tolist():
+        if not out or x >= out[-1] + len(target):
+            out.append(x)
+    return np.array(out, np.int64)
+
+
+def _between(a: int, b: int, copies: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """What copies of a size leave of a range."""
+    out = []
+    for x in copies[np.searchsorted(copies, a - size, "right") : np.searchsorted(copies, b)].tolist():
+        out.append((a, x))
+        a = max(a, x + size)
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
 def _apart(places: list[tuple]) -> list[tuple]:
     """Of places that overlap, those in no place of more words first, then the best covered, then longest, then first by name; in text order."""
+    places = sorted(set(places), key=lambda x: (x[3], -x[4]))
+    inner, open_ = {}, []
+    for x in places:  # those that begin before it and have not ended
+        open_ = [y for y in open_ if y[4] > x[3]]
+        inner[x] = any(y[1] > x[1] and y[4] >= x[4] for y in open_)
+        open_.append(x)
+    for x, y in zip(places[1:], places):  # of those that begin and end together
+        if y[3:5] == x[3:5]:
+            inner[y] = inner[y] or x[1] > y[1]
+    starts: list[int] = []
+    ends: list[int] = []
     kept: list[tuple] = []
-    inner = {x: any(y[1] > x[1] and y[3] <= x[3] and x[4] <= y[4] for y in places) for x in places}
     for x in sorted(places, key=lambda x: (inner[x], -x[0], -x[1], x[2], x[3])):
-        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+        k = bisect_left(starts, x[4])  # kept places are apart, so only the last that begins before its end can overlap it
+        if not k or ends[k - 1] <= x[3]:
+            at = bisect_left(starts, x[3])
+            starts.insert(at, x[3])
+            ends.insert(at, x[4])
             kept.append(x)
     return sorted(kept, key=lambda x: (x[3], x[2]))
 
@@ -175,26 +267,46 @@ def _scan(index: TemplateIndex, p: LicenseParams):
                     for e in range(first[g], first[g] + count[g]):
                         seen.setdefault((int(of[i]), int(index.template[e])), []).append(int(start[i]) - int(w.bounds[of[i]]) - int(index.place[e]))
                 found: dict[int, list[tuple]] = {}
+                known_parts: dict[tuple, Alignment] = {}  # texts repeat themselves
+
+                def aligned(t: int, part: np.ndarray, low: int, high: int) -> Alignment:
+                    key = (t, low, high, part.tobytes())
+                    if key not in known_parts:
+                        known_parts[key] = align(index.words[t], part, low, high)
+                    return known_parts[key]
+
                 for (d, t), diagonals in sorted(seen.items()):
                     target = index.words[t]
                     lo, hi = int(w.bounds[d]), int(w.bounds[d + 1])
-                    band = max(p.min_band, int(p.band_share * len(target)))
-                    for low, high in _diagonals(np.array(diagonals), band):
-                        open_ = [(max(0, low), min(hi - lo, high + len(target)))]
+                    text, size = h[lo:hi], len(target)
+                    band = max(p.min_band, int(p.band_share * size))
+
+                    def place(b_start: int, b_end: int, before: int, after: int, matches: int) -> None:
+                        """Notes a place if its telling words, those next to its ends too where the template goes on, are the template's."""
+                        x, y = max(lo, lo + b_start - before), min(hi, lo + b_end + after)
+                        told = [block.data[w.start[k] : w.end[k]].tobytes().decode().lower() for k in range(x, y)]
+                        if telling(told) != index.telling[t]:
+                            return
+                        at = points[block.offsets[d]]
+                        found.setdefault(d, []).append((matches / size, matches, index.names[t], int(points[w.start[lo + b_start]] - at), int(points[w.end[lo + b_end - 1]] - at)))
+
+                    seen_at = np.unique(diagonals)
+                    copies = _exact(text, target, seen_at)
+                    for x in copies.tolist():
+                        place(x, x + size, 0, 0, size)
+                    for low, high in _bands(np.setdiff1d(seen_at, copies), band):
+                        open_ = _between(max(0, low), min(len(text), high + size), copies, size)
                         while open_:  # several copies may lie in one band
                             a, b = open_.pop()
-                            part = h[lo + a : lo + b]
-                            if np.isin(target, part).sum() < p.min_coverage * len(target):
+                            part = text[a:b]
+                            if np.isin(target, part).sum() < p.min_coverage * size:
                                 continue
-                            got = align(target, part, low - a, high - a)
+                            got = aligned(t, part, low - a, high - a)
                             if not got.score:
                                 continue
                             open_ += [(a, a + got.b_start), (a + got.b_end, b)]
-                            if got.matches < p.min_coverage * len(target):
-                                continue
-                            x, y = w.start[lo + a + got.b_start], w.end[lo + a + got.b_end - 1]
-                            at = points[block.offsets[d]]
-                            found.setdefault(d, []).append((got.matches / len(target), got.matches, index.names[t], int(points[x] - at), int(points[y] - at)))
+                            if got.matches >= p.min_coverage * size:
+                                place(a + got.b_start, a + got.b_end, got.a_start, size - got.a_end, got.matches)
                 for d, places in sorted(found.items()):
                     rows += [(block.first + d, name, share, n, x, y) for share, n, name, x, y in _apart(places)]
             columns = list(zip(*rows)) if rows else [[]] * 6
