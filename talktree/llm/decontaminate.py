@@ -38,8 +38,8 @@ class DecontaminationParams:
     """A document is contaminated if an item's score, of 1 for a full copy, reaches ``min_score`` with ``min_matches`` words, all but one if it has no more.
 
     So it is, whatever the score, if ``part`` or more aligned words in a row match at ``part_share`` or more.
-    Items of fewer than ``min_item`` words are too short to tell and are left out.  Of ``stretch``
-    consecutive word pairs one is a seed at least, however common.
+    Items of fewer than ``min_item`` words are looked for word for word, as no edit leaves enough of them.  Of
+    ``stretch`` consecutive word pairs one is a seed at least, however common.
     """
 
     stretch: int = 5
@@ -124,7 +124,7 @@ def build_index(ids: list, words: list[np.ndarray], frequency: dict[int, int], p
     """Chooses each item's seeds by the rarity of the word pairs."""
     seeds: list[tuple[int, int, int]] = []
     for k, w in enumerate(words):
-        if len(w) < max(p.min_item, 2):
+        if len(w) < max(p.min_item, 2):  # these go by _short
             continue
         n = len(w) - 1
         total = np.array([frequency.get(int(x), 0) for x in _pairs(w[:-1], w[1:])])
@@ -150,7 +150,32 @@ def _passages(first: np.ndarray, last: np.ndarray, reach: int, n: int) -> list[t
     return [(a, b) for a, b in out]
 
 
+def _short(index: ItemIndex, p: DecontaminationParams):
+    """A function that gives (text, item, first place) of items of fewer than ``min_item`` words in some texts."""
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for k, w in enumerate(index.words):
+        if 0 < len(w) < max(p.min_item, 2):
+            by_size.setdefault(len(w), []).append((int(W.gram_hashes(w, np.zeros(1, np.int64), len(w))[0]), k))
+    tables = {}
+    for n, entries in by_size.items():
+        entries.sort()
+        tables[n] = np.array([g for g, _ in entries], np.uint64), np.array([k for _, k in entries], np.int64)
+
+    def find(w: W.Words, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for n, (grams, items) in tables.items():
+            start, of = W.gram_starts(w.bounds, n)
+            seen = W.gram_hashes(h, start, n)
+            at = np.flatnonzero(np.isin(seen, grams))
+            pair, first = np.unique(np.stack([of[at].astype(np.uint64), seen[at]], axis=1), axis=0, return_index=True)
+            for (d, g), i in zip(pair, at[first]):  # the first place of each in a text
+                for k in items[np.searchsorted(grams, g, "left") : np.searchsorted(grams, g, "right")].tolist():
+                    yield int(d), k, int(start[i] - w.bounds[int(d)])
+
+    return find
+
+
 def _search(index: ItemIndex, p: DecontaminationParams):
+    short = _short(index, p)
     once = np.ones(len(index.seed), bool)
     once[1:] = (index.seed[1:] != index.seed[:-1]) | (index.item[1:] != index.item[:-1])
     owner = index.item[once]
@@ -231,22 +256,26 @@ def _search(index: ItemIndex, p: DecontaminationParams):
             rows = []
             for block in W.blocks(batch.column(1)):
                 w, h = _plain(block)
+                rows += [(block.first + d, index.ids[k], len(index.words[k]), 1.0, len(index.words[k]), x, x + len(index.words[k])) for d, k, x in short(w, h)]
                 for some in seeds(w, h):
                     for d, i, x, y in crowds(*some):
                         lo, hi = w.bounds[d], w.bounds[d + 1]
                         if (got := judge(h[lo:hi], i, x - lo, y - lo)) is not None:
-                            rows.append((block.first + d, index.ids[i], *got))
-            columns = list(zip(*rows)) if rows else [[]] * 6
+                            rows.append((block.first + d, index.ids[i], len(index.words[i]), *got))
+            columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[3:])],
-                ["doc_id", "item_id", "score", "n_matches", "start_word", "end_word"],
+                [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:3]), pa.array(columns[3], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[4:])],
+                ["doc_id", "item_id", "item_words", "score", "n_matches", "start_word", "end_word"],
             )
 
     return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParams | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, score, n_matches, start_word, end_word)``: each document and item that it holds, best passage only.
+    """``(doc_id, item_id, item_words, score, n_matches, start_word, end_word)``: each document and item that it holds, best passage only.
+
+    ``item_words`` is the item's length: a short one may be held by chance, so a caller who drops documents
+    sets a least length of his own.  An item without words is held by nothing.
 
     Null and empty texts on either side hold nothing; equal passages give the first.  Repeated rows
     on either side give a row each; a null id is carried as null.  Without items the result is empty.
@@ -257,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParam
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-int(size) // p.block_bytes)
-    schema = "doc_id long, item_id long, score double, n_matches long, start_word long, end_word long"
+    schema = "doc_id long, item_id long, item_words long, score double, n_matches long, start_word long, end_word long"
     out = None
     for k in range(blocks):
         got = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
@@ -265,9 +294,9 @@ def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParam
         for chunk in W.blocks(got["text"].combine_chunks()):
             w, h = _plain(chunk)
             words += [h[w.bounds[i] : w.bounds[i + 1]] for i in range(chunk.n)]
-        vocabulary = np.unique(np.concatenate([_pairs(x[:-1], x[1:]) for x in words])) if words else np.zeros(0, np.uint64)
-        if not len(vocabulary):
+        if not any(len(x) for x in words):
             continue
+        vocabulary = np.unique(np.concatenate([_pairs(x[:-1], x[1:]) for x in words]))
         counts = rows.select("text").mapInArrow(_count_pairs(vocabulary), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         frequency = {int(vocabulary[r.pair]): r.n for r in counts.collect()}  # a row for each word pair of the item block at most
         found = rows.mapInArrow(_search(build_index(ids, words, frequency, p), p), schema)

@@ -89,3 +89,9 @@ def test_near_duplicates_of_the_test_data(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(read(spark, "documents"), params=NearDupParams(shingle=4)).collect()}
     assert got == brute(rows, 4)
+
+
+def test_columns_that_clash_with_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "a b c", "x", "y")], "doc_id long, text string, _gone string, item_words string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()] == [1]
+    assert corpus_pipeline.decontamination(spark, docs, DATA).columns == docs.columns
