@@ -19,13 +19,18 @@ from talktree.llm.secrets import redacted, train_secrets, with_secrets
 from talktree.llm.shared import Scratch, distinct_name
 
 
+#: A document goes for a benchmark item of so many words; a shorter one occurs in texts by chance.
+MIN_ITEM_WORDS = 5
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not among ``ids``; rows with a null id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = distinct_name(docs.columns, "_gone")
+    return docs.join(ids.select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; those with a null id stay, as nothing names them."""
-    return _without(docs, contaminated(docs, _table(spark, sf_dir, "benchmark")))
+    """Drops documents that hold a benchmark item of ``MIN_ITEM_WORDS`` or more; those with a null id stay, as nothing names them."""
+    held = contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return _without(docs, held.where(F.col("item_words") >= MIN_ITEM_WORDS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
