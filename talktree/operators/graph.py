@@ -2,16 +2,19 @@
 
 Precedence: the chain from a valid current node to its root; else the chain of flagged nodes from
 the flagged leaf with the smallest id; else all nodes.  All edges lie inside a conversation, which
-has a bounded number of nodes, so nodes are dealt by conversation once, sorted, and each group is
-resolved in one pass while the batches stream by.
+has a bounded number of nodes, so nodes are dealt by conversation once and sorted.  Parents become row
+numbers, and whole slabs of conversations are resolved by array operations: chains a step at a time for
+all conversations, circles by doubling steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,121 +31,200 @@ META_SCHEMA = (
 )
 
 
-@dataclass
-class Resolved:
-    """One conversation's path, root first, and what is odd about it."""
-
-    source: str = "fallback_all"
-    path: list[str] = field(default_factory=list)
-    leaves: int = 0
-    flagged: int = 0
-    current_exists: bool = False
-    flags_missing: int = 0
-    selected: tuple[bool, bool, bool] = (False, False, False)
-    raw: tuple[bool, bool, bool] = (False, False, False)
-    cycle_nodes: int = 0
-    cycle_components: int = 0
-
-
-def _chain(leaf: str, parents: dict[str, str | None], within: set[str] | dict) -> tuple[list[str], bool, str | None]:
-    """Nodes from ``leaf`` up, whether they run into a circle, and the parent that is not ``within``."""
-    path: dict[str, None] = {}
-    node: str | None = leaf
-    while node is not None:
-        if node in path:
-            return list(path), True, None
-        if node not in within:
-            return list(path), False, node
-        path[node] = None
-        node = parents[node]
-    return list(path), False, None
-
-
-def cycles(parents: dict[str, str | None]) -> tuple[int, int]:
-    """How many nodes are on circles of parents, and how many circles there are."""
-    done: dict[str, int] = {}
-    nodes = rings = 0
-    for number, start in enumerate(parents, 1):
-        node: str | None = start
-        trail: list[str] = []
-        while node in parents and node not in done:
-            done[node] = number
-            trail.append(node)
-            node = parents[node]
-        if node in parents and done[node] == number and trail:
-            rings += 1
-            nodes += len(trail) - trail.index(node)
-    return nodes, rings
-
-
-def resolve(rows: list[dict], current: str | None) -> Resolved:
-    """Resolves the nodes of one conversation."""
-    nodes = {r["node_id"]: r for r in rows}
-    parents = {n: (r["parent_node_id"] or None) for n, r in nodes.items()}
-    foreign = {p for n, p in parents.items() if p is not None and p not in nodes and nodes[n]["foreign"]}
-    flagged = {n for n, r in nodes.items() if r["flag"]}
-    inner = {parents[n] for n in flagged} & flagged
-    leaves = sorted(flagged - inner)
-    out = Resolved(leaves=len(leaves), flagged=len(flagged), current_exists=bool(current) and current in nodes)
-    out.cycle_nodes, out.cycle_components = cycles(parents)
-    outside = [parents[n] for n in flagged if parents[n] is not None and parents[n] not in flagged]
-    out.raw = (bool(cycles({n: parents[n] for n in flagged})[0]), any(p not in foreign for p in outside), any(p in foreign for p in outside))
-    leaf, within = (current, nodes) if out.current_exists else (leaves[0] if leaves else None, flagged)
-    if leaf is None:
-        out.path = sorted(nodes, key=lambda n: _display_key(nodes[n]))
-        return out
-    up, ring, end = _chain(leaf, parents, within)
-    out.source = "current_node" if out.current_exists else "raw_flags"
-    out.path = up[::-1]
-    out.selected = (ring, end is not None and end not in foreign, end is not None and end in foreign)
-    if out.current_exists:
-        out.flags_missing = sum(n not in flagged for n in up)
+#: Nodes that are taken at once, besides the rest of the last conversation.
+_SLAB = 1 << 17
+#: In place of a parent's row: there is none, or it is in no row of the conversation.
+NONE, LOST = -1, -2
+
+
+def parent_rows(group: np.ndarray, node: pa.Array, parent: pa.Array) -> np.ndarray:
+    """The row of each row's parent in its own group, NONE or LOST.  Of rows that repeat an id the last counts."""
+    n = len(group)
+    names = pa.chunked_array([node, parent], pa.string()).combine_chunks().dictionary_encode()
+    code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.index(names.dictionary, "").as_py()  # -1, as for null, if there is none
+    key = group * (len(names.dictionary) + 1) + code[:n]
+    order = np.argsort(key, kind="stable")
+    wanted = group * (len(names.dictionary) + 1) + code[n:]
+    at = np.searchsorted(key[order], wanted, "right") - 1
+    row = order[np.maximum(at, 0)]
+    out = np.where((at >= 0) & (key[row] == wanted), row, LOST)
+    out[(code[n:] == -1) | (code[n:] == blank)] = NONE
     return out
 
 
-def _display_key(row: dict) -> tuple:
-    time = next((t for t in (row["create_time"], row["update_time"]) if t is not None), 0)
-    return (row["create_time"] is None, time, row["node_id"])
-
-
-def _path_rows(cid: str, rows: list[dict]) -> list[tuple]:
-    got = resolve(rows, rows[0]["current_node"])
-    last = len(got.path) - 1
-    return [(cid, n, None if got.source == "fallback_all" else last - i, got.source, i) for i, n in enumerate(got.path)]
+def ring_rows(up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row lies on a circle of ``up``, and whether it is the first row of its circle.
 
+    Steps are doubled until they are longer than any chain: what is then still reached lies on circles.  The
+    least row met on the way names a circle.
+    """
+    n = len(up)
+    step, least = np.append(np.where(up >= 0, up, n), n), np.arange(n + 1)
+    for _ in range(max(n, 1).bit_length()):
+        least = np.minimum(least, least[step])
+        step = step[step]
+        if (step == n).all():
+            return np.zeros(n, bool), np.zeros(n, bool)
+    on = np.zeros(n + 1, bool)
+    on[step] = True
+    on = on[:n]
+    return on, on & (least[:n] == np.arange(n))
+
+
+def walk(leaf: np.ndarray, up: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chains from each leaf (NONE: no chain), all a step at a time: (chain, row, depth) of their rows, and for each
+    chain whether it runs into itself and the row whose parent is not ``within``, NONE if there is none."""
+    seen = np.zeros(len(up), bool)
+    ring, end = np.zeros(len(leaf), bool), np.full(len(leaf), NONE)
+    chain = np.flatnonzero(leaf >= 0)
+    row = leaf[chain]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    depth = 0
+    while len(row):
+        seen[row] = True
+        out.append((chain, row, np.full(len(row), depth)))
+        above = up[row]
+        inside = above >= 0
+        inside[inside] = within[above[inside]]
+        lost = (above != NONE) & ~inside
+        end[chain[lost]] = row[lost]
+        again = inside.copy()
+        again[inside] = seen[above[inside]]
+        ring[chain[again]] = True
+        on = inside & ~again
+        chain, row = chain[on], above[on]
+        depth += 1
+    if not out:
+        return *(np.zeros(0, np.int64) for _ in range(3)), ring, end
+    return *(np.concatenate(x) for x in zip(*out)), ring, end
 
-def _meta_rows(cid: str, rows: list[dict]) -> list[tuple]:
-    real = [r for r in rows if r["node_id"] is not None]
-    g = resolve(real, rows[0]["current_node"])
-    s, r = g.selected, g.raw
-    fallback = g.source == "fallback_all" and bool(real)
-    both = [a or b for a, b in zip(s, r)]
-    flags = [*both, any(both), s[0], r[0], s[1], r[1], s[2], r[2]]
-    return [(cid, len(real), g.flagged, g.leaves, g.current_exists, g.source, fallback, "all" if fallback else "current", g.flags_missing, g.cycle_nodes, g.cycle_components, *flags)]
 
+def cycles(parents: dict[str, str | None]) -> tuple[int, int]:
+    """How many nodes are on circles of parents, and how many circles there are."""
+    nodes = list(parents)
+    up = parent_rows(np.zeros(len(nodes), np.int64), pa.array(nodes, pa.string()), pa.array(list(parents.values()), pa.string()))
+    on, first = ring_rows(up)
+    return int(on.sum()), int(first.sum())
 
-def _grouped(make: Callable[[str, list[dict]], list[tuple]], schema: pa.Schema):
-    """Runs ``make`` over each conversation of batches that are sorted by conversation."""
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+@dataclass
+class Slab:
+    """Rows of whole conversations, in order, and what follows for each conversation."""
+
+    rows: pa.Table
+    group: np.ndarray  # the conversation of each row
+    first: np.ndarray  # the first row of each conversation
+    real: np.ndarray  # whether a row is a node; a conversation without any has one row that is none
+    up: np.ndarray
+    flag: np.ndarray
+    current: np.ndarray  # the row of the current node, or NONE
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Slab:
+        cid = rows.column("conversation_id").combine_chunks()
+        node, parent = (rows.column(c).combine_chunks() for c in ("node_id", "parent_node_id"))
+        new = np.append(True, pc.not_equal(cid[1:], cid[:-1]).to_numpy(zero_copy_only=False)) if len(cid) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        given = rows.column("current_node").combine_chunks()
+        same = pc.fill_null(pc.and_(pc.equal(node, given), pc.not_equal(given, "")), False).to_numpy(zero_copy_only=False)
+        current = np.full(len(first), NONE)
+        current[group[same]] = np.flatnonzero(same)
+        flag = rows.column("flag").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+        return cls(rows, group, first, node.is_valid().to_numpy(zero_copy_only=False), parent_rows(group, node, parent), flag, current)
+
+    def count(self, which: np.ndarray) -> np.ndarray:
+        return np.bincount(self.group[which], minlength=len(self.first))
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many flagged leaves each conversation has, and the row of the first by id, or NONE."""
+        inner = np.zeros(len(self.up), bool)
+        inner[self.up[self.flag & (self.up >= 0)]] = True
+        leaf = np.flatnonzero(self.flag & ~inner & self.real)  # rows are sorted by id
+        out = np.full(len(self.first), NONE)
+        out[self.group[leaf[::-1]]] = leaf[::-1]
+        return np.bincount(self.group[leaf], minlength=len(self.first)), out
+
+    def chains(self) -> tuple:
+        """``walk`` from each conversation's leaf, and the leaves."""
+        leaf = np.where(self.current >= 0, self.current, self.leaves()[1])
+        return *walk(leaf, self.up, (self.current >= 0)[self.group] | self.flag), leaf
+
+    def by_time(self, which: np.ndarray) -> np.ndarray:
+        """Rows by conversation and, in it, as a reader shows them: those without a creation time last."""
+        made, changed = (self.rows.column(c).combine_chunks() for c in ("create_time", "update_time"))
+        time = pc.fill_null(pc.coalesce(made, changed), 0.0).to_numpy(zero_copy_only=False)[which]
+        return which[np.lexsort((which, time, made.is_null().to_numpy(zero_copy_only=False)[which], self.group[which]))]
+
+
+def _source(slab: Slab, leaf: np.ndarray) -> np.ndarray:
+    return np.where(slab.current >= 0, "current_node", np.where(leaf >= 0, "raw_flags", "fallback_all"))
+
+
+def _paths(slab: Slab) -> list:
+    chain, row, depth, _, _, leaf = slab.chains()
+    rest = slab.by_time(np.flatnonzero(slab.real & (leaf < 0)[slab.group]))
+    length = np.bincount(chain, minlength=len(leaf))
+    begin = np.searchsorted(slab.group[rest], slab.group[rest], "left")
+    at = np.concatenate([row, rest])
+    position = np.concatenate([length[chain] - 1 - depth, np.arange(len(rest)) - begin])
+    depth = pa.array(np.concatenate([depth, np.zeros(len(rest), np.int64)]), mask=np.append(np.zeros(len(row), bool), np.ones(len(rest), bool)))
+    taken = slab.rows.take(pa.array(at))
+    return [taken.column("conversation_id").combine_chunks(), taken.column("node_id").combine_chunks(), depth, pa.array(_source(slab, leaf)[slab.group[at]]), pa.array(position)]
+
+
+def _metadata(slab: Slab) -> list:
+    n, (leaves, _) = len(slab.first), slab.leaves()
+    chain, row, _, ring, end, leaf = slab.chains()
+    foreign = slab.rows.column("foreign").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) & (slab.up == LOST)
+    nodes, flagged = slab.count(slab.real), slab.count(slab.flag & slab.real)
+    exists = slab.current >= 0
+    away = np.zeros(n, bool)
+    away[end >= 0] = foreign[end[end >= 0]]
+    selected = ring, (end >= 0) & ~away, away
+    on, first = ring_rows(np.where(slab.real, slab.up, NONE))
+    inside = slab.up >= 0
+    inside[inside] = slab.flag[slab.up[inside]]
+    flags_on, _ = ring_rows(np.where(slab.flag & inside, slab.up, NONE))
+    out_of = slab.flag & (slab.up != NONE) & ~inside
+    raw = slab.count(flags_on) > 0, slab.count(out_of & ~foreign) > 0, slab.count(out_of & foreign) > 0
+    unflagged = row[~slab.flag[row] & exists[chain]]
+    fallback = (leaf < 0) & (nodes > 0)
+    both = [a | b for a, b in zip(selected, raw)]
+    flags = [*both, both[0] | both[1] | both[2], *(x for pair in zip(selected, raw) for x in pair)]
+    ids = slab.rows.column("conversation_id").combine_chunks().take(pa.array(slab.first))
+    counts = [nodes, flagged, leaves, exists, _source(slab, leaf), fallback, np.where(fallback, "all", "current"), slab.count(unflagged), slab.count(on), slab.count(first), *flags]
+    return [ids, *(pa.array(x) for x in counts)]
+
+
+def _on_rings(slab: Slab) -> list:
+    taken = slab.rows.take(pa.array(np.flatnonzero(ring_rows(slab.up)[0])))
+    return [taken.column("conversation_id").combine_chunks(), taken.column("node_id").combine_chunks()]
+
+
+def _by_slab(make: Callable[[Slab], list], schema: pa.Schema):
+    """Runs ``make`` on whole conversations of batches that are sorted by conversation, many at a time."""
+
+    def emit(rows: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(make(Slab.of(rows)), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["conversation_id"] != key:
-                    if group:
-                        out += make(key, group)
-                    key, group = row["conversation_id"], []
-                group.append(row)
-            if len(out) >= 8192:
-                yield emit(out)
-                out = []
-        if group:
-            out += make(key, group)
-        if out:
-            yield emit(out)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < _SLAB:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = rows.column("conversation_id")[-1]
+            cut = pc.index(rows.column("conversation_id"), last).as_py()  # the last conversation may go on
+            held = rows.slice(cut).to_batches()
+            if cut:
+                yield emit(rows.slice(0, cut))
+        if held:
+            yield emit(pa.Table.from_batches(held))
 
     return run
 
@@ -174,33 +256,16 @@ def effective_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
 
     depth counts up from the leaf, null where all nodes are taken; position counts down from the root.
     """
-    return _prepared(conversations, nodes, "inner", False).mapInArrow(_grouped(_path_rows, _arrow_schema(PATH_SCHEMA)), PATH_SCHEMA)
+    return _prepared(conversations, nodes, "inner", False).mapInArrow(_by_slab(_paths, _arrow_schema(PATH_SCHEMA)), PATH_SCHEMA)
 
 
 def path_metadata(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each conversation: counts, where its path comes from, and diagnostics."""
-    return _prepared(conversations, nodes, "right", True).mapInArrow(_grouped(_meta_rows, _arrow_schema(META_SCHEMA)), META_SCHEMA)
+    return _prepared(conversations, nodes, "right", True).mapInArrow(_by_slab(_metadata, _arrow_schema(META_SCHEMA)), META_SCHEMA)
 
 
 def on_cycles(nodes: DataFrame) -> DataFrame:
     """``(conversation_id, node_id)`` of nodes on circles of parents."""
     schema = "conversation_id string, node_id string"
-
-    def make(cid: str, rows: list[dict]) -> list[tuple]:
-        parents = {r["node_id"]: r["parent_node_id"] for r in rows}
-        degree = {n: 0 for n in parents}
-        for p in parents.values():
-            if p in degree:
-                degree[p] += 1
-        bare = [n for n, d in degree.items() if not d]
-        while bare:  # nodes that nobody points to, until only circles are left
-            n = bare.pop()
-            p = parents.pop(n)
-            if p in parents:
-                degree[p] -= 1
-                if not degree[p]:
-                    bare.append(p)
-        return [(cid, n) for n in parents if parents[n] in parents]
-
-    slim = nodes.where("parent_node_id is not null").select("conversation_id", "node_id", "parent_node_id")
-    return slim.repartition("conversation_id").sortWithinPartitions("conversation_id").mapInArrow(_grouped(make, _arrow_schema(schema)), schema)
+    slim = nodes.select("conversation_id", "node_id", "parent_node_id", F.lit(False).alias("flag"), F.lit(None).cast("string").alias("current_node"))
+    return slim.repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id").mapInArrow(_by_slab(_on_rings, _arrow_schema(schema)), schema)
