@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talktree.functions.text import display_text, normalized
@@ -16,6 +16,7 @@ from talktree.operators.graph import effective_paths, path_metadata
 class Archive:
     """``conversations`` and ``nodes``; derived columns are stored ones where the tables have them.
 
+    A stored derived value that is null is made for its row, unless the columns are ``complete``.
     Where ``nodes`` are only some of an archive's, ``whole`` is the archive that paths are taken from.
     """
 
@@ -23,22 +24,25 @@ class Archive:
     nodes: DataFrame
     stored_paths: DataFrame | None = None
     whole: Archive | None = None
+    complete: bool = False
 
     @cached_property
     def titled(self) -> DataFrame:
         """Conversations with ``title_norm`` and ``source_norm``."""
-        c = self.conversations
-        if "title_norm" not in c.columns:
-            c = c.withColumn("title_norm", normalized(F.col("title")))
-        return c if "source_norm" in c.columns else c.withColumn("source_norm", normalized(F.col("source_file")))
+        c = self._derived(self.conversations, "title_norm", normalized(F.col("title")))
+        return self._derived(c, "source_norm", normalized(F.col("source_file")))
 
     @cached_property
     def texts(self) -> DataFrame:
         """Nodes with ``text``, what a reader sees, and ``norm``, what a search sees."""
-        n = self.nodes
-        if "text" not in n.columns:
-            n = n.withColumn("text", display_text(F.col("content_text"), F.col("raw_message_json")))
-        return n if "norm" in n.columns else n.withColumn("norm", normalized(F.col("text")))
+        own = {"content_text", "raw_message_json"} <= set(self.nodes.columns)
+        n = self._derived(self.nodes, "text", display_text(F.col("content_text"), F.col("raw_message_json"))) if own else self.nodes
+        return self._derived(n, "norm", normalized(F.col("text")))
+
+    def _derived(self, rows: DataFrame, name: str, made: Column) -> DataFrame:
+        if name not in rows.columns:
+            return rows.withColumn(name, made)
+        return rows if self.complete else rows.withColumn(name, F.coalesce(name, made))
 
     @property
     def paths(self) -> DataFrame:

@@ -124,7 +124,7 @@ def narrowed(archive: Archive, postings: DataFrame, q: Query) -> Archive:
     found = None if q.exclude else candidates(postings, q)
     if found is None:
         return archive
-    return Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), whole=archive)
+    return Archive(archive.conversations, archive.texts.join(found, _NODE, "left_semi"), whole=archive, complete=archive.complete)
 
 
 def _stretches(q: Query) -> list[str]:

@@ -42,7 +42,7 @@ def bounded_page(items: DataFrame, size: int = PAGE_BYTES) -> DataFrame:
 
 
 def conversation_order(sort: str = "relevance") -> list[Column]:
-    """Sort columns of conversation searches; they need ``score`` for relevance."""
+    """Sort columns of conversation searches; they need ``score`` for relevance.  An unknown sort is an error."""
     recent, first = conversation_time(), F.coalesce("create_time", "update_time", F.lit(0.0))
     cid, title = F.col("conversation_id"), F.col("title").asc_nulls_first()
     orders = {
@@ -52,15 +52,21 @@ def conversation_order(sort: str = "relevance") -> list[Column]:
         "created": [first.desc(), title, cid],
         "title": [F.lower(F.coalesce("title", F.lit(""))).asc(), cid],
     }
-    return orders.get(sort, [F.desc("score"), recent.desc(), cid])
+    return _known("sort", sort, orders | {"relevance": [F.desc("score"), recent.desc(), cid]})
 
 
 def list_order(sort: str = "updated") -> list[Column]:
-    """Sort columns of plain lists."""
+    """Sort columns of plain lists.  An unknown sort is an error."""
     recent, first = conversation_time(), F.coalesce("create_time", "update_time", F.lit(0.0))
     title = F.lower(F.coalesce("title", F.lit("")))
-    orders = {"created": first.desc(), "oldest": first.asc(), "title": title.asc()}
-    return [orders.get(sort, recent.desc()), F.col("conversation_id")]
+    orders = {"created": first.desc(), "oldest": first.asc(), "title": title.asc(), "updated": recent.desc()}
+    return [_known("sort", sort, orders), F.col("conversation_id")]
+
+
+def _known(kind: str, value: str, choices: dict):
+    if value not in choices:
+        raise ValueError(f"invalid_{kind}:{value}")
+    return choices[value]
 
 
 #: How much of each scalar a summary shows.
@@ -90,6 +96,27 @@ def list_conversations(archive: Archive, sort: str = "updated", after: float | N
     return archive.conversations.where(in_dates(q, conversation_time())).orderBy(*list_order(sort))
 
 
+def listed(archive: Archive, sort: str = "updated", after: float | None = None, before: float | None = None, limit: int = 50, offset: int = 0, selected_id: str | None = None) -> DataFrame:
+    """A page of a list as rows with counts, ``total`` and whether ``selected_id`` is in the list at all.
+
+    ``place`` counts from the offset; a selected conversation that is in the list but not on the page follows
+    with a null place.  Counts are made for the rows that are shown only.
+    """
+    q = Query(after=after, before=before)
+    every_one = archive.conversations.where(in_dates(q, conversation_time()))
+    shown = page(every_one.orderBy(*list_order(sort)), limit, max(offset, 0)).withColumn("_at", F.monotonically_increasing_id())
+    shown = shown.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")) - 1 + max(offset, 0)).drop("_at")  # a page
+    chosen = F.col("conversation_id") == F.lit(selected_id)
+    extra = every_one.where(F.coalesce(chosen, F.lit(False))).join(shown.select("conversation_id"), "conversation_id", "left_anti")
+    rows = shown.unionByName(extra.withColumn("place", F.lit(None).cast("int")))
+    counts = archive.nodes.join(F.broadcast(rows.select("conversation_id")), "conversation_id", "left_semi").groupBy("conversation_id")
+    counts = counts.agg(F.count("*").alias("node_count"), F.sum(F.coalesce((F.col("is_on_current_path") == 1).cast("long"), F.lit(0))).alias("current_path_nodes"))
+    overall = every_one.agg(F.count("*").alias("total"), F.coalesce(F.max(chosen), F.lit(False)).alias("selected_in_results"))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("node_count", "current_path_nodes")}
+    rows = summaries(rows).join(F.broadcast(counts), "conversation_id", "left").withColumns(zero).join(F.broadcast(overall), F.lit(True))
+    return rows.orderBy(F.col("place").asc_nulls_last())
+
+
 def message_hits(archive: Archive, q: Query, bm25: DataFrame | None = None) -> DataFrame:
     """Messages whose own text fits the query, with their conversation's columns; no order.
 
@@ -120,8 +147,9 @@ def bonus(score: Column) -> Column:
 def search_messages(archive: Archive, q: Query, order: str = "relevance", bm25: DataFrame | None = None) -> DataFrame:
     """Message hits with score, reasons, snippet and place of the match, in order.
 
-    ``order`` is ``relevance`` or ``display``, the order in which a reader shows them.
+    ``order`` is ``relevance`` or ``display``, the order in which a reader shows them; another is an error.
     """
+    _known("order", order, dict.fromkeys(("relevance", "display")))
     hits = message_hits(archive, q, bm25)
     terms = q.highlight_terms
     if q.path == "current":

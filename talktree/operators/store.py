@@ -393,7 +393,7 @@ class Store:
         nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
         archive.titled.write.mode("overwrite").parquet(f"{folder}/conversations")
         archive.paths.write.mode("overwrite").parquet(f"{folder}/paths")
-        stored = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"))
+        stored = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"), complete=True)
         index.write(stored, f"{folder}/postings")
         index.lengths(stored).write.mode("overwrite").parquet(f"{folder}/lengths")
         fs, mark = self._path(f"{folder}/ready")
@@ -416,7 +416,7 @@ class Store:
             return self.archive(version), None
         parts = self._list(version)["parts"]["conversations"]
         nodes, conversations, paths, postings = (self._latest(parts, f"index/{name}") for name in _INDEX)
-        return Archive(conversations, nodes, paths), postings
+        return Archive(conversations, nodes, paths, complete=True), postings
 
     def lengths(self, version: int | None = None) -> DataFrame:
         """How many messages and stretches each conversation of an indexed snapshot has, for scores from postings."""

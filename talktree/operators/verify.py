@@ -25,6 +25,14 @@ def stats(archive: Archive) -> DataFrame:
     return c.join(F.broadcast(n), F.lit(True))
 
 
+def scope_totals(nodes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row: conversations, nodes and bytes of text of all nodes, or of the conversations in ``ids``."""
+    if ids is not None:
+        nodes = nodes.join(ids.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    size = F.coalesce(F.sum(F.octet_length("content_text")), F.lit(0))
+    return nodes.agg(F.countDistinct("conversation_id").alias("conversations"), F.count("*").alias("nodes"), size.alias("text_bytes"))
+
+
 def missing_current(archive: Archive) -> DataFrame:
     """Conversations whose current node they do not have."""
     c = archive.conversations.where("current_node is not null").select("conversation_id", F.col("current_node").alias("node_id"))

@@ -336,7 +336,7 @@ def scope_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bound(spark, sf_dir).nodes.agg(F.countDistinct("conversation_id").alias("conversations"), F.count("*").alias("nodes"), F.sum(F.octet_length("content_text")).alias("text_bytes"))
+    return verify.scope_totals(bound(spark, sf_dir).nodes)
 
 
 def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

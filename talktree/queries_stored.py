@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talktree.operators import export, index, search
+from talktree.operators import continuation, export, index, search, verify
 from talktree.operators.archive import Archive
 from talktree.operators.store import Store
 from talktree.plans.query import parse_query
@@ -200,11 +200,64 @@ def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.mapInArrow(parsed, "conv_id long, turn long, role string, path string, after double, terms string, phrases string, errors string")
 
 
+def continued_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan in stretches, each from the cursor of the one before, while an import comes between."""
+    store = Store(spark, work_folder(spark))
+    store.import_elements(_as_elements(bound(spark, sf_dir)))
+    q, secret, out, cursor = parse_query("the", path="all"), b"key", None, None
+    limit = max(1, search.message_hits(store.archive(), q).count() // 3)
+    while True:
+        got = continuation.scan_messages(store, q, secret, limit, cursor)
+        part = got.hits.select(*_NODE)
+        out, cursor = part if out is None else out.union(part), got.cursor
+        if cursor is None:
+            return out
+        if store.version() == 1:
+            store.import_elements(_second(spark, sf_dir))
+
+
+def chunk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message read from an offset, then on from the cursor, whose text has changed where the turn's number is odd."""
+    rows = bound(spark, sf_dir).texts.select(*_NODE, "text")
+    first = continuation.display_chunks(rows, "key", 16, offset=F.lit(3))
+    changed = rows.withColumn("text", F.when(F.col("node_id").cast("int") % 2 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    both = changed.join(first.where("has_more").select(*_NODE, F.col("chunk").alias("before"), "next_cursor"), _NODE)
+    then = continuation.display_chunks(both, "key", 16, cursor=F.col("next_cursor"))
+    return then.join(first.select(*_NODE, F.col("chunk").alias("before")), _NODE).select(*_NODE, "before", "chunk", "offset", "has_more", "next_offset", "problem")
+
+
+def chunk_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piece of each message around its first match."""
+    rows = bound(spark, sf_dir).texts.where(F.contains("norm", F.lit("the"))).select(*_NODE, "text")
+    at = F.locate("the", F.lower("text")) - 1
+    return continuation.display_chunks(rows, "key", 20, anchor=at).select(*_NODE, "chunk", "offset", "anchor_in_chunk", "total_chars", "has_more")
+
+
+def listed_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a list, and a selected conversation that is not on it."""
+    rows = search.listed(bound(spark, sf_dir), "title", after=86_400.0, limit=6, offset=6, selected_id="000000000002")
+    return rows.select("place", "conversation_id", "title", "node_count", "current_path_nodes", "total", "selected_in_results")
+
+
+def patched_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits where every third stored normal form is missing."""
+    a = bound(spark, sf_dir)
+    some = lambda c: F.when(F.col("conversation_id").cast("long") % 3 != 0, F.col(c))
+    archive = Archive(a.titled.withColumn("title_norm", some("title_norm")), a.texts.withColumn("norm", some("norm")))
+    return search.message_hits(archive, parse_query("the title:the", path="all")).select(*_NODE)
+
+
+def totals_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the conversations that a search found."""
+    a = bound(spark, sf_dir)
+    return verify.scope_totals(a.nodes, search.message_hits(a, parse_query("thing", path="all")))
+
+
 STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         zip_members, zip_sources, zip_elements, invalid_sample, duplicate_ids, folder_import, import_lineage, second_import, earlier_snapshot, changed_generations, followed_search, scored_postings, exported_files,
-        path_orders, query_errors,
+        path_orders, query_errors, continued_scan, chunk_steps, chunk_anchors, listed_with_counts, patched_norms, totals_of_some,
     )
 }
 
@@ -244,4 +297,16 @@ STORED_SQL: dict[str, str] = {
     "query_errors": """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN role END AS role, CASE WHEN turn % 4 = 1 THEN 'all' ELSE 'current' END AS path, CASE WHEN turn % 4 = 2 THEN (turn % 9) * 86400.0::DOUBLE END AS after,
         CASE turn % 4 WHEN 0 THEN 'a' || turn ELSE '' END AS terms, CASE turn % 4 WHEN 3 THEN 'open ' || role ELSE '' END AS phrases,
         CASE turn % 4 WHEN 0 THEN 'negated_modifier_not_supported:title' WHEN 1 THEN 'invalid_role:no' || role WHEN 2 THEN 'invalid_before' ELSE '' END AS errors FROM conversations""",
+    "continued_scan": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('the')}",
+    "chunk_steps": f"""{BIND} SELECT conversation_id, node_id, substr(text, 4, 16) AS before, CASE WHEN turn % 2 = 0 THEN substr(text, 20, 16) END AS chunk, CASE WHEN turn % 2 = 0 THEN 19 END AS "offset",
+        turn % 2 = 0 AND length(text) > 35 AS has_more, CASE WHEN turn % 2 = 0 AND length(text) > 35 THEN 35 END AS next_offset, CASE WHEN turn % 2 = 1 THEN 'display_cursor_stale' END AS problem
+        FROM n WHERE length(text) > 19""",
+    "chunk_anchors": f"""{BIND}, h AS (SELECT *, strpos(lower(text), 'the') - 1 AS a FROM n WHERE {_has('the')}), o AS (SELECT *, greatest(a - 10, 0) AS o FROM h)
+        SELECT conversation_id, node_id, substr(text, (o + 1)::INT, 20) AS chunk, o::INTEGER AS "offset", (a - o)::INTEGER AS anchor_in_chunk, length(text)::INTEGER AS total_chars, o + 20 < length(text) AS has_more FROM o""",
+    "listed_with_counts": f"""{BIND}, l AS (SELECT *, row_number() OVER (ORDER BY lower(coalesce(title, '')), conversation_id) - 1 AS k, count(*) OVER () AS total FROM c WHERE create_time >= 86400)
+        SELECT CASE WHEN k BETWEEN 6 AND 11 THEN k END::INTEGER AS place, conversation_id, title, (SELECT count(*) FROM n WHERE n.conversation_id = l.conversation_id) AS node_count, 0::BIGINT AS current_path_nodes, total,
+            EXISTS (SELECT 1 FROM l WHERE conv_id = 2) AS selected_in_results FROM l WHERE k BETWEEN 6 AND 11 OR conv_id = 2""",
+    "patched_norms": f"{BIND} SELECT n.conversation_id, n.node_id FROM n JOIN c USING (conversation_id) WHERE {_has('the')} AND {_has('the', 'title_norm')}",
+    "totals_of_some": f"""{BIND} SELECT count(DISTINCT conversation_id) AS conversations, count(*) AS nodes, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS text_bytes
+        FROM n WHERE conversation_id IN (SELECT conversation_id FROM n WHERE {_has('thing')})""",
 }
