@@ -8,14 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talktree.operators import continuation, export, index, search, verify
+from talktree.operators import continuation, export, index, ingest, search, store, verify
 from talktree.operators.archive import Archive
 from talktree.operators.store import Store
 from talktree.plans.query import parse_query
-from talktree.queries import _NODE, BIND, _elements, _export_sql, _has, _MD, _MD_NODE
+from talktree.queries import _manifest_sql, _NODE, BIND, _elements, _export_sql, _has, _MD, _MD_NODE
+from talktree.schema import TABLES
 from talktree.sources import exports, members
 from talktree.sources.bind import bound, turns, work_folder
 from talktree.sources.sink import write_rows
+from talktree.streaming.imports import import_stream
 
 #: Conversations to a file, so that the number of files grows with the tables.
 SHARD = 64
@@ -253,11 +255,119 @@ def totals_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.scope_totals(a.nodes, search.message_hits(a, parse_query("thing", path="all")))
 
 
+def _one_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("id", F.concat(F.lit("x"), F.col("conv_id").cast("string")))
+
+
+def _odd_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element for each conversation, of fourteen kinds by number, most of them not to be imported."""
+    node = '"mapping":{"a":{"id":"a"}}'
+    kinds = [
+        "3", "{}", '{"id":[]}', '{"id":"a"}', '{"id":"a","mapping":1}', '{"id":"a","mapping":{}}', '{"id":"a","mapping":{"":{}}}', '{"id":"a","mapping":{"a\\n":{}}}', '{"id":NaN,' + node + "}",
+        '{"id":"a","create_time":1e999,' + node + "}", '{"id":"a","n":' + "1" * 1001 + "," + node + "}", '{"id":"a","n":' + "[" * 300 + "]" * 300 + "," + node + "}", '{"id":"a","mapping":{"' + "y" * 600 + '":{}}}', "{",
+    ]
+    text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("conv_id") % len(kinds) + 1).cast("int"))
+    return _one_each(spark, sf_dir).select(F.lit("f.json").alias("source_file"), F.col("conv_id").alias("array_index"), text.alias("element"))
+
+
+_ODD = (
+    "invalid_element_type missing_id invalid_conversation_id missing_mapping invalid_mapping_type empty_mapping canonical_id_empty canonical_id_invalid_unicode invalid_json invalid_json invalid_json invalid_json "
+    "canonical_id_too_long invalid_json"
+).split()
+
+
+def element_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each element can't be imported: its type, ids, mapping, or what its JSON may not hold."""
+    notes = ingest.split_parsed(ingest.parse_elements(_odd_elements(spark, sf_dir)))["import_warnings"]
+    return notes.select("array_index", "warning_type")
+
+
+def ingest_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, times, flags, ids and metadata of conversations, each in several forms by number."""
+    c = F.col("conv_id")
+    pick = lambda *forms: F.element_at(F.array(*map(F.lit, forms)), (c % len(forms) + 1).cast("int"))
+    text = F.concat(
+        F.lit('{"id":" '), F.col("id"), F.lit(' ","conversation_id":'), pick("null", '" e "', "7"), F.lit(',"title":'), pick('"T"', "5", '["no"]', "null"), F.lit(',"create_time":'), pick("1.5", '"2.5"', '"soon"', "true", "null"),
+        F.lit(',"is_archived":'), pick("true", '" No "', "0", '"maybe"', "null"), F.lit(',"voice":'), pick('"v"', "null"), F.lit(',"other":1,"mapping":{"a":{"id":"a","message":{"id":"m","content":{"content_type":"text","parts":["p'), c.cast("string"), F.lit('"]}}}}}'),
+    )
+    rows = _one_each(spark, sf_dir).select(F.lit("f.json").alias("source_file"), c.alias("array_index"), text.alias("element"))
+    got = ingest.split_parsed(ingest.parse_elements(rows))
+    nodes = got["nodes"].select("conversation_id", "message_id", "content_hash", "display_revision")
+    return got["conversations"].select("conversation_id", "exported_id", "title", "create_time", F.col("is_archived").cast("long").alias("is_archived"), "metadata_json").join(nodes, "conversation_id")
+
+
+def input_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash for a folder of files, whatever their names and order."""
+    files = members.members(spark, _small(spark, sf_dir)).select("path", "sha256", "size")
+    return spark.createDataFrame([(store.input_sha256(files),)], "input_sha256 string")
+
+
+def streamed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in two goes, each imported when it is seen."""
+    folder, rows = work_folder(spark), _whole_elements(spark, sf_dir)
+    kept = Store(spark, f"{folder}/store")
+    for k in (0, 1):
+        _as_files(rows.where(F.col("place") % 2 == k).withColumn("path", F.concat(F.lit(f"conversations-{k}"), F.regexp_extract("path", "-(.*)", 1))), f"{folder}/in", "files")
+        import_stream(spark, f"{folder}/in", kept, f"{folder}/mark").awaitTermination()
+    return kept.table("conversations").select("conversation_id", "title", "last_import_run_id")
+
+
+def written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files a second export writes after every third text has changed."""
+    folder = work_folder(spark)
+    rows = bound(spark, sf_dir).conversations.select(F.concat("conversation_id", F.lit(".txt")).alias("output_path"), F.col("title").alias("content"), F.col("source_array_index").alias("k"))
+    export.write_files(rows, folder)
+    counts = export.write_files(rows.withColumn("content", F.when(F.col("k") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))), folder)
+    return spark.createDataFrame([(counts["written"], counts["unchanged"])], "written long, unchanged long")
+
+
+def manifest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a manifest, by name."""
+    archive = bound(spark, sf_dir)
+    return export.manifest(archive, export.rendered(archive, ("md",))).select("output_path", "conversation_id").limit(12)
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page is followed by another, at the last page's beginning and before it."""
+    rows = search.list_conversations(bound(spark, sf_dir), "title")
+    n = rows.count()
+    return spark.createDataFrame([(k, search.has_more(rows, 5, max(n - k, 0))) for k in (4, 5, 6)], "back long, has_more boolean")
+
+
+def empty_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a query with an empty phrase, which says nothing."""
+    return search.message_hits(bound(spark, sf_dir), parse_query('"" the " "', path="all")).select(*_NODE)
+
+
+def query_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters beside a search text: the text wins; and how the query would be run."""
+    asked = turns(spark, sf_dir).select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("role:"), F.col("role"), F.lit(" "))).otherwise(""), F.when(F.col("turn") % 3 == 0, "word").otherwise("")).alias("raw"))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_query(x, role="tool", path="all", exclude='gone "two words"', limits=True, scope="side" if x == "word" else None) for x in batch.column("raw").to_pylist()]
+            rows = [[q.role for q in found], [q.path for q in found], ["|".join(q.exclude) for q in found], [search.diagnostics(q)["kind"] for q in found], ["|".join(q.errors) for q in found]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.string()) for x in rows)], ["conv_id", "turn", "role", "path", "exclude", "kind", "errors"])
+
+    return asked.mapInArrow(parsed, "conv_id long, turn long, role string, path string, exclude string, kind string, errors string")
+
+
+def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs from the layout in an archive whose nodes lack a column and whose titles are numbers."""
+    kept = _twice(spark, sf_dir)
+    tables = {n: kept.table(n) for n in TABLES}
+    broken = tables | {"nodes": tables["nodes"].drop("role"), "conversations": tables["conversations"].withColumn("title", F.length("title"))}
+    broken.pop("exports")
+    rows = [(kept.layout(), len(verify.schema_problems(tables)), len(verify.schema_problems(broken)), tables["import_runs"].count())]
+    return spark.createDataFrame(rows, "layout long, problems long, problems_of_broken long, runs long")
+
+
 STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         zip_members, zip_sources, zip_elements, invalid_sample, duplicate_ids, folder_import, import_lineage, second_import, earlier_snapshot, changed_generations, followed_search, scored_postings, exported_files,
         path_orders, query_errors, continued_scan, chunk_steps, chunk_anchors, listed_with_counts, patched_norms, totals_of_some,
+        element_problems, ingest_scalars, input_hash, streamed_import, written_twice, manifest_order, probes, empty_fragments, query_overrides, layout_checks,
     )
 }
 
@@ -309,4 +419,19 @@ STORED_SQL: dict[str, str] = {
     "patched_norms": f"{BIND} SELECT n.conversation_id, n.node_id FROM n JOIN c USING (conversation_id) WHERE {_has('the')} AND {_has('the', 'title_norm')}",
     "totals_of_some": f"""{BIND} SELECT count(DISTINCT conversation_id) AS conversations, count(*) AS nodes, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS text_bytes
         FROM n WHERE conversation_id IN (SELECT conversation_id FROM n WHERE {_has('thing')})""",
+    "element_problems": f"SELECT DISTINCT conv_id AS array_index, {_ODD!r}[(conv_id % {len(_ODD)} + 1)::INT] AS warning_type FROM conversations",
+    "ingest_scalars": """SELECT 'x' || conv_id AS conversation_id, [NULL, 'e', '7'][(conv_id % 3 + 1)::INT] AS exported_id, ['T', '5', NULL, NULL][(conv_id % 4 + 1)::INT] AS title, ([1.5, 2.5, NULL, 1, NULL]::DOUBLE[])[(conv_id % 5 + 1)::INT] AS create_time,
+        ([1, 0, 0, NULL, NULL]::BIGINT[])[(conv_id % 5 + 1)::INT] AS is_archived, ['{"voice":"v"}', '{"voice":null}'][(conv_id % 2 + 1)::INT] AS metadata_json, 'm' AS message_id,
+        sha256('{"content_text":"p' || conv_id || '","content_type":"text"}') AS content_hash,
+        sha256('["p' || conv_id || '","{\\"content\\":{\\"content_type\\":\\"text\\",\\"parts\\":[\\"p' || conv_id || '\\"]},\\"id\\":\\"m\\"}"]') AS display_revision FROM (SELECT DISTINCT conv_id FROM conversations)""",
+    "input_hash": f"""{_SMALL}, f AS (SELECT sha256('[' || string_agg(element, ',' || chr(10) ORDER BY conv_id) || ']') AS h FROM e GROUP BY path), g AS (SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS m, min(h) AS one, count(*) AS n FROM f GROUP BY substr(h, 1, 3))
+        SELECT CASE WHEN sum(n) > 1 THEN sha256(string_agg(m, chr(10) ORDER BY m)) ELSE min(one) END AS input_sha256 FROM g""",
+    "streamed_import": f"{BIND} SELECT conversation_id, title, (conv_id % 2 + 1)::BIGINT AS last_import_run_id FROM c",
+    "written_twice": "SELECT count(*) FILTER (conv_id % 3 = 0) AS written, count(*) FILTER (conv_id % 3 <> 0) AS unchanged FROM (SELECT DISTINCT conv_id FROM conversations)",
+    "manifest_order": f"SELECT output_path, conversation_id FROM ({_manifest_sql()}) WHERE format = 'md' ORDER BY output_path LIMIT 12",
+    "probes": "SELECT back, back > 5 AND (SELECT count(DISTINCT conv_id) FROM conversations) > 5 AS has_more FROM (VALUES (4), (5), (6)) t(back)",
+    "empty_fragments": f"{BIND} SELECT conversation_id, node_id FROM n WHERE {_has('the')}",
+    "query_overrides": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'tool' END AS role, 'all' AS path, 'gone|two words' AS exclude, CASE WHEN turn % 3 = 0 THEN 'search' ELSE 'filter' END AS kind,
+        CASE WHEN turn % 6 = 3 THEN 'invalid_scope:side' ELSE '' END AS errors FROM conversations""",
+    "layout_checks": "SELECT 1 AS layout, 0 AS problems, 3 AS problems_of_broken, 2 AS runs FROM conversations LIMIT 1",
 }

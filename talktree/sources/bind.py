@@ -7,6 +7,7 @@ that every operator has something to do.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ TITLE_CHARS = 60
 def work_folder(spark: SparkSession) -> str:
     """A new folder for a query's own archive, below the shared folder that the session names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='talktree-')).rstrip('/')}/archive-{uuid.uuid4().hex}"
 
