@@ -1,9 +1,9 @@
 """WARC archives: write, read back, and an external index merge into capture histories.
 
 Payloads that occur before are written as revisits.  The archives are WARC/1.1 files, each record a
-gzip member of its own, so a capture's offset and length are where to seek in the file.  Each task's
-first file starts with a warcinfo record.  Spark's text writer makes the files and its binary reader
-reads them, so they can lie in any store that Spark reaches.
+gzip member of its own, so a capture's offset and length are where to seek in the file.  Each file starts
+with a warcinfo record and ends when it holds enough bytes, however large its records are.  Spark's text
+writer makes the files and its binary reader reads them, so they can lie in any store that Spark reaches.
 
 Each archive gives a capture run, sorted by URL key and time.  Runs are cut at common key bounds and
 dealt by range unsorted; each range's pieces of runs are merged by a loser tree, which gives globally
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,44 +108,76 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [(x or "").encode("utf-8") for x in batch.column(2).to_pylist()]
         digest = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(digest)], ["id", "url", "html", "bytes", "digest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(digest)], ["id", "url", "html", "tag", "bytes", "digest"])
 
 
-def _record_id(page: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page/"), F.coalesce(page.cast("string"), F.lit("-"))))
+def _record_id(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws("/", *parts).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
-def _with_info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts a warcinfo record before an archive's records."""
-    first = True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if first:
-            body = "software: talktree\r\nformat: WARC File Format 1.1\r\n"
-            head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-000000000000>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
-            yield pa.RecordBatch.from_arrays([pa.array([head + body])], ["value"])
-            first = False
-        yield batch
+def _page_record(page: Column) -> Column:
+    """The record of a page with some payload; a revisit names the one it refers to by this."""
+    return _record_id(F.lit("page"), page.cast("string"), F.col("digest"), F.col("bytes").cast("string"))
+
+
+def _warcinfo(first: bytes) -> bytes:
+    """The record before an archive's records, with an id of its own that follows from the first of them."""
+    name = uuid.UUID(bytes=hashlib.md5(b"warcinfo/" + first).digest())
+    body = "software: talktree\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return (head + body).encode()
+
+
+def _archives(file_bytes: int, packed: bool):
+    """Records to archives, a row for each, of about ``file_bytes`` of records, or of one longer record.
+
+    The last bytes, which the writer puts back as its line end, are left out: a zero, or the end of a record.
+    """
+    end = _END.encode()
+
+    def archive(parts: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(parts)
+        return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if packed else whole[: -len(end)]], pa.binary())], ["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[bytes] = []
+        held = 0
+        form = gzip_record if packed else bytes
+        for batch in batches:
+            for value in batch.column(0):
+                record = value.as_buffer().to_pybytes()
+                if parts and held + len(record) > file_bytes:
+                    yield archive(parts)
+                    parts, held = [], 0
+                if not parts:
+                    parts.append(form(_warcinfo(record[:2048]) + end))
+                parts.append(form(record + end))
+                held += len(record)
+        if parts:
+            yield archive(parts)
+
+    return run
 
 
 def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes a response or revisit record for each row to WARC files in ``folder``.
 
     Of rows with equal payloads of at least ``min_revisit_bytes``, the smallest id is the response
-    and the others refer to it; rows without an id, and repeats of the smallest, are responses.
+    and the others refer to it; rows without an id, and repeats of the smallest, are responses.  No two
+    records have one id, rows that repeat each other included; a revisit names the record of one of them.
     Compressed files hold a gzip member for each record, though Spark's writer names them ``.txt``.
     """
     p = params or WarcParams()
     if p.compression not in ("gzip", "none"):
         raise ValueError(f"compression is gzip or none, not {p.compression}")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.mapInArrow(_digests, "id long, url string, html string, bytes long, digest string")
-    first = rows.where(F.col("bytes") >= p.min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    size = pages.agg(F.sum(F.coalesce(F.octet_length(html_col), F.lit(0)) + 800).alias("total"), F.count("*").alias("n")).first()
-    per_file = max(1, int(size.n * p.file_bytes / size.total)) if size.total else 1
-    rows = rows.join(first, ["digest", "bytes"], "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("tag"))
+    rows = rows.mapInArrow(_digests, "id long, url string, html string, tag long, bytes long, digest string")
+    own = rows.where("id is not null").groupBy("digest", "bytes", "id").agg(F.min("tag").alias("one"))
+    first = own.where(F.col("bytes") >= p.min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
+    rows = rows.join(own.join(first, ["digest", "bytes"], "left"), ["digest", "bytes", "id"], "left")
+    lone = F.coalesce(F.col("tag") == F.col("one"), F.lit(False))
+    record = F.when(lone, _page_record(F.col("id"))).otherwise(_record_id(F.lit("row"), F.col("tag").cast("string"), F.col("digest")))
     revisit = (F.col("id") > F.col("first")) & (F.col("bytes") >= p.min_revisit_bytes)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
@@ -154,14 +187,14 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
     text = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("id"))),
+        line("WARC-Record-ID", record),
         line("WARC-Date", date),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Page-Id", F.coalesce(F.col("id").cast("string"), F.lit(""))),
         line("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(F.col("url").isNull(), F.lit("X-No-URI: 1\r\n")).otherwise(F.lit("")),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _record_id(F.col("first"))), line("X-Refers-To-Page-Id", F.col("first").cast("string")))).otherwise(F.lit("")),
+        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _page_record(F.col("first"))), line("X-Refers-To-Page-Id", F.col("first").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length("body").cast("string")),
         F.lit("\r\n"),
@@ -169,12 +202,9 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams | None = No
     )
     out = rows.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("body", body)
     out = out.select(text.alias("value"))
-    if p.compression == "none":
-        out, end = out.mapInArrow(_with_info, "value string"), _END
-    else:
-        out = out.mapInArrow(lambda batches: _members(_with_info(batches)), "value binary")
-        out, end = out.select(F.col("value").cast("string")), "\0"
-    out.write.option("lineSep", end).option("maxRecordsPerFile", per_file).option("compression", "none").text(folder)
+    packed = p.compression == "gzip"
+    out = out.mapInArrow(_archives(p.file_bytes, packed), "value binary").select(F.col("value").cast("string"))
+    out.write.option("lineSep", "\0" if packed else _END).option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
 
 
 def gzip_record(record: bytes, limit: int = _MEMBER) -> bytes:
@@ -182,13 +212,6 @@ def gzip_record(record: bytes, limit: int = _MEMBER) -> bytes:
     return b"".join(gzip.compress(record[i : i + limit], mtime=0) for i in range(0, len(record), limit))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records to gzip members without their last byte, a zero that the writer puts back as its line end."""
-    for batch in batches:
-        packed = [gzip_record(x.as_buffer().to_pybytes() + _END.encode())[:-1] for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
-
-
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     """The content of the gzip member that starts at ``at``, and where it ends."""
     inflate, out, step = zlib.decompressobj(31), [], 1 << 13

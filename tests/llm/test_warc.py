@@ -110,3 +110,21 @@ def test_url_keys():
 
 def test_empty_table(spark):
     assert A.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_every_archive_has_its_head_and_every_record_its_id(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", "x" * (i * 997 % 3000)) for i in range(60)] + [(None, "http://n", "same")] * 4 + [(7, "http://h/7", "same")] * 3 + [(99, None, "y" * 20_000), (9, "http://h/9", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    for form in ("gzip", "none"):
+        A.write_archives(df, f"file://{tmp_path}/{form}", A.WarcParams(file_bytes=8000, compression=form))
+        ids, refers, files = [], [], 0
+        for f in (tmp_path / form).glob("part-*"):
+            records = list(A.read_archive(f.read_bytes()))
+            assert [h["WARC-Type"] == "warcinfo" for _, _, h, _ in records] == [True] + [False] * (len(records) - 1)
+            assert sum(n for _, n, *_ in records) < 9000 or len(records) == 2  # cut by bytes; one longer record alone
+            ids += [h["WARC-Record-ID"] for _, _, h, _ in records]
+            refers += [h["WARC-Refers-To"] for _, _, h, _ in records if "WARC-Refers-To" in h]
+            files += 1
+        assert files > 5 and len(ids) == len(set(ids)) == len(pages) + files
+        assert refers and set(refers) <= set(ids)
+        assert A.read_captures(spark, f"file://{tmp_path}/{form}").count() == len(pages)
