@@ -11,7 +11,8 @@ Equal sets, by 128 bits of two independent fingerprints, are one class with a nu
 rows that repeat an id don't stand in for each other.  A bucket is held together by its head; what that
 leaves in different components is compared.  In large groups only classes are that share a rare shingle
 with one of another component: two linked sets share one of the smaller set's n - 2sn/(1+s) rarest and the
-larger one's n - sn rarest, which texts with only a template in common don't.
+larger one's n - sn rarest, which texts with only a template in common don't.  They are compared within
+the buckets of these shingles, where sizes, one-bit coordinates and the shingle's ranks allow a link.
 """
 
 from __future__ import annotations
@@ -281,10 +282,17 @@ class _Linker:
         return self.scratch.keep(both.select(key, (-F.col("big.x")).alias("big"), "size", (F.col("size") - F.col("big.m")).alias("out")), "mixed")
 
     def pairs(self, rows: DataFrame) -> None:
-        """Compares the members (k, uid) of small buckets that lie in different components."""
+        """Compares the members (k, uid) of small buckets that lie in different components.
+
+        With ``rank``, the shingle's place by rarity in each set, no more can be common than the lesser parts before and after it.
+        """
+        p = self.p
         named = self.placed(rows).join(self.sizes, "uid")
         apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.c") != F.col("y.c"))
-        self.confirm(named.alias("x").join(named.alias("y"), apart & _alike(self.p)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+        if "rank" in rows.columns:
+            most = F.least("x.rank", "y.rank") + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
+            apart = apart & ((100 + p.percent) * most >= p.percent * (F.col("x.n") + F.col("y.n")))
+        self.confirm(named.alias("x").join(named.alias("y"), apart & _alike(p)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
 
     def cells(self, rows: DataFrame, mixed: DataFrame) -> None:
         """Compares classes outside a large bucket's main component with all its members, in cells of bounded size."""
@@ -302,7 +310,7 @@ class _Linker:
         self.add(both.mapInArrow(_meet(p), "a long, b long"))
 
     def rare(self, uids: DataFrame) -> DataFrame:
-        """Buckets (k, uid, n, first, size) of the classes' rarest shingles; ``first`` where it is among those that the smaller set of a pair needs."""
+        """Buckets (k, uid, rank, first, size) of the classes' rarest shingles; ``first`` where it is among those that the smaller set of a pair needs."""
         p = self.p
         grams = self.scratch.keep(self.texts.join(uids, "uid").select("uid", "text").mapInArrow(_shingles(p), "uid long, n long, g long"), "shingles")
         often = grams.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
@@ -310,7 +318,7 @@ class _Linker:
         ranked = grams.join(often, "g", "left").withColumn("rank", F.row_number().over(order))
         share = lambda top, under: F.col("n") - F.ceil(F.col("n") * top / under).cast("long") + 1
         first = (F.col("rank") <= share(2 * p.percent, 100 + p.percent)).alias("first")
-        kept = ranked.where((F.col("rank") <= share(p.percent, 100)) & F.col("often").isNotNull()).select(F.col("g").alias("k"), "uid", "n", first)
+        kept = ranked.where((F.col("rank") <= share(p.percent, 100)) & F.col("often").isNotNull()).select(F.col("g").alias("k"), "uid", "rank", first)
         kept = self.scratch.keep(kept, "rare")
         good = kept.groupBy("k").agg(F.count("*").alias("size"), F.max("first").alias("any")).where("any and size > 1").select("k", "size")
         return self.scratch.keep(kept.join(good, "k"), "rare")
@@ -327,8 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates: each band bucket has a head, the class with the most bucket mates; every class is first
     held against the head that it meets most often.  What this leaves in different components of a
-    bucket is then compared: in small groups pair by pair, in large ones in cells of ``cell`` sets
-    outside the main component by as many members, if their rare shingles allow a link.  So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
+    bucket is then compared: in small groups pair by pair, in large ones by the buckets of their rare shingles,
+    small ones of these pair by pair and large ones in cells of ``cell`` sets outside the main component by as many members.  So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
     holds together.
     """
     p = params or NearDupParams()
@@ -354,11 +362,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link.pairs(small.select("k", "uid"))
     large = mixed.where(F.col("size") > p.small_group).select("head")
     if large.limit(1).count():
-        wide = groups.join(large, "head", "left_semi")
-        rare = link.rare(wide.select("uid").distinct())
-        open_ = rare.join(link.mixed(rare, "k").select("k"), "k", "left_semi").select("uid").distinct()
-        wide = scratch.keep(wide.join(open_, "uid", "left_semi").select(F.col("head").alias("k"), "uid"), "open")
-        link.cells(wide, link.mixed(wide, "k"))
+        rare = link.rare(groups.join(large, "head", "left_semi").select("uid").distinct())
+        open_ = link.mixed(rare, "k")
+        link.pairs(rare.join(open_.where(F.col("size") <= p.small_group).select("k"), "k", "left_semi").select("k", "uid", "rank"))
+        wide = rare.join(open_.where(F.col("size") > p.small_group).select("k"), "k", "left_semi").select("k", "uid")
+        if wide.limit(1).count():
+            link.settle()
+            link.cells(wide, link.mixed(wide, "k"))
     link.settle()
 
     found = link.placed(classes.select("f1", "f2", "uid", F.col("rep.id").alias("rep")))

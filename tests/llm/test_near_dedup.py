@@ -147,3 +147,37 @@ def test_family_of_a_template_stays_linear(spark):
         N._Linker.confirm = confirm
     assert got == {i: (i - 1200 if i >= 1200 else i) for i, _ in rows}
     assert sum(seen) < 6 * len(rows), seen
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_family_made_of_modules_stays_linear(spark, n):
+    """Texts of one template and 8 of many modules, each module in about 10 texts: no two are linked, but all share rare shingles."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(300)]
+    modules = [[f"m{j}x{i}" for i in range(10)] for j in range(n * 8 // 10)]
+    rows = []
+    for k in range(n):
+        words = template[:]
+        for j in rng.sample(range(len(modules)), 8):
+            words += modules[j]
+        rows.append((k, " ".join(words)))
+    rows += [(n + k, rows[k][1] + " z") for k in range(0, n, 50)]
+    compared, confirm = [], N._Linker.confirm
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        confirm(self, pairs)
+
+    def counted_cells(self, rows, mixed):
+        sizes = rows.groupBy("k").count().collect()
+        compared.append(sum(r["count"] ** 2 for r in sizes))
+        cells(self, rows, mixed)
+
+    cells = N._Linker.cells
+    N._Linker.confirm, N._Linker.cells = counted, counted_cells
+    try:
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    finally:
+        N._Linker.confirm, N._Linker.cells = confirm, cells
+    assert got == {i: (i - n if i >= n else i) for i, _ in rows}
+    assert sum(compared) < 60 * n, compared
