@@ -51,13 +51,15 @@ class Scratch:
     def read(self, path: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
+    def remove(self, path: str) -> None:
+        """Deletes a folder."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that this kept and that no result still reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            self.remove(path)
         self.kept = [x for x in self.kept if not any(x[0] is t for t in tables)]
 
 

@@ -5,23 +5,26 @@ with the smallest hash is its anchor, so equal windows have equal anchors at equ
 consecutive windows with one anchor make a block: about one for each 20 words.  A block's
 fingerprint is (anchor hash, context hash), the second over all words that its windows span.
 
-The index holds, for each fingerprint, the smallest document that has it, as immutable Parquet runs
-sorted by anchor.  A new batch makes a sorted run, which is merged with the older runs:
-
-* a block whose fingerprint a smaller document has is repeated as a whole;
-* where an anchor has several contexts, the windows of one document for each context are verified
-  one by one by a 128-bit digest of their words, against all others of that anchor;
-* when there are ``max_runs`` runs they are first compacted into one, which is then what the batch is
-  joined with: a fingerprint that very many documents share is one row there, and the batch's side
-  of the join can be split.
-
-The work follows the number of blocks and of contested windows, not the number of equal pairs.
+The index holds, for each fingerprint, the smallest document that has it, as immutable sorted runs:
+tables bucketed and sorted by anchor and context.  A new batch makes a run of its own:
+
+* it is merge-joined with each older run, bucket by bucket as the files are sorted, which gives each of the
+  batch's fingerprints its smallest document; a block whose fingerprint a smaller document has is repeated
+  as a whole;
+* where an anchor of the batch has several contexts, the windows of one document for each context are
+  verified one by one by a 128-bit digest of their words, against all others of that anchor;
+* then runs are compacted by tiers, by merge joins again.
+
+A fingerprint is one row of a run, however many documents share it, so no bucket is hot; where rows of the
+batch's documents are joined, it is with a plain table, so that a hot side can be split.  The work follows
+the number of blocks and of contested windows, not the number of equal pairs.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +41,7 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``first_batch``: the share of the id range that :func:`substring_dedup` indexes first."""
+    """``first_batch``: the share of the id range that :func:`substring_dedup` indexes first.  ``max_runs`` runs are there at most."""
 
     window: int = 50
     gram: int = 8
@@ -178,49 +181,115 @@ def _removal(p: SubstringParams, with_text: bool):
     return run
 
 
+@dataclass
+class Run:
+    """A sorted run: a table of (anchor, context, id), its folder, and how many rows it has."""
+
+    table: str
+    path: str
+    rows: int
+
+
+def to_compact(rows: list[int], most: int) -> int:
+    """How many of the newest runs to make one, given their rows from the oldest: those that are together
+    large beside the next, if there are ``most`` of them, and no fewer than what leaves ``most`` runs."""
+    take, held = 0, 0
+    for n in reversed(rows):
+        if take and n > most * max(held, 1):
+            break
+        take, held = take + 1, held + n
+    take = take if take >= most else 0
+    return max(take, len(rows) - most + 1 if len(rows) > most else 0)
+
+
 class FingerprintIndex:
     """Sorted runs of historical block fingerprints, in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, params: SubstringParams | None = None):
         self.params = params or SubstringParams()
-        self.scratch = Scratch(spark)
-        self.runs: list[DataFrame] = []
-
-    def _sorted(self, run: DataFrame, name: str) -> DataFrame:
-        return self.scratch.keep(run.sortWithinPartitions("anchor", "context"), name)
-
-    def _merged(self) -> DataFrame:
-        """All runs as one, with the smallest document of each fingerprint; written, as the compacted run, once there are ``max_runs``."""
-        *old, new = self.runs
-        if not old:
-            return new
-        both = new.select("anchor", "context", "id", "fresh")
-        for run in old:
-            both = both.union(run.select("anchor", "context", "id", F.lit(False)))
-        both = both.groupBy("anchor", "context").agg(F.min("id").alias("id"), F.max("fresh").alias("fresh"))
-        if len(self.runs) < self.params.max_runs:
-            return both
-        self.runs = [self._sorted(both, "compacted")]
-        self.scratch.drop(*old, new)
-        return self.runs[0]
+        self.spark, self.scratch = spark, Scratch(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[Run] = []
+        self.last: int | None = None
+        # a bucket of a run is one sorted file; this lets a join take it as sorted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _written(self, rows: DataFrame, name: str) -> Run:
+        """A run of rows that are unique by anchor and context."""
+        path, table = self.scratch.path(name), f"talktree_run_{uuid.uuid4().hex}"
+        writer = rows.select("anchor", "context", "id").write.format("parquet").option("path", path)
+        writer.bucketBy(self.buckets, "anchor", "context").sortBy("anchor", "context").saveAsTable(table)
+        run = Run(table, path, 0)
+        run.rows = self._plain(run).count()
+        return run
+
+    def _table(self, run: Run) -> DataFrame:
+        return self.spark.table(run.table).hint("merge")
+
+    def _plain(self, run: Run) -> DataFrame:
+        """The run's rows, not as a bucketed table."""
+        return self.spark.read.schema("anchor long, context long, id long").parquet(run.path)
+
+    def _merged(self, x: DataFrame, y: DataFrame, how: str) -> DataFrame:
+        """Two runs merge-joined, with the smallest document of each fingerprint."""
+        x, y = x.alias("x"), y.alias("y")
+        same = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.context") == F.col("y.context"))
+        key = lambda c: F.coalesce(f"x.{c}", f"y.{c}") if how == "full_outer" else F.col(f"x.{c}")
+        return x.join(y, same, how).select(key("anchor").alias("anchor"), key("context").alias("context"), F.least("x.id", "y.id").alias("id"))
+
+    def _drop(self, *runs: Run) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
+            self.scratch.remove(run.path)
+
+    def compact(self) -> None:
+        """Makes the newest runs one where their sizes ask for it."""
+        take = to_compact([r.rows for r in self.runs], self.params.max_runs)
+        if take:
+            old = self.runs[-take:]
+            rows = self._table(old[0])
+            for run in old[1:]:
+                rows = self._merged(rows, self._table(run), "full_outer")
+            self.runs[-take:] = [self._written(rows, "compacted")]
+            self._drop(*old)
+
+    def close(self) -> None:
+        """Drops the runs."""
+        self._drop(*self.runs)
+        self.runs = []
 
     def add(self, batch: DataFrame, store: DataFrame, with_text: bool = False) -> DataFrame:
         """Judges the (id, text) rows of ``batch`` against the index and each other, and indexes them.
 
         ``store`` has the text of every document that is indexed, the batch's included.  Batches come
-        by ascending id: a later one with smaller ids would not change what was said of earlier ones.
+        by ascending id, for a later one with smaller ids would not change what was said of earlier ones;
+        a batch with an id below an earlier batch's largest is an error.
         Only windows at anchors that the batch has are verified, so history is not gone through again.
         """
         p, keep = self.params, self.scratch.keep
+        ends = batch.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+        if self.last is not None and ends.lo is not None and ends.lo < self.last:
+            raise ValueError("batches have to come by ascending id")
+        self.last = ends.hi if ends.hi is not None else self.last
         prints = keep(batch.where("id is not null").mapInArrow(_fingerprints(p), "anchor long, context long, id long"), "prints")
-        self.runs.append(self._sorted(prints.groupBy("anchor", "context").agg(F.min("id").alias("id")).withColumn("fresh", F.lit(True)), "run"))
-        merged = self._merged()
-        owners = merged.select("anchor", "context", F.col("id").alias("owner"))
-        repeated = prints.join(owners, ["anchor", "context"]).where("id > owner").select("id", "context")
+        own = prints.groupBy("anchor", "context").agg(F.min("id").alias("id"))
+        new = self._written(own.repartition(self.buckets, "anchor", "context"), "run")
+        owners, there = self._plain(new), self._plain(new)
+        if self.runs:
+            merged = self._table(new)
+            for run in self.runs:
+                merged = self._merged(merged, self._table(run), "left")
+            owners = keep(merged, "owners")
+            fresh = owners.select("anchor").distinct().hint("shuffle_hash")
+            there = owners
+            for run in self.runs:  # what history has at the batch's anchors
+                there = there.union(self._plain(run).join(fresh, "anchor", "left_semi"))
+            there = keep(there.groupBy("anchor", "context").agg(F.min("id").alias("id")), "there")
+        repeated = prints.join(owners.withColumnRenamed("id", "owner"), ["anchor", "context"]).where("id > owner").select("id", "context")
         repeated = repeated.groupBy("id").agg(F.collect_set("context").alias("whole"))
 
-        several = merged.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("fresh").alias("fresh")).where("n > 1 and lo < hi and fresh").select("anchor")
-        contested = merged.join(several, "anchor").groupBy("id").agg(F.collect_set("context").alias("contested"))
+        several = there.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
+        contested = there.join(several, "anchor").groupBy("id").agg(F.collect_set("context").alias("contested"))
         windows = store.join(contested, "id").select("id", "text", "contested").mapInArrow(_windows(p), "w1 long, w2 long, id long, at int")
         windows = keep(windows, "windows")
         low = windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
@@ -231,7 +300,9 @@ class FingerprintIndex:
         todo = batch.join(found, "id", "left").select("id", "text", empty("whole", "bigint"), empty("starts", "int"))
         out = todo.mapInArrow(_removal(p, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
         judged = keep(out, "judged")
-        self.scratch.drop(prints, windows)
+        self.scratch.drop(prints, windows, owners, there)
+        self.runs.append(new)
+        self.compact()
         return judged
 
 
@@ -257,4 +328,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = index.add(early, early, with_text)
         gc.collect()
         out = out.union(index.add(late, rows, with_text))
+    index.close()
     return out.withColumnRenamed("id", id_col)

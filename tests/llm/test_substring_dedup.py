@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from talktree.llm.substring_dedup import FingerprintIndex, SubstringParams, substring_dedup
+from talktree.llm.substring_dedup import FingerprintIndex, SubstringParams, substring_dedup, to_compact
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,3 +70,35 @@ def test_edges_of_the_input(spark):
     t = " ".join(f"x{i}" for i in range(60))
     rows = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup(rows).collect()) == [(0, 0), (1, 0), (1, 0), (2, 60)]
+
+
+def test_runs_are_merge_joined_and_compacted_by_tiers(spark):
+    assert [to_compact(x, 3) for x in ([], [9], [9, 1, 1], [5, 1, 1], [20, 1, 1, 1], [1, 1, 1], [100, 30, 9, 1])] == [0, 0, 0, 3, 3, 3, 2]
+    rows, p = corpus(5), SubstringParams(window=10, gram=4, max_runs=3)
+    df = spark.createDataFrame(rows, "id long, text string")
+    index, plans, merged = FingerprintIndex(spark, p), [], FingerprintIndex._merged
+
+    def seen(self, x, y, how):
+        out = merged(self, x, y, how)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    FingerprintIndex._merged = seen
+    try:
+        for lo in range(0, 500, 80):
+            index.add(df.where(f"id >= {lo} and id < {lo + 80}"), df.where(f"id < {lo + 80}")).count()
+    finally:
+        FingerprintIndex._merged = merged
+    single = [x for x in plans if x.count("SortMergeJoin") == 1]
+    assert single and not any("Exchange" in x or "Sort [" in x or "Aggregate" in x for x in single)
+    whole = {(r.anchor, r.context): r.id for run in index.runs for r in index._plain(run).collect()}
+    again = FingerprintIndex(spark, p)
+    again.add(df, df).count()
+    assert {k: min(r.id for run in index.runs for r in index._plain(run).where(f"anchor = {k[0]} and context = {k[1]}").collect()) for k in list(whole)[:5]} == {k: r for k, r in ((tuple(r)[:2], r.id) for r in again._plain(again.runs[0]).collect()) if k in list(whole)[:5]}
+    assert {k for k in whole} == {(r.anchor, r.context) for r in again._plain(again.runs[0]).collect()}
+    with pytest.raises(ValueError, match="ascending"):
+        index.add(df.where("id = 4"), df)
+    tables = len(spark.catalog.listTables())
+    index.close()
+    again.close()
+    assert len(spark.catalog.listTables()) < tables or tables == 0
