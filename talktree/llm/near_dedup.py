@@ -12,7 +12,8 @@ rows that repeat an id don't stand in for each other.  A bucket is held together
 leaves in different components is compared.  In large groups only classes are that share a rare shingle
 with one of another component: two linked sets share one of the smaller set's n - 2sn/(1+s) rarest and the
 larger one's n - sn rarest, which texts with only a template in common don't.  They are compared within
-the buckets of these shingles, where sizes, one-bit coordinates and the shingle's ranks allow a link.
+small buckets of these shingles, where sizes, one-bit coordinates and the shingle's ranks allow a link; what
+shares only large ones is compared group by group.
 """
 
 from __future__ import annotations
@@ -336,7 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates: each band bucket has a head, the class with the most bucket mates; every class is first
     held against the head that it meets most often.  What this leaves in different components of a
     bucket is then compared: in small groups pair by pair, in large ones by the buckets of their rare shingles,
-    small ones of these pair by pair and large ones in cells of ``cell`` sets outside the main component by as many members.  So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
+    small ones of these pair by pair; what is in large ones is compared once for its group, in cells of ``cell`` sets outside
+    the main component by as many members.  So no pair that shares a bucket is lost, and none is written out for a group of copies that its head
     holds together.
     """
     p = params or NearDupParams()
@@ -365,10 +367,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rare = link.rare(groups.join(large, "head", "left_semi").select("uid").distinct())
         open_ = link.mixed(rare, "k")
         link.pairs(rare.join(open_.where(F.col("size") <= p.small_group).select("k"), "k", "left_semi").select("k", "uid", "rank"))
-        wide = rare.join(open_.where(F.col("size") > p.small_group).select("k"), "k", "left_semi").select("k", "uid")
-        if wide.limit(1).count():
-            link.settle()
-            link.cells(wide, link.mixed(wide, "k"))
+        left = rare.join(open_.where(F.col("size") > p.small_group).select("k"), "k", "left_semi").select("uid").distinct()
+        wide = scratch.keep(groups.join(large, "head", "left_semi").join(left, "uid", "left_semi").select(F.col("head").alias("k"), "uid"), "open")
+        link.settle()
+        link.cells(wide, link.mixed(wide, "k"))
     link.settle()
 
     found = link.placed(classes.select("f1", "f2", "uid", F.col("rep.id").alias("rep")))
