@@ -109,12 +109,13 @@ def file_names(conversations: DataFrame, formats: tuple[str, ...] = FORMATS) ->
     """
     rows = conversations.select("conversation_id", "title", "create_time", "update_time", F.explode(F.array(*map(F.lit, formats))).alias("format"))
     rows = rows.withColumn("_natural", _name()).withColumn("_key", name_key(F.col("_natural")))
+    again = rows.groupBy("_key").agg(F.count("*").alias("_same")).where("_same > 1")
+    if not again.limit(1).count():  # as a rule, for ids are part of names; then nothing has to be dealt by name
+        return rows.select("conversation_id", "format", F.col("_natural").alias("output_path"))
     same = Window.partitionBy("_key")
     rows = rows.withColumns({"_same": F.count("*").over(same), "_rank": F.row_number().over(same.orderBy("format", "conversation_id"))})
     single = rows.where("_same = 1").select("conversation_id", "format", F.col("_natural").alias("output_path"))
     twice = rows.where("_same > 1")
-    if not twice.limit(1).count():
-        return single
     spare = 8
     while True:
         numbers = twice.where("_rank = 1").withColumn("_number", F.explode(F.sequence(F.lit(1), (F.col("_same") + spare).cast("int"))))

@@ -166,7 +166,7 @@ def followed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 from stored postings alone, after two imports."""
     store = _twice(spark, sf_dir, True)
-    return index.bm25_postings(*store.indexed(), parse_query("thingnder the"), store.lengths()).select(*_NODE, F.round("bm25", 6).alias("bm25"))
+    return index.bm25_postings(*store.indexed(), parse_query("thingnder thing"), store.lengths()).select(*_NODE, F.round("bm25", 6).alias("bm25"))
 
 
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +396,7 @@ STORED_SQL: dict[str, str] = {
     "earlier_snapshot": f"{BIND} SELECT conversation_id, title, 1::BIGINT AS run FROM c",
     "changed_generations": "SELECT * FROM (VALUES ('address', 1), ('graph', 1), ('message', 2), ('query', 1), ('title', 2)) t(domain, version) WHERE EXISTS (SELECT 1 FROM conversations WHERE conv_id % 10 = 0)",
     "followed_search": f"{_AFTER} SELECT conversation_id, node_id FROM l WHERE {_has('thing')} AND {_has('nder')}",
-    "scored_postings": f"""{_AFTER}, f AS (SELECT conversation_id, node_id, greatest(length(norm) - 2, 0)::DOUBLE AS size, {_TF.format("thingnder")} AS a, {_TF.format("the")} AS b FROM l WHERE coalesce(text, '') <> ''),
+    "scored_postings": f"""{_AFTER}, f AS (SELECT conversation_id, node_id, greatest(length(norm) - 2, 0)::DOUBLE AS size, {_TF.format("thingnder")} AS a, {_TF.format("thing")} AS b FROM l WHERE coalesce(text, '') <> ''),
         t AS (SELECT count(*) AS total, avg(size) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
         SELECT conversation_id, node_id, round(-greatest(ln((total - da + 0.5) / (da + 0.5)), 0.000001) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) - greatest(ln((total - db + 0.5) / (db + 0.5)), 0.000001) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS bm25
         FROM f, t WHERE a > 0 OR b > 0""",
