@@ -103,12 +103,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("; ".join(q.errors), file=sys.stderr)
             return 2
         archive, postings = store.indexed()
-        scores = None
+        scores, shown = None, None
         if postings is not None and q.has_body:
+            shown = index.relevance_page(archive, postings, q, a.limit, store.lengths()) if a.messages and not a.offset else None
             scores = index.bm25_postings(archive, postings, q, store.lengths())
             archive = index.narrowed(archive, postings, q)
         if a.messages:
-            found = search.search_messages(archive, q, bm25=scores).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
+            found = (search.search_messages(archive, q, bm25=scores) if shown is None else shown).select("conversation_id", "node_id", "role", "score", "reasons", "snippet")
             _print(search.page(found, a.limit, a.offset, search.MAX_MESSAGES))
         else:
             _print(search.summaries(search.page(search.search_conversations(archive, q, a.sort, scores), a.limit, a.offset)))

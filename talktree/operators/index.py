@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talktree.functions.text import normalize
+from talktree.operators import search
 from talktree.operators.archive import Archive
+from talktree.plans.predicates import conversation_time, message_filters
 from talktree.plans.query import Query
 
 #: Constants of BM25 and of its smallest inverse document frequency.
@@ -145,6 +147,26 @@ def _grams(part: str) -> dict[int, str]:
     return {i: part[i : i + 3] for i in (*range(0, len(part) - 3, 3), len(part) - 3)}
 
 
+def _begins(grams: list[str], text: str) -> Column:
+    """The places where a text of three characters or more begins, from the grouped lists ``_p0``...; null if a trigram is missing."""
+
+    def shifted(gram: str, offset: int) -> Column:
+        return F.transform(F.col(f"_p{grams.index(gram)}"), lambda x: x - offset)
+
+    return reduce(F.array_intersect, [shifted(g, i) for i, g in _grams(text).items()])
+
+
+def _frequency(grams: list[str], text: str) -> Column:
+    # size() of null is -1 where the session says so
+    return F.greatest(F.coalesce(F.size(_begins(grams, text)), F.lit(0)), F.lit(0))
+
+
+def _grouped(postings: DataFrame, grams: list[str]) -> DataFrame:
+    """A row for each message with any of the trigrams: its length and the places of each."""
+    lists = [F.max(F.when(F.col("trigram") == g, F.col("positions"))).alias(f"_p{k}") for k, g in enumerate(grams)]
+    return postings.where(F.col("trigram").isin(grams)).groupBy(*_NODE).agg(F.max("size").cast("double").alias("_size"), *lists)
+
+
 def bm25_postings(archive: Archive, postings: DataFrame, q: Query, sizes: DataFrame | None = None) -> DataFrame:
     """``bm25`` from postings: no text is read, and of the postings only those of the query's trigrams.
 
@@ -153,18 +175,8 @@ def bm25_postings(archive: Archive, postings: DataFrame, q: Query, sizes: DataFr
     """
     parts = _stretches(q)
     grams = sorted({g for p in parts for g in _grams(p).values()})
-    lists = [F.max(F.when(F.col("trigram") == g, F.col("positions"))).alias(f"_p{k}") for k, g in enumerate(grams)]
-    rows = postings.where(F.col("trigram").isin(grams)).groupBy(*_NODE).agg(F.max("size").cast("double").alias("_size"), *lists)
-
-    def begins(gram: str, offset: int) -> Column:
-        return F.transform(F.col(f"_p{grams.index(gram)}"), lambda x: x - offset)
-
-    def found(part: str) -> Column:
-        at = [begins(g, i) for i, g in _grams(part).items()]
-        return F.coalesce(F.size(reduce(F.array_intersect, at)), F.lit(0))
-
-    # size() of null is -1 where the session says so
-    rows = rows.select(*_NODE, "_size", *(F.greatest(found(p), F.lit(0)).alias(f"_f{i}") for i, p in enumerate(parts)))
+    rows = _grouped(postings, grams)
+    rows = rows.select(*_NODE, "_size", *(_frequency(grams, p).alias(f"_f{i}") for i, p in enumerate(parts)))
     hit = reduce(lambda a, b: a | b, (F.col(f"_f{i}") > 0 for i in range(len(parts))), F.lit(False))
     rows = rows.where(hit)
     known = sizes if sizes is not None else lengths(archive)
@@ -203,3 +215,44 @@ def bm25(archive: Archive, q: Query, postings: DataFrame | None = None) -> DataF
     for i in range(len(parts)):
         hit = hit | (F.col(f"_f{i}") > 0)
     return rows.where(hit).join(F.broadcast(totals), F.lit(True)).select(*_NODE, score.alias("bm25"))
+
+
+def exact_hits(postings: DataFrame, q: Query) -> DataFrame | None:
+    """``(conversation_id, node_id)`` of messages whose text fits the query, told by places alone; None where that can't be.
+
+    It can where fragments are looked for anywhere in a text and all have three characters or more.
+    """
+    wanted = [normalize(f) for f in (*q.phrases, *q.terms) if normalize(f)]
+    needed, without = ([normalize(f) for f in fs if normalize(f)] for fs in (q.required_phrases, q.exclude))
+    texts = [*wanted, *needed, *without]
+    if q.match_mode != "contains" or q.scope == "title" or not (wanted or needed) or min(map(len, texts)) < 3:
+        return None
+    grams = sorted({g for t in texts for g in _grams(t).values()})
+    has = lambda t: _frequency(grams, t) > 0
+    fit = reduce((lambda a, b: a | b) if q.or_mode else (lambda a, b: a & b), map(has, wanted)) if wanted else F.lit(True)
+    fit = reduce(lambda a, b: a & b, map(has, needed), fit) & ~reduce(lambda a, b: a | b, map(has, without), F.lit(False))
+    return _grouped(postings, grams).where(fit).select(*_NODE)
+
+
+def relevance_page(archive: Archive, postings: DataFrame, q: Query, limit: int = 20, sizes: DataFrame | None = None) -> DataFrame | None:
+    """The first ``limit`` rows of ``search_messages`` by relevance, or None where ``exact_hits`` is.
+
+    Which messages are shown follows from postings and from columns without text; only the texts that are shown
+    are read.  The archive has to be an indexed one.
+    """
+    found = exact_hits(postings, q)
+    if found is None:
+        return None
+    scores = bm25_postings(archive, postings, q, sizes)
+    plain = archive.nodes.select(*_NODE, "role", "create_time", "generated").where(~F.col("generated"))
+    conv = archive.titled.select("conversation_id", "title_norm", "source_norm", conversation_time().alias("_time"))
+    rows = plain.join(found, _NODE).join(conv, "conversation_id").where(message_filters(q, F.col("role"), F.col("title_norm"), F.col("source_norm"), F.col("_time")))
+    if q.path == "current":
+        rows = rows.join(archive.paths_of(rows).select(*_NODE), _NODE, "left_semi")
+    order = [F.coalesce("bm25", F.lit(0.0)), F.desc("_time"), F.col("conversation_id"), F.col("create_time").asc_nulls_first(), F.col("node_id")]
+    shown = rows.join(scores, _NODE, "left").orderBy(*order).select(*_NODE, "bm25").limit(max(1, min(limit, search.MAX_MESSAGES)))
+    keys = [tuple(r) for r in shown.collect()]  # a page
+    kept = archive.nodes.sparkSession.createDataFrame(keys, "conversation_id string, node_id string, bm25 double")
+    pruned = archive.nodes.where(F.col("conversation_id").isin([k[0] for k in keys]))  # read by row groups
+    nodes = pruned.join(F.broadcast(kept.select(*_NODE)), _NODE, "left_semi")
+    return search.search_messages(Archive(archive.conversations, nodes, whole=archive, complete=True), q, bm25=kept)

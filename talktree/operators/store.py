@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from talktree.functions.text import is_generated_note
 from talktree.operators import index
 from talktree.operators.archive import Archive
 from talktree.operators.ingest import parse_elements, split_parsed
@@ -389,7 +390,7 @@ class Store:
     def _index_part(self, part: dict) -> None:
         folder = f"{self.folder}/data/{part['id']}/index"
         archive = Archive(self._read(part, "conversations", CONVERSATIONS), self._read(part, "nodes", NODES))
-        nodes = archive.texts.repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id")
+        nodes = archive.texts.withColumn("generated", is_generated_note(F.col("content_type"), F.col("text"))).repartition("conversation_id").sortWithinPartitions("conversation_id", "node_id")
         nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
         archive.titled.write.mode("overwrite").parquet(f"{folder}/conversations")
         archive.paths.write.mode("overwrite").parquet(f"{folder}/paths")

@@ -169,6 +169,14 @@ def scored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.bm25_postings(*store.indexed(), parse_query("thingnder thing"), store.lengths()).select(*_NODE, F.round("bm25", 6).alias("bm25"))
 
 
+def relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty messages by relevance, chosen by postings; only their texts are read."""
+    store = _twice(spark, sf_dir, True)
+    archive, postings = store.indexed()
+    page = index.relevance_page(archive, postings, parse_query('"thing" -than', path="current"), 40, store.lengths())
+    return page.select(*_NODE, F.sha2("text", 256).alias("text_sha256"))
+
+
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown files as executors wrote them, read back."""
     archive, folder = bound(spark, sf_dir), work_folder(spark)
@@ -365,7 +373,7 @@ def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        zip_members, zip_sources, zip_elements, invalid_sample, duplicate_ids, folder_import, import_lineage, second_import, earlier_snapshot, changed_generations, followed_search, scored_postings, exported_files,
+        zip_members, zip_sources, zip_elements, invalid_sample, duplicate_ids, folder_import, import_lineage, second_import, earlier_snapshot, changed_generations, followed_search, scored_postings, relevance_page, exported_files,
         path_orders, query_errors, continued_scan, chunk_steps, chunk_anchors, listed_with_counts, patched_norms, totals_of_some,
         element_problems, ingest_scalars, input_hash, streamed_import, written_twice, manifest_order, probes, empty_fragments, query_overrides, layout_checks,
     )
@@ -400,6 +408,11 @@ STORED_SQL: dict[str, str] = {
         t AS (SELECT count(*) AS total, avg(size) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
         SELECT conversation_id, node_id, round(-greatest(ln((total - da + 0.5) / (da + 0.5)), 0.000001) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) - greatest(ln((total - db + 0.5) / (db + 0.5)), 0.000001) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS bm25
         FROM f, t WHERE a > 0 OR b > 0""",
+    "relevance_page": f"""{_AFTER}, f AS (SELECT l.*, greatest(length(norm) - 2, 0)::DOUBLE AS size, {_TF.format("thing")} AS tf FROM l WHERE coalesce(text, '') <> ''),
+        t AS (SELECT count(*) AS total, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM f), k AS (SELECT conversation_id, c.create_time, CASE WHEN conv_id % 10 = 0 THEN 'new ' || title_norm ELSE title_norm END AS title_norm FROM c)
+        SELECT f.conversation_id, f.node_id, sha256(f.text) AS text_sha256 FROM f JOIN k USING (conversation_id) JOIN p USING (conversation_id, node_id), t
+        WHERE tf > 0 AND NOT {_has('than', 'f.norm')} AND NOT {_has('than', 'k.title_norm')}
+        ORDER BY -greatest(ln((total - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), k.create_time DESC, f.conversation_id, f.create_time, f.node_id LIMIT 40""",
     "exported_files": f"SELECT conversation_id, sha256 FROM ({_export_sql(_MD, _MD_NODE, 'true')})",
     "path_orders": f"""{BIND}, h AS (SELECT n.*, p.depth FROM n JOIN p USING (conversation_id, node_id) WHERE {_has('the')})
         (SELECT 'relevance' AS "order", h.conversation_id, h.node_id FROM h JOIN c USING (conversation_id) ORDER BY c.create_time DESC, h.conversation_id, h.create_time, h.node_id LIMIT 40)

@@ -238,6 +238,15 @@ def test_the_index_follows_the_imports(spark, tmp_path):
         scan = {tuple(r)[:2]: round(r.bm25, 9) for r in index.bm25(store.archive(), q).collect()}
         assert {tuple(r)[:2]: round(r.bm25, 9) for r in index.bm25_postings(a, p, q, store.lengths()).collect()} == scan
         assert rows(search.message_hits(index.narrowed(a, p, q), q).select("conversation_id", "node_id")) == rows(search.message_hits(store.archive(), q).select("conversation_id", "node_id"))
+    for text in ("needle", "needle -straw", '"in hay 🙂" or straw', 'exact answer', "question title:first", "ne"):
+        for path in ("all", "current"):
+            q = parse_query(text, path=path)
+            page = index.relevance_page(a, p, q, 5, store.lengths())
+            if text == "ne":
+                assert page is None
+                continue
+            want = search.search_messages(a, q, bm25=index.bm25(store.archive(), q)).limit(5).select("conversation_id", "node_id", "score", "snippet").collect()
+            assert page.select("conversation_id", "node_id", "score", "snippet").collect() == want
     plan = index.bm25_postings(a, p, parse_query("needle"), store.lengths())._jdf.queryExecution().executedPlan().toString()
     assert "In(trigram" in plan and "content_text" not in plan
 
