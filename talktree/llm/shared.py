@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from talktree.functions.batches import bounded_batches
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,16 +63,6 @@ class Scratch:
         self.kept = [x for x in self.kept if not any(x[0] is t for t in tables)]
 
 
-def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """Lets Arrow batches hold about ``limit`` bytes, if the session sets no bound of its own.
-
-    Batches are bounded by rows otherwise, and rows hold whole texts.  The setting is read when a
-    query runs, so it stays in the session.
-    """
-    if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, str(limit))
-
-
 def distinct_name(taken: list[str], name: str) -> str:
     """``name``, or ``name`` with underscores in front, so that it clashes with none of ``taken``."""
     while name.lower() in {x.lower() for x in taken}:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktree.functions.text import display_text, normalized
+from talktree.functions.text import display_text, norm_in_jvm, normalized
 from talktree.operators.graph import effective_paths, path_metadata
 
 
@@ -39,6 +39,19 @@ class Archive:
         n = self._derived(self.nodes, "text", display_text(F.col("content_text"), F.col("raw_message_json"))) if own else self.nodes
         return self._derived(n, "norm", normalized(F.col("text")))
 
+    @property
+    def norms(self) -> DataFrame:
+        """``(conversation_id, node_id, norm, text, raw)``: normal forms, null where they are still to be made of text and raw message.
+
+        One Python step that takes these needs no other before it; ``texts`` takes one for each derived column.
+        """
+        none = F.lit(None).cast("string")
+        if {"text", "norm"} & set(self.nodes.columns):
+            return self.texts.select("conversation_id", "node_id", "norm", none.alias("text"), none.alias("raw"))
+        norm = norm_in_jvm(F.col("content_text"), F.col("raw_message_json"))
+        rest = [F.when(norm.isNull(), F.col(c)).alias(n) for c, n in (("content_text", "text"), ("raw_message_json", "raw"))]
+        return self.nodes.select("conversation_id", "node_id", norm.alias("norm"), *rest)
+
     def _derived(self, rows: DataFrame, name: str, made: Column) -> DataFrame:
         if name not in rows.columns:
             return rows.withColumn(name, made)

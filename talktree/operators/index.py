@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktree.functions.text import normalize
+from talktree.functions.batches import bounded_batches
+from talktree.functions.text import normalize, recover
 from talktree.operators import search
 from talktree.operators.archive import Archive
 from talktree.plans.predicates import conversation_time, message_filters
@@ -26,17 +27,25 @@ from talktree.plans.query import Query
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 _NODE = ["conversation_id", "node_id"]
 POSTINGS = "trigram string, conversation_id string, node_id string, positions array<int>, size int"
-_BLOCK = 1 << 20
+#: Characters whose postings are made at once: some 20 MB of arrays.
+_BLOCK = 1 << 18
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows as ``Archive.norms`` gives them, a block of messages at a time."""
     for batch in batches:
-        at, held, texts = 0, 0, batch.column("norm").to_pylist()
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= _BLOCK or i == len(texts) - 1:
-                yield _block_postings(batch.slice(at, i + 1 - at), texts[at : i + 1])
-                at, held = i + 1, 0
+        kept, texts, held = [], [], 0
+        for i, (norm, text, raw) in enumerate(zip(*(batch.column(c) for c in ("norm", "text", "raw")))):
+            found = norm.as_py() if norm.is_valid else normalize(recover(text.as_py(), raw.as_py()))
+            if len(found) >= 3:
+                kept.append(i)
+                texts.append(found)
+                held += len(found)
+            if held >= _BLOCK:
+                yield _block_postings(batch.take(pa.array(kept)), texts)
+                kept, texts, held = [], [], 0
+        if kept:
+            yield _block_postings(batch.take(pa.array(kept)), texts)
 
 
 def _block_postings(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -63,7 +72,8 @@ def build(archive: Archive) -> DataFrame:
 
     ``positions`` are where it begins, in characters from 0; ``size`` is how many stretches the message has.
     """
-    return archive.texts.where(F.length("norm") >= 3).select(*_NODE, "norm").mapInArrow(_postings, POSTINGS)
+    bounded_batches(archive.nodes.sparkSession)
+    return archive.norms.mapInArrow(_postings, POSTINGS)
 
 
 def lengths(archive: Archive) -> DataFrame:

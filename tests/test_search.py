@@ -185,3 +185,15 @@ def test_sql_functions(spark):
     assert "search_norm" in register(spark)
     row = spark.sql("SELECT search_norm('ＡＢ  c') a, search_match('The cat', 'CAT', 'word') b, search_match('cats', 'cat', 'word') c, display_text('', '{\"content\":{\"content_type\":\"text\",\"parts\":[\"p\"]}}') d, id_is_safe('a\\n') e").first()
     assert (row.a, row.b, row.c, row.d, row.e) == ("ab c", True, False, "p", False)
+
+
+def test_postings_take_one_python_step(spark, archive):
+    """A task of the index holds one Python worker, not one for each derived column besides."""
+    plan = index.build(archive)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    texts = ["Plain  Text", "ﬁne Ｆｕｌｌ", None, "", "[non-text content: x]", "a\0bc", "ab"]
+    raws = [None, None, '{"content":{"content_type":"text","parts":["Found É"]}}', None, '{"content":{"content_type":"text","parts":["shown"]}}', None, "{}"]
+    rows = spark.createDataFrame([(f"c{i}", "n", t, r) for i, (t, r) in enumerate(zip(texts, raws))], "conversation_id string, node_id string, content_text string, raw_message_json string")
+    other = Archive(rows.select("conversation_id").distinct(), rows)
+    stored = Archive(other.conversations, other.texts)
+    assert sorted(map(repr, index.build(other).collect())) == sorted(map(repr, index.build(stored).collect())) != []
