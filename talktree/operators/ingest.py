@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talktree.functions.batches import bounded_batches
 from talktree.functions.text import clean, message_content
 from talktree.functions.values import canonical_id, canonical_json, id_text, load_json, sha256, to_flag, to_time
 from talktree.schema import CONVERSATIONS, MAX_ID_CHARS, MAX_NODES, NODES, WARNINGS
@@ -185,19 +186,33 @@ def parse_element(text: str, source: str, index: int) -> tuple[dict | None, list
     return conversation, nodes, notes
 
 
+#: Rows that are handed on at once: so many, or so many characters of them.
+_ROWS, _CHARS = 1024, 1 << 20
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
     for batch in batches:
-        for source, index, text, problem in zip(*(c.to_pylist() for c in batch.columns)):
-            conversation, nodes, notes = parse_element(text, source, index) if problem is None else (None, [], Warnings([(problem, None, None)]))
-            rows = [("warning", canonical_json({"source_file": source, "array_index": index, "warning_type": k, "keys_json": a, "raw_json": b})) for k, a, b in notes]
-            cid = None
+        for source, index, text, problem in zip(*batch.columns):
+            source, index, problem = source.as_py(), index.as_py(), problem.as_py()
+            conversation, nodes, notes = parse_element(text.as_py(), source, index) if problem is None else (None, [], Warnings([(problem, None, None)]))
+            cid = None if conversation is None else conversation["conversation_id"]
+            found = [("warning", {"source_file": source, "array_index": index, "warning_type": k, "keys_json": a, "raw_json": b}) for k, a, b in notes]
             if conversation is not None:
-                cid = conversation["conversation_id"]
-                rows.append(("conversation", canonical_json(conversation)))
-                rows += [("node", canonical_json(n)) for n in nodes]
-            if rows:
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([cid] * n, pa.string()), pa.array([source] * n), pa.array([index] * n, pa.int64())], ["kind", "row", "conversation_id", "source_file", "array_index"])
+                found += [("conversation", conversation), *(("node", n) for n in nodes)]
+            for kind, row in found:
+                rows.append((kind, canonical_json(row), cid, source, index))
+                held += len(rows[-1][1])
+                if len(rows) >= _ROWS or held >= _CHARS:
+                    yield _parsed(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _parsed(rows)
+
+
+def _parsed(rows: list[tuple]) -> pa.RecordBatch:
+    *texts, index = zip(*rows)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in texts), pa.array(index, pa.int64())], ["kind", "row", "conversation_id", "source_file", "array_index"])
 
 
 def parse_elements(elements: DataFrame) -> DataFrame:
@@ -205,10 +220,17 @@ def parse_elements(elements: DataFrame) -> DataFrame:
 
     A source may say in a column ``problem`` why it has no element at a place; that becomes a warning.
     """
+    bounded_batches(elements.sparkSession)
     problem = F.col("problem") if "problem" in elements.columns else F.lit(None).cast("string").alias("problem")
     return elements.select("source_file", "array_index", "element", problem).mapInArrow(_parse, PARSED)
 
 
+def parsed_once(elements: DataFrame, folder: str) -> DataFrame:
+    """``parse_elements``, kept in a new folder, so that what is split from it is parsed once."""
+    parse_elements(elements).write.parquet(folder)
+    return elements.sparkSession.read.parquet(folder)
+
+
 def _typed(parsed: DataFrame, kind: str, schema) -> DataFrame:
     return parsed.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r"), "source_file", "array_index")
 

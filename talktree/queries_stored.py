@@ -286,7 +286,7 @@ _ODD = (
 
 def element_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each element can't be imported: its type, ids, mapping, or what its JSON may not hold."""
-    notes = ingest.split_parsed(ingest.parse_elements(_odd_elements(spark, sf_dir)))["import_warnings"]
+    notes = ingest.split_parsed(ingest.parsed_once(_odd_elements(spark, sf_dir), work_folder(spark)))["import_warnings"]
     return notes.select("array_index", "warning_type")
 
 
@@ -299,7 +299,7 @@ def ingest_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"is_archived":'), pick("true", '" No "', "0", '"maybe"', "null"), F.lit(',"voice":'), pick('"v"', "null"), F.lit(',"other":1,"mapping":{"a":{"id":"a","message":{"id":"m","content":{"content_type":"text","parts":["p'), c.cast("string"), F.lit('"]}}}}}'),
     )
     rows = _one_each(spark, sf_dir).select(F.lit("f.json").alias("source_file"), c.alias("array_index"), text.alias("element"))
-    got = ingest.split_parsed(ingest.parse_elements(rows))
+    got = ingest.split_parsed(ingest.parsed_once(rows, work_folder(spark)))
     nodes = got["nodes"].select("conversation_id", "message_id", "content_hash", "display_revision")
     return got["conversations"].select("conversation_id", "exported_id", "title", "create_time", F.col("is_archived").cast("long").alias("is_archived"), "metadata_json").join(nodes, "conversation_id")
 

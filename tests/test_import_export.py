@@ -261,3 +261,16 @@ def test_limits(spark, tmp_path):
             find_input(names)
     rows = spark.range(10).selectExpr("id", "repeat('x', 50) as t").coalesce(1)
     assert search.bounded_page(rows, 200).count() == 3 and search.bounded_page(rows, 197).count() == 2
+
+
+def test_parsed_rows_go_on_in_batches():
+    import pyarrow as pa
+
+    from talktree.operators import ingest
+
+    n = 500
+    texts = [f'{{"id":"c{i}","mapping":{{"a":{{"id":"a"}}}}}}' for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f.json"] * n), pa.array(range(n)), pa.array(texts), pa.array([None] * n, pa.string())], ["source_file", "array_index", "element", "problem"])
+    got = list(ingest._parse(iter([batch])))
+    assert len(got) <= 2 and sum(b.num_rows for b in got) == 2 * n
+    assert [x for b in got for x in b.column("conversation_id").to_pylist()] == [f"c{i}" for i in range(n) for _ in "ab"]
