@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import functions as F
 
+from talktree.functions.batches import bounded_batches
 from talktree.functions.values import file_type
 from talktree.sources import files
 from talktree.sources.framing import frame
@@ -26,8 +27,8 @@ from talktree.sources.framing import frame
 #: Limits on ZIP files: members, bytes of the directory and of names, a member's bytes, and how much more it may hold than it takes up.
 MAX_MEMBERS, MAX_DIRECTORY_BYTES, MAX_NAME_BYTES = 100_000, 128 << 20, 32 << 10
 MAX_MEMBER_BYTES, MAX_RATIO = 1 << 40, 1_000
-#: Members are read side by side, small ones several to a task.
-TASK_BYTES = 32 << 20
+#: Members are read side by side, small ones several to a task; elements are parsed as well, so fewer of theirs.
+TASK_BYTES, ELEMENT_TASK_BYTES = 32 << 20, 4 << 20
 NAME = "talktree_export"
 SCHEMAS = {
     "members": "archive string, path string, size long, compressed long, sha256 string, problem string",
@@ -133,8 +134,7 @@ class ExportReader(DataSourceReader):
         for member in self.found():
             if self.only is not None and member[2] not in self.only:
                 continue
-            alone = self.what == "elements"  # a conversation file's elements are work enough for a task
-            if not groups or alone or held + member[3] > TASK_BYTES:
+            if not groups or held + member[3] > (ELEMENT_TASK_BYTES if self.what == "elements" else TASK_BYTES):
                 groups.append([])
                 held = 0
             groups[-1].append(member)
@@ -220,6 +220,7 @@ class ExportSource(DataSource):
 
 def _read(spark: SparkSession, path: str, what: str, **options: str) -> DataFrame:
     spark.dataSource.register(ExportSource)
+    bounded_batches(spark)
     return spark.read.format(NAME).option("what", what).options(**options).load(path)
 
 
@@ -229,7 +230,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, path: str, only: list[str], element_bytes: int = 0) -> DataFrame:
-    """(source_file, array_index, element, problem) of some members, each a task of its own."""
+    """(source_file, array_index, element, problem) of some members, small ones several to a task."""
     return _read(spark, path, "elements", only=json.dumps(only), element_bytes=str(element_bytes))
 
 

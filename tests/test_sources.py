@@ -262,3 +262,15 @@ def test_postings_by_blocks(spark, monkeypatch):
     assert {(r.trigram, r.conversation_id): r.positions for r in got} == want and len(got) == len(want)
     assert all(r["size"] == len(texts[int(r.conversation_id[1:])]) - 2 for r in got)
     assert rows.select(F.count("*")).first()[0] == len(texts)
+
+
+def test_small_files_share_a_task(tmp_path):
+    import json
+
+    for i in range(50):
+        (tmp_path / f"conversations-{i}.json").write_text(json.dumps([{"id": str(i)}]))
+    (tmp_path / "conversations-50.json").write_text(json.dumps(["x" * members.ELEMENT_TASK_BYTES]))
+    reader = members.ExportReader({"what": "elements", "path": f"file://{tmp_path}"})
+    parts = reader.partitions()
+    assert len(parts) <= 3 and sum(len(p.members) for p in parts) == 51
+    assert sorted(path for p in parts for b in reader.read(p) for path in b.column("source_file").to_pylist()) == sorted(f"conversations-{i}.json" for i in range(51))
