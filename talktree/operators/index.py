@@ -27,6 +27,8 @@ from talktree.plans.query import Query
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 _NODE = ["conversation_id", "node_id"]
 POSTINGS = "trigram string, conversation_id string, node_id string, positions array<int>, size int"
+_LISTED = [*_NODE, "positions", "size"]
+PACKED = "trigram string, conversation_id array<string>, node_id array<string>, positions array<array<int>>, size array<int>"
 #: Characters whose postings are made at once: some 20 MB of arrays.
 _BLOCK = 1 << 18
 
@@ -86,9 +88,25 @@ def _size() -> Column:
     return F.greatest(F.length("norm") - 2, F.lit(0)).cast("long")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each trigram of a block, with its postings there as lists."""
+    for block in _postings(batches):
+        grams = block.column("trigram").dictionary_encode()
+        of = grams.indices.to_numpy()
+        rows = block.take(pa.array(np.argsort(of, kind="stable")))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(grams.dictionary)))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([grams.dictionary, *(pa.ListArray.from_arrays(ends, rows.column(c)) for c in _LISTED)], ["trigram", *_LISTED])
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    """Postings as ``build`` gives them, of a table that ``write`` made; trigrams are chosen before lists are unpacked."""
+    return stored.select("trigram", F.inline(F.arrays_zip(*_LISTED)))
+
+
 def write(archive: Archive, folder: str) -> None:
-    """Writes the postings sorted by trigram, so that a look-up reads few row groups."""
-    build(archive).repartitionByRange("trigram").sortWithinPartitions("trigram", *_NODE).write.mode("overwrite").parquet(folder)
+    """Writes the postings packed by trigram and block, and sorted, so that a look-up reads few row groups."""
+    bounded_batches(archive.nodes.sparkSession)
+    archive.norms.mapInArrow(_packed, PACKED).repartition("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(folder)
 
 
 def _parts(fragment: str) -> list[str]:

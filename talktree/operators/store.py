@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from talktree.functions.text import is_generated_note
 from talktree.operators import index
 from talktree.operators.archive import Archive
-from talktree.operators.ingest import parse_elements, split_parsed
+from talktree.operators.ingest import parsed_once, split_parsed
 from talktree.schema import CONVERSATIONS, FILE_INDEX, IMPORT_RUNS, NODES, SCHEMA_VERSION, SOURCE_FILES, TABLES, WARNINGS
 from talktree.sources import files, members
 from talktree.sources.exports import fingerprint, read_elements, read_members, resolve_input, selected_sources
@@ -86,6 +86,8 @@ KEYED = ("conversations", "nodes")
 BUCKETS = 8
 #: So many parts of like size are merged into one.
 FANOUT = 4
+#: Marks a part's index as whole; another name for another layout, so that an older index is built anew.
+_READY = "ready-2"
 _INDEX = ("nodes", "conversations", "paths", "postings")
 
 
@@ -155,7 +157,8 @@ class Store:
 
     def _read(self, part: dict, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.folder}/data/{part['id']}/{name}")
+        rows = reader.parquet(f"{self.folder}/data/{part['id']}/{name}")
+        return index.unpacked(rows) if name == "index/postings" else rows
 
     def _latest(self, parts: list[dict], name: str, schema=None) -> DataFrame:
         """Rows of the last part that has their conversation; only the ids of later parts are joined."""
@@ -310,10 +313,10 @@ class Store:
         """
         staged = f"{self.folder}/attempts/{uuid.uuid4().hex}"
         try:
-            parse_elements(elements).write.parquet(staged)
+            parsed = parsed_once(elements, staged)
             for left in reversed(range(attempts)):
                 try:
-                    out = self._import_parsed(self.spark.read.parquet(staged), sources, input_path, input_sha)
+                    out = self._import_parsed(parsed, sources, input_path, input_sha)
                     break
                 except SnapshotConflict:
                     if not left:
@@ -325,22 +328,39 @@ class Store:
 
     def _import_parsed(self, parsed: DataFrame, sources: DataFrame | None, input_path: str, input_sha: str | None) -> dict:
         base = self.version()
-        run = base + 1
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
         got = split_parsed(parsed)
+        compared = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        try:
+            self._compared(got, base).write.parquet(compared)  # small rows that all of what follows asks for
+            return self._import_compared(got, self.spark.read.parquet(compared), sources, base, input_path, input_sha)
+        finally:
+            self._delete(compared)
+
+    def _compared(self, got: dict[str, DataFrame], base: int) -> DataFrame:
+        """``(conversation_id, outcome, domains)`` of an import after snapshot ``base``, nodes included."""
+        every = sorted({*DOMAINS, *NODE_DOMAINS})
+        if not self._list(base)["parts"].get("conversations"):  # nothing to compare with
+            return got["conversations"].select("conversation_id", F.lit("inserted").alias("outcome"), F.array(*map(F.lit, every)).alias("domains"))
         stored = {n: self._table(n, base) for n in KEYED}
         outcomes = conversation_outcomes(stored["conversations"], got["conversations"])
         # the few buckets that come in are found when the query runs, and the others are not read
         near = got["conversations"].select(bucket_of().alias("bucket")).distinct()
-        changes = node_changes(stored["nodes"].join(F.broadcast(near), "bucket", "left_semi").drop("bucket"), got["nodes"])
-        moved = changes.where("action <> 'same'").select("conversation_id").distinct().withColumn("_moved", F.lit(True))
-        fixed = F.when((F.col("outcome") == "unchanged") & F.coalesce("_moved", F.lit(False)), "updated").otherwise(F.col("outcome"))
-        outcomes = outcomes.join(moved, "conversation_id", "left").select("conversation_id", fixed.alias("outcome"), "domains")
+        changes = node_changes(stored["nodes"].join(F.broadcast(near), "bucket", "left_semi").drop("bucket"), got["nodes"]).where("action <> 'same'")
+        touched = F.array_compact(F.array(*(F.max(F.when(F.array_contains("domains", d), d)) for d in NODE_DOMAINS)))
+        moved = changes.groupBy("conversation_id").agg(touched.alias("_moved"))
+        outcome = F.when((F.col("outcome") == "unchanged") & F.col("_moved").isNotNull(), "updated").otherwise(F.col("outcome"))
+        none = F.array().cast("array<string>")
+        return outcomes.join(moved, "conversation_id", "left").select("conversation_id", outcome.alias("outcome"), F.array_union("domains", F.coalesce("_moved", none)).alias("domains"))
+
+    def _import_compared(self, got: dict[str, DataFrame], outcomes: DataFrame, sources: DataFrame | None, base: int, input_path: str, input_sha: str | None) -> dict:
+        run = base + 1
+        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
         notes = got["import_warnings"].select(F.lit(run).cast("long").alias("import_run_id"), "source_file", "array_index", "warning_type", "keys_json", "raw_json", F.lit(now).alias("created_at"))
         summary = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
-        domains = sorted({d for r in outcomes.select(F.explode("domains").alias("d")).union(changes.where("action <> 'same'").select(F.explode("domains"))).distinct().collect() for d in r})
+        domains = sorted(r.d for r in outcomes.select(F.explode("domains").alias("d")).distinct().collect())
         new = outcomes.where(F.col("outcome").isin("inserted", "updated")).select("conversation_id")
-        tables = {n: got[n].join(new, "conversation_id", "left_semi").withColumn("last_import_run_id", F.lit(run).cast("long")) for n in KEYED} if {"inserted", "updated"} & set(summary) else {}
+        taken = (lambda rows: rows.join(new, "conversation_id", "left_semi")) if "unchanged" in summary else lambda rows: rows
+        tables = {n: taken(got[n]).withColumn("last_import_run_id", F.lit(run).cast("long")) for n in KEYED} if {"inserted", "updated"} & set(summary) else {}
         tables["import_warnings"] = notes.select(*WARNINGS.names)
         tables["import_runs"] = self.spark.createDataFrame([(run, input_path, "elements", input_sha, None, now, now, "ok", json.dumps(summary, sort_keys=True))], IMPORT_RUNS)
         if sources is not None:
@@ -362,9 +382,11 @@ class Store:
             found = members.members(self.spark, where) if streamed else read_members(self.spark, where).select(F.lit(None).cast("string").alias("archive"), "path", "size", "sha256", "file_type")
             found.write.parquet(staged)
             found = self.spark.read.parquet(staged)
-            chosen = [r.path for r in selected_sources(found.select("path")).collect()]  # a name for each conversation file
+            picked = selected_sources(found.select("path")).select("path")
+            chosen = [r.path for r in picked.collect()]  # a name for each conversation file
             is_json = F.lower("path").rlike(r"conversations(-[0-9]+)?\.json$")
-            sources = found.select(F.col("path").alias("source_path"), "file_type", "size", "sha256", is_json.alias("is_conversation_json"), F.col("path").isin(chosen).alias("is_selected_conversation_source"))
+            marked = found.join(picked.distinct().withColumn("_picked", F.lit(True)), "path", "left")
+            sources = marked.select(F.col("path").alias("source_path"), "file_type", "size", "sha256", is_json.alias("is_conversation_json"), F.coalesce("_picked", F.lit(False)).alias("is_selected_conversation_source"))
             if streamed:
                 elements = members.elements(self.spark, where, chosen)
                 whole = members.input_files(self.spark, where) if found.where("archive is not null").limit(1).count() else found.select("path", "sha256", "size")
@@ -397,12 +419,12 @@ class Store:
         stored = Archive(self.spark.read.parquet(f"{folder}/conversations"), self.spark.read.parquet(f"{folder}/nodes"), complete=True)
         index.write(stored, f"{folder}/postings")
         index.lengths(stored).write.mode("overwrite").parquet(f"{folder}/lengths")
-        fs, mark = self._path(f"{folder}/ready")
+        fs, mark = self._path(f"{folder}/{_READY}")
         if not fs.exists(mark):
             fs.create(mark, False).close()
 
     def _has_index(self, part: dict) -> bool:
-        fs, mark = self._path(f"{self.folder}/data/{part['id']}/index/ready")
+        fs, mark = self._path(f"{self.folder}/data/{part['id']}/index/{_READY}")
         return fs.exists(mark)
 
     def has_index(self, version: int | None = None) -> bool:

@@ -274,3 +274,26 @@ def test_small_files_share_a_task(tmp_path):
     parts = reader.partitions()
     assert len(parts) <= 3 and sum(len(p.members) for p in parts) == 51
     assert sorted(path for p in parts for b in reader.read(p) for path in b.column("source_file").to_pylist()) == sorted(f"conversations-{i}.json" for i in range(51))
+
+
+def test_stored_postings_are_packed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.import_elements(elements(spark, [conversation(f"c{i}", reply="the same words") for i in range(40)]))
+    store.build_index()
+    archive, postings = store.indexed()
+    stored = spark.read.parquet(*(str(p) for p in (tmp_path / "data").glob("*/index/postings")))
+    assert stored.count() < postings.count() / 10
+    key = lambda r: (r.trigram, r.conversation_id, r.node_id, r.positions, r["size"])
+    assert sorted(map(key, postings.collect())) == sorted(map(key, index.build(archive).collect())) != []
+
+
+def test_a_first_import_compares_with_nothing(spark, tmp_path, monkeypatch):
+    from talktree.operators import store as module
+
+    asked = []
+    monkeypatch.setattr(module, "node_changes", lambda *a, f=module.node_changes: asked.append(1) or f(*a))
+    store = Store(spark, f"file://{tmp_path}")
+    first = store.import_elements(elements(spark, [conversation("c1"), conversation("c2")]))
+    assert first["outcomes"] == {"inserted": 2} and first["dirty_domains"] == ["address", "graph", "message", "query", "title"] and asked == []
+    then = store.import_elements(elements(spark, [conversation("c1"), conversation("c2", reply="other")]))
+    assert then["outcomes"] == {"unchanged": 1, "updated": 1} and then["dirty_domains"] == ["message"] and asked == [1]
