@@ -219,6 +219,9 @@ class Store:
                 raise SnapshotConflict("snapshot_already_published")
             context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(goal).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
             context.rename(source, goal, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            # where another writer's snapshot came in between, a local store copies into it and doesn't fail
+            if fs.delete(jvm.org.apache.hadoop.fs.Path(goal, source.getName()), True):
+                raise SnapshotConflict("snapshot_already_published")
         except Py4JJavaError as e:
             if not fs.exists(goal):
                 raise

@@ -1,5 +1,6 @@
 """Inputs in chunks and by member, the file sink, and snapshots as parts."""
 
+import contextlib
 import io
 import json
 import os
@@ -216,6 +217,30 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert store.table("import_runs").count() == 4 and other.append("exports", log) == store.version() and store.table("exports").count() == 2
 
 
+def test_of_writers_at_the_same_moment_one_wins(spark, tmp_path):
+    gate = threading.Barrier(8)
+
+    class Waiting(Store):
+        def _snapshot(self, version):
+            gate.wait(60)
+            return super()._snapshot(version)
+
+    for t in range(80):
+        folder, won = f"file://{tmp_path}/{t}", []
+
+        def write(i, folder=folder, won=won):
+            with contextlib.suppress(SnapshotConflict):
+                Waiting(spark, folder)._commit(0, {"exports": [{"id": str(i), "rows": 0}]}, [])
+                won.append({"id": str(i), "rows": 0})
+
+        runs = [threading.Thread(target=write, args=(i,)) for i in range(8)]
+        for r in runs:
+            r.start()
+        for r in runs:
+            r.join()
+        assert won == Store(spark, folder)._list(1)["parts"]["exports"] and os.listdir(tmp_path / str(t) / "snapshot-000001") == ["layout"]
+
+
 def test_the_index_follows_the_imports(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     assert store.indexed()[1] is None
