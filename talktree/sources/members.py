@@ -115,7 +115,7 @@ class ExportReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.what, self.path = options.get("what", "members"), options["path"]
         self.only = set(json.loads(options["only"])) if "only" in options else None
-        self.limit = int(options.get("element_bytes", "0"))
+        self.limit, self.tasks = int(options.get("element_bytes", "0")), int(options.get("tasks", "1"))
 
     def found(self) -> list[tuple[str, str | None, str, int, int]]:
         """All members by name; files that are no ZIPs are members themselves."""
@@ -131,10 +131,10 @@ class ExportReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         groups: list[list] = []
         held = 0
-        for member in self.found():
-            if self.only is not None and member[2] not in self.only:
-                continue
-            if not groups or held + member[3] > (ELEMENT_TASK_BYTES if self.what == "elements" else TASK_BYTES):
+        chosen = [m for m in self.found() if self.only is None or m[2] in self.only]
+        most = min(ELEMENT_TASK_BYTES, sum(m[3] for m in chosen) // self.tasks) if self.what == "elements" else TASK_BYTES
+        for member in chosen:
+            if not groups or held + member[3] > most:
                 groups.append([])
                 held = 0
             groups[-1].append(member)
@@ -205,6 +205,7 @@ class ExportSource(DataSource):
     """``spark.read.format("talktree_export").option("what", "members" | "elements" | "files").load(path)``.
 
     ``only``: a JSON list of member paths to read.  ``element_bytes``: a larger element is reported and passed over.
+    ``tasks``: elements are spread over so many tasks, if there are as many members.
     """
 
     @classmethod
@@ -230,8 +231,8 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, path: str, only: list[str], element_bytes: int = 0) -> DataFrame:
-    """(source_file, array_index, element, problem) of some members, small ones several to a task."""
-    return _read(spark, path, "elements", only=json.dumps(only), element_bytes=str(element_bytes))
+    """(source_file, array_index, element, problem) of some members, small ones several to a task where there are more than cores."""
+    return _read(spark, path, "elements", only=json.dumps(only), element_bytes=str(element_bytes), tasks=str(spark.sparkContext.defaultParallelism))
 
 
 def input_files(spark: SparkSession, path: str) -> DataFrame:

@@ -322,3 +322,12 @@ def test_a_first_import_compares_with_nothing(spark, tmp_path, monkeypatch):
     assert first["outcomes"] == {"inserted": 2} and first["dirty_domains"] == ["address", "graph", "message", "query", "title"] and asked == []
     then = store.import_elements(elements(spark, [conversation("c1"), conversation("c2", reply="other")]))
     assert then["outcomes"] == {"unchanged": 1, "updated": 1} and then["dirty_domains"] == ["message"] and asked == [1]
+
+
+def test_few_small_files_are_spread(tmp_path):
+    for i in range(20):
+        (tmp_path / f"conversations-{i:02}.json").write_text(json.dumps([{"id": str(i)}]))
+    options = {"what": "elements", "path": f"file://{tmp_path}"}
+    sizes = {n: [len(p.members) for p in members.ExportReader(options | {"tasks": n}).partitions()] for n in ("1", "4", "50")}
+    assert sizes["1"] == [20] and 4 <= len(sizes["4"]) <= 8 and sizes["50"] == [1] * 20 and sum(sizes["4"]) == 20
+    assert members.ExportReader(options | {"only": "[]", "tasks": "4"}).partitions() == []
